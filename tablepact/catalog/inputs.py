@@ -80,6 +80,26 @@ LINEITEM_KEY_CONTRACT = {
     "uniqueness": [{"name": "line_key", "columns": ["l_orderkey", "l_linenumber"]}],
 }
 
+LINEITEM_CONTRACT = {
+    "contract": {"name": "lineitem_contract", "version": "1"},
+    "columns": {
+        "l_orderkey": {"type": "integer", "nullable": False},
+        "l_partkey": {"type": "integer"},
+        "l_suppkey": {"type": "integer"},
+        "l_linenumber": {"type": "integer", "min": 1, "max": 7},
+        "l_quantity": {"type": "number", "min": 1, "max": 50},
+        "l_extendedprice": {"type": "number", "min": 1000},
+        "l_discount": {"type": "number", "min": 0, "max": 0.08},
+        "l_tax": {"type": "number", "min": 0, "max": 0.08},
+        "l_returnflag": {"type": "string", "allowed_values": ["A", "N"]},
+        "l_linestatus": {"type": "string", "allowed_values": ["O", "F"], "pattern": "[OF]",
+                         "min_length": 1, "max_length": 1},
+        "l_shipdate": {"type": "date", "nullable": False, "freshness": {"max_age_days": 30}},
+    },
+    "uniqueness": [{"name": "line_key", "columns": ["l_orderkey", "l_linenumber"]}],
+    "row_count": {"min": 1000},
+}
+
 NATION_CONTRACT = {
     "contract": {"name": "nation_contract", "version": "1"},
     "columns": {

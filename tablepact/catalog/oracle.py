@@ -303,6 +303,33 @@ def _build() -> None:
       UNION ALL SELECT 'allowed_values_violation:o_orderstatus', 'allowed_values_violation', 'error', 'failed' FROM m WHERE av > 0
       UNION ALL SELECT 'range_violation:o_totalprice', 'range_violation', 'error', 'failed' FROM m WHERE hi > 0
       UNION ALL SELECT 'freshness_violation:o_orderdate', 'freshness_violation', 'warning', 'warning' FROM m WHERE age > 30"""
+    o["findings_lineitem"] = """WITH m AS (SELECT count(*) n, count(*) - count(l_orderkey) ok_nulls,
+        count(*) - count(l_shipdate) sd_nulls,
+        count(*) FILTER (l_linenumber < 1 OR l_linenumber > 7) ln_bad,
+        count(*) FILTER (l_quantity < 1 OR l_quantity > 50) q_bad, count(*) FILTER (l_extendedprice < 1000) ep_bad,
+        count(*) FILTER (l_discount < 0 OR l_discount > 0.08) d_bad, count(*) FILTER (l_tax < 0 OR l_tax > 0.08) t_bad,
+        count(*) FILTER (l_returnflag NOT IN ('A', 'N')) rf_bad, count(*) FILTER (l_linestatus NOT IN ('O', 'F')) ls_bad,
+        count(*) FILTER (NOT regexp_full_match(l_linestatus, '[OF]')) ls_pat,
+        count(*) FILTER (length(l_linestatus) <> 1) ls_len,
+        date_diff('day', CAST(max(l_shipdate) AS DATE), DATE '2001-12-31') age, typeof(min(l_shipdate)) ty,
+        (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)) dups
+        FROM lineitem)
+      SELECT 'type_mismatch:l_shipdate' finding_id, 'type_mismatch' rule_type, 'error' severity, 'failed' status
+        FROM m WHERE ty LIKE 'TIMESTAMP%'
+      UNION ALL SELECT 'nullability_violation:l_orderkey', 'nullability_violation', 'error', 'failed' FROM m WHERE ok_nulls > 0
+      UNION ALL SELECT 'nullability_violation:l_shipdate', 'nullability_violation', 'error', 'failed' FROM m WHERE sd_nulls > 0
+      UNION ALL SELECT 'uniqueness_violation:l_orderkey_l_linenumber', 'uniqueness_violation', 'error', 'failed' FROM m WHERE dups > 0
+      UNION ALL SELECT 'allowed_values_violation:l_returnflag', 'allowed_values_violation', 'error', 'failed' FROM m WHERE rf_bad > 0
+      UNION ALL SELECT 'allowed_values_violation:l_linestatus', 'allowed_values_violation', 'error', 'failed' FROM m WHERE ls_bad > 0
+      UNION ALL SELECT 'range_violation:l_linenumber', 'range_violation', 'error', 'failed' FROM m WHERE ln_bad > 0
+      UNION ALL SELECT 'range_violation:l_quantity', 'range_violation', 'error', 'failed' FROM m WHERE q_bad > 0
+      UNION ALL SELECT 'range_violation:l_extendedprice', 'range_violation', 'error', 'failed' FROM m WHERE ep_bad > 0
+      UNION ALL SELECT 'range_violation:l_discount', 'range_violation', 'error', 'failed' FROM m WHERE d_bad > 0
+      UNION ALL SELECT 'range_violation:l_tax', 'range_violation', 'error', 'failed' FROM m WHERE t_bad > 0
+      UNION ALL SELECT 'pattern_violation:l_linestatus', 'pattern_violation', 'warning', 'warning' FROM m WHERE ls_pat > 0
+      UNION ALL SELECT 'length_violation:l_linestatus', 'length_violation', 'error', 'failed' FROM m WHERE ls_len > 0
+      UNION ALL SELECT 'freshness_violation:l_shipdate', 'freshness_violation', 'warning', 'warning' FROM m WHERE age > 30
+      UNION ALL SELECT 'row_count_violation:dataset', 'row_count_violation', 'warning', 'warning' FROM m WHERE n < 1000"""
     o["findings_by_slice"] = """
       SELECT 'orders' AS dataset_name, 'month=' || CAST(m AS VARCHAR) AS slice,
         'range_violation:o_totalprice' AS finding_id, 'range_violation' AS rule_type, 'failed' AS status,

@@ -283,6 +283,12 @@ def q_findings_all(spark, sf):
     return v.findings.select("finding_id", "rule_type", "severity", "status")
 
 
+def q_findings_lineitem(spark, sf):
+    v = I.run(spark, I.table(spark, sf, "lineitem"), I.LINEITEM_CONTRACT, dataset_name="lineitem",
+              reference_date=I.ORDERS_REFERENCE_DATE)
+    return v.findings.select("finding_id", "rule_type", "severity", "status")
+
+
 def q_findings_by_slice(spark, sf):
     a = I.orders_monthly(spark, sf).findings
     b = I.lineitem_by_flag(spark, sf).findings
@@ -456,6 +462,7 @@ QUERIES: dict[str, Query] = {
     "v_freshness_skipped": q_v_freshness_skipped,
     "severity_resolution": q_severity_resolution,
     "findings_all": q_findings_all,
+    "findings_lineitem": q_findings_lineitem,
     "findings_by_slice": q_findings_by_slice,
     "src_csv_na_tokens": q_src_csv_na_tokens,
     "classify": q_classify,

@@ -19,7 +19,9 @@ LOGICAL_TYPES = ("string", "integer", "number", "boolean", "date", "datetime")
 EMPTY = "empty"
 
 _INT_RE = r"\A[+-]?[0-9]+\z"
-_NUM_RE = r"(?i)\A[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\z"
+_NUM_RE = r"\A[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\z"
+# First characters a number (or inf / nan) can start with.
+_NUM_LEADS = ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "+", "-", ".", "i", "I", "n", "N")
 # Date-time text accepted by the ladder (fixed list of layouts).
 _ISO_RE = r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?)?\z"
 _SLASH_YMD_RE = r"\A[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\z"
@@ -173,3 +175,42 @@ def native_observed_type(dtype: T.DataType) -> str | None:
     if fam == "other":
         return "string"
     return fam
+
+
+def text_ts(c: Column) -> Column:
+    """``ts_from_text`` behind a cheap first-character guard (every layout starts with a digit)."""
+    first = F.substring(trimmed(c), 1, 1)
+    return F.when((first >= F.lit("0")) & (first <= F.lit("9")), ts_from_text(c))
+
+
+def text_code(c: Column, ts: Column) -> Column:
+    """Most specific ladder rung one text value satisfies, as a one-letter code:
+    b(oolean) i(nteger) f(loat) d(ate) t(ime-of-day datetime) s(tring).
+
+    The rungs are disjoint except integer within number, so counting codes
+    gives every ladder counter from one per-row evaluation.  ``ts`` is the
+    value's parsed timestamp, computed once by the caller's projection.
+    """
+    t = trimmed(c)
+    numeric_lead = F.substring(t, 1, 1).isin(*_NUM_LEADS)
+    return (
+        F.when(c.isNull(), F.lit(None).cast("string"))
+        .when(F.lower(t).isin("true", "false"), F.lit("b"))
+        .when(~numeric_lead, F.lit("s"))
+        .when(t.rlike(_INT_RE), F.lit("i"))
+        .when(t.rlike(_NUM_RE), F.lit("f"))
+        .when(ts.isNotNull(), F.when(has_time(ts), F.lit("t")).otherwise(F.lit("d")))
+        .otherwise(F.lit("s"))
+    )
+
+
+def code_counters(code: Column) -> dict[str, Column]:
+    """Aggregates over a ``text_code`` column, keyed by ladder counter."""
+    return {
+        "n": F.count(code),
+        "b": F.count_if(code == "b"),
+        "i": F.count_if(code == "i"),
+        "f": F.count_if(code.isin("i", "f")),
+        "d": F.count_if(code.isin("d", "t")),
+        "t": F.count_if(code == "t"),
+    }

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepact.functions import values
-from tablepact.plans.frames import ALL, join_slices, per_slice_agg, qcol, slice_text, with_slices
+from tablepact.plans.frames import ALL, combine_slices, per_slice_agg, qcol, slice_text, with_slices
 
 PROFILE_STRUCT = T.StructType(
     [
@@ -41,43 +41,44 @@ PROFILE_STRUCT = T.StructType(
 )
 
 
-def _column_metrics(c: str, i: int, dtype: T.DataType) -> tuple[dict[str, Column], Column]:
-    """Aggregates for one column and the struct that reads them back."""
+def _column_metrics(c: str, i: int, dtype: T.DataType) -> tuple[dict, dict, dict[str, Column], Column]:
+    """Per-row features (two stages), aggregates and the struct reading them back."""
     x = qcol(c)
-    nc = values.nullified(x, dtype)
     fam = values.family(dtype)
-    aggs: dict[str, Column] = {f"nn_{i}": F.count(nc)}
+    f1: dict[str, Column] = {f"v_{i}": values.nullified(x, dtype)}
+    f2: dict[str, Column] = {}
+    v = F.col(f"v_{i}")
+    aggs: dict[str, Column] = {f"nn_{i}": F.count(v)}
     n = F.col(f"nn_{i}")
     native = values.native_observed_type(dtype)
+    if fam == "text":
+        f1[f"ts_{i}"] = values.text_ts(x)
+    elif fam in ("date", "datetime"):
+        f1[f"ts_{i}"] = values.as_timestamp(x, dtype)
     if native is None:
-        ts = values.ts_from_text(x)
-        aggs.update({
-            f"b_{i}": F.count_if(values.is_bool_text(x)),
-            f"i_{i}": F.count_if(values.is_int_text(x)),
-            f"f_{i}": F.count_if(values.is_num_text(x)),
-            f"d_{i}": F.count_if(ts.isNotNull()),
-            f"t_{i}": F.count_if(values.has_time(ts)),
-        })
+        f2[f"code_{i}"] = values.text_code(v, F.col(f"ts_{i}"))
+        for k, agg in values.code_counters(F.col(f"code_{i}")).items():
+            if k != "n":
+                aggs[f"{k}_{i}"] = agg
         observed = values.observed_type_expr(n, *[F.col(f"{p}_{i}") for p in "bifdt"])
     else:
         observed = F.when(n == 0, F.lit(values.EMPTY)).otherwise(F.lit(native))
     numeric = F.lit(None).cast("double"), F.lit(None).cast("double")
     if fam in ("integer", "number", "text"):
-        num = values.as_number(x, dtype)
-        aggs.update({f"nmin_{i}": F.min(num), f"nmax_{i}": F.max(num)})
+        f1[f"num_{i}"] = values.as_number(x, dtype)
+        aggs.update({f"nmin_{i}": F.min(f"num_{i}"), f"nmax_{i}": F.max(f"num_{i}")})
         is_num = observed.isin("integer", "number")
         numeric = F.when(is_num, F.col(f"nmin_{i}")), F.when(is_num, F.col(f"nmax_{i}"))
     temporal = F.lit(None).cast("string"), F.lit(None).cast("string")
     if fam in ("date", "datetime", "text"):
-        ts = values.as_timestamp(x, dtype)
-        aggs.update({f"tmin_{i}": F.min(ts), f"tmax_{i}": F.max(ts)})
+        aggs.update({f"tmin_{i}": F.min(f"ts_{i}"), f"tmax_{i}": F.max(f"ts_{i}")})
         is_ts = observed.isin("date", "datetime")
         temporal = (F.when(is_ts, values.iso_text(F.col(f"tmin_{i}"))),
                     F.when(is_ts, values.iso_text(F.col(f"tmax_{i}"))))
     lengths = F.lit(None).cast("int"), F.lit(None).cast("int")
     if fam in ("text", "other"):
-        length = F.char_length(values.string_form(x, dtype))
-        aggs.update({f"lmin_{i}": F.min(length), f"lmax_{i}": F.max(length)})
+        f1[f"len_{i}"] = F.char_length(values.string_form(x, dtype))
+        aggs.update({f"lmin_{i}": F.min(f"len_{i}"), f"lmax_{i}": F.max(f"len_{i}")})
         is_str = observed == F.lit("string")
         lengths = F.when(is_str, F.col(f"lmin_{i}")), F.when(is_str, F.col(f"lmax_{i}"))
     rows = F.col("rows")
@@ -98,7 +99,7 @@ def _column_metrics(c: str, i: int, dtype: T.DataType) -> tuple[dict[str, Column
         lengths[0].alias("string_min_length"),
         lengths[1].alias("string_max_length"),
     ).cast(PROFILE_STRUCT)
-    return aggs, struct
+    return f1, f2, aggs, struct
 
 
 def frequencies(data: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -140,12 +141,16 @@ def profile(
     data, keys = with_slices(df, by)
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs: dict[str, Column] = {"rows": F.count(F.lit(1))}
+    stage1: dict[str, Column] = {}
+    stage2: dict[str, Column] = {}
     structs = []
     for c in cols:
-        a, s = _column_metrics(c, df.columns.index(c), types[c])
+        f1, f2, a, st = _column_metrics(c, df.columns.index(c), types[c])
+        stage1.update(f1)
+        stage2.update(f2)
         aggs.update(a)
-        structs.append(s)
-    metrics = per_slice_agg(data, keys, aggs)
+        structs.append(st)
+    metrics = per_slice_agg(data, keys, aggs, [stage1, stage2])
     out = metrics.select(*[qcol(k) for k in keys], F.inline(F.array(*structs)))
     if freq_cols:
         freq = frequencies(data, keys, freq_cols)
@@ -153,8 +158,7 @@ def profile(
         tops = top_k(freq, keys, top_values, [F.col("count").desc(), F.col("value").asc()], "top_values",
                      F.struct(F.col("value"), F.col("count")))
         samples = top_k(freq, keys, sample_values, [F.col("value").asc()], "sample_values", F.col("value"))
-        side = join_slices(join_slices(distinct, tops, keys + ["column"], "left"), samples, keys + ["column"], "left")
-        out = join_slices(out, side, keys + ["column"], "left")
+        out = combine_slices([out, distinct, tops, samples], keys + ["column"])
     else:
         out = out.withColumn("distinct_count", F.lit(None).cast("bigint")) \
                  .withColumn("top_values", F.lit(None).cast("array<struct<value:string,count:bigint>>")) \

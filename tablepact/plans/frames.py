@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Constant slice key used when a run is not sliced; lets every per-slice
-# side table join the metrics row on an equi key (never a cross join).
+# Constant slice key used when a run is not sliced, so per-slice side
+# tables always combine on a key.
 ALL = "_all"
 
 # Aggregates per ``agg`` call; keeps generated code under the JVM method limit.
@@ -25,7 +25,7 @@ def with_slices(df: DataFrame, by: Sequence[str] | Mapping[str, Column] | None)
 
     ``by`` is a list of existing column names or a mapping name -> Column
     (e.g. ``{"month": F.date_trunc("month", "o_orderdate")}``).  Without a
-    slice the constant key ``_all`` is added so side tables join on a key.
+    slice the constant key ``_all`` is added.
     """
     if not by:
         return df.withColumn(ALL, F.lit(0)), [ALL]
@@ -42,30 +42,49 @@ def slice_text(keys: Sequence[str]) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def per_slice_agg(data: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
-    """One fused aggregate pass per slice (global agg when unsliced).
+def per_slice_agg(data: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
+                  features: Sequence[Mapping[str, Column]] = ()) -> DataFrame:
+    """One fused aggregate pass per slice (global aggregate when unsliced).
 
-    Unsliced runs use a global aggregate so an empty table still yields one
-    row (row count 0).  Very wide rule sets are split into several passes
-    joined on the slice key.
+    ``features`` are stages of per-row columns (parsed numbers, timestamps,
+    lengths, type codes, failure flags) computed in projections below the
+    aggregate; a stage may read the names of earlier stages.  Aggregates
+    refer to them by name, so an expensive parse runs once per row however
+    many aggregates read it.  Unsliced runs
+    use a global aggregate so an empty table still yields one row.  Very
+    wide rule sets are split into several passes combined on the slice key.
     """
-    named = [c.alias(n) for n, c in aggs.items()]
-    if not named:
-        named = [F.count(F.lit(1)).alias("__rows")]
+    done: list[str] = []
+    for stage in features:
+        if not stage:
+            continue
+        data = data.select(*[qcol(k) for k in keys], *[qcol(n) for n in done],
+                           *[c.alias(n) for n, c in stage.items()])
+        done += list(stage)
+    named = [c.alias(n) for n, c in aggs.items()] or [F.count(F.lit(1)).alias("__rows")]
     chunks = [named[i : i + MAX_AGGS_PER_PASS] for i in range(0, len(named), MAX_AGGS_PER_PASS)]
-    out = None
+    parts = []
     for chunk in chunks:
         if list(keys) == [ALL]:
-            part = data.agg(*chunk).withColumn(ALL, F.lit(0))
+            parts.append(data.agg(*chunk).withColumn(ALL, F.lit(0)))
         else:
-            part = data.groupBy(*[qcol(k) for k in keys]).agg(*chunk)
-        out = part if out is None else join_slices(out, part, keys, "inner")
-    return out
+            parts.append(data.groupBy(*[qcol(k) for k in keys]).agg(*chunk))
+    return parts[0] if len(parts) == 1 else combine_slices(parts, keys)
 
 
-def join_slices(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join two per-slice tables on the slice key; null slice values match."""
-    renamed = right.select(*[qcol(c).alias("__r_" + c) if c in keys else qcol(c) for c in right.columns])
-    cond = [qcol(k).eqNullSafe(qcol("__r_" + k)) for k in keys]
-    joined = left.join(renamed, cond, how)
-    return joined.drop(*["__r_" + k for k in keys])
+def combine_slices(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Merge per-key tables (at most one row per key each) into one row per key.
+
+    A union plus one grouped ``first(ignorenulls)`` instead of a chain of
+    joins: no join condition to get wrong (null slice values group
+    together), no nested-loop join for the unsliced constant key, and a
+    single small shuffle whatever the number of side tables.
+    """
+    if len(parts) == 1:
+        return parts[0]
+    merged = parts[0]
+    for p in parts[1:]:
+        merged = merged.unionByName(p, allowMissingColumns=True)
+    values = [c for c in merged.columns if c not in keys]
+    return merged.groupBy(*[qcol(k) for k in keys]).agg(
+        *[F.first(qcol(c), ignorenulls=True).alias(c) for c in values])

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepact.functions import patterns, values
-from tablepact.plans.frames import ALL, join_slices, per_slice_agg, qcol, slice_text, with_slices
+from tablepact.plans.frames import ALL, combine_slices, per_slice_agg, qcol, slice_text, with_slices
 from tablepact.plans.vocabulary import COMPATIBLE_TYPES, MESSAGES
 
 FINDINGS_SCHEMA = (
@@ -103,6 +103,9 @@ class _Compiler:
         self.ref = reference_date
         self.k = max_examples
         self.aggs: dict[str, Column] = {"rows": F.count(F.lit(1))}
+        # per-row columns, computed once below the aggregate (stage 2 may read stage 1)
+        self.features: dict[str, Column] = {}
+        self.features2: dict[str, Column] = {}
         self.structs: list[Column] = []
         self.static: list[dict] = []
         self.sample_rules: list[tuple[int, Column, Column, bool]] = []  # key, fails, text, by_count
@@ -116,28 +119,32 @@ class _Compiler:
         self.aggs.setdefault(name, expr)
         return F.col(name)
 
+    def feature(self, name: str, expr: Column, stage: int = 1) -> Column:
+        (self.features if stage == 1 else self.features2).setdefault(name, expr)
+        return F.col(name)
+
+    def value(self, c: str) -> Column:
+        """The column's value under the null model (NaN is null)."""
+        return self.feature(f"v_{self._idx(c)}", values.nullified(qcol(c), self.types[c]))
+
+    def timestamp(self, c: str) -> Column:
+        dtype = self.types[c]
+        expr = values.text_ts(qcol(c)) if values.family(dtype) == "text" else values.as_timestamp(qcol(c), dtype)
+        return self.feature(f"ts_{self._idx(c)}", expr)
+
     def nulls(self, c: str) -> Column:
-        nc = values.nullified(qcol(c), self.types[c])
-        return self.metric(f"nulls_{self._idx(c)}", F.count_if(nc.isNull()))
+        return self.metric(f"nulls_{self._idx(c)}", F.count_if(self.value(c).isNull()))
 
     def observed(self, c: str) -> Column:
         dtype = self.types[c]
         i = self._idx(c)
-        nc = values.nullified(qcol(c), dtype)
-        n = self.metric(f"nonnull_{i}", F.count(nc))
+        n = self.metric(f"nonnull_{i}", F.count(self.value(c)))
         native = values.native_observed_type(dtype)
         if native is not None:
             return F.when(n == 0, F.lit(values.EMPTY)).otherwise(F.lit(native))
-        x = qcol(c)
-        ts = values.ts_from_text(x)
-        return values.observed_type_expr(
-            n,
-            self.metric(f"isbool_{i}", F.count_if(values.is_bool_text(x))),
-            self.metric(f"isint_{i}", F.count_if(values.is_int_text(x))),
-            self.metric(f"isnum_{i}", F.count_if(values.is_num_text(x))),
-            self.metric(f"isdt_{i}", F.count_if(ts.isNotNull())),
-            self.metric(f"hastime_{i}", F.count_if(values.has_time(ts))),
-        )
+        code = self.feature(f"code_{i}", values.text_code(self.value(c), self.timestamp(c)), stage=2)
+        counters = {k: self.metric(f"type{k}_{i}", agg) for k, agg in values.code_counters(code).items()}
+        return values.observed_type_expr(*[counters[k] for k in "nbifdt"])
 
     # -- emission -----------------------------------------------------------
     def emit(self, seq: int, rule_type: str, columns: Sequence[str], column: str | None, severity: str,
@@ -265,7 +272,7 @@ class _Compiler:
         x = values.nullified(qcol(c), dtype)
         allowed = list(rule["allowed_values"] or [])
         fails = x.isNotNull() & ~self._matches_allowed(c, allowed)
-        failed = self.metric(f"allowed_failed_{seq}", F.count_if(fails))
+        failed = self.metric(f"allowed_failed_{seq}", F.count_if(self.feature(f"af_{seq}", fails)))
         key = len(self.sample_rules)
         self.sample_rules.append((key, fails, values.value_text(x, dtype), True))
         top = F.col(f"samples_{key}")
@@ -278,7 +285,7 @@ class _Compiler:
 
     def _range(self, rule: Row, seq: int, c: str, sev: str) -> None:
         rt = "range_violation"
-        num = values.as_number(qcol(c), self.types[c])
+        num = self.feature(f"num_{self._idx(c)}", values.as_number(qcol(c), self.types[c]))
         lo, hi = rule["min_value"], rule["max_value"]
         below = self.metric(f"below_{seq}", F.count_if(num < F.lit(lo))) if lo is not None else F.lit(0)
         above = self.metric(f"above_{seq}", F.count_if(num > F.lit(hi))) if hi is not None else F.lit(0)
@@ -304,7 +311,7 @@ class _Compiler:
         x = values.nullified(qcol(c), dtype)
         text = values.string_form(qcol(c), dtype)
         fails = x.isNotNull() & ~patterns.full_match(text, pattern)
-        failed = self.metric(f"pattern_failed_{seq}", F.count_if(fails))
+        failed = self.metric(f"pattern_failed_{seq}", F.count_if(self.feature(f"pf_{seq}", fails)))
         key = len(self.sample_rules)
         self.sample_rules.append((key, fails, text, False))
         top = F.col(f"samples_{key}")
@@ -320,7 +327,7 @@ class _Compiler:
         rt = "length_violation"
         dtype = self.types[c]
         i = self._idx(c)
-        length = F.char_length(values.string_form(qcol(c), dtype))
+        length = self.feature(f"len_{i}", F.char_length(values.string_form(qcol(c), dtype)))
         lo, hi = rule["min_length"], rule["max_length"]
         short = self.metric(f"short_{seq}", F.count_if(length < F.lit(lo))) if lo is not None else F.lit(0)
         long_ = self.metric(f"long_{seq}", F.count_if(length > F.lit(hi))) if hi is not None else F.lit(0)
@@ -336,7 +343,7 @@ class _Compiler:
     def _freshness(self, rule: Row, seq: int, c: str, sev: str) -> None:
         rt = "freshness_violation"
         i = self._idx(c)
-        latest = self.metric(f"tsmax_{i}", F.max(values.as_timestamp(qcol(c), self.types[c])))
+        latest = self.metric(f"tsmax_{i}", F.max(self.timestamp(c)))
         max_age = rule["max_age_days"]
         ref = F.lit(self.ref)
         age = F.datediff(ref, F.to_date(latest))
@@ -383,10 +390,9 @@ class _Compiler:
         order = F.when(F.col("rule").isin(*by_count), -F.col("n")).otherwise(F.lit(0)) if by_count else F.lit(0)
         w = Window.partitionBy(*[qcol(k) for k in keys], F.col("rule")).orderBy(order, F.col("value"))
         top = counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= self.k)
-        per_rule = top.groupBy(*[qcol(k) for k in keys], "rule").agg(
-            F.array_sort(F.collect_list(F.struct("rn", "value", "n"))).alias("top"))
-        return per_rule.groupBy(*[qcol(k) for k in keys]).agg(
-            *[F.first(F.when(F.col("rule") == key, F.col("top")), ignorenulls=True).alias(f"samples_{key}")
+        entry = F.struct("rn", "value", "n")
+        return top.groupBy(*[qcol(k) for k in keys]).agg(
+            *[F.array_sort(F.collect_list(F.when(F.col("rule") == key, entry))).alias(f"samples_{key}")
               for key, _, _, _ in self.sample_rules])
 
     def uniqueness_tables(self) -> list[DataFrame]:
@@ -406,7 +412,7 @@ class _Compiler:
                 .select(*[qcol(k) for k in keys],
                         F.to_json(F.transform("__s", lambda e: e["key"])).alias(f"dupsample_{j}"))
             )
-            out.append(join_slices(stats, samples, keys, "left"))
+            out.append(combine_slices([stats, samples], keys))
         return out
 
 
@@ -458,11 +464,9 @@ def validate(
         else:
             comp.compile(rule)
 
-    metrics = per_slice_agg(data, keys, comp.aggs)
+    metrics = per_slice_agg(data, keys, comp.aggs, [comp.features, comp.features2])
     side = comp.sample_table()
-    wide = metrics if side is None else join_slices(metrics, side, keys, "left")
-    for u in comp.uniqueness_tables():
-        wide = join_slices(wide, u, keys, "left")
+    wide = combine_slices([metrics] + ([side] if side is not None else []) + comp.uniqueness_tables(), keys)
 
     header = [F.lit(run_id).alias("run_id"), F.lit(name).alias("contract_name"),
               F.lit(dataset_name).alias("dataset_name")]
