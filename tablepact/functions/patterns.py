@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from tablepact.functions.values import lit
 
 _NAMED_GROUP = re.compile(r"\(\?P<([A-Za-z_][A-Za-z0-9_]*)>")
 _NAMED_BACKREF = re.compile(r"\(\?P=([A-Za-z_][A-Za-z0-9_]*)\)")
@@ -36,5 +36,6 @@ def to_java(pattern: str) -> str:
     return r"(?U)\A(?:" + body + r")\z"
 
 
-def full_match(text: Column, pattern: str) -> Column:
-    return text.rlike(to_java(pattern))
+def full_match(text: str, pattern: str) -> str:
+    """SQL text: ``text`` fully matches the contract pattern."""
+    return f"({text} RLIKE {lit(to_java(pattern))})"

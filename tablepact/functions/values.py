@@ -1,14 +1,15 @@
-"""Column -> Column helpers: null model, text parsers, observed-type ladder.
-
-Everything here returns built-in Spark expressions, so it stays inside
-whole-stage codegen; no Python runs per row.  All text parsers are
-regex-guarded ``try_*`` casts because ANSI mode is on in Spark 4.
+"""SQL expression text for the null model, text parsers and the observed-type ladder.
+
+Every helper takes and returns Spark SQL expression *text*; callers parse a
+finished expression once with ``F.expr``.  A rule set compiles to a few
+hundred expressions, and building them as text costs one JVM round-trip
+each instead of one per operator node.  Everything is a built-in
+expression, so it runs inside whole-stage codegen; no Python per row.
+All text parsers are regex-guarded ``try_*`` casts (ANSI mode is on).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Characters Python's str.strip() removes in the ASCII range.
@@ -18,19 +19,45 @@ WHITESPACE = " \t\n\r\f\v"
 LOGICAL_TYPES = ("string", "integer", "number", "boolean", "date", "datetime")
 EMPTY = "empty"
 
-_INT_RE = r"\A[+-]?[0-9]+\z"
-_NUM_RE = r"\A[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\z"
+INT_RE = r"\A[+-]?[0-9]+\z"
+NUM_RE = (r"\A[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+          r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\z")
 # First characters a number (or inf / nan) can start with.
-_NUM_LEADS = ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "+", "-", ".", "i", "I", "n", "N")
+NUM_LEADS = ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "+", "-", ".", "i", "I", "n", "N")
 # Date-time text accepted by the ladder (fixed list of layouts).
-_ISO_RE = r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?)?\z"
-_SLASH_YMD_RE = r"\A[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\z"
-_SLASH_MDY_RE = r"\A[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z"
-_DMONY_RE = r"(?i)\A[0-9]{1,2} [a-z]{3} [0-9]{4}\z"
+ISO_RE = r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?)?\z"
+SLASH_YMD_RE = r"\A[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\z"
+SLASH_MDY_RE = r"\A[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z"
+DMONY_RE = r"\A[0-9]{1,2} [A-Za-z]{3} [0-9]{4}\z"
 
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
 
 
+def ident(name: str) -> str:
+    """A column name as SQL text (dots, spaces and backticks are not syntax)."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def lit(value: object) -> str:
+    """A Python value as a SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, int):
+        return f"{value}L" if abs(value) > 2**31 - 1 else str(value)
+    if isinstance(value, float):
+        if value != value or value in (float("inf"), float("-inf")):
+            return f"CAST('{value}' AS DOUBLE)"
+        return f"CAST({value!r} AS DOUBLE)"
+    s = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{s}'"
+
+
+def lits(values: list) -> str:
+    return ", ".join(lit(v) for v in values)
+
+
 def family(dtype: T.DataType) -> str:
     """Coarse family of a Spark type: the observed type for non-text columns."""
     if isinstance(dtype, T.BooleanType):
@@ -48,123 +75,115 @@ def family(dtype: T.DataType) -> str:
     return "other"
 
 
-def nullified(c: Column, dtype: T.DataType) -> Column:
+def nullified(x: str, dtype: T.DataType) -> str:
     """pandas null model: NaN is null for floating columns."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(c), c)
-    return c
+        return f"(CASE WHEN isnan({x}) THEN NULL ELSE {x} END)"
+    return x
 
 
-def trimmed(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+def trimmed(x: str) -> str:
+    return f"btrim({x}, {lit(WHITESPACE)})"
 
 
-def is_bool_text(c: Column) -> Column:
-    return F.lower(trimmed(c)).isin("true", "false")
+def is_bool_text(x: str) -> str:
+    return f"(lower({trimmed(x)}) IN ('true', 'false'))"
 
 
-def is_int_text(c: Column) -> Column:
-    return trimmed(c).rlike(_INT_RE)
+def is_int_text(x: str) -> str:
+    return f"({trimmed(x)} RLIKE {lit(INT_RE)})"
 
 
-def is_num_text(c: Column) -> Column:
-    return trimmed(c).rlike(_NUM_RE)
+def is_num_text(x: str) -> str:
+    return f"({trimmed(x)} RLIKE {lit(NUM_RE)})"
 
 
-def num_from_text(c: Column) -> Column:
+def num_from_text(x: str) -> str:
     """Python ``float()`` semantics on text; NaN becomes null."""
-    t = trimmed(c)
-    v = F.when(t.rlike(_NUM_RE), t.try_cast("double"))
-    return F.when(~F.isnan(v), v)
+    t = trimmed(x)
+    return (f"nanvl(CASE WHEN {t} RLIKE {lit(NUM_RE)} THEN try_cast({t} AS DOUBLE) END, "
+            f"CAST(NULL AS DOUBLE))")
+
+
+def _parse(t: str, guard: str, fmt: str, arg: str | None = None) -> str:
+    return (f"CASE WHEN {t} RLIKE {lit(guard)} THEN "
+            f"CAST(try_to_timestamp({arg or t}, {lit(fmt)}) AS TIMESTAMP_NTZ) END")
 
 
-def ts_from_text(c: Column) -> Column:
+def ts_from_text(x: str) -> str:
     """Timestamp (NTZ) from a fixed list of date / date-time layouts."""
-    t = trimmed(c)
-    iso = F.when(t.rlike(_ISO_RE), F.regexp_replace(t, " ", "T").try_cast("timestamp_ntz"))
-    ymd = F.when(t.rlike(_SLASH_YMD_RE), F.try_to_timestamp(t, F.lit("yyyy/M/d")))
-    mdy = F.when(t.rlike(_SLASH_MDY_RE), F.try_to_timestamp(t, F.lit("M/d/yyyy")))
-    dmy = F.when(t.rlike(_SLASH_MDY_RE), F.try_to_timestamp(t, F.lit("d/M/yyyy")))
-    dmony = F.when(t.rlike(_DMONY_RE), F.try_to_timestamp(F.initcap(t), F.lit("d MMM yyyy")))
-    return F.coalesce(
-        iso,
-        ymd.cast("timestamp_ntz"),
-        mdy.cast("timestamp_ntz"),
-        dmy.cast("timestamp_ntz"),
-        dmony.cast("timestamp_ntz"),
-    )
-
-
-def has_time(ts: Column) -> Column:
-    return ts != ts.cast("date").cast("timestamp_ntz")
-
-
-def as_number(c: Column, dtype: T.DataType) -> Column:
+    t = trimmed(x)
+    return ("coalesce("
+            f"CASE WHEN {t} RLIKE {lit(ISO_RE)} THEN try_cast({t} AS TIMESTAMP_NTZ) END, "
+            f"{_parse(t, SLASH_YMD_RE, 'yyyy/M/d')}, "
+            f"{_parse(t, SLASH_MDY_RE, 'M/d/yyyy')}, "
+            f"{_parse(t, SLASH_MDY_RE, 'd/M/yyyy')}, "
+            f"{_parse(t, DMONY_RE, 'd MMM yyyy', f'initcap({t})')})")
+
+
+def text_ts(x: str) -> str:
+    """``ts_from_text`` behind a cheap first-character guard (every layout starts with a digit)."""
+    return f"(CASE WHEN substring({trimmed(x)}, 1, 1) BETWEEN '0' AND '9' THEN {ts_from_text(x)} END)"
+
+
+def has_time(ts: str) -> str:
+    return f"({ts} <> CAST(CAST({ts} AS DATE) AS TIMESTAMP_NTZ))"
+
+
+def as_number(x: str, dtype: T.DataType) -> str:
     """Numeric coercion used by range checks and numeric min/max."""
     fam = family(dtype)
     if fam in ("integer", "number"):
-        return nullified(c, dtype).cast("double")
+        return f"CAST({nullified(x, dtype)} AS DOUBLE)"
     if fam == "boolean":
-        return c.cast("double")
+        return f"CAST({x} AS DOUBLE)"
     if fam == "text":
-        return num_from_text(c)
-    return F.lit(None).cast("double")
+        return num_from_text(x)
+    return "CAST(NULL AS DOUBLE)"
 
 
-def as_timestamp(c: Column, dtype: T.DataType) -> Column:
+def as_timestamp(x: str, dtype: T.DataType) -> str:
     """Timestamp coercion used by freshness and datetime min/max."""
     fam = family(dtype)
-    if fam == "datetime":
-        return c.cast("timestamp_ntz")
-    if fam == "date":
-        return c.cast("timestamp_ntz")
+    if fam in ("datetime", "date"):
+        return f"CAST({x} AS TIMESTAMP_NTZ)"
     if fam == "text":
-        return ts_from_text(c)
-    return F.lit(None).cast("timestamp_ntz")
+        return text_ts(x)
+    return "CAST(NULL AS TIMESTAMP_NTZ)"
 
 
-def iso_text(ts: Column) -> Column:
+def iso_text(ts: str) -> str:
     """``Timestamp.isoformat()``: seconds, plus microseconds only when non-zero."""
-    frac = F.date_format(ts, "SSSSSS")
-    return F.when(
-        ts.isNotNull(),
-        F.concat(
-            F.date_format(ts, ISO_SECONDS),
-            F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")),
-        ),
-    )
+    frac = f"date_format({ts}, 'SSSSSS')"
+    return (f"(CASE WHEN {ts} IS NOT NULL THEN concat(date_format({ts}, {lit(ISO_SECONDS)}), "
+            f"CASE WHEN {frac} <> '000000' THEN concat('.', {frac}) ELSE '' END) END)")
 
 
-def string_form(c: Column, dtype: T.DataType) -> Column:
+def string_form(x: str, dtype: T.DataType) -> str:
     """Text a rule sees for pattern and length checks (Spark's cast)."""
     if isinstance(dtype, T.StringType):
-        return c
-    return nullified(c, dtype).cast("string")
+        return x
+    return f"CAST({nullified(x, dtype)} AS STRING)"
 
 
-def value_text(c: Column, dtype: T.DataType) -> Column:
+def value_text(x: str, dtype: T.DataType) -> str:
     """Canonical text of a value for frequency tables (top values, samples)."""
     fam = family(dtype)
     if fam in ("datetime", "date"):
-        return iso_text(c.cast("timestamp_ntz"))
+        return iso_text(f"CAST({x} AS TIMESTAMP_NTZ)")
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        v = nullified(c, dtype)
-        return F.when(v == 0, F.lit(0.0)).otherwise(v).cast("string")
+        v = nullified(x, dtype)
+        return f"CAST(CASE WHEN {v} = 0 THEN 0.0D ELSE {v} END AS STRING)"
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(c)
-    return c.cast("string")
+        return f"to_json({x})"
+    return f"CAST({x} AS STRING)"
 
 
-def observed_type_expr(non_null: Column, b: Column, i: Column, f: Column, d: Column, t: Column) -> Column:
+def observed_type_expr(n: str, b: str, i: str, f: str, d: str, t: str) -> str:
     """The ladder over text counters: every non-null value must parse."""
-    return (
-        F.when(non_null == 0, F.lit(EMPTY))
-        .when(b == non_null, F.lit("boolean"))
-        .when(i == non_null, F.lit("integer"))
-        .when(f == non_null, F.lit("number"))
-        .when(d == non_null, F.when(t > 0, F.lit("datetime")).otherwise(F.lit("date")))
-        .otherwise(F.lit("string"))
-    )
+    return (f"(CASE WHEN {n} = 0 THEN '{EMPTY}' WHEN {b} = {n} THEN 'boolean' "
+            f"WHEN {i} = {n} THEN 'integer' WHEN {f} = {n} THEN 'number' "
+            f"WHEN {d} = {n} THEN (CASE WHEN {t} > 0 THEN 'datetime' ELSE 'date' END) ELSE 'string' END)")
 
 
 def native_observed_type(dtype: T.DataType) -> str | None:
@@ -177,40 +196,32 @@ def native_observed_type(dtype: T.DataType) -> str | None:
     return fam
 
 
-def text_ts(c: Column) -> Column:
-    """``ts_from_text`` behind a cheap first-character guard (every layout starts with a digit)."""
-    first = F.substring(trimmed(c), 1, 1)
-    return F.when((first >= F.lit("0")) & (first <= F.lit("9")), ts_from_text(c))
-
-
-def text_code(c: Column, ts: Column) -> Column:
+def text_code(v: str, ts: str) -> str:
     """Most specific ladder rung one text value satisfies, as a one-letter code:
     b(oolean) i(nteger) f(loat) d(ate) t(ime-of-day datetime) s(tring).
 
     The rungs are disjoint except integer within number, so counting codes
     gives every ladder counter from one per-row evaluation.  ``ts`` is the
-    value's parsed timestamp, computed once by the caller's projection.
+    value's parsed timestamp, computed once by an earlier projection; the
+    numeric regexes run only when the first character can start a number.
     """
-    t = trimmed(c)
-    numeric_lead = F.substring(t, 1, 1).isin(*_NUM_LEADS)
-    return (
-        F.when(c.isNull(), F.lit(None).cast("string"))
-        .when(F.lower(t).isin("true", "false"), F.lit("b"))
-        .when(~numeric_lead, F.lit("s"))
-        .when(t.rlike(_INT_RE), F.lit("i"))
-        .when(t.rlike(_NUM_RE), F.lit("f"))
-        .when(ts.isNotNull(), F.when(has_time(ts), F.lit("t")).otherwise(F.lit("d")))
-        .otherwise(F.lit("s"))
-    )
-
-
-def code_counters(code: Column) -> dict[str, Column]:
+    t = trimmed(v)
+    return (f"(CASE WHEN {v} IS NULL THEN NULL "
+            f"WHEN lower({t}) IN ('true', 'false') THEN 'b' "
+            f"WHEN NOT (substring({t}, 1, 1) IN ({lits(list(NUM_LEADS))})) THEN 's' "
+            f"WHEN {t} RLIKE {lit(INT_RE)} THEN 'i' "
+            f"WHEN {t} RLIKE {lit(NUM_RE)} THEN 'f' "
+            f"WHEN {ts} IS NOT NULL THEN (CASE WHEN {has_time(ts)} THEN 't' ELSE 'd' END) "
+            f"ELSE 's' END)")
+
+
+def code_counters(code: str) -> dict[str, str]:
     """Aggregates over a ``text_code`` column, keyed by ladder counter."""
     return {
-        "n": F.count(code),
-        "b": F.count_if(code == "b"),
-        "i": F.count_if(code == "i"),
-        "f": F.count_if(code.isin("i", "f")),
-        "d": F.count_if(code.isin("d", "t")),
-        "t": F.count_if(code == "t"),
+        "n": f"count({code})",
+        "b": f"count_if({code} = 'b')",
+        "i": f"count_if({code} = 'i')",
+        "f": f"count_if({code} IN ('i', 'f'))",
+        "d": f"count_if({code} IN ('d', 't'))",
+        "t": f"count_if({code} = 't')",
     }

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepact.functions import values
-from tablepact.plans.frames import ALL, combine_slices, per_slice_agg, qcol, slice_text, with_slices
+from tablepact.functions.values import ident, lit
+from tablepact.plans.frames import ALL, combine_slices, per_slice_agg, qcol, slice_text, spread, with_slices
 
 PROFILE_STRUCT = T.StructType(
     [
@@ -41,72 +42,64 @@ PROFILE_STRUCT = T.StructType(
 )
 
 
-def _column_metrics(c: str, i: int, dtype: T.DataType) -> tuple[dict, dict, dict[str, Column], Column]:
-    """Per-row features (two stages), aggregates and the struct reading them back."""
-    x = qcol(c)
+def _column_metrics(c: str, i: int, dtype: T.DataType) -> tuple[dict, dict, dict[str, str], str]:
+    """Per-row features (two stages), aggregates and the struct reading them
+    back, all as SQL text."""
+    x = ident(c)
     fam = values.family(dtype)
-    f1: dict[str, Column] = {f"v_{i}": values.nullified(x, dtype)}
-    f2: dict[str, Column] = {}
-    v = F.col(f"v_{i}")
-    aggs: dict[str, Column] = {f"nn_{i}": F.count(v)}
-    n = F.col(f"nn_{i}")
+    v, ts, n = ident(f"v_{i}"), ident(f"ts_{i}"), ident(f"nn_{i}")
+    f1: dict[str, str] = {f"v_{i}": values.nullified(x, dtype)}
+    f2: dict[str, str] = {}
+    aggs: dict[str, str] = {f"nn_{i}": f"count({v})"}
     native = values.native_observed_type(dtype)
-    if fam == "text":
-        f1[f"ts_{i}"] = values.text_ts(x)
-    elif fam in ("date", "datetime"):
+    if fam in ("text", "date", "datetime"):
         f1[f"ts_{i}"] = values.as_timestamp(x, dtype)
     if native is None:
-        f2[f"code_{i}"] = values.text_code(v, F.col(f"ts_{i}"))
-        for k, agg in values.code_counters(F.col(f"code_{i}")).items():
+        f2[f"code_{i}"] = values.text_code(v, ts)
+        for k, agg in values.code_counters(ident(f"code_{i}")).items():
             if k != "n":
                 aggs[f"{k}_{i}"] = agg
-        observed = values.observed_type_expr(n, *[F.col(f"{p}_{i}") for p in "bifdt"])
+        observed = values.observed_type_expr(n, *[ident(f"{p}_{i}") for p in "bifdt"])
     else:
-        observed = F.when(n == 0, F.lit(values.EMPTY)).otherwise(F.lit(native))
-    numeric = F.lit(None).cast("double"), F.lit(None).cast("double")
+        observed = f"(CASE WHEN {n} = 0 THEN '{values.EMPTY}' ELSE '{native}' END)"
+    numeric = ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
     if fam in ("integer", "number", "text"):
         f1[f"num_{i}"] = values.as_number(x, dtype)
-        aggs.update({f"nmin_{i}": F.min(f"num_{i}"), f"nmax_{i}": F.max(f"num_{i}")})
-        is_num = observed.isin("integer", "number")
-        numeric = F.when(is_num, F.col(f"nmin_{i}")), F.when(is_num, F.col(f"nmax_{i}"))
-    temporal = F.lit(None).cast("string"), F.lit(None).cast("string")
+        aggs.update({f"nmin_{i}": f"min({ident(f'num_{i}')})", f"nmax_{i}": f"max({ident(f'num_{i}')})"})
+        is_num = f"{observed} IN ('integer', 'number')"
+        numeric = (f"CASE WHEN {is_num} THEN {ident(f'nmin_{i}')} END",
+                   f"CASE WHEN {is_num} THEN {ident(f'nmax_{i}')} END")
+    temporal = ("CAST(NULL AS STRING)", "CAST(NULL AS STRING)")
     if fam in ("date", "datetime", "text"):
-        aggs.update({f"tmin_{i}": F.min(f"ts_{i}"), f"tmax_{i}": F.max(f"ts_{i}")})
-        is_ts = observed.isin("date", "datetime")
-        temporal = (F.when(is_ts, values.iso_text(F.col(f"tmin_{i}"))),
-                    F.when(is_ts, values.iso_text(F.col(f"tmax_{i}"))))
-    lengths = F.lit(None).cast("int"), F.lit(None).cast("int")
+        aggs.update({f"tmin_{i}": f"min({ts})", f"tmax_{i}": f"max({ts})"})
+        is_ts = f"{observed} IN ('date', 'datetime')"
+        temporal = (f"CASE WHEN {is_ts} THEN {values.iso_text(ident(f'tmin_{i}'))} END",
+                    f"CASE WHEN {is_ts} THEN {values.iso_text(ident(f'tmax_{i}'))} END")
+    lengths = ("CAST(NULL AS INT)", "CAST(NULL AS INT)")
     if fam in ("text", "other"):
-        f1[f"len_{i}"] = F.char_length(values.string_form(x, dtype))
-        aggs.update({f"lmin_{i}": F.min(f"len_{i}"), f"lmax_{i}": F.max(f"len_{i}")})
-        is_str = observed == F.lit("string")
-        lengths = F.when(is_str, F.col(f"lmin_{i}")), F.when(is_str, F.col(f"lmax_{i}"))
-    rows = F.col("rows")
-    nulls = rows - n
-    struct = F.struct(
-        F.lit(c).alias("column"),
-        F.lit(i).alias("position"),
-        F.lit(dtype.simpleString()).alias("physical_type"),
-        observed.alias("observed_type"),
-        rows.alias("row_count"),
-        nulls.alias("null_count"),
-        F.when(rows > 0, F.bround(nulls * 100.0 / rows, 2)).otherwise(F.lit(0.0)).alias("null_percentage"),
-        n.alias("non_null_count"),
-        numeric[0].alias("numeric_min"),
-        numeric[1].alias("numeric_max"),
-        temporal[0].alias("datetime_min"),
-        temporal[1].alias("datetime_max"),
-        lengths[0].alias("string_min_length"),
-        lengths[1].alias("string_max_length"),
-    ).cast(PROFILE_STRUCT)
+        f1[f"len_{i}"] = f"char_length({values.string_form(x, dtype)})"
+        aggs.update({f"lmin_{i}": f"min({ident(f'len_{i}')})", f"lmax_{i}": f"max({ident(f'len_{i}')})"})
+        is_str = f"{observed} = 'string'"
+        lengths = (f"CASE WHEN {is_str} THEN {ident(f'lmin_{i}')} END",
+                   f"CASE WHEN {is_str} THEN {ident(f'lmax_{i}')} END")
+    rows = ident("rows")
+    struct = (
+        f"CAST(named_struct('column', {lit(c)}, 'position', {i}, 'physical_type', {lit(dtype.simpleString())}, "
+        f"'observed_type', {observed}, 'row_count', {rows}, 'null_count', {rows} - {n}, "
+        f"'null_percentage', CASE WHEN {rows} > 0 THEN bround(({rows} - {n}) * 100.0D / {rows}, 2) ELSE 0.0D END, "
+        f"'non_null_count', {n}, 'numeric_min', {numeric[0]}, 'numeric_max', {numeric[1]}, "
+        f"'datetime_min', {temporal[0]}, 'datetime_max', {temporal[1]}, "
+        f"'string_min_length', {lengths[0]}, 'string_max_length', {lengths[1]}) AS {PROFILE_STRUCT.simpleString()})"
+    )
     return f1, f2, aggs, struct
 
 
 def frequencies(data: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``(slice keys, column, value, count)`` over non-null canonical values."""
     types = {f.name: f.dataType for f in data.schema.fields}
-    pairs = [F.struct(F.lit(c).alias("column"), values.value_text(qcol(c), types[c]).alias("value")) for c in columns]
-    long = data.select(*[qcol(k) for k in keys], F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+    pairs = ", ".join(f"named_struct('column', {lit(c)}, 'value', {values.value_text(ident(c), types[c])})"
+                      for c in columns)
+    long = data.select(*[qcol(k) for k in keys], F.expr(f"inline(array({pairs}))")).where("value IS NOT NULL")
     return long.groupBy(*[qcol(k) for k in keys], "column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -138,11 +131,11 @@ def profile(
     """
     cols = list(columns) if columns is not None else list(df.columns)
     freq_cols = cols if frequency_columns is None else [c for c in frequency_columns if c in cols]
-    data, keys = with_slices(df, by)
+    data, keys = with_slices(spread(df), by)
     types = {f.name: f.dataType for f in df.schema.fields}
-    aggs: dict[str, Column] = {"rows": F.count(F.lit(1))}
-    stage1: dict[str, Column] = {}
-    stage2: dict[str, Column] = {}
+    aggs: dict[str, str] = {"rows": "count(1)"}
+    stage1: dict[str, str] = {}
+    stage2: dict[str, str] = {}
     structs = []
     for c in cols:
         f1, f2, a, st = _column_metrics(c, df.columns.index(c), types[c])
@@ -151,7 +144,7 @@ def profile(
         aggs.update(a)
         structs.append(st)
     metrics = per_slice_agg(data, keys, aggs, [stage1, stage2])
-    out = metrics.select(*[qcol(k) for k in keys], F.inline(F.array(*structs)))
+    out = metrics.select(*[qcol(k) for k in keys], F.expr("inline(array(" + ", ".join(structs) + "))"))
     if freq_cols:
         freq = frequencies(data, keys, freq_cols)
         distinct = freq.groupBy(*[qcol(k) for k in keys], "column").agg(F.count(F.lit(1)).alias("distinct_count"))

@@ -15,6 +15,11 @@ ALL = "_all"
 MAX_AGGS_PER_PASS = 250
 
 
+def as_column(c: Column | str) -> Column:
+    """A Column, or SQL expression text parsed once."""
+    return F.expr(c) if isinstance(c, str) else c
+
+
 def qcol(name: str) -> Column:
     """Column by exact name (dots, spaces and backticks are not syntax)."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -42,8 +47,8 @@ def slice_text(keys: Sequence[str]) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def per_slice_agg(data: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
-                  features: Sequence[Mapping[str, Column]] = ()) -> DataFrame:
+def per_slice_agg(data: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | str],
+                  features: Sequence[Mapping[str, Column | str]] = ()) -> DataFrame:
     """One fused aggregate pass per slice (global aggregate when unsliced).
 
     ``features`` are stages of per-row columns (parsed numbers, timestamps,
@@ -59,9 +64,9 @@ def per_slice_agg(data: DataFrame, keys: Sequence[str], aggs: Mapping[str, Colum
         if not stage:
             continue
         data = data.select(*[qcol(k) for k in keys], *[qcol(n) for n in done],
-                           *[c.alias(n) for n, c in stage.items()])
+                           *[as_column(c).alias(n) for n, c in stage.items()])
         done += list(stage)
-    named = [c.alias(n) for n, c in aggs.items()] or [F.count(F.lit(1)).alias("__rows")]
+    named = [as_column(c).alias(n) for n, c in aggs.items()] or [F.count(F.lit(1)).alias("__rows")]
     chunks = [named[i : i + MAX_AGGS_PER_PASS] for i in range(0, len(named), MAX_AGGS_PER_PASS)]
     parts = []
     for chunk in chunks:
@@ -88,3 +93,18 @@ def combine_slices(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame
     values = [c for c in merged.columns if c not in keys]
     return merged.groupBy(*[qcol(k) for k in keys]).agg(
         *[F.first(qcol(c), ignorenulls=True).alias(c) for c in values])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an under-partitioned input over the cluster's cores.
+
+    A scan with fewer partitions than the default parallelism (one small
+    file, one row group) would run every per-row parse in a single task.
+    Such an input is round-robin repartitioned once; jobs reading it share
+    that exchange.  Any input already split at least that finely (every
+    large table) is returned untouched: no extra shuffle at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

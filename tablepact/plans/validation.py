@@ -2,27 +2,35 @@
 
 Plan of one ``validate`` call (every job reads only the columns it needs):
 
-* job A - one fused aggregate per slice: null counts, type-ladder counters,
-  failed counts of allowed-value / pattern / length / range rules, max
-  timestamps for freshness, the row count.  Partial aggregation on every
-  task, one tiny shuffle per slice.
+* job A - one fused aggregate per slice over a projection of per-row
+  features (parsed numbers, timestamps, lengths, type codes, failure flags,
+  each computed once per row): null counts, type-ladder counters, failed
+  counts of allowed-value / pattern / length / range rules, max timestamps
+  for freshness, the row count.  Partial aggregation on every task, one
+  tiny shuffle.
 * job B - one pass over the rows that fail an allowed-value or pattern rule:
   ``(slice, rule, value) -> count`` (map-side combined, so a hot value costs
-  one row per task), then a per-(slice, rule) top-k with a partial window
-  group limit before the exchange.
+  one row per task), then a per-(slice, rule) top-k whose ``row_number``
+  filter becomes a partial window-group limit before the exchange.
 * job C - one ``groupBy(slice + key)`` per uniqueness rule; duplicate stats by
   aggregation, sample keys by the same top-k pattern.
 
-Side tables have at most one row per slice; they are joined to the metrics
-row on the slice key and every finding is emitted by one ``inline`` of an
-array of structs, filtered on its firing condition.  Schema-level findings
-(missing / unexpected columns, skipped rules) need no data and come from the
-rules and the schema alone.
+Each side table has at most one row per slice.  They are merged with the
+metrics row by a union and one grouped ``first`` (no join), and every
+finding is emitted by a single ``inline`` of an array of structs, filtered
+on its firing condition.  Schema-level findings (missing / unexpected
+columns, skipped rules) need no data: they come from the rules and the
+schema alone.
+
+Expressions are assembled as SQL text and parsed once each (``F.expr``):
+a rule set is a few hundred expressions, and text keeps plan construction
+to one JVM round-trip per expression.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -31,7 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepact.functions import patterns, values
-from tablepact.plans.frames import ALL, combine_slices, per_slice_agg, qcol, slice_text, with_slices
+from tablepact.functions.values import ident, lit
+from tablepact.plans.frames import ALL, combine_slices, per_slice_agg, qcol, slice_text, spread, with_slices
 from tablepact.plans.vocabulary import COMPATIBLE_TYPES, MESSAGES
 
 FINDINGS_SCHEMA = (
@@ -46,23 +55,10 @@ RUNS_SCHEMA = (
 # A contract is metadata; more rules than this is a mistake, not a workload.
 MAX_RULES = 20_000
 SEQ_STRIDE = 1_000_000
-_JSON = {"ignoreNullFields": "false"}
-
-_EMIT_TYPE = T.StructType(
-    [
-        T.StructField("seq", T.IntegerType()),
-        T.StructField("finding_id", T.StringType()),
-        T.StructField("rule_type", T.StringType()),
-        T.StructField("column", T.StringType()),
-        T.StructField("columns", T.ArrayType(T.StringType())),
-        T.StructField("severity", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("message", T.StringType()),
-        T.StructField("evidence", T.StringType()),
-        T.StructField("suggested_action", T.StringType()),
-        T.StructField("fires", T.BooleanType()),
-    ]
-)
+_EMIT_TYPE = ("struct<seq:int,finding_id:string,rule_type:string,column:string,columns:array<string>,"
+              "severity:string,status:string,message:string,evidence:string,suggested_action:string,"
+              "fires:boolean>")
+_NO_NULL_DROP = "map('ignoreNullFields', 'false')"
 
 
 @dataclass
@@ -83,16 +79,18 @@ def _texts(rule_type: str, status: str, **kw) -> tuple[str, str]:
     return msg.format(**kw), action.format(**kw)
 
 
-def _evidence(*fields: Column) -> Column:
-    return F.to_json(F.struct(*fields), _JSON)
+def _evidence(**fields: str) -> str:
+    """JSON text of an evidence object (key order kept, nulls kept)."""
+    body = ", ".join(f"{lit(k)}, {v}" for k, v in fields.items())
+    return f"to_json(named_struct({body}), {_NO_NULL_DROP})"
 
 
-def _lit_array(items: Sequence[str]) -> Column:
-    return F.array(*[F.lit(x) for x in items]).cast("array<string>")
+def _str_array(items: Sequence[str]) -> str:
+    return f"CAST(array({values.lits(list(items))}) AS ARRAY<STRING>)"
 
 
 class _Compiler:
-    """Collects aggregates, side jobs and emitted structs for one contract."""
+    """Collects aggregates, per-row features, side jobs and emitted structs."""
 
     def __init__(self, data: DataFrame, keys: list[str], dataset_columns: list[str], schema: T.StructType,
                  reference_date: _dt.date, max_examples: int):
@@ -102,80 +100,69 @@ class _Compiler:
         self.types = {f.name: f.dataType for f in schema.fields}
         self.ref = reference_date
         self.k = max_examples
-        self.aggs: dict[str, Column] = {"rows": F.count(F.lit(1))}
-        # per-row columns, computed once below the aggregate (stage 2 may read stage 1)
-        self.features: dict[str, Column] = {}
-        self.features2: dict[str, Column] = {}
-        self.structs: list[Column] = []
+        self.aggs: dict[str, str] = {"rows": "count(1)"}
+        # per-row columns computed once below the aggregate (stage 2 may read stage 1)
+        self.features: dict[str, str] = {}
+        self.features2: dict[str, str] = {}
+        self.structs: list[str] = []
         self.static: list[dict] = []
-        self.sample_rules: list[tuple[int, Column, Column, bool]] = []  # key, fails, text, by_count
+        self.sample_rules: list[tuple[int, str, str, bool]] = []  # key, fails, text, by_count
         self.uniq_rules: list[tuple[int, list[str]]] = []
 
-    # -- shared metrics ---------------------------------------------------
+    # -- shared metrics and features ---------------------------------------------
     def _idx(self, c: str) -> int:
         return self.columns.index(c)
 
-    def metric(self, name: str, expr: Column) -> Column:
-        self.aggs.setdefault(name, expr)
-        return F.col(name)
+    def metric(self, name: str, sql: str) -> str:
+        self.aggs.setdefault(name, sql)
+        return ident(name)
 
-    def feature(self, name: str, expr: Column, stage: int = 1) -> Column:
-        (self.features if stage == 1 else self.features2).setdefault(name, expr)
-        return F.col(name)
+    def feature(self, name: str, sql: str, stage: int = 1) -> str:
+        (self.features if stage == 1 else self.features2).setdefault(name, sql)
+        return ident(name)
 
-    def value(self, c: str) -> Column:
+    def value(self, c: str) -> str:
         """The column's value under the null model (NaN is null)."""
-        return self.feature(f"v_{self._idx(c)}", values.nullified(qcol(c), self.types[c]))
+        return self.feature(f"v_{self._idx(c)}", values.nullified(ident(c), self.types[c]))
 
-    def timestamp(self, c: str) -> Column:
-        dtype = self.types[c]
-        expr = values.text_ts(qcol(c)) if values.family(dtype) == "text" else values.as_timestamp(qcol(c), dtype)
-        return self.feature(f"ts_{self._idx(c)}", expr)
+    def timestamp(self, c: str) -> str:
+        return self.feature(f"ts_{self._idx(c)}", values.as_timestamp(ident(c), self.types[c]))
 
-    def nulls(self, c: str) -> Column:
-        return self.metric(f"nulls_{self._idx(c)}", F.count_if(self.value(c).isNull()))
+    def nulls(self, c: str) -> str:
+        return self.metric(f"nulls_{self._idx(c)}", f"count_if({self.value(c)} IS NULL)")
 
-    def observed(self, c: str) -> Column:
+    def observed(self, c: str) -> str:
         dtype = self.types[c]
         i = self._idx(c)
-        n = self.metric(f"nonnull_{i}", F.count(self.value(c)))
+        n = self.metric(f"nonnull_{i}", f"count({self.value(c)})")
         native = values.native_observed_type(dtype)
         if native is not None:
-            return F.when(n == 0, F.lit(values.EMPTY)).otherwise(F.lit(native))
+            return f"(CASE WHEN {n} = 0 THEN '{values.EMPTY}' ELSE '{native}' END)"
         code = self.feature(f"code_{i}", values.text_code(self.value(c), self.timestamp(c)), stage=2)
         counters = {k: self.metric(f"type{k}_{i}", agg) for k, agg in values.code_counters(code).items()}
         return values.observed_type_expr(*[counters[k] for k in "nbifdt"])
 
-    # -- emission -----------------------------------------------------------
+    # -- emission -----------------------------------------------------------------
     def emit(self, seq: int, rule_type: str, columns: Sequence[str], column: str | None, severity: str,
-             status: str, message: Column | str, evidence: Column, action: str, fires: Column) -> None:
+             status: str, message: str, evidence: str, action: str, fires: str) -> None:
+        """``message``, ``evidence`` and ``fires`` are SQL text."""
         self.structs.append(
-            F.struct(
-                F.lit(seq).alias("seq"),
-                F.lit(finding_id(rule_type, columns)).alias("finding_id"),
-                F.lit(rule_type).alias("rule_type"),
-                F.lit(column).cast("string").alias("column"),
-                _lit_array(columns).alias("columns"),
-                F.lit(severity).alias("severity"),
-                F.lit(status).alias("status"),
-                (F.lit(message) if isinstance(message, str) else message).alias("message"),
-                evidence.alias("evidence"),
-                F.lit(action).alias("suggested_action"),
-                F.coalesce(fires, F.lit(False)).alias("fires"),
-            )
+            f"CAST(named_struct('seq', {seq}, 'finding_id', {lit(finding_id(rule_type, columns))}, "
+            f"'rule_type', {lit(rule_type)}, 'column', CAST({lit(column)} AS STRING), "
+            f"'columns', {_str_array(columns)}, 'severity', {lit(severity)}, 'status', {lit(status)}, "
+            f"'message', {message}, 'evidence', {evidence}, 'suggested_action', {lit(action)}, "
+            f"'fires', coalesce({fires}, false)) AS {_EMIT_TYPE})"
         )
 
     def static_finding(self, seq: int, rule_type: str, columns: Sequence[str], column: str | None,
                        severity: str, status: str, message: str, evidence: dict, action: str) -> None:
-        import json
-
         self.static.append(
             dict(seq=seq, finding_id=finding_id(rule_type, columns), rule_type=rule_type, column=column,
                  columns=list(columns), severity=severity, status=status, message=message,
                  evidence=json.dumps(evidence, separators=(",", ":")), suggested_action=action)
         )
 
-    # -- rules ----------------------------------------------------------------
+    # -- rules ----------------------------------------------------------------------
     def compile(self, rule: Row) -> None:
         rt = rule["rule_type"]
         cols = list(rule["columns"] or [])
@@ -204,12 +191,11 @@ class _Compiler:
             self._type(rule, seq, c, sev)
         elif rt == "nullability_violation":
             nulls = self.nulls(c)
-            rows = F.col("rows")
-            pct = F.when(rows > 0, F.bround(nulls * 100.0 / rows, 2)).otherwise(F.lit(0.0))
+            rows = ident("rows")
+            pct = f"(CASE WHEN {rows} > 0 THEN bround({nulls} * 100.0D / {rows}, 2) ELSE 0.0D END)"
             msg, act = _texts(rt, "failed", column=c)
-            self.emit(seq, rt, cols, c, sev, "failed", msg,
-                      _evidence(nulls.alias("null_count"), rows.alias("row_count"), pct.alias("null_percentage")),
-                      act, nulls > 0)
+            self.emit(seq, rt, cols, c, sev, "failed", lit(msg),
+                      _evidence(null_count=nulls, row_count=rows, null_percentage=pct), act, f"{nulls} > 0")
         elif rt == "allowed_values_violation":
             self._allowed(rule, seq, c, sev)
         elif rt == "range_violation":
@@ -225,79 +211,78 @@ class _Compiler:
         rt = "row_count_violation"
         seq = rule["rule_order"] * SEQ_STRIDE
         lo, hi = rule["min_rows"], rule["max_rows"]
-        rows = F.col("rows")
-        low = rows < F.lit(lo) if lo is not None else F.lit(False)
-        high = rows > F.lit(hi) if hi is not None else F.lit(False)
+        rows = ident("rows")
+        low = f"{rows} < {lit(lo)}" if lo is not None else "false"
+        high = f"{rows} > {lit(hi)}" if hi is not None else "false"
         msg, act = _texts(rt, "warning")
-        self.emit(seq, rt, [], None, rule["severity"], "warning", msg,
-                  _evidence(rows.alias("row_count"), F.lit(lo).cast("bigint").alias("min_allowed"),
-                            F.lit(hi).cast("bigint").alias("max_allowed")),
-                  act, low | high)
+        self.emit(seq, rt, [], None, rule["severity"], "warning", lit(msg),
+                  _evidence(row_count=rows, min_allowed=f"CAST({lit(lo)} AS BIGINT)",
+                            max_allowed=f"CAST({lit(hi)} AS BIGINT)"),
+                  act, f"({low}) OR ({high})")
 
     def _type(self, rule: Row, seq: int, c: str, sev: str) -> None:
         rt = "type_mismatch"
         expected = rule["expected_type"]
         observed = self.observed(c)
         ok = list(COMPATIBLE_TYPES.get(expected, ()))
-        fires = (observed != F.lit(values.EMPTY)) & ~observed.isin(*ok) if ok else observed != F.lit(values.EMPTY)
+        fires = f"{observed} <> '{values.EMPTY}'" + (f" AND NOT {observed} IN ({values.lits(ok)})" if ok else "")
         msg_t, act = MESSAGES[(rt, "failed")]
         before, after = msg_t.split("{observed}")
-        message = F.concat(F.lit(before.format(column=c)), observed, F.lit(after.format(expected=expected)))
+        message = f"concat({lit(before.format(column=c))}, {observed}, {lit(after.format(expected=expected))})"
         self.emit(seq, rt, [c], c, sev, "failed", message,
-                  _evidence(F.lit(expected).alias("expected_type"), observed.alias("observed_type")), act, fires)
+                  _evidence(expected_type=lit(expected), observed_type=observed), act, fires)
 
-    def _matches_allowed(self, c: str, allowed: list) -> Column:
+    def _matches_allowed(self, c: str, allowed: list) -> str:
         dtype = self.types[c]
         fam = values.family(dtype)
-        x = values.nullified(qcol(c), dtype)
+        x = values.nullified(ident(c), dtype)
         by_kind: dict[str, list[str]] = {}
         for item in allowed:
             by_kind.setdefault(item["kind"], []).append(item["value"])
         if fam in ("integer", "number"):
             nums = [float(v) for v in by_kind.get("number", [])]
-            return x.cast("double").isin(*nums) if nums else F.lit(False)
+            return f"CAST({x} AS DOUBLE) IN ({values.lits(nums)})" if nums else "false"
         if fam == "boolean":
             bools = [v.lower() == "true" for v in by_kind.get("boolean", [])]
-            return x.isin(*bools) if bools else F.lit(False)
+            return f"{x} IN ({values.lits(bools)})" if bools else "false"
         texts = by_kind.get("text", [])
         if not texts:
-            return F.lit(False)
+            return "false"
         if fam in ("date", "datetime"):
-            return values.iso_text(x.cast("timestamp_ntz")).isin(*texts)
-        return values.string_form(x, dtype).isin(*texts)
+            return f"{values.iso_text(f'CAST({x} AS TIMESTAMP_NTZ)')} IN ({values.lits(texts)})"
+        return f"{values.string_form(x, dtype)} IN ({values.lits(texts)})"
 
     def _allowed(self, rule: Row, seq: int, c: str, sev: str) -> None:
         rt = "allowed_values_violation"
         dtype = self.types[c]
-        x = values.nullified(qcol(c), dtype)
+        x = values.nullified(ident(c), dtype)
         allowed = list(rule["allowed_values"] or [])
-        fails = x.isNotNull() & ~self._matches_allowed(c, allowed)
-        failed = self.metric(f"allowed_failed_{seq}", F.count_if(self.feature(f"af_{seq}", fails)))
+        fails = f"({x} IS NOT NULL AND NOT ({self._matches_allowed(c, allowed)}))"
+        failed = self.metric(f"allowed_failed_{seq}", f"count_if({self.feature(f'af_{seq}', fails)})")
         key = len(self.sample_rules)
         self.sample_rules.append((key, fails, values.value_text(x, dtype), True))
-        top = F.col(f"samples_{key}")
-        hist = F.map_from_entries(F.transform(top, lambda e: F.struct(e["value"], e["n"])))
+        hist = f"map_from_entries(transform({ident(f'samples_{key}')}, e -> struct(e.value, e.n)))"
         msg, act = _texts(rt, "failed", column=c)
-        self.emit(seq, rt, [c], c, sev, "failed", msg,
-                  _evidence(_lit_array([a["value"] for a in allowed]).alias("allowed_values"),
-                            hist.alias("unexpected_values"), failed.alias("failed_row_count")),
-                  act, failed > 0)
+        self.emit(seq, rt, [c], c, sev, "failed", lit(msg),
+                  _evidence(allowed_values=_str_array([a["value"] for a in allowed]), unexpected_values=hist,
+                            failed_row_count=failed),
+                  act, f"{failed} > 0")
 
     def _range(self, rule: Row, seq: int, c: str, sev: str) -> None:
         rt = "range_violation"
-        num = self.feature(f"num_{self._idx(c)}", values.as_number(qcol(c), self.types[c]))
-        lo, hi = rule["min_value"], rule["max_value"]
-        below = self.metric(f"below_{seq}", F.count_if(num < F.lit(lo))) if lo is not None else F.lit(0)
-        above = self.metric(f"above_{seq}", F.count_if(num > F.lit(hi))) if hi is not None else F.lit(0)
         i = self._idx(c)
-        omin = self.metric(f"nummin_{i}", F.min(num))
-        omax = self.metric(f"nummax_{i}", F.max(num))
+        num = self.feature(f"num_{i}", values.as_number(ident(c), self.types[c]))
+        lo, hi = rule["min_value"], rule["max_value"]
+        below = self.metric(f"below_{seq}", f"count_if({num} < {lit(lo)})") if lo is not None else "0L"
+        above = self.metric(f"above_{seq}", f"count_if({num} > {lit(hi)})") if hi is not None else "0L"
+        omin = self.metric(f"nummin_{i}", f"min({num})")
+        omax = self.metric(f"nummax_{i}", f"max({num})")
         msg, act = _texts(rt, "failed", column=c)
-        self.emit(seq, rt, [c], c, sev, "failed", msg,
-                  _evidence(F.lit(lo).cast("double").alias("min_allowed"), F.lit(hi).cast("double").alias("max_allowed"),
-                            omin.alias("observed_min"), omax.alias("observed_max"),
-                            below.cast("bigint").alias("below_min_count"), above.cast("bigint").alias("above_max_count")),
-                  act, (below > 0) | (above > 0))
+        self.emit(seq, rt, [c], c, sev, "failed", lit(msg),
+                  _evidence(min_allowed=f"CAST({lit(lo)} AS DOUBLE)", max_allowed=f"CAST({lit(hi)} AS DOUBLE)",
+                            observed_min=omin, observed_max=omax, below_min_count=f"CAST({below} AS BIGINT)",
+                            above_max_count=f"CAST({above} AS BIGINT)"),
+                  act, f"{below} > 0 OR {above} > 0")
 
     def _pattern(self, rule: Row, seq: int, c: str, sev: str) -> None:
         rt = "pattern_violation"
@@ -308,51 +293,50 @@ class _Compiler:
             self.static_finding(seq, rt, [c], c, sev, "skipped", msg, {"pattern": pattern, "error": err}, act)
             return
         dtype = self.types[c]
-        x = values.nullified(qcol(c), dtype)
-        text = values.string_form(qcol(c), dtype)
-        fails = x.isNotNull() & ~patterns.full_match(text, pattern)
-        failed = self.metric(f"pattern_failed_{seq}", F.count_if(self.feature(f"pf_{seq}", fails)))
+        x = values.nullified(ident(c), dtype)
+        text = values.string_form(ident(c), dtype)
+        fails = f"({x} IS NOT NULL AND NOT {patterns.full_match(text, pattern)})"
+        failed = self.metric(f"pattern_failed_{seq}", f"count_if({self.feature(f'pf_{seq}', fails)})")
         key = len(self.sample_rules)
         self.sample_rules.append((key, fails, text, False))
-        top = F.col(f"samples_{key}")
         k = self.k
-        sample = F.slice(F.flatten(F.transform(top, lambda e: F.array_repeat(e["value"], F.least(e["n"], F.lit(k)).cast("int")))), 1, k)
+        sample = (f"coalesce(slice(flatten(transform({ident(f'samples_{key}')}, "
+                  f"e -> array_repeat(e.value, CAST(least(e.n, {k}) AS INT)))), 1, {k}), CAST(array() AS ARRAY<STRING>))")
         msg, act = _texts(rt, "warning", column=c)
-        self.emit(seq, rt, [c], c, sev, "warning", msg,
-                  _evidence(F.lit(pattern).alias("pattern"), failed.alias("failed_row_count"),
-                            F.coalesce(sample, F.array().cast("array<string>")).alias("sample_failed_values")),
-                  act, failed > 0)
+        self.emit(seq, rt, [c], c, sev, "warning", lit(msg),
+                  _evidence(pattern=lit(pattern), failed_row_count=failed, sample_failed_values=sample),
+                  act, f"{failed} > 0")
 
     def _length(self, rule: Row, seq: int, c: str, sev: str) -> None:
         rt = "length_violation"
-        dtype = self.types[c]
         i = self._idx(c)
-        length = self.feature(f"len_{i}", F.char_length(values.string_form(qcol(c), dtype)))
+        length = self.feature(f"len_{i}", f"char_length({values.string_form(ident(c), self.types[c])})")
         lo, hi = rule["min_length"], rule["max_length"]
-        short = self.metric(f"short_{seq}", F.count_if(length < F.lit(lo))) if lo is not None else F.lit(0)
-        long_ = self.metric(f"long_{seq}", F.count_if(length > F.lit(hi))) if hi is not None else F.lit(0)
-        omin = self.metric(f"lenmin_{i}", F.min(length))
-        omax = self.metric(f"lenmax_{i}", F.max(length))
+        short = self.metric(f"short_{seq}", f"count_if({length} < {lit(lo)})") if lo is not None else "0L"
+        long_ = self.metric(f"long_{seq}", f"count_if({length} > {lit(hi)})") if hi is not None else "0L"
+        omin = self.metric(f"lenmin_{i}", f"min({length})")
+        omax = self.metric(f"lenmax_{i}", f"max({length})")
         msg, act = _texts(rt, "failed", column=c)
-        self.emit(seq, rt, [c], c, sev, "failed", msg,
-                  _evidence(F.lit(lo).cast("int").alias("min_length"), F.lit(hi).cast("int").alias("max_length"),
-                            omin.alias("observed_min_length"), omax.alias("observed_max_length"),
-                            short.cast("bigint").alias("too_short_count"), long_.cast("bigint").alias("too_long_count")),
-                  act, (short > 0) | (long_ > 0))
+        self.emit(seq, rt, [c], c, sev, "failed", lit(msg),
+                  _evidence(min_length=f"CAST({lit(lo)} AS INT)", max_length=f"CAST({lit(hi)} AS INT)",
+                            observed_min_length=omin, observed_max_length=omax,
+                            too_short_count=f"CAST({short} AS BIGINT)", too_long_count=f"CAST({long_} AS BIGINT)"),
+                  act, f"{short} > 0 OR {long_} > 0")
 
     def _freshness(self, rule: Row, seq: int, c: str, sev: str) -> None:
         rt = "freshness_violation"
         i = self._idx(c)
-        latest = self.metric(f"tsmax_{i}", F.max(self.timestamp(c)))
+        latest = self.metric(f"tsmax_{i}", f"max({self.timestamp(c)})")
         max_age = rule["max_age_days"]
-        ref = F.lit(self.ref)
-        age = F.datediff(ref, F.to_date(latest))
-        ev = _evidence(values.iso_text(latest).alias("latest_value"), F.lit(self.ref.isoformat()).alias("reference_date"),
-                       F.lit(max_age).cast("int").alias("max_age_days"), age.alias("observed_age_days"))
+        ref = f"DATE {lit(self.ref.isoformat())}"
+        age = f"datediff({ref}, to_date({latest}))"
+        ev = _evidence(latest_value=values.iso_text(latest), reference_date=lit(self.ref.isoformat()),
+                       max_age_days=f"CAST({lit(max_age)} AS INT)", observed_age_days=age)
         msg, act = _texts(rt, "skipped", column=c)
-        self.emit(seq, rt, [c], c, sev, "skipped", msg, ev, act, latest.isNull())
+        self.emit(seq, rt, [c], c, sev, "skipped", lit(msg), ev, act, f"{latest} IS NULL")
         msg, act = _texts(rt, "warning", column=c)
-        self.emit(seq, rt, [c], c, sev, "warning", msg, ev, act, latest.isNotNull() & (age > F.lit(max_age)))
+        self.emit(seq, rt, [c], c, sev, "warning", lit(msg), ev, act,
+                  f"{latest} IS NOT NULL AND {age} > {lit(max_age)}")
 
     def _uniqueness(self, rule: Row, seq: int, cols: list[str], sev: str) -> None:
         rt = "uniqueness_violation"
@@ -366,53 +350,51 @@ class _Compiler:
             return
         j = len(self.uniq_rules)
         self.uniq_rules.append((j, cols))
-        dk, dr, sj = F.col(f"dupkeys_{j}"), F.col(f"duprows_{j}"), F.col(f"dupsample_{j}")
-        head = F.to_json(
-            F.struct(F.lit(name).alias("rule_name"), _lit_array(cols).alias("checked_columns"),
-                     dk.alias("duplicate_key_count"), dr.alias("duplicate_row_count")), _JSON)
-        evidence = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"sample_duplicate_keys":'),
-                            F.coalesce(sj, F.lit("[]")), F.lit("}"))
+        dk, dr, sj = ident(f"dupkeys_{j}"), ident(f"duprows_{j}"), ident(f"dupsample_{j}")
+        head = _evidence(rule_name=lit(name), checked_columns=_str_array(cols), duplicate_key_count=dk,
+                         duplicate_row_count=dr)
+        evidence = (f"concat(regexp_replace({head}, '\\\\}}$', ''), ',\"sample_duplicate_keys\":', "
+                    f"coalesce({sj}, '[]'), '}}')")
         msg, act = _texts(rt, "failed", name=name)
-        self.emit(seq, rt, cols, column, sev, "failed", msg, evidence, act, dk > 0)
+        self.emit(seq, rt, cols, column, sev, "failed", lit(msg), evidence, act, f"{dk} > 0")
 
-    # -- side jobs ------------------------------------------------------------
+    # -- side jobs ------------------------------------------------------------------
     def sample_table(self) -> DataFrame | None:
         """Job B: (slice, rule, value) counts of failing rows, top-k per rule."""
         if not self.sample_rules:
             return None
-        keys = self.keys
-        entries = [F.when(fails, F.struct(F.lit(key).alias("rule"), text.alias("value"))) for key, fails, text, _ in self.sample_rules]
+        keys = [qcol(k) for k in self.keys]
+        entries = ", ".join(f"CASE WHEN {fails} THEN named_struct('rule', {key}, 'value', {text}) END"
+                            for key, fails, text, _ in self.sample_rules)
         by_count = [key for key, _, _, bc in self.sample_rules if bc]
-        failing = self.data.select(*[qcol(k) for k in keys],
-                                   F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("f"))
-        counts = failing.groupBy(*[qcol(k) for k in keys], F.col("f.rule").alias("rule"),
-                                 F.col("f.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        order = F.when(F.col("rule").isin(*by_count), -F.col("n")).otherwise(F.lit(0)) if by_count else F.lit(0)
-        w = Window.partitionBy(*[qcol(k) for k in keys], F.col("rule")).orderBy(order, F.col("value"))
+        failing = self.data.select(*keys, F.expr(f"explode(filter(array({entries}), e -> e IS NOT NULL)) AS f"))
+        counts = failing.groupBy(*keys, F.col("f.rule").alias("rule"), F.col("f.value").alias("value")).agg(
+            F.count(F.lit(1)).alias("n"))
+        order = F.expr(f"CASE WHEN rule IN ({values.lits(by_count)}) THEN -n ELSE 0L END") if by_count else F.lit(0)
+        w = Window.partitionBy(*keys, F.col("rule")).orderBy(order, F.col("value"))
         top = counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= self.k)
-        entry = F.struct("rn", "value", "n")
-        return top.groupBy(*[qcol(k) for k in keys]).agg(
-            *[F.array_sort(F.collect_list(F.when(F.col("rule") == key, entry))).alias(f"samples_{key}")
-              for key, _, _, _ in self.sample_rules])
+        return top.groupBy(*keys).agg(*[
+            F.expr(f"array_sort(collect_list(CASE WHEN rule = {key} THEN struct(rn, value, n) END))")
+            .alias(f"samples_{key}") for key, _, _, _ in self.sample_rules])
 
     def uniqueness_tables(self) -> list[DataFrame]:
         """Job C: duplicate keys per uniqueness rule and slice."""
         out = []
-        keys = self.keys
+        keys = [qcol(k) for k in self.keys]
         for j, cols in self.uniq_rules:
-            group = [qcol(k) for k in keys] + [qcol(c) for c in cols if c not in keys]
+            group = keys + [qcol(c) for c in cols if c not in self.keys]
             dups = self.data.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
-            stats = dups.groupBy(*[qcol(k) for k in keys]).agg(
-                F.count(F.lit(1)).alias(f"dupkeys_{j}"), F.sum("__n").alias(f"duprows_{j}"))
-            w = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(*[qcol(c).asc_nulls_first() for c in cols])
+            stats = dups.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"dupkeys_{j}"),
+                                            F.sum("__n").alias(f"duprows_{j}"))
+            w = Window.partitionBy(*keys).orderBy(*[qcol(c).asc_nulls_first() for c in cols])
+            key_struct = "struct(" + ", ".join(ident(c) for c in cols) + ")"
             samples = (
                 dups.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= self.k)
-                .groupBy(*[qcol(k) for k in keys])
-                .agg(F.array_sort(F.collect_list(F.struct(F.col("__rn"), F.struct(*[qcol(c) for c in cols]).alias("key")))).alias("__s"))
-                .select(*[qcol(k) for k in keys],
-                        F.to_json(F.transform("__s", lambda e: e["key"])).alias(f"dupsample_{j}"))
+                .groupBy(*keys)
+                .agg(F.expr(f"to_json(transform(array_sort(collect_list(struct(__rn, {key_struct} AS key))), "
+                            f"e -> e.key))").alias(f"dupsample_{j}"))
             )
-            out.append(combine_slices([stats, samples], keys))
+            out.append(combine_slices([stats, samples], self.keys))
         return out
 
 
@@ -456,7 +438,7 @@ def validate(
     name = rows[0]["contract_name"] if rows else (contract_name or "")
     ref = reference_date or _dt.date.today()
     dataset_columns = list(df.columns)
-    data, keys = with_slices(df, by)
+    data, keys = with_slices(spread(df), by)
     comp = _Compiler(data, keys, dataset_columns, df.schema, ref, max_examples)
     for rule in rows:
         if rule["rule_type"] == "row_count_violation":
@@ -472,7 +454,7 @@ def validate(
               F.lit(dataset_name).alias("dataset_name")]
     if comp.structs:
         emitted = wide.select(*header, slice_text(keys).alias("slice"),
-                              F.inline(F.array(*[s.cast(_EMIT_TYPE) for s in comp.structs])))
+                              F.expr("inline(array(" + ", ".join(comp.structs) + "))"))
         emitted = emitted.where("fires").drop("fires")
     else:
         emitted = spark.createDataFrame([], FINDINGS_SCHEMA)

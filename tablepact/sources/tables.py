@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablepact.functions import values
-from tablepact.plans.frames import qcol
 
 # Text a CSV cell may hold that counts as a missing value.
 NA_TOKENS = (
@@ -39,8 +38,10 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, infer_typ
     if fmt != "csv":
         raise ValueError(f"unsupported format '{fmt}'")
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    cleaned = raw.select(
-        *[F.when(~qcol(c).isin(*NA_TOKENS), qcol(c)).alias(c) for c in raw.columns]
+    na = values.lits(list(NA_TOKENS))
+    cleaned = raw.selectExpr(
+        *[f"CASE WHEN {values.ident(c)} IN ({na}) THEN NULL ELSE {values.ident(c)} END AS {values.ident(c)}"
+          for c in raw.columns]
     )
     if not infer_types or not raw.columns:
         return cleaned
@@ -50,30 +51,30 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, infer_typ
 def _cast_inferred(df: DataFrame) -> DataFrame:
     counters = []
     for i, c in enumerate(df.columns):
-        x = qcol(c)
+        x = values.ident(c)
         counters += [
-            F.count(x).alias(f"n{i}"),
-            F.count_if(x.isin(*BOOL_TOKENS)).alias(f"b{i}"),
-            F.count_if(values.is_int_text(x)).alias(f"i{i}"),
-            F.count_if(values.is_num_text(x)).alias(f"f{i}"),
-            F.count(values.trimmed(x).try_cast("bigint")).alias(f"l{i}"),
+            f"count({x}) AS n{i}",
+            f"count_if({x} IN ({values.lits(list(BOOL_TOKENS))})) AS b{i}",
+            f"count_if({values.is_int_text(x)}) AS i{i}",
+            f"count_if({values.is_num_text(x)}) AS f{i}",
+            f"count(try_cast({values.trimmed(x)} AS BIGINT)) AS l{i}",
         ]
-    stats = df.agg(*counters).first()
+    stats = df.agg(*[F.expr(e) for e in counters]).first()
     out = []
     for i, c in enumerate(df.columns):
         n, b, it, f, fits = (stats[f"{p}{i}"] for p in "nbifl")
-        x = qcol(c)
+        x = values.ident(c)
         if n > 0 and b == n:
-            out.append((F.lower(x) == "true").alias(c))
+            out.append(f"lower({x}) = 'true' AS {x}")
         elif n > 0 and it == n and fits == n:
-            out.append(values.trimmed(x).try_cast("bigint").alias(c))
+            out.append(f"try_cast({values.trimmed(x)} AS BIGINT) AS {x}")
         elif n > 0 and f == n:
-            out.append(values.num_from_text(x).alias(c))
+            out.append(f"{values.num_from_text(x)} AS {x}")
         elif n == 0:
-            out.append(x.cast("double").alias(c))
+            out.append(f"CAST({x} AS DOUBLE) AS {x}")
         else:
-            out.append(x.alias(c))
-    return df.select(*out)
+            out.append(x)
+    return df.selectExpr(*out)
 
 
 def dataset_facts(df: DataFrame, dataset_name: str = "dataset") -> DataFrame:
