@@ -90,9 +90,9 @@ def combine_slices(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p, allowMissingColumns=True)
-    values = [c for c in merged.columns if c not in keys]
+    quoted = ["`" + c.replace("`", "``") + "`" for c in merged.columns if c not in keys]
     return merged.groupBy(*[qcol(k) for k in keys]).agg(
-        *[F.first(qcol(c), ignorenulls=True).alias(c) for c in values])
+        *[F.expr(f"first({q}, true) AS {q}") for q in quoted])
 
 
 def spread(df: DataFrame) -> DataFrame:

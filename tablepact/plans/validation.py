@@ -13,7 +13,11 @@ Plan of one ``validate`` call (every job reads only the columns it needs):
   one row per task), then a per-(slice, rule) top-k whose ``row_number``
   filter becomes a partial window-group limit before the exchange.
 * job C - one ``groupBy(slice + key)`` per uniqueness rule; duplicate stats by
-  aggregation, sample keys by the same top-k pattern.
+  aggregation, sample keys by the same top-k pattern.  Strings longer than
+  32 bytes are grouped on their SHA-256 digest, so checking long documents
+  for duplicates shuffles 32-byte digests, not bodies; the values of the
+  (at most k per slice) sample keys are fetched by one pre-aggregated
+  lookup.
 
 Each side table has at most one row per slice.  They are merged with the
 metrics row by a union and one grouped ``first`` (no join), and every
@@ -377,23 +381,50 @@ class _Compiler:
             F.expr(f"array_sort(collect_list(CASE WHEN rule = {key} THEN struct(rn, value, n) END))")
             .alias(f"samples_{key}") for key, _, _, _ in self.sample_rules])
 
+    def _key_part(self, c: str) -> str:
+        """Grouping key for one uniqueness column.  Strings longer than 32 bytes
+        are grouped on their SHA-256 digest (32 bytes) instead of the text, so
+        a uniqueness check on long documents shuffles digests, not bodies;
+        shorter strings and other types group on the value itself.  Equal
+        values always produce equal keys and a null stays null (nulls group
+        together)."""
+        x = ident(c)
+        if not isinstance(self.types[c], T.StringType):
+            return x
+        return (f"CASE WHEN octet_length({x}) > 32 THEN named_struct('h', unhex(sha2({x}, 256)), "
+                f"'v', CAST(NULL AS STRING)) WHEN {x} IS NOT NULL THEN named_struct('h', CAST(NULL AS BINARY), "
+                f"'v', {x}) END")
+
     def uniqueness_tables(self) -> list[DataFrame]:
         """Job C: duplicate keys per uniqueness rule and slice."""
         out = []
         keys = [qcol(k) for k in self.keys]
         for j, cols in self.uniq_rules:
-            group = keys + [qcol(c) for c in cols if c not in self.keys]
-            dups = self.data.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+            cols = [c for c in cols if c not in self.keys] or cols
+            kcols = [f"__k{n}" for n in range(len(cols))]
+            digested = any(isinstance(self.types[c], T.StringType) for c in cols)
+            keyed = self.data.select(*keys, *[F.expr(f"{self._key_part(c)} AS {kc}") for c, kc in zip(cols, kcols)])
+            dups = keyed.groupBy(*keys, *kcols).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
             stats = dups.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"dupkeys_{j}"),
                                             F.sum("__n").alias(f"duprows_{j}"))
-            w = Window.partitionBy(*keys).orderBy(*[qcol(c).asc_nulls_first() for c in cols])
-            key_struct = "struct(" + ", ".join(ident(c) for c in cols) + ")"
-            samples = (
-                dups.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= self.k)
-                .groupBy(*keys)
-                .agg(F.expr(f"to_json(transform(array_sort(collect_list(struct(__rn, {key_struct} AS key))), "
-                            f"e -> e.key))").alias(f"dupsample_{j}"))
-            )
+            w = Window.partitionBy(*keys).orderBy(*[F.col(kc).asc_nulls_first() for kc in kcols])
+            picked = dups.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= self.k).drop("__n")
+            if digested:
+                # values of the (at most k per slice) picked keys: one more scan,
+                # pre-aggregated per key before its shuffle
+                raw = self.data.select(*keys, *[F.expr(f"{self._key_part(c)} AS {kc}") for c, kc in zip(cols, kcols)],
+                                       *[qcol(c).alias(f"__raw{n}") for n, c in enumerate(cols)])
+                found = raw.join(picked.select(*self.keys, *kcols), self.keys + kcols, "left_semi") \
+                    .groupBy(*keys, *kcols).agg(*[F.first(f"__raw{n}", ignorenulls=True).alias(f"__raw{n}")
+                                                  for n in range(len(cols))])
+                picked = picked.join(found, self.keys + kcols, "left")
+                values_of = [f"__raw{n}" for n in range(len(cols))]
+            else:
+                values_of = kcols
+            key_struct = "struct(" + ", ".join(f"{ident(v)} AS {ident(c)}" for v, c in zip(values_of, cols)) + ")"
+            samples = picked.groupBy(*keys).agg(
+                F.expr(f"to_json(transform(array_sort(collect_list(struct(__rn, {key_struct} AS key))), "
+                       f"e -> e.key))").alias(f"dupsample_{j}"))
             out.append(combine_slices([stats, samples], self.keys))
         return out
 
