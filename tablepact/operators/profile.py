@@ -94,23 +94,55 @@ def _column_metrics(c: str, i: int, dtype: T.DataType) -> tuple[dict, dict, dict
     return f1, f2, aggs, struct
 
 
-def frequencies(data: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``(slice keys, column, value, count)`` over non-null canonical values."""
+# Values longer than this many bytes are counted on a 32-byte digest.
+DIGEST_OVER = 32
+
+
+def _freq_key(text: str) -> str:
+    """Grouping key of one canonical value: the value itself when short,
+    its SHA-256 digest when longer than ``DIGEST_OVER`` bytes."""
+    return (f"CASE WHEN octet_length({text}) > {DIGEST_OVER} THEN named_struct('h', unhex(sha2({text}, 256)), "
+            f"'v', CAST(NULL AS STRING)) WHEN {text} IS NOT NULL THEN named_struct('h', CAST(NULL AS BINARY), "
+            f"'v', {text}) END")
+
+
+def _long(data: DataFrame, keys: Sequence[str], columns: Sequence[str], with_value: bool) -> DataFrame:
     types = {f.name: f.dataType for f in data.schema.fields}
-    pairs = ", ".join(f"named_struct('column', {lit(c)}, 'value', {values.value_text(ident(c), types[c])})"
-                      for c in columns)
-    long = data.select(*[qcol(k) for k in keys], F.expr(f"inline(array({pairs}))")).where("value IS NOT NULL")
-    return long.groupBy(*[qcol(k) for k in keys], "column", "value").agg(F.count(F.lit(1)).alias("count"))
+    pairs = []
+    for c in columns:
+        text = values.value_text(ident(c), types[c])
+        value = f", 'value', {text}" if with_value else ""
+        pairs.append(f"named_struct('column', {lit(c)}, 'k', {_freq_key(text)}{value})")
+    return data.select(*[qcol(k) for k in keys], F.expr(f"inline(array({', '.join(pairs)}))")).where("k IS NOT NULL")
+
 
+def frequencies(data: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``(slice keys, column, k, count)`` over non-null canonical values.
+
+    One Expand over the profiled columns and a map-side-combined count.  Long
+    text (documents, pages) is grouped on its digest, so the shuffle carries
+    32 bytes per distinct value instead of the value.
+    """
+    return _long(data, keys, columns, False).groupBy(*[qcol(k) for k in keys], "column", "k").agg(
+        F.count(F.lit(1)).alias("count"))
 
-def top_k(freq: DataFrame, keys: Sequence[str], k: int, order: Sequence[Column], name: str,
-          payload: Column) -> DataFrame:
-    """First ``k`` rows per (slice, column) by ``order``, as an ordered array."""
+
+def _ranked(freq: DataFrame, keys: Sequence[str], k: int, order: Sequence[Column], tag: str) -> DataFrame:
+    """First ``k`` rows per (slice, column) by ``order`` (a partial window-group
+    limit runs before the exchange)."""
     w = Window.partitionBy(*[qcol(x) for x in keys], F.col("column")).orderBy(*order)
-    ranked = freq.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
-    return ranked.groupBy(*[qcol(x) for x in keys], "column").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col("__rn"), payload.alias("p")))),
-                    lambda e: e["p"]).alias(name))
+    return freq.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k) \
+        .withColumn("__list", F.lit(tag))
+
+
+def _with_values(data: DataFrame, keys: Sequence[str], columns: Sequence[str], picked: DataFrame) -> DataFrame:
+    """Attach the text of picked digest keys: at most (top + samples) keys per
+    column and slice are looked up, pre-aggregated per key before any shuffle."""
+    key_cols = list(keys) + ["column", "k"]
+    wanted = picked.where("k.h IS NOT NULL").select(*[qcol(c) for c in key_cols]).distinct()
+    found = _long(data, keys, columns, True).join(wanted, key_cols, "left_semi") \
+        .groupBy(*[qcol(c) for c in key_cols]).agg(F.first("value", ignorenulls=True).alias("__text"))
+    return picked.join(found, key_cols, "left").withColumn("value", F.expr("coalesce(k.v, __text)"))
 
 
 def profile(
@@ -148,10 +180,18 @@ def profile(
     if freq_cols:
         freq = frequencies(data, keys, freq_cols)
         distinct = freq.groupBy(*[qcol(k) for k in keys], "column").agg(F.count(F.lit(1)).alias("distinct_count"))
-        tops = top_k(freq, keys, top_values, [F.col("count").desc(), F.col("value").asc()], "top_values",
-                     F.struct(F.col("value"), F.col("count")))
-        samples = top_k(freq, keys, sample_values, [F.col("value").asc()], "sample_values", F.col("value"))
-        out = combine_slices([out, distinct, tops, samples], keys + ["column"])
+        picked = _ranked(freq, keys, top_values, [F.col("count").desc(), F.col("k").asc()], "top").unionByName(
+            _ranked(freq, keys, sample_values, [F.col("k").asc()], "sample"))
+        if any(isinstance(types[c], (T.StringType, T.ArrayType, T.MapType, T.StructType)) for c in freq_cols):
+            picked = _with_values(data, keys, freq_cols, picked)
+        else:
+            picked = picked.withColumn("value", F.col("k.v"))
+        lists = picked.groupBy(*[qcol(k) for k in keys], "column").agg(
+            F.expr("transform(array_sort(collect_list(CASE WHEN __list = 'top' THEN struct(__rn, "
+                   "named_struct('value', value, 'count', count) AS p) END)), e -> e.p)").alias("top_values"),
+            F.expr("transform(array_sort(collect_list(CASE WHEN __list = 'sample' THEN struct(__rn, value AS p) "
+                   "END)), e -> e.p)").alias("sample_values"))
+        out = combine_slices([out, distinct, lists], keys + ["column"])
     else:
         out = out.withColumn("distinct_count", F.lit(None).cast("bigint")) \
                  .withColumn("top_values", F.lit(None).cast("array<struct<value:string,count:bigint>>")) \

@@ -60,3 +60,12 @@ def test_profile_by_slice(spark):
 def test_summary_sorted(spark):
     df = spark.createDataFrame([(1, "a")], "z int, a string")
     assert [r["column"] for r in profile_summary(profile(df)).collect()] == ["a", "z"]
+
+
+def test_long_values_counted_on_digest_keep_text(spark):
+    long_a, long_b = "a" * 100, "b" * 50
+    df = spark.createDataFrame([(long_a,), (long_a,), (long_b,), ("short",), (None,)], "t string")
+    p = prof(df)["t"]
+    assert p["distinct_count"] == 3
+    assert p["top_values"][0]["value"] == long_a and p["top_values"][0]["count"] == 2
+    assert set(p["sample_values"]) == {long_a, long_b, "short"}

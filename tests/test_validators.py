@@ -161,3 +161,12 @@ def test_absent_columns_are_skipped_silently(spark):
     df = spark.createDataFrame([(1,)], "id int")
     doc = contract({"id": {}, "x": {"required": False, "min": 1, "pattern": "a", "allowed_values": ["a"]}})
     assert findings(spark, df, doc) == []
+
+
+def test_uniqueness_on_long_text_keys(spark):
+    doc_a, doc_b = "lorem ipsum " * 20, "dolor sit " * 20
+    df = spark.createDataFrame([(doc_a,), (doc_a,), (doc_b,), ("x",), ("x",)], "text string")
+    fs = findings(spark, df, contract({"text": {"unique": True}}))
+    ev = fs[0]["ev"]
+    assert (ev["duplicate_key_count"], ev["duplicate_row_count"]) == (2, 4)
+    assert sorted(k["text"] for k in ev["sample_duplicate_keys"]) == sorted([doc_a, "x"])
