@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablepact.plans.validation import Validation, validate
+from tablepact.session import ensure_checkpoint_dir
 from tablepact.sources.contracts import contract_rules, contracts_frame
 
 
@@ -110,42 +111,59 @@ NATION_CONTRACT = {
 }
 
 
-def run(spark: SparkSession, df: DataFrame, contract: dict, **kw) -> Validation:
-    rules = contract_rules(spark, contracts_frame(spark, [contract]))
+def run(spark: SparkSession, df: DataFrame, contract: dict | list, **kw) -> Validation:
+    """Validate against one contract document (or its already-parsed rule rows)."""
+    rules = contract if isinstance(contract, list) else contract_rules(spark, contracts_frame(spark, [contract]))
     return validate(df, rules, **kw)
 
 
-def orders_monthly(spark: SparkSession, sf_dir: str) -> Validation:
+def rules_by_contract(spark: SparkSession, docs: list[dict]) -> dict[str, list]:
+    """Parse many contract documents in one job; rule rows per contract name."""
+    out: dict[str, list] = {}
+    for r in contract_rules(spark, contracts_frame(spark, docs)).collect():
+        out.setdefault(r["contract_name"], []).append(r)
+    return out
+
+
+def orders_monthly(spark: SparkSession, sf_dir: str, rules: list | None = None) -> Validation:
     o = table(spark, sf_dir, "orders")
-    return run(spark, o, ORDERS_MONTHLY_CONTRACT, by={"month": F.date_trunc("month", "o_orderdate")},
+    return run(spark, o, rules or ORDERS_MONTHLY_CONTRACT, by={"month": F.date_trunc("month", "o_orderdate")},
                run_id="r_orders", dataset_name="orders", reference_date=ORDERS_REFERENCE_DATE)
 
 
-def lineitem_by_flag(spark: SparkSession, sf_dir: str) -> Validation:
+def lineitem_by_flag(spark: SparkSession, sf_dir: str, rules: list | None = None) -> Validation:
     li = table(spark, sf_dir, "lineitem")
-    return run(spark, li, LINEITEM_KEY_CONTRACT, by=["l_returnflag"], run_id="r_lineitem",
+    return run(spark, li, rules or LINEITEM_KEY_CONTRACT, by=["l_returnflag"], run_id="r_lineitem",
                dataset_name="lineitem", reference_date=ORDERS_REFERENCE_DATE)
 
 
-def customer_run(spark: SparkSession, sf_dir: str) -> Validation:
+def customer_run(spark: SparkSession, sf_dir: str, rules: list | None = None) -> Validation:
     c = table(spark, sf_dir, "customer")
-    return run(spark, c, CUSTOMER_CONTRACT, run_id="r_customer", dataset_name="customer",
+    return run(spark, c, rules or CUSTOMER_CONTRACT, run_id="r_customer", dataset_name="customer",
                reference_date=ORDERS_REFERENCE_DATE)
 
 
-def nation_run(spark: SparkSession, sf_dir: str) -> Validation:
+def nation_run(spark: SparkSession, sf_dir: str, rules: list | None = None) -> Validation:
     n = table(spark, sf_dir, "nation")
-    return run(spark, n, NATION_CONTRACT, run_id="r_nation", dataset_name="nation",
+    return run(spark, n, rules or NATION_CONTRACT, run_id="r_nation", dataset_name="nation",
                reference_date=ORDERS_REFERENCE_DATE)
 
 
 def triage_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Findings and runs of four validations (many keys, one clean)."""
-    runs = [orders_monthly(spark, sf_dir), lineitem_by_flag(spark, sf_dir), customer_run(spark, sf_dir),
-            nation_run(spark, sf_dir)]
+    """Findings and runs of four validations (many keys, one clean); the four
+    contracts are parsed together as one contracts table."""
+    docs = [ORDERS_MONTHLY_CONTRACT, LINEITEM_KEY_CONTRACT, CUSTOMER_CONTRACT, NATION_CONTRACT]
+    parsed = rules_by_contract(spark, docs)
+    rule_rows = [parsed[d["contract"]["name"]] for d in docs]
+    runs = [orders_monthly(spark, sf_dir, rule_rows[0]), lineitem_by_flag(spark, sf_dir, rule_rows[1]),
+            customer_run(spark, sf_dir, rule_rows[2]), nation_run(spark, sf_dir, rule_rows[3])]
     findings = runs[0].findings
     keys = runs[0].runs
     for v in runs[1:]:
         findings = findings.unionByName(v.findings)
         keys = keys.unionByName(v.runs)
-    return findings, keys
+    # The findings of a run are small and read by every triage operator:
+    # materialize them once (reliable checkpoint in spark.checkpoint.dir),
+    # as a findings history table would be.
+    ensure_checkpoint_dir(spark)
+    return findings.checkpoint(), keys.checkpoint()

@@ -95,6 +95,10 @@ def combine_slices(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame
         *[F.expr(f"first({q}, true) AS {q}") for q in quoted])
 
 
+# Inputs the optimizer estimates below this size are not worth a shuffle.
+SPREAD_MIN_BYTES = 1 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread an under-partitioned input over the cluster's cores.
 
@@ -102,9 +106,16 @@ def spread(df: DataFrame) -> DataFrame:
     file, one row group) would run every per-row parse in a single task.
     Such an input is round-robin repartitioned once; jobs reading it share
     that exchange.  Any input already split at least that finely (every
-    large table) is returned untouched: no extra shuffle at scale.
+    large table) is returned untouched: no extra shuffle at scale; so is a
+    tiny input (optimizer size estimate under 1 MiB).
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no estimate: spreading is still correct
+        size = SPREAD_MIN_BYTES
+    if size < SPREAD_MIN_BYTES:
+        return df
     return df.repartition(target)
