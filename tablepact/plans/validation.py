@@ -46,6 +46,7 @@ from tablepact.functions import patterns, values
 from tablepact.functions.values import ident, lit
 from tablepact.plans.frames import ALL, combine_slices, per_slice_agg, qcol, slice_text, spread, with_slices
 from tablepact.plans.vocabulary import COMPATIBLE_TYPES, MESSAGES
+from tablepact.session import ensure_checkpoint_dir
 
 FINDINGS_SCHEMA = (
     "run_id string, contract_name string, dataset_name string, slice string, seq int, "
@@ -63,6 +64,7 @@ _EMIT_TYPE = ("struct<seq:int,finding_id:string,rule_type:string,column:string,c
               "severity:string,status:string,message:string,evidence:string,suggested_action:string,"
               "fires:boolean>")
 _NO_NULL_DROP = "map('ignoreNullFields', 'false')"
+_SAMPLE_TYPE = "array<struct<rn:int,value:string,n:bigint>>"
 
 
 @dataclass
@@ -110,7 +112,8 @@ class _Compiler:
         self.features2: dict[str, str] = {}
         self.structs: list[str] = []
         self.static: list[dict] = []
-        self.sample_rules: list[tuple[int, str, str, bool]] = []  # key, fails, text, by_count
+        # key, fails, text, ordered by count?, name of the failed-row metric
+        self.sample_rules: list[tuple[int, str, str, bool, str]] = []
         self.uniq_rules: list[tuple[int, list[str]]] = []
 
     # -- shared metrics and features ---------------------------------------------
@@ -264,7 +267,7 @@ class _Compiler:
         fails = f"({x} IS NOT NULL AND NOT ({self._matches_allowed(c, allowed)}))"
         failed = self.metric(f"allowed_failed_{seq}", f"count_if({self.feature(f'af_{seq}', fails)})")
         key = len(self.sample_rules)
-        self.sample_rules.append((key, fails, values.value_text(x, dtype), True))
+        self.sample_rules.append((key, fails, values.value_text(x, dtype), True, f"allowed_failed_{seq}"))
         hist = f"map_from_entries(transform({ident(f'samples_{key}')}, e -> struct(e.value, e.n)))"
         msg, act = _texts(rt, "failed", column=c)
         self.emit(seq, rt, [c], c, sev, "failed", lit(msg),
@@ -302,7 +305,7 @@ class _Compiler:
         fails = f"({x} IS NOT NULL AND NOT {patterns.full_match(text, pattern)})"
         failed = self.metric(f"pattern_failed_{seq}", f"count_if({self.feature(f'pf_{seq}', fails)})")
         key = len(self.sample_rules)
-        self.sample_rules.append((key, fails, text, False))
+        self.sample_rules.append((key, fails, text, False, f"pattern_failed_{seq}"))
         k = self.k
         sample = (f"coalesce(slice(flatten(transform({ident(f'samples_{key}')}, "
                   f"e -> array_repeat(e.value, CAST(least(e.n, {k}) AS INT)))), 1, {k}), CAST(array() AS ARRAY<STRING>))")
@@ -369,8 +372,8 @@ class _Compiler:
             return None
         keys = [qcol(k) for k in self.keys]
         entries = ", ".join(f"CASE WHEN {fails} THEN named_struct('rule', {key}, 'value', {text}) END"
-                            for key, fails, text, _ in self.sample_rules)
-        by_count = [key for key, _, _, bc in self.sample_rules if bc]
+                            for key, fails, text, _, _ in self.sample_rules)
+        by_count = [key for key, _, _, bc, _ in self.sample_rules if bc]
         failing = self.data.select(*keys, F.expr(f"explode(filter(array({entries}), e -> e IS NOT NULL)) AS f"))
         counts = failing.groupBy(*keys, F.col("f.rule").alias("rule"), F.col("f.value").alias("value")).agg(
             F.count(F.lit(1)).alias("n"))
@@ -379,7 +382,7 @@ class _Compiler:
         top = counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= self.k)
         return top.groupBy(*keys).agg(*[
             F.expr(f"array_sort(collect_list(CASE WHEN rule = {key} THEN struct(rn, value, n) END))")
-            .alias(f"samples_{key}") for key, _, _, _ in self.sample_rules])
+            .alias(f"samples_{key}") for key, _, _, _, _ in self.sample_rules])
 
     def _key_part(self, c: str) -> str:
         """Grouping key for one uniqueness column.  Strings longer than 32 bytes
@@ -457,12 +460,15 @@ def validate(
     run_id: str = "run",
     dataset_name: str = "dataset",
     contract_name: str | None = None,
+    skip_clean_samples: bool = True,
 ) -> Validation:
     """Validate ``df`` against one contract's rules; returns lazy DataFrames.
 
     ``by`` slices every data rule (one metrics row per slice); schema-level
     findings belong to the whole dataset (slice '').  ``by=None`` is the
-    single-dataset run.
+    single-dataset run.  With ``skip_clean_samples`` the fused aggregate runs
+    first (its tiny result is checkpointed) and value samples are collected
+    only for rules that failed.
     """
     spark = df.sparkSession
     rows = collect_rules(rules, contract_name)
@@ -478,8 +484,20 @@ def validate(
             comp.compile(rule)
 
     metrics = per_slice_agg(data, keys, comp.aggs, [comp.features, comp.features2])
+    all_sample_keys = [r[0] for r in comp.sample_rules]
+    if comp.sample_rules and skip_clean_samples:
+        # Job A runs now; its result (one row per slice) is checkpointed and
+        # reused below.  Only rules with failing rows get a sample pass, so a
+        # clean table is scanned for samples not at all.
+        ensure_checkpoint_dir(spark)
+        metrics = metrics.checkpoint()
+        failed = metrics.agg(*[F.max(F.col(r[4])).alias(r[4]) for r in comp.sample_rules]).first()
+        comp.sample_rules = [r for r in comp.sample_rules if (failed[r[4]] or 0) > 0]
     side = comp.sample_table()
     wide = combine_slices([metrics] + ([side] if side is not None else []) + comp.uniqueness_tables(), keys)
+    missing = [k for k in all_sample_keys if f"samples_{k}" not in wide.columns]
+    if missing:
+        wide = wide.withColumns({f"samples_{k}": F.lit(None).cast(_SAMPLE_TYPE) for k in missing})
 
     header = [F.lit(run_id).alias("run_id"), F.lit(name).alias("contract_name"),
               F.lit(dataset_name).alias("dataset_name")]

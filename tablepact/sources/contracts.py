@@ -113,66 +113,24 @@ def contract_rules(spark: SparkSession, contracts: DataFrame) -> DataFrame:
     )
     col_rules = spark.sql(
         """
-        SELECT contract_name, contract_version, sev_defaults, r.*
-        FROM {cols} k LATERAL VIEW inline(array(
-          named_struct('rule_type', 'missing_required_column', 'fires', required,
-            'position', position, 'rule_name', CAST(NULL AS string), 'columns', array(column),
-            'column_severity', column_severity, 'rule_severity', CAST(NULL AS string),
-            'expected_type', expected_type, 'allowed_values', allowed_values,
-            'min_value', min_value, 'max_value', max_value, 'pattern', pattern,
-            'min_length', min_length, 'max_length', max_length, 'max_age_days', max_age_days),
-          named_struct('rule_type', 'type_mismatch', 'fires', expected_type IS NOT NULL AND expected_type <> '',
-            'position', position, 'rule_name', CAST(NULL AS string), 'columns', array(column),
-            'column_severity', column_severity, 'rule_severity', CAST(NULL AS string),
-            'expected_type', expected_type, 'allowed_values', allowed_values,
-            'min_value', min_value, 'max_value', max_value, 'pattern', pattern,
-            'min_length', min_length, 'max_length', max_length, 'max_age_days', max_age_days),
-          named_struct('rule_type', 'nullability_violation', 'fires', NOT nullable,
-            'position', position, 'rule_name', CAST(NULL AS string), 'columns', array(column),
-            'column_severity', column_severity, 'rule_severity', CAST(NULL AS string),
-            'expected_type', expected_type, 'allowed_values', allowed_values,
-            'min_value', min_value, 'max_value', max_value, 'pattern', pattern,
-            'min_length', min_length, 'max_length', max_length, 'max_age_days', max_age_days),
-          named_struct('rule_type', 'uniqueness_violation', 'fires', is_unique,
-            'position', position, 'rule_name', concat('column_unique:', column), 'columns', array(column),
-            'column_severity', column_severity, 'rule_severity', CAST(NULL AS string),
-            'expected_type', expected_type, 'allowed_values', allowed_values,
-            'min_value', min_value, 'max_value', max_value, 'pattern', pattern,
-            'min_length', min_length, 'max_length', max_length, 'max_age_days', max_age_days),
-          named_struct('rule_type', 'allowed_values_violation', 'fires', coalesce(size(allowed_values), 0) > 0,
-            'position', position, 'rule_name', CAST(NULL AS string), 'columns', array(column),
-            'column_severity', column_severity, 'rule_severity', CAST(NULL AS string),
-            'expected_type', expected_type, 'allowed_values', allowed_values,
-            'min_value', min_value, 'max_value', max_value, 'pattern', pattern,
-            'min_length', min_length, 'max_length', max_length, 'max_age_days', max_age_days),
-          named_struct('rule_type', 'range_violation', 'fires', min_value IS NOT NULL OR max_value IS NOT NULL,
-            'position', position, 'rule_name', CAST(NULL AS string), 'columns', array(column),
-            'column_severity', column_severity, 'rule_severity', CAST(NULL AS string),
-            'expected_type', expected_type, 'allowed_values', allowed_values,
-            'min_value', min_value, 'max_value', max_value, 'pattern', pattern,
-            'min_length', min_length, 'max_length', max_length, 'max_age_days', max_age_days),
-          named_struct('rule_type', 'pattern_violation', 'fires', pattern IS NOT NULL AND pattern <> '',
-            'position', position, 'rule_name', CAST(NULL AS string), 'columns', array(column),
-            'column_severity', column_severity, 'rule_severity', CAST(NULL AS string),
-            'expected_type', expected_type, 'allowed_values', allowed_values,
-            'min_value', min_value, 'max_value', max_value, 'pattern', pattern,
-            'min_length', min_length, 'max_length', max_length, 'max_age_days', max_age_days),
-          named_struct('rule_type', 'length_violation', 'fires', min_length IS NOT NULL OR max_length IS NOT NULL,
-            'position', position, 'rule_name', CAST(NULL AS string), 'columns', array(column),
-            'column_severity', column_severity, 'rule_severity', CAST(NULL AS string),
-            'expected_type', expected_type, 'allowed_values', allowed_values,
-            'min_value', min_value, 'max_value', max_value, 'pattern', pattern,
-            'min_length', min_length, 'max_length', max_length, 'max_age_days', max_age_days),
-          named_struct('rule_type', 'freshness_violation', 'fires', max_age_days IS NOT NULL,
-            'position', position, 'rule_name', CAST(NULL AS string), 'columns', array(column),
-            'column_severity', column_severity, 'rule_severity', CAST(NULL AS string),
-            'expected_type', expected_type, 'allowed_values', allowed_values,
-            'min_value', min_value, 'max_value', max_value, 'pattern', pattern,
-            'min_length', min_length, 'max_length', max_length, 'max_age_days', max_age_days)
-        )) r
+        SELECT contract_name, contract_version, sev_defaults, rule_type, position,
+          CASE WHEN rule_type = 'uniqueness_violation' THEN concat('column_unique:', column) END AS rule_name,
+          array(column) AS columns, column_severity, CAST(NULL AS string) AS rule_severity, expected_type,
+          allowed_values, min_value, max_value, pattern, min_length, max_length, max_age_days
+        FROM {cols} LATERAL VIEW explode(filter(array(
+          CASE WHEN required THEN 'missing_required_column' END,
+          CASE WHEN expected_type IS NOT NULL AND expected_type <> '' THEN 'type_mismatch' END,
+          CASE WHEN NOT nullable THEN 'nullability_violation' END,
+          CASE WHEN is_unique THEN 'uniqueness_violation' END,
+          CASE WHEN coalesce(size(allowed_values), 0) > 0 THEN 'allowed_values_violation' END,
+          CASE WHEN min_value IS NOT NULL OR max_value IS NOT NULL THEN 'range_violation' END,
+          CASE WHEN pattern IS NOT NULL AND pattern <> '' THEN 'pattern_violation' END,
+          CASE WHEN min_length IS NOT NULL OR max_length IS NOT NULL THEN 'length_violation' END,
+          CASE WHEN max_age_days IS NOT NULL THEN 'freshness_violation' END
+        ), x -> x IS NOT NULL)) r AS rule_type
         """,
         cols=cols,
-    ).where("fires").drop("fires")
+    )
 
     list_rules = spark.sql(
         f"""

@@ -29,7 +29,8 @@ def test_findings_plan_has_no_python_and_no_cross_join(spark, lineitem):
 
 
 def test_fused_aggregate_is_one_scan(spark, lineitem):
-    v = validate(lineitem, rules_of(spark, I.LINEITEM_CONTRACT), reference_date=I.ORDERS_REFERENCE_DATE)
+    v = validate(lineitem, rules_of(spark, I.LINEITEM_CONTRACT), reference_date=I.ORDERS_REFERENCE_DATE,
+                 skip_clean_samples=False)
     plan = v.metrics._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation ") == 1
     assert "l_comment" not in plan
@@ -64,3 +65,14 @@ def test_wide_rule_sets_split_into_passes(spark):
     row = per_slice_agg(df.selectExpr("*", "0 AS _all"), ["_all"], aggs).collect()[0]
     expected = {f"m{i}": sum(1 for x in range(10) if x + i % 3 > i % 10) for i in range(600)}
     assert {k: row[k] for k in expected} == expected
+
+
+def test_clean_table_gets_no_sample_pass(spark):
+    df = spark.createDataFrame([("ok",), ("ok",)], "s string")
+    doc = {"contract": {"name": "c"}, "columns": {"s": {"allowed_values": ["ok"], "pattern": "o."}}}
+    v = validate(df, rules_of(spark, doc))
+    assert v.findings.collect() == []
+    assert "Window" not in _plan(v.findings)
+    dirty = spark.createDataFrame([("ok",), ("no",)], "s string")
+    v = validate(dirty, rules_of(spark, doc))
+    assert "Window" in _plan(v.findings)
