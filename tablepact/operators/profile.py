@@ -96,6 +96,8 @@ def _column_metrics(c: str, i: int, dtype: T.DataType) -> tuple[dict, dict, dict
 
 # Values longer than this many bytes are counted on a 32-byte digest.
 DIGEST_OVER = 32
+# Largest lookup side (rows) that may be broadcast once its bound is proven.
+BROADCAST_ROWS = 100_000
 
 
 def _freq_key(text: str) -> str:
@@ -135,11 +137,16 @@ def _ranked(freq: DataFrame, keys: Sequence[str], k: int, order: Sequence[Column
         .withColumn("__list", F.lit(tag))
 
 
-def _with_values(data: DataFrame, keys: Sequence[str], columns: Sequence[str], picked: DataFrame) -> DataFrame:
+def _with_values(data: DataFrame, keys: Sequence[str], columns: Sequence[str], picked: DataFrame,
+                 bound: int | None) -> DataFrame:
     """Attach the text of picked digest keys: at most (top + samples) keys per
-    column and slice are looked up, pre-aggregated per key before any shuffle."""
+    column and slice are looked up, pre-aggregated per key before any shuffle.
+    ``bound`` is the proven maximum number of picked keys (None: unknown), and
+    the lookup side is broadcast only under that bound."""
     key_cols = list(keys) + ["column", "k"]
     wanted = picked.where("k.h IS NOT NULL").select(*[qcol(c) for c in key_cols]).distinct()
+    if bound is not None and bound <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     found = _long(data, keys, columns, True).join(wanted, key_cols, "left_semi") \
         .groupBy(*[qcol(c) for c in key_cols]).agg(F.first("value", ignorenulls=True).alias("__text"))
     return picked.join(found, key_cols, "left").withColumn("value", F.expr("coalesce(k.v, __text)"))
@@ -183,7 +190,8 @@ def profile(
         picked = _ranked(freq, keys, top_values, [F.col("count").desc(), F.col("k").asc()], "top").unionByName(
             _ranked(freq, keys, sample_values, [F.col("k").asc()], "sample"))
         if any(isinstance(types[c], (T.StringType, T.ArrayType, T.MapType, T.StructType)) for c in freq_cols):
-            picked = _with_values(data, keys, freq_cols, picked)
+            bound = (top_values + sample_values) * len(freq_cols) if keys == [ALL] else None
+            picked = _with_values(data, keys, freq_cols, picked, bound)
         else:
             picked = picked.withColumn("value", F.col("k.v"))
         lists = picked.groupBy(*[qcol(k) for k in keys], "column").agg(

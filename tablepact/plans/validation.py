@@ -59,6 +59,9 @@ RUNS_SCHEMA = (
 )
 # A contract is metadata; more rules than this is a mistake, not a workload.
 MAX_RULES = 20_000
+# Largest lookup side (rows) broadcast without further thought: sample keys
+# are at most k per slice, so the bound is checked as slices x k.
+BROADCAST_ROWS = 100_000
 SEQ_STRIDE = 1_000_000
 _EMIT_TYPE = ("struct<seq:int,finding_id:string,rule_type:string,column:string,columns:array<string>,"
               "severity:string,status:string,message:string,evidence:string,suggested_action:string,"
@@ -115,6 +118,8 @@ class _Compiler:
         # key, fails, text, ordered by count?, name of the failed-row metric
         self.sample_rules: list[tuple[int, str, str, bool, str]] = []
         self.uniq_rules: list[tuple[int, list[str]]] = []
+        # number of slices when known without a data pass (1 when unsliced)
+        self.slice_count: int | None = 1 if keys == [ALL] else None
 
     # -- shared metrics and features ---------------------------------------------
     def _idx(self, c: str) -> int:
@@ -417,7 +422,10 @@ class _Compiler:
                 # pre-aggregated per key before its shuffle
                 raw = self.data.select(*keys, *[F.expr(f"{self._key_part(c)} AS {kc}") for c, kc in zip(cols, kcols)],
                                        *[qcol(c).alias(f"__raw{n}") for n, c in enumerate(cols)])
-                found = raw.join(picked.select(*self.keys, *kcols), self.keys + kcols, "left_semi") \
+                wanted = picked.select(*self.keys, *kcols)
+                if self.slice_count is not None and self.slice_count * self.k <= BROADCAST_ROWS:
+                    wanted = F.broadcast(wanted)   # proven small: k keys x known slice count
+                found = raw.join(wanted, self.keys + kcols, "left_semi") \
                     .groupBy(*keys, *kcols).agg(*[F.first(f"__raw{n}", ignorenulls=True).alias(f"__raw{n}")
                                                   for n in range(len(cols))])
                 picked = picked.join(found, self.keys + kcols, "left")
@@ -491,8 +499,10 @@ def validate(
         # clean table is scanned for samples not at all.
         ensure_checkpoint_dir(spark)
         metrics = metrics.checkpoint()
-        failed = metrics.agg(*[F.max(F.col(r[4])).alias(r[4]) for r in comp.sample_rules]).first()
+        failed = metrics.agg(F.count(F.lit(1)).alias("__slices"),
+                             *[F.max(F.col(r[4])).alias(r[4]) for r in comp.sample_rules]).first()
         comp.sample_rules = [r for r in comp.sample_rules if (failed[r[4]] or 0) > 0]
+        comp.slice_count = failed["__slices"]
     side = comp.sample_table()
     wide = combine_slices([metrics] + ([side] if side is not None else []) + comp.uniqueness_tables(), keys)
     missing = [k for k in all_sample_keys if f"samples_{k}" not in wide.columns]
