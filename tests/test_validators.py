@@ -170,3 +170,32 @@ def test_uniqueness_on_long_text_keys(spark):
     ev = fs[0]["ev"]
     assert (ev["duplicate_key_count"], ev["duplicate_row_count"]) == (2, 4)
     assert sorted(k["text"] for k in ev["sample_duplicate_keys"]) == sorted([doc_a, "x"])
+
+
+def test_awkward_column_names(spark):
+    df = spark.createDataFrame([(1, "x y", 5.0), (1, None, -1.0)], "`a.b` int, `c d` string, `e``f` double")
+    doc = contract({"a.b": {"unique": True, "type": "integer"}, "c d": {"nullable": False, "pattern": "[a-z]+",
+                    "allowed_values": ["x y"], "min_length": 4}, "e`f": {"min": 0}})
+    got = {f["finding_id"]: f for f in findings(spark, df, doc)}
+    assert set(got) == {"uniqueness_violation:a.b", "nullability_violation:c d", "pattern_violation:c d",
+                        "length_violation:c d", "range_violation:e`f"}
+    assert got["uniqueness_violation:a.b"]["ev"]["sample_duplicate_keys"] == [{"a.b": 1}]
+    from tablepact.operators.profile import profile
+    names = {r["column"] for r in profile(df).collect()}
+    assert names == {"a.b", "c d", "e`f"}
+
+
+def test_slices_with_null_key_and_many_contracts(spark):
+    from tablepact import contract_rules, contracts_frame, validate
+
+    df = spark.createDataFrame([("a", 1), ("a", 1), (None, 5), (None, 6)], "g string, v int")
+    docs = [contract({"v": {"unique": True, "max": 4}}), {"contract": {"name": "other"}, "columns": {"v": {}}}]
+    rules = contract_rules(spark, contracts_frame(spark, docs))
+    v = validate(rules=rules, df=df, by=["g"], contract_name="t")
+    got = sorted((r["slice"], r["finding_id"]) for r in v.findings.collect())
+    assert got == [("", "unexpected_column:g"), ("g=a", "uniqueness_violation:v"), ("g=null", "range_violation:v")]
+    runs = sorted((r["slice"], r["row_count"]) for r in v.runs.collect())
+    assert runs == [("", 4), ("g=a", 2), ("g=null", 2)]
+    import pytest
+    with pytest.raises(ValueError):
+        validate(df, rules)
