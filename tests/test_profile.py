@@ -69,3 +69,13 @@ def test_long_values_counted_on_digest_keep_text(spark):
     assert p["distinct_count"] == 3
     assert p["top_values"][0]["value"] == long_a and p["top_values"][0]["count"] == 2
     assert set(p["sample_values"]) == {long_a, long_b, "short"}
+
+
+def test_approx_distinct_and_uncounted_columns(spark):
+    df = spark.range(2000).selectExpr("id", "id % 7 AS m", "CAST(NULL AS STRING) AS z")
+    p = prof(df, distinct="approx", frequency_columns=["m"])
+    assert abs(p["id"]["distinct_count"] - 2000) <= 60
+    assert p["m"]["distinct_count"] == 7 and len(p["m"]["top_values"]) == 5
+    assert p["z"]["distinct_count"] == 0 and p["id"]["top_values"] == []
+    q = prof(df, frequency_columns=["m"])
+    assert q["id"]["distinct_count"] is None and q["m"]["distinct_count"] == 7
