@@ -111,6 +111,23 @@ NATION_CONTRACT = {
 }
 
 
+def customer_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One contract document per customer (a contracts table that grows with
+    the data): balance floor and segment domain from the row, a dataset
+    severity default, a composite key; every 5th nation key carries an
+    invalid column severity for lint to find."""
+    c = table(spark, sf_dir, "customer")
+    return c.selectExpr("""to_json(named_struct(
+        'contract', named_struct('name', c_name, 'version', CAST(c_custkey AS STRING), 'owner', c_mktsegment),
+        'dataset', named_struct('severity_defaults', named_struct('range_violation',
+            CASE WHEN c_nationkey % 3 = 0 THEN 'warning' ELSE 'error' END)),
+        'columns', named_struct(
+            'balance', named_struct('type', 'number', 'min', c_acctbal,
+                                    'severity', CASE WHEN c_nationkey % 5 = 0 THEN 'fatal' END),
+            'segment', named_struct('nullable', false, 'allowed_values', array(c_mktsegment))),
+        'uniqueness', array(named_struct('name', 'k', 'columns', array('balance', 'segment'))))) AS doc""")
+
+
 def run(spark: SparkSession, df: DataFrame, contract: dict | list, **kw) -> Validation:
     """Validate against one contract document (or its already-parsed rule rows)."""
     rules = contract if isinstance(contract, list) else contract_rules(spark, contracts_frame(spark, [contract]))

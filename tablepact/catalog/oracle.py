@@ -351,6 +351,24 @@ def _build() -> None:
         count(*) - count(c_custkey) AS null_count FROM customer
       UNION ALL SELECT 'seg', 'string', 'string', count(*), count(*) FILTER (c_custkey % 3 = 0) FROM customer
       UNION ALL SELECT 'c_acctbal', 'double', 'number', count(*), count(*) - count(c_acctbal) FROM customer"""
+    o["contract_header"] = """SELECT c_name AS contract_name, CAST(c_custkey AS VARCHAR) AS contract_version,
+      c_mktsegment AS owner, false AS allow_unexpected_columns FROM customer"""
+    sev = "CASE WHEN c_nationkey % 5 = 0 THEN 'fatal' ELSE 'error' END"
+    rng = "CASE WHEN c_nationkey % 5 = 0 THEN 'fatal' WHEN c_nationkey % 3 = 0 THEN 'warning' ELSE 'error' END"
+    head = "c_name AS contract_name, CAST(c_custkey AS VARCHAR) AS contract_version"
+    none = "CAST(NULL AS DOUBLE) AS min_value, CAST(NULL AS VARCHAR) AS allowed_values, CAST(NULL AS VARCHAR) AS declared_columns"
+    o["contract_rules"] = _union([
+        f"SELECT {head}, 'missing_required_column' AS rule_type, 'balance' AS columns, {sev} AS severity, {none} FROM customer",
+        f"SELECT {head}, 'type_mismatch', 'balance', {sev}, {none} FROM customer",
+        f"SELECT {head}, 'range_violation', 'balance', {rng}, c_acctbal, NULL, NULL FROM customer",
+        f"SELECT {head}, 'missing_required_column', 'segment', 'error', {none} FROM customer",
+        f"SELECT {head}, 'nullability_violation', 'segment', 'error', {none} FROM customer",
+        f"SELECT {head}, 'allowed_values_violation', 'segment', 'error', NULL, c_mktsegment, NULL FROM customer",
+        f"SELECT {head}, 'uniqueness_violation', 'balance,segment', 'error', {none} FROM customer",
+        f"SELECT {head}, 'unexpected_column', '', 'warning', NULL, NULL, 'balance,segment' FROM customer",
+    ])
+    o["contract_lint"] = """SELECT c_name AS contract_name, '$.columns.balance.severity' AS path,
+      'invalid severity' AS problem FROM customer WHERE c_nationkey % 5 = 0"""
     _build_triage(o)
 
 

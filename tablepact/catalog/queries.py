@@ -312,6 +312,30 @@ def q_src_csv_na_tokens(spark, sf):
     return p.select("column", "physical_type", "observed_type", "row_count", "null_count")
 
 
+# -- contract documents (one per customer row) ------------------------------------
+
+def q_contract_header(spark, sf):
+    from tablepact.sources.contracts import contract_header
+    h = contract_header(spark, I.customer_contracts(spark, sf))
+    return h.select("contract_name", "contract_version", "owner", "allow_unexpected_columns")
+
+
+def q_contract_rules(spark, sf):
+    from tablepact.sources.contracts import contract_rules
+    r = contract_rules(spark, I.customer_contracts(spark, sf))
+    return r.selectExpr(
+        "contract_name", "contract_version", "rule_type", "array_join(columns, ',') AS columns", "severity",
+        "CASE WHEN rule_type = 'range_violation' THEN min_value END AS min_value",
+        "CASE WHEN rule_type = 'allowed_values_violation' THEN array_join(transform(allowed_values, "
+        "x -> x.value), ',') END AS allowed_values",
+        "array_join(declared_columns, ',') AS declared_columns")
+
+
+def q_contract_lint(spark, sf):
+    from tablepact.sources.contracts import contract_lint
+    return contract_lint(spark, I.customer_contracts(spark, sf))
+
+
 # -- triage over many keys ------------------------------------------------------------
 
 def _triaged(spark, sf):
@@ -465,6 +489,9 @@ QUERIES: dict[str, Query] = {
     "findings_lineitem": q_findings_lineitem,
     "findings_by_slice": q_findings_by_slice,
     "src_csv_na_tokens": q_src_csv_na_tokens,
+    "contract_header": q_contract_header,
+    "contract_rules": q_contract_rules,
+    "contract_lint": q_contract_lint,
     "classify": q_classify,
     "failures_table": q_failures_table,
     "suggestions": q_suggestions,

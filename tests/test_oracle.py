@@ -12,6 +12,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 FAST = ["dataset_facts", "profile_nulls", "profile_top_values", "v_allowed_values", "v_range", "v_pattern",
         "v_unique_composite", "v_freshness", "findings_all", "findings_by_slice", "classify", "recommendations",
+        "contract_rules", "contract_lint",
         "redacted_summary"]
 
 
