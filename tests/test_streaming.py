@@ -25,3 +25,15 @@ def test_stream_findings_per_batch(spark, tmp_path):
                           "range_violation:o_totalprice", "freshness_violation:o_orderdate"])
     runs = spark.read.parquet(str(out / "runs")).collect()
     assert [r["row_count"] for r in runs] == [spark.read.parquet(f"{SF}/orders.parquet").count()]
+
+
+def test_replayed_batch_replaces_its_partition(spark, tmp_path):
+    from tablepact.streaming.micro_batch import _write
+
+    df = spark.createDataFrame([("batch-0", 1), ("batch-0", 2)], "run_id string, x int")
+    path = str(tmp_path / "findings")
+    _write(df, path)
+    _write(df, path)  # the same micro-batch delivered again after a failure
+    _write(spark.createDataFrame([("batch-1", 3)], "run_id string, x int"), path)
+    got = sorted((r["run_id"], r["x"]) for r in spark.read.parquet(path).collect())
+    assert got == [("batch-0", 1), ("batch-0", 2), ("batch-1", 3)]
