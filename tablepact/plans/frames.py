@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Constant slice key used when a run is not sliced, so per-slice side
 # tables always combine on a key.
-ALL = "_all"
+ALL = "__tablepact_slice_all__"
 
 # Aggregates per ``agg`` call; keeps generated code under the JVM method limit.
 MAX_AGGS_PER_PASS = 250
@@ -30,7 +30,7 @@ def with_slices(df: DataFrame, by: Sequence[str] | Mapping[str, Column] | None)
 
     ``by`` is a list of existing column names or a mapping name -> Column
     (e.g. ``{"month": F.date_trunc("month", "o_orderdate")}``).  Without a
-    slice the constant key ``_all`` is added.
+    slice the constant key ``ALL`` is added.
     """
     if not by:
         return df.withColumn(ALL, F.lit(0)), [ALL]

@@ -62,7 +62,9 @@ def test_results_independent_of_row_order_and_partitioning(spark, lineitem):
 def test_wide_rule_sets_split_into_passes(spark):
     df = spark.range(10).selectExpr(*[f"id + {i} AS c{i}" for i in range(3)])
     aggs = {f"m{i}": f"count_if(c{i % 3} > {i % 10})" for i in range(600)}
-    row = per_slice_agg(df.selectExpr("*", "0 AS _all"), ["_all"], aggs).collect()[0]
+    from tablepact.plans.frames import ALL
+
+    row = per_slice_agg(df.selectExpr("*", f"0 AS {ALL}"), [ALL], aggs).collect()[0]
     expected = {f"m{i}": sum(1 for x in range(10) if x + i % 3 > i % 10) for i in range(600)}
     assert {k: row[k] for k in expected} == expected
 
