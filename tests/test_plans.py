@@ -78,3 +78,10 @@ def test_clean_table_gets_no_sample_pass(spark):
     dirty = spark.createDataFrame([("ok",), ("no",)], "s string")
     v = validate(dirty, rules_of(spark, doc))
     assert "Window" in _plan(v.findings)
+
+
+def test_profile_independent_of_row_order_and_partitioning(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a = sorted(tuple(r) for r in profile(docs).drop("position").collect())
+    b = sorted(tuple(r) for r in profile(docs.repartition(5).orderBy("n_chars")).drop("position").collect())
+    assert a == b
