@@ -63,3 +63,33 @@ def test_lint_reports_each_bad_document(spark):
     docs = spark.createDataFrame([(d,) for d, _ in BAD], "doc string")
     paths = sorted(r["path"] for r in contract_lint(spark, docs).collect())
     assert paths == sorted(p for _, p in BAD)
+
+
+MORE_BAD = [
+    ('{"contract": {"name": "c"}, "dataset": 3, "columns": {"a": {}}}', "$.dataset"),
+    ('{"contract": {"name": "c"}, "dataset": {"severity_defaults": []}, "columns": {"a": {}}}',
+     "$.dataset.severity_defaults"),
+    ('{"contract": {"name": "c"}, "dataset": {"severity_defaults": {"x": "loud"}}, "columns": {"a": {}}}',
+     "$.dataset.severity_defaults.x"),
+    ('{"contract": {"name": "c"}, "schema": "open", "columns": {"a": {}}}', "$.schema"),
+    ('{"contract": {"name": "c"}, "columns": {"a": 5}}', "$.columns.a"),
+    ('{"contract": {"name": "c"}, "columns": {"a": {"freshness": 30}}}', "$.columns.a.freshness"),
+    ('{"contract": {"name": "c"}, "columns": {"a": {"freshness": {"max_age_days": 3, "reference": "now"}}}}',
+     "$.columns.a.freshness.reference"),
+    ('{"contract": {"name": "c"}, "columns": {"a": {}}, "row_count": 5}', "$.row_count"),
+    ('{"contract": {"name": "c"}, "columns": {"a": {}}, "row_count": {"min": -1}}', "$.row_count.min"),
+    ('{"contract": {"name": "c"}, "columns": {"a": {}}, "uniqueness": {"name": "u"}}', "$.uniqueness"),
+    ('{"contract": {"name": "c"}, "columns": {"a": {}}, "uniqueness": ["a"]}', "$.uniqueness[0]"),
+    ('{"contract": {"name": "c"}, "columns": {"a": {}}, "uniqueness": [{"columns": ["a"]}]}', "$.uniqueness[0].name"),
+]
+
+
+def test_lint_more_structural_problems(spark):
+    docs = spark.createDataFrame([(d,) for d, _ in MORE_BAD], "doc string")
+    paths = sorted(r["path"] for r in contract_lint(spark, docs).collect())
+    assert paths == sorted(p for _, p in MORE_BAD)
+
+
+def test_lint_accepts_boolean_true_max_age(spark):
+    doc = '{"contract": {"name": "c"}, "columns": {"a": {"freshness": {"max_age_days": true}}}}'
+    assert contract_lint(spark, spark.createDataFrame([(doc,)], "doc string")).collect() == []
