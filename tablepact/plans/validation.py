@@ -526,7 +526,7 @@ def validate(
     per_slice = metrics.select(*header, slice_text(keys).alias("slice"), F.col("rows").alias("row_count"),
                                F.lit(len(dataset_columns)).alias("column_count"))
     if keys != [ALL]:
-        total = metrics.agg(F.sum("rows").alias("row_count")).select(
+        total = metrics.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count")).select(
             *header, F.lit("").alias("slice"), F.col("row_count").cast("bigint"),
             F.lit(len(dataset_columns)).alias("column_count"))
         per_slice = per_slice.unionByName(total)

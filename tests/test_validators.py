@@ -199,3 +199,16 @@ def test_slices_with_null_key_and_many_contracts(spark):
     import pytest
     with pytest.raises(ValueError):
         validate(df, rules)
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "id int, s string")
+    doc = contract({"id": {"unique": True, "nullable": False}, "s": {"allowed_values": ["a"], "pattern": "a"}},
+                   row_count={"min": 1})
+    fs = findings(spark, df, doc)
+    assert [f["finding_id"] for f in fs] == ["row_count_violation:dataset"]
+    from conftest import run
+
+    sliced = run(spark, df, doc, by=["s"])
+    assert sliced.findings.collect() == []
+    assert [(r["slice"], r["row_count"]) for r in sliced.runs.collect()] == [("", 0)]
