@@ -79,3 +79,20 @@ def test_approx_distinct_and_uncounted_columns(spark):
     assert p["z"]["distinct_count"] == 0 and p["id"]["top_values"] == []
     q = prof(df, frequency_columns=["m"])
     assert q["id"]["distinct_count"] is None and q["m"]["distinct_count"] == 7
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    from conftest import contract, findings
+
+    df = spark.createDataFrame([("2025-01-15T23:30:00",), ("2025-01-01",)], "d string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        out = {}
+        for tz in ("UTC", "Pacific/Kiritimati", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            p = prof(df)["d"]
+            fs = findings(spark, df, contract({"d": {"freshness": {"max_age_days": 30}}}))
+            out[tz] = (p["observed_type"], p["datetime_max"], fs[0]["ev"]["observed_age_days"])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert set(out.values()) == {("datetime", "2025-01-15T23:30:00", 45)}
