@@ -73,6 +73,16 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def per_worker(name: str, make):
+    """What ``make()`` gives, made once in the life of a Python worker and kept for its later tasks."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_llm_worker_store", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def quiet_threads() -> None:
     """One thread per task: Spark already fills the cores."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -16,7 +16,6 @@ an empty table gives an empty store; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -26,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import new_folder, quiet_threads, texts_of
+from tablepact.llm.common import new_folder, per_worker, quiet_threads, texts_of
 
 #: Words kept with their ids by each worker; beyond it the store starts anew (memory only, not results).
-WORD_STORE = 300_000
+WORD_STORE = 500_000
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
@@ -37,29 +36,92 @@ STORED = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>
 DIGEST = "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long"
 
 
+class Numbered(dict):
+    """Numbers its keys as they are first asked for; ``keys_new`` lists those since the last clearing."""
+
+    def __init__(self):
+        super().__init__()
+        self.keys_new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.keys_new.append(key)
+        number = self[key] = len(self)
+        return number
+
+
 class WordEncoder:
-    """Encodes texts with the tokenizer, word by word.
+    """Encodes texts with the tokenizer, each distinct word once.
 
     The tokenizer drops white space and never joins what a space or line feed
-    separates, so the ids of a text are those of its space-separated words.
+    separates, so the ids of a text are those of its words.  It also cuts between a
+    letter and punctuation and ignores case, so a plain Latin word is looked up as
+    its lower-case stem and its closing marks; any other word as it is.
     """
 
+    MARKS = ".,!%&$*#"
+    APART = "\x01"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         quiet_threads()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {"": []}
-
-    def encode(self, texts: list[str]) -> Iterator[array]:
+        (self.apart,) = self.tokenizer.encode(self.APART, add_special_tokens=False).ids
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.units = Numbered(), Numbered()
+        self.units_of_word = np.zeros((0, 2), np.int64)
+        self.unit_ids, self.unit_start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def parts(self, word: str) -> tuple[str, str]:
+        if not word or max(word) >= "\u0250" or "<" in word or "\u0130" in word:
+            return word, ""
+        stem = word.rstrip(self.MARKS)
+        if stem and stem[-1].isalpha():
+            return stem.lower(), word[len(stem):]
+        return word, ""
+
+    def encode_units(self, units: list[str]) -> list[np.ndarray]:
+        """Ids of each unit; many at once, set apart by a character that none of them holds."""
+        plain = not any(self.APART in u for u in units)
+        joined = self.tokenizer.encode_batch_fast([f" {self.APART} ".join(units)] if plain else units, add_special_tokens=False)
+        if not plain:
+            return [np.array(e.ids, np.int32) for e in joined]
+        ids = np.array(joined[0].ids, np.int32)
+        return [x[1:] if k else x for k, x in enumerate(np.split(ids, np.flatnonzero(ids == self.apart)))]
+
+    def learn(self) -> None:
+        """Take in the words met since the last call."""
+        if not self.words.keys_new:
+            return
+        unit = self.units
+        pairs = np.array([(unit[a], unit[b]) for a, b in map(self.parts, self.words.keys_new)], np.int64)
+        self.words.keys_new = []
+        self.units_of_word = np.concatenate([self.units_of_word, pairs])
+        new, found = unit.keys_new, []
+        for i in range(0, len(new), 500):
+            found += self.encode_units(new[i : i + 500])
+        unit.keys_new = []
+        ends = self.unit_start[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)
+        self.unit_start = np.concatenate([self.unit_start, ends])
+        self.unit_ids = np.concatenate([self.unit_ids, *found])
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each), ``end_id`` after every text."""
+        if len(self.words) > WORD_STORE:
+            self.clear()
+        number = self.words.__getitem__
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > WORD_STORE:
-            self.known = {"": []}
-        new = list({w for words in split for w in words} - self.known.keys())
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = e.ids
-        for words in split:
-            yield array("i", chain.from_iterable(map(self.known.__getitem__, words)))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        words = np.fromiter(map(number, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        self.learn()
+        units = self.units_of_word[words].ravel()
+        starts, lengths = self.unit_start[units], self.unit_start[units + 1] - self.unit_start[units]
+        after = np.cumsum(lengths)
+        ids = self.unit_ids[np.repeat(starts - after + lengths, lengths) + np.arange(after[-1])]
+        text_ends = after[2 * np.cumsum(counts) - 1]
+        return np.insert(ids, text_ends, end_id), np.diff(text_ends, prepend=0) + 1
 
 
 def vocabulary_path(name_or_path: str) -> str:
@@ -78,30 +140,26 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, en
                         ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, before = WordEncoder(vocabulary_path(vocabulary)), TaskContext.get().partitionId(), 0
+        encoder = per_worker(f"token ids {vocabulary}", lambda: WordEncoder(vocabulary_path(vocabulary)))
+        shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             done = 0
-            for texts in texts_of(batch.column(1), 256):
-                values, lengths = array("i"), []
-                for ids in encoder.encode(texts):
-                    ids.append(end_id)
-                    values.extend(ids)
-                    lengths.append(len(ids))
-                n = np.array(lengths, np.int64)
+            for texts in texts_of(batch.column(1)):
+                ids, n = encoder.encode(texts, end_id)
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(done, len(texts)),
                     pa.array(np.full(len(texts), shard, np.int32)),
                     pa.array(before + ends - n),
                     pa.array(n.astype(np.int32)),
-                    pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), np.frombuffer(values, np.int32)),
+                    pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(ids)),
                 ], schema=stored)
                 before += int(ends[-1])
                 done += len(texts)
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-         .repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    by_id = F.col("doc_id").asc_nulls_first()
+    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+         .repartitionByRange(by_id).sortWithinPartitions(by_id, F.xxhash64("text"))
          .mapInArrow(encode, STORED)
          .write.option("compression", "zstd").option("orc.create.index", "true")
          .option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", row_index_stride)
