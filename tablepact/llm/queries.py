@@ -5,17 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablepact.llm import token_orc
-from tablepact.llm.common import table
+from tablepact.llm import simhash_anchor, token_orc, toxicity_fm
+from tablepact.llm.common import id_remainder, table
+
+
+def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity_fm.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                         keep=id_remainder(F.col("doc_id"), 4) != 2)
+    return scores.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= toxicity_fm.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_anchor.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_fm": op1_toxicity_fm,
     "op3_token_orc": op3_token_orc,
+    "op7_simhash_anchor": op7_simhash_anchor,
 }
 
 ORACLE: dict[str, str] = {}
