@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tablepact.llm.common import new_folder, per_worker, quiet_threads, texts_of
 
-#: Words kept with their ids by each worker; beyond it the store starts anew (memory only, not results).
-WORD_STORE = 500_000
+#: Words that a worker keeps with their ids; beyond the larger number it goes back to the smaller,
+#: the first it met, which hold the frequent ones (memory only, not results).
+WORD_STORE = (350_000, 650_000)
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
@@ -48,6 +49,11 @@ class Numbered(dict):
         number = self[key] = len(self)
         return number
 
+    def first(self, n: int) -> "Numbered":
+        kept = Numbered()
+        kept.update(zip(islice(self, n), range(n)))
+        return kept
+
 
 class WordEncoder:
     """Encodes texts with the tokenizer, each distinct word once.
@@ -67,13 +73,24 @@ class WordEncoder:
         quiet_threads()
         self.tokenizer = Tokenizer.from_file(path)
         (self.apart,) = self.tokenizer.encode(self.APART, add_special_tokens=False).ids
-        self.clear()
-
-    def clear(self) -> None:
         self.words, self.units = Numbered(), Numbered()
         self.units_of_word = np.zeros((0, 2), np.int64)
         self.unit_ids, self.unit_start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def shrink(self) -> None:
+        """Forget all words but the first met."""
+        self.words = self.words.first(WORD_STORE[0])
+        self.units_of_word = self.units_of_word[: len(self.words)].copy()
+        self.units = self.units.first(int(self.units_of_word.max()) + 1)
+        self.unit_start = self.unit_start[: len(self.units) + 1].copy()
+        self.unit_ids = self.unit_ids[: self.unit_start[-1]].copy()
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return text.split() or [""]
+        return text.replace("\n", " ").split(" ")
+
     def parts(self, word: str) -> tuple[str, str]:
         if not word or max(word) >= "\u0250" or "<" in word or "\u0130" in word:
             return word, ""
@@ -109,10 +126,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each), ``end_id`` after every text."""
-        if len(self.words) > WORD_STORE:
-            self.clear()
+        if len(self.words) > WORD_STORE[1]:
+            self.shrink()
         number = self.words.__getitem__
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self.split(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         words = np.fromiter(map(number, chain.from_iterable(split)), np.int64, int(counts.sum()))
         self.learn()
@@ -161,7 +178,7 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, en
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
          .repartitionByRange(by_id).sortWithinPartitions(by_id, F.xxhash64("text"))
          .mapInArrow(encode, STORED)
-         .write.option("compression", "zstd").option("orc.create.index", "true")
+         .write.option("compression", "none").option("orc.create.index", "true")
          .option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", row_index_stride)
          .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path))
 
