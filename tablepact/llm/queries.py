@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepact.llm import simhash_anchor, token_orc, toxicity_fm
+from tablepact.llm import decontaminate, kneser_ney, language_id, line_crf, pii_feistel, simhash_anchor, source_mix, token_orc, toxicity_fm, warc_index
 from tablepact.llm.common import id_remainder, table
 
 
@@ -26,10 +26,70 @@ def op7_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchor.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.language_predictions(table(spark, sf_dir, "documents"), keep=id_remainder(F.col("doc_id"), 3) != 1)
+    return out.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.Mix(table(spark, sf_dir, "documents")).report()
+
+
+def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_feistel.pseudonymise(table(spark, sf_dir, "documents"))
+
+
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 1
+    scores = kneser_ney.scores(docs, kneser_ney.train(docs.where(~held_out).select("text")))
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.captures(table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_fm": op1_toxicity_fm,
+    "op2_pii_feistel": op2_pii_feistel,
     "op3_token_orc": op3_token_orc,
+    "op4_language_id": op4_language_id,
+    "op5_source_mix": op5_source_mix,
+    "op6_line_crf": op6_line_crf,
     "op7_simhash_anchor": op7_simhash_anchor,
+    "op8_kneser_ney": op8_kneser_ney,
+    "op9_warc_index": op9_warc_index,
+    "op10_decontaminate": op10_decontaminate,
+    "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {}
+OP9_SQL = """
+WITH payloads AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), sized AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM payloads
+), firsts AS (
+  SELECT payload_digest AS d, min(page_id) AS first FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM sized LEFT JOIN firsts ON payload_digest = d AND payload_bytes >= 100
+"""
+
+ORACLE: dict[str, str] = {"op9_warc_index": OP9_SQL}
