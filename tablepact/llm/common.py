@@ -73,14 +73,15 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def per_worker(name: str, make):
-    """What ``make()`` gives, made once in the life of a Python worker and kept for its later tasks."""
+def per_worker(kind: str, name: str, make):
+    """What ``make()`` gives, made once by a Python worker and kept for its later tasks, until one of the kind but of another name is asked for."""
     import sys
 
     kept = sys.__dict__.setdefault("_llm_worker_store", {})
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
+    if kind not in kept or kept[kind][0] != name:
+        kept.pop(kind, None)
+        kept[kind] = (name, make())
+    return kept[kind][1]
 
 
 def quiet_threads() -> None:

@@ -44,12 +44,13 @@ from tablepact.llm.token_orc import Numbered
 SEED = 42
 #: Hash key of the end of a text; no word holds a line feed.
 END = b"\n"
-WORD_BUCKETS = 64
+#: About so many training bytes for each bucket of words (a power of two of buckets).
+BUCKET_BYTES = 20_000_000
 #: About so many training tokens for each bucket of bigrams.
 BUCKET_TOKENS = 2_000_000
-#: Tokens that a task counts at once.
-RUN_TOKENS = 3_000_000
-WORD_STORE = 400_000
+#: Tokens that a task counts at once, and words that a worker keeps at once.
+RUN_TOKENS = 2_000_000
+WORD_STORE = 250_000
 
 BEGIN = np.uint64(0xFFFFFFFF)  # the context before the first word
 LOW = np.uint64(0xFFFFFFFF)
@@ -144,11 +145,17 @@ class MappedArrays:
 # --- vocabulary -------------------------------------------------------------------
 
 
+def word_shift(buckets: int) -> np.uint64:
+    """The shift that leaves of a hash the number of its bucket."""
+    return np.uint64(65 - buckets.bit_length())
+
+
 class Vocabulary:
     """Words by hash: number = rank among all hashes, which the buckets hold in order."""
 
     def __init__(self, folder: str, sizes: list[int]):
         self.base = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        self.shift = word_shift(len(sizes))
         self.files = [MappedArrays(folder, f"words-{b:04d}", [("keys", "<u8", n), ("counts", "<u8", n)]) for b, n in enumerate(sizes)]
 
     @property
@@ -158,7 +165,7 @@ class Vocabulary:
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number or -1, count) of each hash."""
         number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.uint64)
-        bucket = (hashes >> np.uint64(58)).astype(np.int64)
+        bucket = (hashes >> self.shift).astype(np.int64)
         for b in np.unique(bucket).tolist():
             if self.base[b + 1] > self.base[b]:
                 mine = np.flatnonzero(bucket == b)
@@ -213,6 +220,9 @@ def text_groups(column: pa.Array, chars: int = 2 << 20) -> Iterator[list[str]]:
 
 def count_words(texts: DataFrame, folder: str) -> tuple[list[int], int]:
     """Write the vocabulary; (size of each bucket, number of tokens)."""
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+    buckets = 1 << min(16, max(4, (size // BUCKET_BYTES).bit_length()))
+    shift = word_shift(buckets)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -222,7 +232,7 @@ def count_words(texts: DataFrame, folder: str) -> tuple[list[int], int]:
         def send() -> pa.RecordBatch:
             keys = np.fromiter((xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
             order = np.argsort(keys)
-            return runs(keys[order], counts[order], (keys[order] >> np.uint64(58)).astype(np.int32))
+            return runs(keys[order], counts[order], (keys[order] >> shift).astype(np.int32))
 
         for batch in batches:
             for some in text_groups(batch.column(0)):
@@ -242,7 +252,7 @@ def count_words(texts: DataFrame, folder: str) -> tuple[list[int], int]:
 
     done = materialise(texts.mapInArrow(count, RUN_DDL).groupBy("bucket").applyInArrow(store, "bucket int, size long, tokens long"), "lm-words")
     rows = {r["bucket"]: r for r in done.collect()}  # one row a bucket
-    return [rows[b]["size"] if b in rows else 0 for b in range(WORD_BUCKETS)], sum(r["tokens"] for r in rows.values())
+    return [rows[b]["size"] if b in rows else 0 for b in range(buckets)], sum(r["tokens"] for r in rows.values())
 
 
 # --- bigrams ----------------------------------------------------------------------
@@ -310,7 +320,7 @@ def count_bigrams(texts: DataFrame, folder: str, sizes: list[int], total: int) -
         return Numberer(words), hot_words(words, least)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, hot = per_worker(folder, vocabulary)
+        number, hot = per_worker("lm words", folder, vocabulary)
         held, size = [], 0
 
         def send() -> pa.RecordBatch:
@@ -336,7 +346,7 @@ def count_bigrams(texts: DataFrame, folder: str, sizes: list[int], total: int) -
         bucket = key[0].as_py()
         keys, counts = merged(table)
         first, figures = by_first(keys, counts)
-        _, hot = per_worker(folder, vocabulary)
+        _, hot = per_worker("lm words", folder, vocabulary)
         spread_over = np.isin(first, hot.astype(np.uint32))
         own = ~spread_over
         write_arrays(folder, f"pairs-{bucket:06d}", {"keys": keys, "counts": counts.astype(np.uint32), "contexts": first[own], "figures": figures[own]})
@@ -476,7 +486,7 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
                      ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = per_worker(f"model {model['folder']}", lambda: KneserNey(model))
+        lm = per_worker("lm", model["folder"], lambda: KneserNey(model))
         for batch in batches:
             done = 0
             for some in text_groups(batch.column(1)):
