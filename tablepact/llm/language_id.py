@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,7 +170,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_train: int = MAX_TR
     for _ in range(rounds if languages else 0):
 
         def expect(batches: Iterable[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            pieces = per_worker(f"pieces {vocabulary}", lambda: Pieces(vocabulary_path(vocabulary)))
+            pieces = per_worker("pieces", vocabulary, lambda: Pieces(vocabulary_path(vocabulary)))
             total = np.zeros(table.T.shape)
             for batch in batches:
                 number, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -233,10 +234,8 @@ def predict_column(text: Column, model: LanguageModel) -> Column:
     if not model.languages:
         return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
-    def predict(batches):
-        import pandas as pd
-
-        scorer = TextScorer(model, per_worker(f"pieces {model.vocabulary}", lambda: Pieces(vocabulary_path(model.vocabulary))))
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = TextScorer(model, per_worker("pieces", model.vocabulary, lambda: Pieces(vocabulary_path(model.vocabulary))))
         names = np.array([*model.languages, UNKNOWN], object)
         for column in batches:
             best, score = np.empty(len(column), np.int64), np.empty(len(column))
@@ -249,7 +248,7 @@ def predict_column(text: Column, model: LanguageModel) -> Column:
                 score[at : at + 512] = np.where(known, odds.max(axis=1) / odds.sum(axis=1), 0.0)
             yield pd.DataFrame({"lang_pred": names[best], "score": score})
 
-    return F.pandas_udf(predict, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(predict, "lang_pred string, score double")(text)
 
 
 def language_predictions(docs: DataFrame, keep: Column | None = None, **options) -> DataFrame:

@@ -29,7 +29,7 @@ from tablepact.llm.common import new_folder, per_worker, quiet_threads, texts_of
 
 #: Words that a worker keeps with their ids; beyond the larger number it goes back to the smaller,
 #: the first it met, which hold the frequent ones (memory only, not results).
-WORD_STORE = (350_000, 650_000)
+WORD_STORE = (200_000, 450_000)
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
@@ -66,6 +66,8 @@ class WordEncoder:
 
     MARKS = ".,!%&$*#"
     APART = "\x01"
+    #: The signs by which byte-level vocabularies write the bytes that are not printable.
+    BYTE_SIGNS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -88,41 +90,54 @@ class WordEncoder:
     @staticmethod
     def split(text: str) -> list[str]:
         if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return text.split() or [""]
+            return (text if "<" in text else text.lower()).split() or [""]
         return text.replace("\n", " ").split(" ")
 
     def parts(self, word: str) -> tuple[str, str]:
-        if not word or max(word) >= "\u0250" or "<" in word or "\u0130" in word:
+        if not word or "<" in word or not (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
             return word, ""
         stem = word.rstrip(self.MARKS)
         if stem and stem[-1].isalpha():
             return stem.lower(), word[len(stem):]
         return word, ""
 
-    def encode_units(self, units: list[str]) -> list[np.ndarray]:
+    def encode_apart(self, units: list[str]) -> list[list[int]]:
         """Ids of each unit; many at once, set apart by a character that none of them holds."""
-        plain = not any(self.APART in u for u in units)
-        joined = self.tokenizer.encode_batch_fast([f" {self.APART} ".join(units)] if plain else units, add_special_tokens=False)
-        if not plain:
-            return [np.array(e.ids, np.int32) for e in joined]
-        ids = np.array(joined[0].ids, np.int32)
-        return [x[1:] if k else x for k, x in enumerate(np.split(ids, np.flatnonzero(ids == self.apart)))]
+        if any(self.APART in u for u in units):
+            return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        found: list[list[int]] = [[]]
+        for i in self.tokenizer.encode(f" {self.APART} ".join(units), add_special_tokens=False).ids:
+            if i == self.apart:
+                found.append([])
+            else:
+                found[-1].append(i)
+        return found
+
+    def encode_units(self, units: list[str]) -> list[list[int]]:
+        """Lower-case Latin letters alone are one piece to the tokenizer's model; the rest goes through its normaliser and splitter."""
+        tokenize, found, rest = self.tokenizer.model.tokenize, {}, []
+        for u in units:
+            if u.isascii() and u.isalpha() and u.islower():
+                found[u] = [t.id for t in tokenize(u)]
+            elif u.isalpha() and u.islower() and max(u) < "\u0250":
+                found[u] = [t.id for t in tokenize(u.encode().decode("latin-1").translate(self.BYTE_SIGNS))]
+            else:
+                rest.append(u)
+        for i in range(0, len(rest), 500):
+            found.update(zip(rest[i : i + 500], self.encode_apart(rest[i : i + 500])))
+        return [found[u] for u in units]
 
     def learn(self) -> None:
         """Take in the words met since the last call."""
         if not self.words.keys_new:
             return
-        unit = self.units
-        pairs = np.array([(unit[a], unit[b]) for a, b in map(self.parts, self.words.keys_new)], np.int64)
-        self.words.keys_new = []
+        pairs = np.fromiter(map(self.units.__getitem__, chain.from_iterable(map(self.parts, self.words.keys_new))), np.int64).reshape(-1, 2)
+        found = self.encode_units(self.units.keys_new)
+        self.words.keys_new, self.units.keys_new = [], []
         self.units_of_word = np.concatenate([self.units_of_word, pairs])
-        new, found = unit.keys_new, []
-        for i in range(0, len(new), 500):
-            found += self.encode_units(new[i : i + 500])
-        unit.keys_new = []
-        ends = self.unit_start[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)
-        self.unit_start = np.concatenate([self.unit_start, ends])
-        self.unit_ids = np.concatenate([self.unit_ids, *found])
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.unit_start = np.concatenate([self.unit_start, self.unit_start[-1] + np.cumsum(lengths)])
+        self.unit_ids = np.concatenate([self.unit_ids, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))])
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each), ``end_id`` after every text."""
@@ -157,7 +172,7 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, en
                         ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(f"token ids {vocabulary}", lambda: WordEncoder(vocabulary_path(vocabulary)))
+        encoder = per_worker("token ids", vocabulary, lambda: WordEncoder(vocabulary_path(vocabulary)))
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             done = 0
