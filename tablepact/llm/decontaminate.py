@@ -28,6 +28,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -240,9 +241,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, q: int =
 def contaminated_column(text: Column, windows: Windows) -> Column:
     """Whether a text matches one of the windows."""
 
-    def search(batches):
-        import pandas as pd
-
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in batches:
             texts = [t or "" for t in column]
             hit = np.zeros(len(texts), bool)
@@ -251,7 +250,7 @@ def contaminated_column(text: Column, windows: Windows) -> Column:
                     hit[first + t] = True
             yield pd.Series(hit)
 
-    return F.pandas_udf(search, "boolean", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(search, "boolean")(text)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, q: int = Q, error_percent: int = ERROR_PERCENT,

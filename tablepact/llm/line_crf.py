@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,13 +209,11 @@ def quality(docs: DataFrame, labels: DataFrame, min_words: int = MIN_WORDS, max_
 def measure_column(text: Column, model) -> Column:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    def measures(batches):
-        import pandas as pd
-
+    def measures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = [measure(t or "", model) for t in texts]
             yield pd.DataFrame({**{n: pd.Series([r[i] for r in rows], dtype="int64") for i, n in enumerate(names)},
                                 "content_share": pd.Series([r[5] for r in rows], dtype="float64")})
 
     schema = ", ".join(f"{n} long" for n in names) + ", content_share double"
-    return F.pandas_udf(measures, schema, F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(measures, schema)(text)

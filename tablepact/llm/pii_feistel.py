@@ -18,10 +18,11 @@ give equal rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from hashlib import blake2b
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -238,9 +239,7 @@ class Pseudonymiser:
 def pseudonym_column(text: Column, key: str = KEY, back: bool = False) -> Column:
     """struct(text, n_<kind>…) for each text."""
 
-    def rewrite(batches):
-        import pandas as pd
-
+    def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         change = Pseudonymiser(key)
         for texts in batches:
             rows = [(None, dict.fromkeys(NAMES, 0)) if t is None else change(t, back) for t in texts]
@@ -248,7 +247,7 @@ def pseudonym_column(text: Column, key: str = KEY, back: bool = False) -> Column
                                 **{f"n_{n}": pd.Series([r[1][n] for r in rows], dtype="int32") for n in NAMES}})
 
     schema = "text string, " + ", ".join(f"n_{n} int" for n in NAMES)
-    return F.pandas_udf(rewrite, schema, F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(rewrite, schema)(text)
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -32,6 +32,7 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,9 +75,7 @@ def fingerprint_column(text: Column, shingle_words: int = SHINGLE_WORDS) -> Colu
     """The fingerprint of a text column as a (signed) long."""
 
     @F.pandas_udf("long")
-    def simhash(texts):
-        import pandas as pd
-
+    def simhash(texts: pd.Series) -> pd.Series:
         marks = np.array([fingerprint(t, shingle_words) for t in texts], np.uint64)
         return pd.Series(marks.view(np.int64))
 
@@ -247,7 +246,7 @@ def links(marks: DataFrame, distance: int = MAX_DISTANCE, segments: int = SEGMEN
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each node's component, by alternating stars.
+    """(node, label): the smallest node of its component, for every node but the smallest itself; by alternating stars.
 
     Large-star hangs a node's larger neighbours on its smallest; small-star its smaller ones.
     Both keep the components; the rounds end when neither changes the edges.

@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -41,9 +42,7 @@ SEED = 20
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space."""
 
-    def count(texts):
-        import pandas as pd
-
+    def count(texts: pd.Series) -> pd.Series:
         return pd.Series([len(t.encode().split()) if t else 0 for t in texts], dtype="int64")
 
     return F.pandas_udf(count, "long")(text)
@@ -263,9 +262,7 @@ def cut_words(text: Column, size: Column, runs: Column) -> Column:
 
     word = re.compile(r"[^\x20\x09-\x0D]+")
 
-    def cut(texts, sizes, wanted):
-        import pandas as pd
-
+    def cut(texts: pd.Series, sizes: pd.Series, wanted: pd.Series) -> pd.Series:
         out = []
         for t, n, pieces in zip(texts, sizes, wanted):
             if sum(p["to_word"] - p["from_word"] for p in pieces) == n:

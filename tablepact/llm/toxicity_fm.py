@@ -28,6 +28,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,9 +156,7 @@ def score_column(text: Column, model: FactorizationMachine | None) -> Column:
     if model is None:
         return F.lit(0.0)
 
-    def toxicity(batches):
-        import pandas as pd
-
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, int] = {}
         buckets = len(model.place)
         for texts in batches:
@@ -175,7 +174,7 @@ def score_column(text: Column, model: FactorizationMachine | None) -> Column:
                 margins[i] = model.margin(np.fromiter(rows, np.int64, len(rows)))
             yield pd.Series(sigmoid(margins))
 
-    return F.pandas_udf(toxicity, "double", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(toxicity, "double")(text)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", keep: Column | None = None, **options) -> DataFrame:
