@@ -74,14 +74,17 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 
 def per_worker(kind: str, name: str, make):
-    """What ``make()`` gives, made once by a Python worker and kept for its later tasks, until one of the kind but of another name is asked for."""
+    """What ``make()`` gives, kept by a Python worker for its later tasks until anything else is asked for.
+
+    One thing at a time: a worker's memory holds the model of the job at hand only.
+    """
     import sys
 
     kept = sys.__dict__.setdefault("_llm_worker_store", {})
-    if kind not in kept or kept[kind][0] != name:
-        kept.pop(kind, None)
-        kept[kind] = (name, make())
-    return kept[kind][1]
+    if (kind, name) not in kept:
+        kept.clear()
+        kept[kind, name] = make()
+    return kept[kind, name]
 
 
 def quiet_threads() -> None:

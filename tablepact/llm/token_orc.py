@@ -29,7 +29,7 @@ from tablepact.llm.common import new_folder, per_worker, quiet_threads, texts_of
 
 #: Words that a worker keeps with their ids; beyond the larger number it goes back to the smaller,
 #: the first it met, which hold the frequent ones (memory only, not results).
-WORD_STORE = (200_000, 450_000)
+WORD_STORE = (130_000, 300_000)
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
