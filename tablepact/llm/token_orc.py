@@ -66,23 +66,29 @@ class WordEncoder:
 
     MARKS = ".,!%&$*#"
     APART = "\x01"
+    #: Stands for the end id behind each text's words; no word holds a line feed.
+    END = "\n"
     #: The signs by which byte-level vocabularies write the bytes that are not printable.
     BYTE_SIGNS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         quiet_threads()
         self.tokenizer = Tokenizer.from_file(path)
         (self.apart,) = self.tokenizer.encode(self.APART, add_special_tokens=False).ids
+        self.end_id = end_id
         self.words, self.units = Numbered(), Numbered()
-        self.units_of_word = np.zeros((0, 2), np.int64)
+        self.units_of_word = np.zeros((0, 2), np.int32)
         self.unit_ids, self.unit_start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.word_ids, self.word_start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def shrink(self) -> None:
         """Forget all words but the first met."""
         self.words = self.words.first(WORD_STORE[0])
         self.units_of_word = self.units_of_word[: len(self.words)].copy()
+        self.word_start = self.word_start[: len(self.words) + 1].copy()
+        self.word_ids = self.word_ids[: self.word_start[-1]].copy()
         self.units = self.units.first(int(self.units_of_word.max()) + 1)
         self.unit_start = self.unit_start[: len(self.units) + 1].copy()
         self.unit_ids = self.unit_ids[: self.unit_start[-1]].copy()
@@ -90,8 +96,11 @@ class WordEncoder:
     @staticmethod
     def split(text: str) -> list[str]:
         if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return (text if "<" in text else text.lower()).split() or [""]
-        return text.replace("\n", " ").split(" ")
+            words = (text if "<" in text else text.lower()).split()
+        else:
+            words = text.replace("\n", " ").split(" ")
+        words.append(WordEncoder.END)
+        return words
 
     def parts(self, word: str) -> tuple[str, str]:
         if not word or "<" in word or not (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
@@ -115,13 +124,13 @@ class WordEncoder:
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
         """Lower-case Latin letters alone are one piece to the tokenizer's model; the rest goes through its normaliser and splitter."""
-        tokenize, found, rest = self.tokenizer.model.tokenize, {}, []
+        tokenize, found, rest = self.tokenizer.model.tokenize, {self.END: [self.end_id]}, []
         for u in units:
             if u.isascii() and u.isalpha() and u.islower():
                 found[u] = [t.id for t in tokenize(u)]
             elif u.isalpha() and u.islower() and max(u) < "\u0250":
                 found[u] = [t.id for t in tokenize(u.encode().decode("latin-1").translate(self.BYTE_SIGNS))]
-            else:
+            elif u != self.END:
                 rest.append(u)
         for i in range(0, len(rest), 500):
             found.update(zip(rest[i : i + 500], self.encode_apart(rest[i : i + 500])))
@@ -131,29 +140,37 @@ class WordEncoder:
         """Take in the words met since the last call."""
         if not self.words.keys_new:
             return
-        pairs = np.fromiter(map(self.units.__getitem__, chain.from_iterable(map(self.parts, self.words.keys_new))), np.int64).reshape(-1, 2)
+        pairs = np.fromiter(map(self.units.__getitem__, chain.from_iterable(map(self.parts, self.words.keys_new))), np.int32).reshape(-1, 2)
         found = self.encode_units(self.units.keys_new)
         self.words.keys_new, self.units.keys_new = [], []
         self.units_of_word = np.concatenate([self.units_of_word, pairs])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.unit_start = np.concatenate([self.unit_start, self.unit_start[-1] + np.cumsum(lengths)])
         self.unit_ids = np.concatenate([self.unit_ids, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))])
+        ids, lengths = strung(self.unit_ids, self.unit_start, pairs.ravel())
+        lengths = lengths.reshape(-1, 2).sum(axis=1)
+        self.word_start = np.concatenate([self.word_start, self.word_start[-1] + np.cumsum(lengths)])
+        self.word_ids = np.concatenate([self.word_ids, ids])
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each), ``end_id`` after every text."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each), the end id after every text."""
         if len(self.words) > WORD_STORE[1]:
             self.shrink()
-        number = self.words.__getitem__
         split = [self.split(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        words = np.fromiter(map(number, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        words = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int32, int(counts.sum()))
         self.learn()
-        units = self.units_of_word[words].ravel()
-        starts, lengths = self.unit_start[units], self.unit_start[units + 1] - self.unit_start[units]
-        after = np.cumsum(lengths)
-        ids = self.unit_ids[np.repeat(starts - after + lengths, lengths) + np.arange(after[-1])]
-        text_ends = after[2 * np.cumsum(counts) - 1]
-        return np.insert(ids, text_ends, end_id), np.diff(text_ends, prepend=0) + 1
+        ids, lengths = strung(self.word_ids, self.word_start, words)
+        return ids, np.add.reduceat(lengths, np.cumsum(counts) - counts)
+
+
+def strung(ids: np.ndarray, starts: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of all ``items`` one behind the other, how many each has); item k has ids starts[k] … starts[k + 1] - 1."""
+    first = starts[items]
+    lengths = starts[items + 1] - first
+    after = np.cumsum(lengths)
+    total = int(after[-1]) if len(after) else 0
+    return ids[np.repeat(first - after + lengths, lengths) + np.arange(total)], lengths
 
 
 def vocabulary_path(name_or_path: str) -> str:
@@ -172,12 +189,12 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, en
                         ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker("token ids", vocabulary, lambda: WordEncoder(vocabulary_path(vocabulary)))
+        encoder = per_worker("token ids", f"{vocabulary} {end_id}", lambda: WordEncoder(vocabulary_path(vocabulary), end_id))
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             done = 0
             for texts in texts_of(batch.column(1)):
-                ids, n = encoder.encode(texts, end_id)
+                ids, n = encoder.encode(texts)
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(done, len(texts)),
