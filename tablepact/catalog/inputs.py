@@ -7,6 +7,7 @@ tables); every query reads the full tables under ``sf_dir``.
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +37,21 @@ def text_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", F.lit("True")).otherwise(F.lit("false")).alias("bool_txt"),
         day.alias("date_txt"),
         F.concat(day, F.lit("T10:00:00")).alias("dt_txt"),
+        F.concat(day, F.when(F.col("o_orderkey") % 2 == 0, "T10:00:00Z").otherwise("T00:30:00.5+01:00")).alias("zoned_txt"),
         F.col("o_orderpriority").alias("str_txt"),
         F.lit(None).cast("string").alias("empty_txt"),
         F.when(F.col("o_orderkey") % 2 == 0, F.lit("12")).otherwise(F.lit("abc")).alias("mixed_txt"),
     )
 
 
+def big_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders with keys beyond 2^53 (bigint and decimal), dates as DATE and timestamp, and a double that is NaN, null or the key."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey + 9007199254740992 AS big", "CAST(o_orderkey + 9007199254740992 AS DECIMAL(20,0)) AS dec",
+        "CAST(o_orderdate AS DATE) AS day", "o_orderdate AS moment",
+        "CASE o_orderkey % 1000 WHEN 1 THEN double('NaN') WHEN 2 THEN NULL ELSE CAST(o_orderkey AS DOUBLE) END AS part_nan")
+
+
 # Fixed parameters: contracts declared for the test tables.
 ORDERS_CONTRACT = {
     "contract": {"name": "orders_contract", "version": "1"},
@@ -111,6 +121,85 @@ NATION_CONTRACT = {
 }
 
 
+PEOPLE_CONTRACT = {
+    "contract": {"name": "people_contract", "version": "1"},
+    "dataset": {"severity_defaults": {"unexpected_column": "info"}},
+    "columns": {
+        "c_custkey": {"type": "string"},
+        "name": {"pattern": "[", "min_length": 19, "freshness": {"max_age_days": 30}},
+        "nation": {"allowed_values": [0, 1, 2], "severity": "info"},
+        "balance": {"min": 0, "severity": "warning"},
+        "seg": {"nullable": False, "severity": "warning"},
+        "day": {"freshness": {"max_age_days": 30}},
+        "zip": {"severity": "info"},
+    },
+    "uniqueness": [{"name": "nk", "columns": ["nation"], "severity": "warning"},
+                   {"name": "bad", "columns": ["name", "zzz"], "severity": "info"}],
+    "row_count": {"max": 10, "severity": "info"},
+}
+
+SUPPLIER_CONTRACT = {
+    "contract": {"name": "supplier_contract", "version": "1"},
+    "schema": {"allow_unexpected_columns": True},
+    "columns": {"s_suppkey": {}},
+    "row_count": {"max": 1, "severity": "info"},
+}
+
+PART_CONTRACT = {
+    "contract": {"name": "part_contract", "version": "1"},
+    "schema": {"allow_unexpected_columns": True},
+    "columns": {"p_size": {"max": 10, "severity": "warning"}},
+}
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer with other names, nulls and a date text: breaks a rule of every kind."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", "c_name AS name", "c_nationkey AS nation", "c_acctbal AS balance",
+        "CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS seg",
+        "date_format(date_add(DATE'2001-01-01', CAST(c_custkey % 300 AS INT)), 'yyyy-MM-dd') AS day",
+        "c_nationkey % 5 AS extra")
+
+
+# Contract documents of every kind of structural problem; ``{n}`` is the contract's name, ``{k}`` the customer's key.
+GOOD_COLUMNS = '"columns":{"a":{"type":"number"}}'
+DOCUMENTS = [
+    '{"contract":{"name":"{n}","version":"{k}","owner":"{s}"},"dataset":{"severity_defaults":{"range_violation":"info"}},"columns":{'
+    '"a":{"type":"integer","nullable":false,"unique":true,"min":1,"max":9007199254740993},'
+    '"b":{"required":false,"allowed_values":["x",1,true],"severity":"warning"},'
+    '"c":{"pattern":"[a-z]+","min_length":2,"max_length":4},"d":{"type":"date","freshness":{"max_age_days":30}}},'
+    '"uniqueness":[{"name":"ab","columns":["a","b"],"severity":"info"}],"row_count":{"min":1,"max":5,"severity":"error"}}',
+    '{"contract":{"name":"{n}","version":"{k}","owner":"{s}"},"schema":{"allow_unexpected_columns":1},"columns":{'
+    '"a":{"nullable":null,"required":0,"unique":"yes"},"b":{"nullable":"","unique":0}}}',
+    '{"contract": not json',
+    '["a list"]',
+    '{' + GOOD_COLUMNS + '}',
+    '{"contract":{"version":"1"},' + GOOD_COLUMNS + '}',
+    '{"contract":{"name":"{n}"},"dataset":[1],"schema":7,' + GOOD_COLUMNS + '}',
+    '{"contract":{"name":"{n}"},"dataset":{"severity_defaults":"high"},' + GOOD_COLUMNS + '}',
+    '{"contract":{"name":"{n}"},"dataset":{"severity_defaults":{"range_violation":"fatal","type_mismatch":3}},' + GOOD_COLUMNS + '}',
+    '{"contract":{"name":"{n}"}}',
+    '{"contract":{"name":"{n}"},"columns":{}}',
+    '{"contract":{"name":"{n}"},"row_count":3,' + GOOD_COLUMNS + '}',
+    '{"contract":{"name":"{n}"},"row_count":{"min":-1,"max":-2,"severity":"loud"},' + GOOD_COLUMNS + '}',
+    '{"contract":{"name":"{n}"},"row_count":{"min":5,"max":2},"uniqueness":{"name":"k"},' + GOOD_COLUMNS + '}',
+    '{"contract":{"name":"{n}"},"columns":{"a":5,"b":{"type":"money","severity":"high"},"c":{"freshness":3,"allowed_values":"x"},'
+    '"d":{"freshness":{"max_age_days":0}},"e":{"freshness":{"max_age_days":3,"reference":"today"}},"f":{"freshness":{"max_age_days":"7"}}}}',
+    '{"contract":{"name":"{n}"},"uniqueness":["k",{"columns":["a"]},{"name":"x","columns":[]},{"name":"y","columns":["a",1]},'
+    '{"name":"z","columns":["a"],"severity":"bad"},{"name":"w","columns":"a"}],' + GOOD_COLUMNS + '}',
+]
+
+
+def lint_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One contract document a customer, in turn of every kind above."""
+    c = table(spark, sf_dir, "customer")
+    template = F.element_at(F.array(*[F.lit(d) for d in DOCUMENTS]), (F.col("c_custkey") % len(DOCUMENTS) + 1).cast("int"))
+    filled = template
+    for mark, value in (("{n}", F.col("c_name")), ("{k}", F.col("c_custkey").cast("string")), ("{s}", F.col("c_mktsegment"))):
+        filled = F.replace(filled, F.lit(mark), value)
+    return c.select(filled.alias("doc"))
+
+
 def customer_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One contract document per customer (a contracts table that grows with
     the data): balance floor and segment domain from the row, a dataset
@@ -166,14 +255,34 @@ def nation_run(spark: SparkSession, sf_dir: str, rules: list | None = None) -> V
                reference_date=ORDERS_REFERENCE_DATE)
 
 
+def sliced_segments(spark: SparkSession, sf_dir: str) -> Validation:
+    """customer by a slice column that holds null, the text ``null`` and text with ``|`` and ``=``."""
+    c = table(spark, sf_dir, "customer").withColumn("seg", F.expr(
+        "CASE WHEN c_custkey % 10 = 1 THEN 'null' WHEN c_custkey % 10 = 2 THEN 'a|b=c' WHEN c_custkey % 10 <> 0 THEN c_mktsegment END"))
+    doc = {"contract": {"name": "segments", "version": "1"}, "schema": {"allow_unexpected_columns": True},
+           "columns": {"c_acctbal": {"min": 0}}, "row_count": {"min": 1000000000}}
+    return run(spark, c, doc, by=["seg"], run_id="r_segments", dataset_name="segments", reference_date=ORDERS_REFERENCE_DATE)
+
+
 def triage_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Findings and runs of four validations (many keys, one clean); the four
-    contracts are parsed together as one contracts table."""
-    docs = [ORDERS_MONTHLY_CONTRACT, LINEITEM_KEY_CONTRACT, CUSTOMER_CONTRACT, NATION_CONTRACT]
+    """Findings and runs of eight validations: many keys, every rule type, skipped
+    findings, all severities, clean keys; the contracts are parsed together."""
+    docs = [ORDERS_MONTHLY_CONTRACT, LINEITEM_KEY_CONTRACT, CUSTOMER_CONTRACT, NATION_CONTRACT, PEOPLE_CONTRACT,
+            SUPPLIER_CONTRACT, PART_CONTRACT]
     parsed = rules_by_contract(spark, docs)
     rule_rows = [parsed[d["contract"]["name"]] for d in docs]
-    runs = [orders_monthly(spark, sf_dir, rule_rows[0]), lineitem_by_flag(spark, sf_dir, rule_rows[1]),
-            customer_run(spark, sf_dir, rule_rows[2]), nation_run(spark, sf_dir, rule_rows[3])]
+
+    def whole(name: str, df: DataFrame, rules: list) -> Validation:
+        return run(spark, df, rules, run_id=f"r_{name}", dataset_name=name, reference_date=ORDERS_REFERENCE_DATE)
+
+    jobs = [lambda: orders_monthly(spark, sf_dir, rule_rows[0]), lambda: lineitem_by_flag(spark, sf_dir, rule_rows[1]),
+            lambda: customer_run(spark, sf_dir, rule_rows[2]), lambda: nation_run(spark, sf_dir, rule_rows[3]),
+            lambda: whole("people", people(spark, sf_dir), rule_rows[4]),
+            lambda: whole("supplier", table(spark, sf_dir, "supplier"), rule_rows[5]),
+            lambda: whole("part", table(spark, sf_dir, "part"), rule_rows[6]),
+            lambda: sliced_segments(spark, sf_dir)]
+    with ThreadPoolExecutor(4) as pool:  # independent runs, submitted side by side
+        runs = list(pool.map(lambda job: job(), jobs))
     findings = runs[0].findings
     keys = runs[0].runs
     for v in runs[1:]:
@@ -184,3 +293,13 @@ def triage_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     # as a findings history table would be.
     ensure_checkpoint_dir(spark)
     return findings.checkpoint(), keys.checkpoint()
+
+
+def triage_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of the datasets whose contracts forbid unexpected columns."""
+    from tablepact.operators.profile import profile
+
+    parts = [profile(df, run_id=f"r_{name}", dataset_name=name)
+             for name, df in (("customer", table(spark, sf_dir, "customer")), ("nation", table(spark, sf_dir, "nation")),
+                              ("people", people(spark, sf_dir)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

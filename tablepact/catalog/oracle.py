@@ -6,7 +6,38 @@ contract parameters and the fixed finding vocabulary.
 
 from __future__ import annotations
 
-from tablepact.plans.vocabulary import MESSAGES
+# Message and suggested action of a finding, written out here anew so that a
+# wrong text in the engine shows.
+TEXTS = {
+    ("missing_required_column", "failed"): ("Required column '{column}' is missing from the dataset.",
+                                            "Add column '{column}' to the dataset or mark it as not required."),
+    ("unexpected_column", "warning"): ("Column '{column}' is not declared in the contract.",
+                                       "Declare the column in the contract or allow unexpected columns."),
+    ("type_mismatch", "failed"): ("Column '{column}' has observed type '{observed}', expected '{expected}'.",
+                                  "Align the dataset values with the expected type or update the contract type."),
+    ("nullability_violation", "failed"): ("Column '{column}' is non-nullable but contains null values.",
+                                          "Backfill null values or mark the column as nullable."),
+    ("uniqueness_violation", "skipped"): ("Uniqueness check '{name}' skipped because required columns are missing.",
+                                          "Ensure all uniqueness rule columns are present in the dataset."),
+    ("uniqueness_violation", "failed"): ("Uniqueness rule '{name}' failed with duplicate keys.",
+                                         "Deduplicate rows or update uniqueness expectations."),
+    ("allowed_values_violation", "failed"): ("Column '{column}' contains values outside the allowed set.",
+                                             "Update the data values or expand allowed_values in the contract."),
+    ("range_violation", "failed"): ("Column '{column}' violates numeric range constraints.",
+                                    "Clamp, clean, or correct out-of-range values in the dataset."),
+    ("pattern_violation", "skipped"): ("Pattern check skipped for column '{column}' because regex is invalid.",
+                                       "Fix the contract regex pattern."),
+    ("pattern_violation", "warning"): ("Column '{column}' contains values that do not match the required pattern.",
+                                       "Correct source values or adjust the contract regex."),
+    ("length_violation", "failed"): ("Column '{column}' violates string length constraints.",
+                                     "Trim, pad, or validate values to meet length constraints."),
+    ("freshness_violation", "skipped"): ("Freshness check skipped for column '{column}' because no parseable datetime values were found.",
+                                         "Provide parseable date/datetime values for freshness checks."),
+    ("freshness_violation", "warning"): ("Column '{column}' is older than the allowed freshness window.",
+                                         "Refresh the dataset with newer records."),
+    ("row_count_violation", "warning"): ("Dataset row count is outside configured bounds.",
+                                         "Adjust extraction volume or update row_count bounds in the contract."),
+}
 
 # Schemas of the test tables, as DuckDB sees them.
 SCHEMAS = {
@@ -32,7 +63,8 @@ def iso(x: str) -> str:
 
 def ladder(v: str) -> str:
     """Observed-type expression over text column ``v`` (aggregate context)."""
-    ts = f"CASE WHEN regexp_full_match(trim({v}), '{ISO_RE}') THEN try_cast(trim({v}) AS TIMESTAMP) END"
+    clock = f"regexp_replace(trim({v}), '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$', '')"  # a zoned time's own clock
+    ts = f"CASE WHEN regexp_full_match({clock}, '{ISO_RE}') THEN try_cast({clock} AS TIMESTAMP) END"
     return f"""CASE WHEN count({v}) = 0 THEN 'empty'
       WHEN count(*) FILTER (lower(trim({v})) IN ('true', 'false')) = count({v}) THEN 'boolean'
       WHEN count(*) FILTER (regexp_full_match(trim({v}), '{INT_RE}')) = count({v}) THEN 'integer'
@@ -42,6 +74,9 @@ def ladder(v: str) -> str:
       ELSE 'string' END"""
 
 
+ZONED = "CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 10 HOUR ELSE o_orderdate - INTERVAL 1800 SECOND + INTERVAL 500 MILLISECOND END"
+
+
 def native(c: str) -> str:
     """Observed type of a natively typed column (aggregate context)."""
     t = f"any_value(typeof({c}))"
@@ -53,7 +88,7 @@ def native(c: str) -> str:
 
 
 def msg(rule: str, status: str, **kw) -> tuple[str, str]:
-    m, a = MESSAGES[(rule, status)]
+    m, a = TEXTS[(rule, status)]
     return q(m.format(**kw)), q(a.format(**kw))
 
 
@@ -61,8 +96,9 @@ TEXT_ORDERS = """(SELECT CAST(o_orderkey AS VARCHAR) int_txt, CAST(o_totalprice
   CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'false' END bool_txt,
   strftime(o_orderdate, '%Y-%m-%d') date_txt, strftime(o_orderdate, '%Y-%m-%d') || 'T10:00:00' dt_txt,
   o_orderpriority str_txt, CAST(NULL AS VARCHAR) empty_txt,
-  CASE WHEN o_orderkey % 2 = 0 THEN '12' ELSE 'abc' END mixed_txt FROM orders)"""
-TEXT_COLS = ["int_txt", "num_txt", "bool_txt", "date_txt", "dt_txt", "str_txt", "empty_txt", "mixed_txt"]
+  CASE WHEN o_orderkey % 2 = 0 THEN '12' ELSE 'abc' END mixed_txt,
+  strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 2 = 0 THEN 'T10:00:00Z' ELSE 'T00:30:00.5+01:00' END zoned_txt FROM orders)"""
+TEXT_COLS = ["int_txt", "num_txt", "bool_txt", "date_txt", "dt_txt", "str_txt", "empty_txt", "mixed_txt", "zoned_txt"]
 DIRTY = """(SELECT c_custkey, c_name, c_nationkey, c_acctbal,
   CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer)"""
 
@@ -139,7 +175,8 @@ def _type_mismatch() -> str:
           {q(expected)} AS expected_type, {observed} AS observed_type FROM orders)
           WHERE observed_type <> 'empty' AND observed_type NOT IN ({ok})""")
     text_expected = {"int_txt": "integer", "num_txt": "integer", "bool_txt": "boolean", "date_txt": "datetime",
-                     "dt_txt": "date", "str_txt": "string", "empty_txt": "integer", "mixed_txt": "integer"}
+                     "dt_txt": "date", "str_txt": "string", "empty_txt": "integer", "mixed_txt": "integer",
+                     "zoned_txt": "date"}
     for c, expected in text_expected.items():
         ok = ", ".join(q(x) for x in compat[expected])
         parts.append(f"""SELECT * FROM (SELECT {_head('text_orders', 'type_mismatch', c, 'error', 'failed')},
@@ -148,7 +185,10 @@ def _type_mismatch() -> str:
     return _union(parts)
 
 
-CUSTOMER_DECLARED = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_email"]
+# customer by a segment that is null, the text null, or holds the label's own marks.
+SEGMENTS_CTE = """(SELECT CASE WHEN k = 0 THEN 'seg=\\N' WHEN k = 1 THEN 'seg=null' WHEN k = 2 THEN 'seg=a\\|b\\=c' ELSE 'seg=' || c_mktsegment END AS label,
+    count(*) AS n, count(*) FILTER (c_acctbal < 0) AS lo
+  FROM (SELECT *, c_custkey % 10 AS k FROM customer) GROUP BY 1)"""
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "HOUSEHOLD", "MACHINERY"]
 
 
@@ -208,6 +248,69 @@ def _freshness(dataset: str, table: str, col: str, ref: str, max_age: int, ts: s
       WHERE latest_value IS NOT NULL AND observed_age_days > {max_age}"""
 
 
+BIG = """(SELECT o_orderkey + 9007199254740992 AS big, CAST(o_orderdate AS DATE) AS day, o_orderdate AS moment,
+  CASE WHEN o_orderkey % 1000 IN (1, 2) THEN NULL ELSE o_orderkey END AS part_nan FROM orders)"""
+
+
+def _all(dataset: str, rule: str, cols: str, severity: str, status: str, evidence: str, src: str, **fmt) -> str:
+    """One whole finding with its evidence as JSON text."""
+    m, a = msg(rule, status, column=cols, **fmt)
+    return f"SELECT {_head(dataset, rule, cols or 'dataset', severity, status)}, {m} AS message, {evidence} AS evidence, {a} AS suggested_action FROM {src}"
+
+
+def _names(table: str) -> str:
+    return f"(SELECT '[' || string_agg('\"' || name || '\"', ',' ORDER BY cid) || ']' FROM pragma_table_info('{table}'))"
+
+
+def _text_lists(col: str) -> str:
+    """Top values, samples and the distinct count of a text column, texts by their md5."""
+    freq = f"(SELECT {col} AS v, count(*) AS n FROM documents WHERE {col} IS NOT NULL GROUP BY 1)"
+    return _union([
+        f"""SELECT {q(col)} AS "column", 'top' AS list, CAST(row_number() OVER (ORDER BY n DESC, v) - 1 AS INTEGER) AS pos, md5(v) AS value_md5, n AS count
+            FROM (SELECT * FROM {freq} ORDER BY n DESC, v LIMIT 5)""",
+        f"""SELECT {q(col)}, 'sample', CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER), md5(v), NULL FROM (SELECT * FROM {freq} ORDER BY v LIMIT 5)""",
+        f"SELECT {q(col)}, 'distinct', 0, NULL, count(*) FROM {freq}"])
+
+
+def _first_values(col: str) -> str:
+    return f"""SELECT {q(col)} AS "column", string_agg({col}, '|' ORDER BY o_orderkey) AS sample_values
+      FROM (SELECT o_orderkey, {col} FROM orders WHERE {col} IS NOT NULL ORDER BY o_orderkey, {col} LIMIT 7)"""
+
+
+# Structural problems of the contract documents, by their place in the list of documents.
+PROBLEMS = {
+    2: [("$", "document is not parseable JSON")],
+    3: [("$", "top level must be an object")],
+    4: [("$.contract", "missing required contract object")],
+    5: [("$.contract.name", "missing required field contract.name")],
+    6: [("$.dataset", "dataset must be an object"), ("$.schema", "schema must be an object")],
+    7: [("$.dataset.severity_defaults", "severity_defaults must be an object")],
+    8: [("$.dataset.severity_defaults.range_violation", "invalid severity"), ("$.dataset.severity_defaults.type_mismatch", "invalid severity")],
+    9: [("$.columns", "missing required columns section with at least one column")],
+    10: [("$.columns", "missing required columns section with at least one column")],
+    11: [("$.row_count", "row_count must be an object")],
+    12: [("$.row_count.min", "row_count.min must not be negative"), ("$.row_count.max", "row_count.max must not be negative"),
+         ("$.row_count", "row_count.min must not be greater than row_count.max"), ("$.row_count.severity", "invalid severity")],
+    13: [("$.row_count", "row_count.min must not be greater than row_count.max"), ("$.uniqueness", "uniqueness must be a list")],
+    14: [("$.columns.a", "column definition must be an object"), ("$.columns.b.type", "unsupported logical type"),
+         ("$.columns.b.severity", "invalid severity"), ("$.columns.c.freshness", "freshness rule must be an object"),
+         ("$.columns.c.allowed_values", "allowed_values must be a list"),
+         ("$.columns.d.freshness.max_age_days", "max_age_days must be a positive integer"),
+         ("$.columns.e.freshness.reference", "freshness reference must be max_value"),
+         ("$.columns.f.freshness.max_age_days", "max_age_days must be a positive integer")],
+    15: [("$.uniqueness[0]", "uniqueness item must be an object"), ("$.uniqueness[1].name", "uniqueness name is required"),
+         ("$.uniqueness[2].columns", "columns must be a non-empty list of column names"),
+         ("$.uniqueness[3].columns", "columns must be a non-empty list of column names"),
+         ("$.uniqueness[4].severity", "invalid severity"), ("$.uniqueness[5].columns", "columns must be a non-empty list of column names")],
+}
+NAMELESS = "(2, 3, 4, 5)"
+
+
+def _duplicate_samples(dataset: str, col: str) -> str:
+    return f"""(SELECT string_agg(md5(CAST(v AS VARCHAR)), ',' ORDER BY v) FROM (SELECT {col} AS v FROM {dataset} GROUP BY {col}
+      HAVING count(*) > 1 ORDER BY v LIMIT 20))"""
+
+
 ORACLE: dict[str, str] = {}
 
 
@@ -227,8 +330,12 @@ def _build() -> None:
       (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) AS rank FROM freq)
       WHERE rank <= 5"""
     o["profile_numeric_range"] = _union([
-        f'SELECT {q(c)} AS "column", CAST(min({c}) AS DOUBLE) AS numeric_min, CAST(max({c}) AS DOUBLE) AS numeric_max FROM orders'
-        for c in ("o_orderkey", "o_custkey", "o_totalprice")])
+        f'SELECT {q(c)} AS "column", CAST(min({c}) AS DOUBLE) AS numeric_min, CAST(max({c}) AS DOUBLE) AS numeric_max, '
+        f'{"NULL" if c == "o_totalprice" else f"CAST(min({c}) AS VARCHAR)"} AS min_exact, '
+        f'{"NULL" if c == "o_totalprice" else f"CAST(max({c}) AS VARCHAR)"} AS max_exact FROM {BIG if c == "big" else "orders"}'
+        for c in ("o_orderkey", "o_custkey", "big", "o_totalprice")])
+    o["profile_top_values_text"] = _union([_text_lists(c) for c in ("text", "lang")])
+    o["profile_samples_ordered"] = _union([_first_values(c) for c in ("o_orderstatus", "o_orderpriority")])
     o["profile_datetime_range"] = _union([
         f"SELECT 'events' AS dataset_name, 'ts' AS \"column\", {iso('min(ts)')} AS datetime_min, {iso('max(ts)')} AS datetime_max FROM events",
         f"SELECT 'orders', 'o_orderdate', {iso('min(o_orderdate)')}, {iso('max(o_orderdate)')} FROM orders"])
@@ -243,13 +350,22 @@ def _build() -> None:
       round_even(100.0 * (count(*) - count(c_mktsegment)) / count(*), 2) AS null_percentage FROM {DIRTY})
       WHERE null_count > 0"""
     o["v_type_mismatch"] = _type_mismatch()
-    declared = ", ".join(f"({q(c)})" for c in CUSTOMER_DECLARED)
-    o["v_missing_required"] = f"""SELECT 'customer' AS dataset_name, 'missing_required_column:' || col AS finding_id,
-      'missing_required_column' AS rule_type, 'error' AS severity, 'failed' AS status, col AS expected_column
-      FROM (VALUES {declared}) d(col) WHERE col NOT IN (SELECT name FROM pragma_table_info('customer'))"""
-    o["v_unexpected"] = f"""SELECT 'customer' AS dataset_name, 'unexpected_column:' || name AS finding_id,
-      'unexpected_column' AS rule_type, 'warning' AS severity, 'warning' AS status, name AS unexpected_column
-      FROM pragma_table_info('customer') WHERE name NOT IN (SELECT col FROM (VALUES {declared}) d(col))"""
+    names = _names("customer")
+    o["v_missing_required"] = _union([
+        _all("customer", "missing_required_column", c, sev, "failed", f"""'{{"expected_column":"{c}","available_columns":' || {names} || '}}'""",
+             f"(SELECT 1) WHERE {q(c)} NOT IN (SELECT name FROM pragma_table_info('customer'))")
+        for c, sev in (("c_custkey", "error"), ("c_email", "error"), ("c_fax", "warning"))] + [
+        _all("customer", "row_count_violation", "", "warning", "warning",
+             """'{"row_count":' || count(*) || ',"min_allowed":1000000000,"max_allowed":null}'""", "customer HAVING count(*) < 1000000000")])
+    o["v_unexpected"] = _union([
+        """SELECT 'part' AS dataset_name, 'unexpected_column:' || name AS finding_id, 'unexpected_column' AS rule_type, 'warning' AS severity,
+          'warning' AS status, 'Column ''' || name || ''' is not declared in the contract.' AS message,
+          '{"unexpected_column":"' || name || '","declared_columns":["p_partkey","p_size"]}' AS evidence,
+          'Declare the column in the contract or allow unexpected columns.' AS suggested_action
+          FROM pragma_table_info('part') WHERE name NOT IN ('p_partkey', 'p_size')""",
+        _all("part", "range_violation", "p_size", "error", "failed",
+             """'{"min_allowed":null,"max_allowed":10,"observed_min":' || min(p_size) || ',"observed_max":' || max(p_size) ||
+             ',"below_min_count":0,"above_max_count":' || count(*) FILTER (p_size > 10) || '}'""", "part HAVING count(*) FILTER (p_size > 10) > 0")])
     o["v_row_count"] = f"""SELECT {_head('customer', 'row_count_violation', 'dataset', 'warning', 'warning')},
       count(*) AS row_count, CAST(NULL AS BIGINT) AS min_allowed, CAST(1000 AS BIGINT) AS max_allowed
       FROM customer HAVING count(*) > 1000"""
@@ -259,22 +375,60 @@ def _build() -> None:
                            _range("events", "value", None, 40)])
     o["v_pattern"] = _union([_pattern("pages", "url", "https://.*"), _pattern("events", "props", '\\{"k": [0-9]\\}'),
                              _pattern("customer", "c_name", "Customer#[0-9]{9}")])
-    o["v_pattern_skipped"] = f"""SELECT {_head('customer', 'pattern_violation', 'c_name', 'warning', 'skipped')},
-      '[' AS pattern FROM pragma_table_info('customer') WHERE name = 'c_name'"""
+    o["v_pattern_text"] = f"""SELECT * FROM (SELECT {_head('documents', 'pattern_violation', 'text', 'warning', 'warning')},
+      (SELECT count(*) FROM documents WHERE contains(text, '|')) AS failed_row_count,
+      (SELECT string_agg(md5(v), ',' ORDER BY v) FROM (SELECT text AS v FROM documents WHERE contains(text, '|') ORDER BY v LIMIT 20))
+        AS samples_md5) WHERE failed_row_count > 0"""
+    o["v_pattern_skipped"] = _union([
+        _all("customer", "pattern_violation", "c_name", "warning", "skipped",
+             """'{"pattern":"[","error":"unterminated character set at position 0"}'""",
+             "pragma_table_info('customer') WHERE name = 'c_name'"),
+        _all("customer", "pattern_violation", "c_mktsegment", "warning", "warning",
+             """'{"pattern":"[A-Z]{,8}","failed_row_count":' || count(*) || ',"sample_failed_values":["' ||
+             (SELECT string_agg(c_mktsegment, '","' ORDER BY c_mktsegment) FROM (SELECT c_mktsegment FROM customer WHERE length(c_mktsegment) > 8
+              ORDER BY 1 LIMIT 20)) || '"]}'""", "customer WHERE length(c_mktsegment) > 8 HAVING count(*) > 0")])
     o["v_length"] = _union([_length("part", "p_name", 9, 11), _length("documents", "text", 20, 20000)])
-    o["v_unique_column"] = _union([_unique("documents", ["text"]), _unique("customer", ["c_nationkey"]),
-                                   _unique("customer", ["c_custkey"])])
+    o["v_unique_column"] = _union([f"SELECT *, {_duplicate_samples(t, c)} AS samples_md5 FROM ({_unique(t, [c])})"
+                                   for t, c in (("documents", "text"), ("customer", "c_nationkey"), ("customer", "c_custkey"))])
+    o["v_unique_nan"] = f"""SELECT * FROM (SELECT {_head('big_keys', 'uniqueness_violation', 'part_nan', 'error', 'failed')},
+      count(*) AS duplicate_key_count, CAST(sum(n) AS BIGINT) AS duplicate_row_count
+      FROM (SELECT part_nan, count(*) AS n FROM {BIG} GROUP BY 1 HAVING count(*) > 1)) WHERE duplicate_key_count > 0"""
+    o["v_allowed_dates"] = _union([f"""SELECT * FROM (SELECT {_head('big_keys', 'allowed_values_violation', c, 'error', 'failed')},
+      (SELECT count(*) FROM {BIG} WHERE {c} NOT IN ({days})) AS failed_row_count,
+      (SELECT '{{' || string_agg('"' || v || '":' || n, ',' ORDER BY n DESC, v) || '}}' FROM
+        (SELECT {iso(f'CAST({c} AS TIMESTAMP)')} AS v, count(*) AS n FROM {BIG} WHERE {c} NOT IN ({days}) GROUP BY 1 ORDER BY n DESC, v LIMIT 20))
+        AS unexpected_values) WHERE failed_row_count > 0"""
+                                   for c, days in (("day", "DATE '1995-01-01', DATE '1996-05-05', DATE '1997-02-03'"),
+                                                   ("moment", "TIMESTAMP '1995-01-01', TIMESTAMP '1996-05-05', TIMESTAMP '1997-02-03'"))])
+    lo, hi = 2**53 + 5, 2**53 + 1001
+    o["v_range_bigint"] = _union([
+        f"""SELECT * FROM (SELECT {_head('big_keys', 'range_violation', c, 'error', 'failed')}, CAST({below} AS BIGINT) AS below_min_count,
+          count(*) FILTER (big > {hi}) AS above_max_count, min(big) AS observed_min, max(big) AS observed_max,
+          CAST(NULL AS BIGINT) AS failed_row_count FROM {BIG}) WHERE below_min_count > 0 OR above_max_count > 0"""
+        for c, below in (("big", f"count(*) FILTER (big < {lo})"), ("dec", "0"))] + [
+        f"""SELECT {_head('big_keys', 'allowed_values_violation', 'big', 'error', 'failed')}, NULL, NULL, NULL, NULL, count(*)
+          FROM {BIG} WHERE big NOT IN ({2**53 + 1}, {2**53 + 2}, 7) HAVING count(*) > 0"""])
     o["v_unique_composite"] = _union([_unique("lineitem", ["l_orderkey", "l_linenumber"], True),
                                       _unique("conversations", ["conv_id", "turn"], True)])
-    o["v_unique_skipped"] = f"""SELECT {_head('lineitem', 'uniqueness_violation', 'l_orderkey_l_missing', 'error', 'skipped')},
-      string_agg(col, ',' ORDER BY pos) AS missing_columns
-      FROM (VALUES (1, 'l_orderkey'), (2, 'l_missing')) k(pos, col)
-      WHERE col NOT IN (SELECT name FROM pragma_table_info('lineitem')) HAVING count(*) > 0"""
+    o["v_unique_skipped"] = _union([
+        _all("lineitem", "uniqueness_violation", "l_orderkey_l_missing", "error", "skipped",
+             """'{"rule_name":"bad_key","checked_columns":["l_orderkey","l_missing"],"missing_columns":["' || string_agg(col, '","' ORDER BY pos) || '"]}'""",
+             "(VALUES (1, 'l_orderkey'), (2, 'l_missing')) k(pos, col) WHERE col NOT IN (SELECT name FROM pragma_table_info('lineitem')) HAVING count(*) > 0",
+             name="bad_key"),
+        _all("lineitem", "uniqueness_violation", "l_linenumber", "info", "failed",
+             """'{"rule_name":"line","checked_columns":["l_linenumber"],"duplicate_key_count":' || count(*) || ',"duplicate_row_count":' || CAST(sum(n) AS BIGINT)
+             || ',"sample_duplicate_keys":[{"l_linenumber":' || string_agg(l_linenumber, '},{"l_linenumber":' ORDER BY l_linenumber) || '}]}'""",
+             "(SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0", name="line"),
+        _all("lineitem", "range_violation", "l_linenumber", "error", "failed",
+             """'{"min_allowed":null,"max_allowed":3,"observed_min":' || min(l_linenumber) || ',"observed_max":' || max(l_linenumber) ||
+             ',"below_min_count":0,"above_max_count":' || count(*) FILTER (l_linenumber > 3) || '}'""",
+             "lineitem HAVING count(*) FILTER (l_linenumber > 3) > 0")])
     text_ts = f"CASE WHEN regexp_full_match(date_txt, '{ISO_RE}') THEN try_cast(date_txt AS TIMESTAMP) END"
     o["v_freshness"] = _union([
         _freshness("orders", "orders", "o_orderdate", "2001-12-31", 30),
         _freshness("events", "events", "ts", "2024-03-01", 30),
-        _freshness("text_orders", TEXT_ORDERS, "date_txt", "2001-12-31", 30, ts=text_ts)])
+        _freshness("text_orders", TEXT_ORDERS, "date_txt", "2001-12-31", 30, ts=text_ts),
+        _freshness("text_orders", "orders", "zoned_txt", "2001-12-31", 30, ts=ZONED)])
     name_ts = f"CASE WHEN regexp_full_match(trim(c_name), '{ISO_RE}') THEN try_cast(trim(c_name) AS TIMESTAMP) END"
     o["v_freshness_skipped"] = f"""SELECT {_head('customer', 'freshness_violation', 'c_name', 'warning', 'skipped')},
       CAST(NULL AS BIGINT) AS observed_age_days FROM customer HAVING max({name_ts}) IS NULL"""
@@ -334,52 +488,100 @@ def _build() -> None:
       SELECT 'orders' AS dataset_name, 'month=' || CAST(m AS VARCHAR) AS slice,
         'range_violation:o_totalprice' AS finding_id, 'range_violation' AS rule_type, 'failed' AS status,
         hi AS above_max_count, CAST(NULL AS BIGINT) AS row_count, CAST(NULL AS BIGINT) AS duplicate_key_count,
-        CAST(NULL AS BIGINT) AS duplicate_row_count
+        CAST(NULL AS BIGINT) AS duplicate_row_count, CAST(0 AS BIGINT) AS below_min_count
       FROM (SELECT date_trunc('month', o_orderdate) m, count(*) FILTER (o_totalprice > 499000) hi FROM orders GROUP BY 1)
       WHERE hi > 0
       UNION ALL
       SELECT 'orders', 'month=' || CAST(m AS VARCHAR), 'row_count_violation:dataset', 'row_count_violation', 'warning',
-        NULL, n, NULL, NULL
+        NULL, n, NULL, NULL, NULL
       FROM (SELECT date_trunc('month', o_orderdate) m, count(*) n FROM orders GROUP BY 1) WHERE n < 180
       UNION ALL
       SELECT 'lineitem', 'l_returnflag=' || l_returnflag, 'uniqueness_violation:l_orderkey_l_linenumber',
-        'uniqueness_violation', 'failed', NULL, NULL, count(*), CAST(sum(n) AS BIGINT)
+        'uniqueness_violation', 'failed', NULL, NULL, count(*), CAST(sum(n) AS BIGINT), NULL
       FROM (SELECT l_returnflag, l_orderkey, l_linenumber, count(*) n FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) > 1)
-      GROUP BY l_returnflag"""
-    o["src_csv_na_tokens"] = """
+      GROUP BY l_returnflag
+      UNION ALL
+      SELECT 'segments', label, 'range_violation:c_acctbal', 'range_violation', 'failed', 0, NULL, NULL, NULL, lo FROM """ + SEGMENTS_CTE + """ WHERE lo > 0
+      UNION ALL
+      SELECT 'segments', label, 'row_count_violation:dataset', 'row_count_violation', 'warning', NULL, n, NULL, NULL, NULL FROM """ + SEGMENTS_CTE
+    remark = """'say "' || c_name || '", then' || chr(10) || '"' || c_mktsegment || '", ' || c_nationkey"""
+    o["src_csv_na_tokens"] = f"""
       SELECT 'c_custkey' AS "column", 'bigint' AS physical_type, 'integer' AS observed_type, count(*) AS row_count,
-        count(*) - count(c_custkey) AS null_count FROM customer
-      UNION ALL SELECT 'seg', 'string', 'string', count(*), count(*) FILTER (c_custkey % 3 = 0) FROM customer
-      UNION ALL SELECT 'c_acctbal', 'double', 'number', count(*), count(*) - count(c_acctbal) FROM customer"""
-    o["contract_header"] = """SELECT c_name AS contract_name, CAST(c_custkey AS VARCHAR) AS contract_version,
-      c_mktsegment AS owner, false AS allow_unexpected_columns FROM customer"""
+        count(*) - count(c_custkey) AS null_count, CAST(NULL AS BIGINT) AS distinct_count, CAST(NULL AS INTEGER) AS string_max_length, '' AS samples FROM customer
+      UNION ALL SELECT 'seg', 'string', 'string', count(*), count(*) FILTER (c_custkey % 3 = 0), NULL,
+        CAST(max(length(c_mktsegment)) FILTER (c_custkey % 3 <> 0) AS INTEGER), '' FROM customer
+      UNION ALL SELECT 'c_acctbal', 'double', 'number', count(*), count(*) - count(c_acctbal), NULL, NULL, '' FROM customer
+      UNION ALL SELECT 'remark', 'string', 'string', count(*), 0, count(DISTINCT {remark}), CAST(max(length({remark})) AS INTEGER),
+        (SELECT string_agg(v, '~' ORDER BY v) FROM (SELECT DISTINCT {remark} AS v FROM customer ORDER BY v LIMIT 3)) FROM customer"""
+    o["contract_header"] = f"""SELECT c_name AS contract_name, CAST(c_custkey AS VARCHAR) AS contract_version,
+      c_mktsegment AS owner, false AS allow_unexpected_columns FROM customer
+      UNION ALL SELECT CASE WHEN k NOT IN {NAMELESS} THEN c_name END, CASE WHEN k < 2 THEN CAST(c_custkey AS VARCHAR) WHEN k = 5 THEN '1' END,
+        CASE WHEN k < 2 THEN c_mktsegment END, k = 1 FROM (SELECT *, c_custkey % 16 AS k FROM customer)"""
     sev = "CASE WHEN c_nationkey % 5 = 0 THEN 'fatal' ELSE 'error' END"
     rng = "CASE WHEN c_nationkey % 5 = 0 THEN 'fatal' WHEN c_nationkey % 3 = 0 THEN 'warning' ELSE 'error' END"
     head = "c_name AS contract_name, CAST(c_custkey AS VARCHAR) AS contract_version"
-    none = "CAST(NULL AS DOUBLE) AS min_value, CAST(NULL AS VARCHAR) AS allowed_values, CAST(NULL AS VARCHAR) AS declared_columns"
+    fields = {"rule_name": "VARCHAR", "expected_type": "VARCHAR", "min_value": "DOUBLE", "max_text": "VARCHAR", "allowed_values": "VARCHAR",
+              "pattern": "VARCHAR", "min_length": "INTEGER", "max_length": "INTEGER", "max_age_days": "INTEGER", "min_rows": "BIGINT",
+              "max_rows": "BIGINT", "declared_columns": "VARCHAR"}
+
+    def rule(kind: str, cols: str, severity: str, where: str = "true", **given: str) -> str:
+        rest = ", ".join(f"CAST({given.get(f, 'NULL')} AS {t}) AS {f}" for f, t in fields.items())
+        return f"SELECT {head}, {q(kind)} AS rule_type, {q(cols)} AS columns, {severity} AS severity, {rest} FROM customer WHERE {where}"
+
+    first, second = "c_custkey % 16 = 0", "c_custkey % 16 = 1"
+    number, error, warning, info = ("'number'", "'error'", "'warning'", "'info'")
+    # the type of a column is carried by all rules of that column
     o["contract_rules"] = _union([
-        f"SELECT {head}, 'missing_required_column' AS rule_type, 'balance' AS columns, {sev} AS severity, {none} FROM customer",
-        f"SELECT {head}, 'type_mismatch', 'balance', {sev}, {none} FROM customer",
-        f"SELECT {head}, 'range_violation', 'balance', {rng}, c_acctbal, NULL, NULL FROM customer",
-        f"SELECT {head}, 'missing_required_column', 'segment', 'error', {none} FROM customer",
-        f"SELECT {head}, 'nullability_violation', 'segment', 'error', {none} FROM customer",
-        f"SELECT {head}, 'allowed_values_violation', 'segment', 'error', NULL, c_mktsegment, NULL FROM customer",
-        f"SELECT {head}, 'uniqueness_violation', 'balance,segment', 'error', {none} FROM customer",
-        f"SELECT {head}, 'unexpected_column', '', 'warning', NULL, NULL, 'balance,segment' FROM customer",
+        rule("missing_required_column", "balance", sev, expected_type=number),
+        rule("type_mismatch", "balance", sev, expected_type=number),
+        rule("range_violation", "balance", rng, expected_type=number, min_value="c_acctbal"),
+        rule("missing_required_column", "segment", error),
+        rule("nullability_violation", "segment", error),
+        rule("allowed_values_violation", "segment", error, allowed_values="c_mktsegment"),
+        rule("uniqueness_violation", "balance,segment", error, rule_name="'k'"),
+        rule("unexpected_column", "", warning, declared_columns="'balance,segment'"),
+        *[rule(kind, "a", severity, first, expected_type="'integer'", **given) for kind, severity, given in (
+            ("missing_required_column", error, {}), ("type_mismatch", error, {}), ("nullability_violation", error, {}),
+            ("uniqueness_violation", error, {"rule_name": "'column_unique:a'"}),
+            ("range_violation", info, {"min_value": "1", "max_text": "'9007199254740993'"}))],
+        rule("allowed_values_violation", "b", warning, first, allowed_values="'x,1,true'"),
+        rule("missing_required_column", "c", error, first),
+        rule("pattern_violation", "c", warning, first, pattern="'[a-z]+'"),
+        rule("length_violation", "c", error, first, min_length="2", max_length="4"),
+        *[rule(kind, "d", severity, first, expected_type="'date'", **given) for kind, severity, given in (
+            ("missing_required_column", error, {}), ("type_mismatch", error, {}), ("freshness_violation", warning, {"max_age_days": "30"}))],
+        rule("uniqueness_violation", "a,b", info, first, rule_name="'ab'"),
+        rule("row_count_violation", "", error, first, min_rows="1", max_rows="5"),
+        rule("unexpected_column", "", warning, first, declared_columns="'a,b,c,d'"),
+        rule("nullability_violation", "a", error, second),
+        rule("uniqueness_violation", "a", error, second, rule_name="'column_unique:a'"),
+        rule("missing_required_column", "b", error, second),
+        rule("nullability_violation", "b", error, second),
     ])
-    o["contract_lint"] = """SELECT c_name AS contract_name, '$.columns.balance.severity' AS path,
-      'invalid severity' AS problem FROM customer WHERE c_nationkey % 5 = 0"""
+    o["contract_lint"] = _union(["""SELECT c_name AS contract_name, '$.columns.balance.severity' AS path,
+      'invalid severity' AS problem FROM customer WHERE c_nationkey % 5 = 0"""] + [
+        f"SELECT CASE WHEN {k} NOT IN {NAMELESS} THEN c_name END, {q(path)}, {q(problem)} FROM customer WHERE c_custkey % 16 = {k}"
+        for k, problems in PROBLEMS.items() for path, problem in problems])
     _build_triage(o)
 
 
 def _finding(run: str, ds: str, slice_expr: str, seq: str, rule: str, col: str | None, cols: str, sev: str,
-             status: str, src: str, extra_cols: str = "NULL", **fmt) -> str:
+             status: str, src: str, extra_cols: str = "NULL", evidence: str = "NULL", **fmt) -> str:
     m, a = msg(rule, status, column=col or "", **fmt)
     fid = f"{rule}:{cols.replace('|', '_') or 'dataset'}"
     return (f"SELECT {q(run)} AS run_id, {q(ds)} AS dataset_name, {slice_expr} AS slice, {seq} AS seq, "
             f"{q(fid)} AS finding_id, {q(rule)} AS rule_type, {q(col) if col else 'NULL'} AS col, {q(cols)} AS cols, "
             f"{q(sev)} AS severity, {q(status)} AS status, {m} AS message, {a} AS suggested_action, "
-            f"{extra_cols} AS extra FROM {src}")
+            f"{extra_cols} AS extra, {evidence} AS ev FROM {src}")
+
+
+def _seen(column: str, table: str) -> str:
+    """Profile evidence of an integer column as JSON text."""
+    freq = f"(SELECT CAST({column} AS VARCHAR) v, count(*) n FROM {table} WHERE {column} IS NOT NULL GROUP BY 1)"
+    return f"""(SELECT '{{"observed_type":"integer","null_count":' || (count(*) - count({column})) || ',"non_null_count":' || count({column}) ||
+      ',"sample_values":["' || (SELECT string_agg(v, '","' ORDER BY v) FROM (SELECT v FROM {freq} ORDER BY v LIMIT 5)) ||
+      '"],"top_values":[' || (SELECT string_agg('{{"value":"' || v || '","count":' || n || '}}', ',' ORDER BY n DESC, v)
+        FROM (SELECT * FROM {freq} ORDER BY n DESC, v LIMIT 5)) || ']}}' FROM {table})"""
 
 
 TRIAGE_CTE = ""
@@ -393,15 +595,19 @@ def _build_triage(o: dict[str, str]) -> None:
         _finding("r_orders", "orders", month, 7, "range_violation", "o_totalprice", "o_totalprice", "error", "failed",
                  "om WHERE hi > 0"),
         _finding("r_orders", "orders", month, 11, "row_count_violation", None, "", "warning", "warning",
-                 "om WHERE n < 180", extra_cols="CAST(n AS VARCHAR)"),
+                 "om WHERE n < 180", extra_cols="CAST(n AS VARCHAR)",
+                 evidence="""'{"row_count":' || n || ',"min_allowed":180,"max_allowed":null}'"""),
         _finding("r_lineitem", "lineitem", "'l_returnflag=' || l_returnflag", 5, "uniqueness_violation", None,
                  "l_orderkey|l_linenumber", "error", "failed", "lf", name="line_key"),
         _finding("r_customer", "customer", "''", 1, "missing_required_column", "c_email", "c_email", "error", "failed",
                  "(SELECT 1) WHERE 'c_email' NOT IN (SELECT name FROM pragma_table_info('customer'))"),
         _finding("r_customer", "customer", "''", 2, "unexpected_column", "c_nationkey", "c_nationkey", "warning",
-                 "warning", "(SELECT 1) WHERE 'c_nationkey' IN (SELECT name FROM pragma_table_info('customer'))"),
+                 "warning", "(SELECT 1) WHERE 'c_nationkey' IN (SELECT name FROM pragma_table_info('customer'))",
+                 evidence=_seen("c_nationkey", "customer")),
         _finding("r_customer", "customer", "''", 6, "allowed_values_violation", "c_mktsegment", "c_mktsegment",
-                 "error", "failed", "cu WHERE av > 0", extra_cols="cand"),
+                 "error", "failed", "cu WHERE av > 0", extra_cols="cand",
+                 evidence="""'{"allowed_values":["AUTOMOBILE","BUILDING","HOUSEHOLD","MACHINERY"],"unexpected_values":' || hist ||
+                 ',"failed_row_count":' || av || '}'"""),
         _finding("r_customer", "customer", "''", 7, "range_violation", "c_acctbal", "c_acctbal", "error", "failed",
                  "cu WHERE lo > 0"),
         _finding("r_customer", "customer", "''", 8, "pattern_violation", "c_name", "c_name", "warning", "warning",
@@ -409,7 +615,8 @@ def _build_triage(o: dict[str, str]) -> None:
         _finding("r_customer", "customer", "''", 5, "uniqueness_violation", "c_custkey", "c_custkey", "error",
                  "failed", "cu WHERE dup > 0", name="column_unique:c_custkey"),
         _finding("r_customer", "customer", "''", 11, "row_count_violation", None, "", "warning", "warning",
-                 "cu WHERE n > 1000", extra_cols="CAST(n AS VARCHAR)"),
+                 "cu WHERE n > 1000", extra_cols="CAST(n AS VARCHAR)",
+                 evidence="""'{"row_count":' || n || ',"min_allowed":null,"max_allowed":1000}'"""),
         _finding("r_nation", "nation", "''", 4, "nullability_violation", "n_nationkey", "n_nationkey", "error",
                  "failed", "na WHERE nk_nulls > 0"),
         _finding("r_nation", "nation", "''", 4, "nullability_violation", "n_name", "n_name", "error",
@@ -418,6 +625,32 @@ def _build_triage(o: dict[str, str]) -> None:
                  "failed", "na WHERE dup > 0", name="column_unique:n_nationkey"),
         _finding("r_nation", "nation", "''", 7, "range_violation", "n_regionkey", "n_regionkey", "error", "failed",
                  "na WHERE out_of_range > 0"),
+        _finding("r_people", "people", "''", 10, "missing_required_column", "zip", "zip", "info", "failed", "pe"),
+        _finding("r_people", "people", "''", 20, "unexpected_column", "extra", "extra", "info", "warning", "pe", evidence=_seen("c_nationkey % 5", "customer")),
+        _finding("r_people", "people", "''", 30, "type_mismatch", "c_custkey", "c_custkey", "error", "failed", "pe", observed="integer", expected="string",
+                 evidence="""'{"expected_type":"string","observed_type":"integer"}'"""),
+        _finding("r_people", "people", "''", 40, "nullability_violation", "seg", "seg", "warning", "failed", "pe WHERE seg_nulls > 0",
+                 evidence="""'{"null_count":' || seg_nulls || ',"row_count":' || n || ',"null_percentage":' || round_even(100.0 * seg_nulls / n, 2) || '}'"""),
+        _finding("r_people", "people", "''", 50, "uniqueness_violation", "nation", "nation", "warning", "failed", "pe WHERE nk_dup > 0", name="nk"),
+        _finding("r_people", "people", "''", 51, "uniqueness_violation", None, "name|zzz", "info", "skipped", "pe", name="bad"),
+        _finding("r_people", "people", "''", 60, "allowed_values_violation", "nation", "nation", "info", "failed", "pe WHERE av > 0", extra_cols="cand",
+                 evidence="""'{"allowed_values":["0","1","2"],"unexpected_values":' || hist || ',"failed_row_count":' || av || '}'"""),
+        _finding("r_people", "people", "''", 70, "range_violation", "balance", "balance", "warning", "failed", "pe WHERE lo > 0"),
+        _finding("r_people", "people", "''", 80, "pattern_violation", "name", "name", "warning", "skipped", "pe"),
+        _finding("r_people", "people", "''", 90, "length_violation", "name", "name", "error", "failed", "pe WHERE short > 0"),
+        _finding("r_people", "people", "''", 100, "freshness_violation", "name", "name", "warning", "skipped", "pe",
+                 evidence="""'{"latest_value":null,"reference_date":"2001-12-31","max_age_days":30,"observed_age_days":null}'"""),
+        _finding("r_people", "people", "''", 101, "freshness_violation", "day", "day", "warning", "warning", "pe WHERE age > 30",
+                 evidence="""'{"latest_value":"' || strftime(latest, '%Y-%m-%dT00:00:00') ||
+                 '","reference_date":"2001-12-31","max_age_days":30,"observed_age_days":' || age || '}'"""),
+        _finding("r_people", "people", "''", 110, "row_count_violation", None, "", "info", "warning", "pe WHERE n > 10", extra_cols="CAST(n AS VARCHAR)",
+                 evidence="""'{"row_count":' || n || ',"min_allowed":null,"max_allowed":10}'"""),
+        _finding("r_supplier", "supplier", "''", 110, "row_count_violation", None, "", "info", "warning", "su WHERE n > 1", extra_cols="CAST(n AS VARCHAR)",
+                 evidence="""'{"row_count":' || n || ',"min_allowed":null,"max_allowed":1}'"""),
+        _finding("r_part", "part", "''", 70, "range_violation", "p_size", "p_size", "warning", "failed", "pt WHERE hi > 0"),
+        _finding("r_segments", "segments", "label", 70, "range_violation", "c_acctbal", "c_acctbal", "error", "failed", "sg_ WHERE lo > 0"),
+        _finding("r_segments", "segments", "label", 110, "row_count_violation", None, "", "warning", "warning", "sg_", extra_cols="CAST(n AS VARCHAR)",
+                 evidence="""'{"row_count":' || n || ',"min_allowed":1000000000,"max_allowed":null}'"""),
     ])
     TRIAGE_CTE = f"""WITH om AS (SELECT date_trunc('month', o_orderdate) m, count(*) n,
         count(*) FILTER (o_totalprice > 499000) hi FROM orders GROUP BY 1),
@@ -427,7 +660,20 @@ def _build_triage(o: dict[str, str]) -> None:
         count(*) FILTER (NOT regexp_full_match(c_name, 'Customer#[0-9]{{9}}')) pat,
         count(*) - count(DISTINCT c_custkey) dup,
         (SELECT '["' || string_agg(v, '","' ORDER BY n DESC, v) || '"]' FROM (SELECT c_mktsegment v, count(*) n
-          FROM customer WHERE c_mktsegment NOT IN ({seg}) GROUP BY 1 ORDER BY n DESC, v LIMIT 20)) cand FROM customer),
+          FROM customer WHERE c_mktsegment NOT IN ({seg}) GROUP BY 1 ORDER BY n DESC, v LIMIT 20)) cand,
+        (SELECT '{{' || string_agg('"' || v || '":' || n, ',' ORDER BY n DESC, v) || '}}' FROM (SELECT c_mktsegment v, count(*) n
+          FROM customer WHERE c_mktsegment NOT IN ({seg}) GROUP BY 1 ORDER BY n DESC, v LIMIT 20)) hist FROM customer),
+      pe AS (SELECT count(*) n, count(*) FILTER (c_custkey % 7 = 0) seg_nulls, count(*) FILTER (c_nationkey NOT IN (0, 1, 2)) av,
+        count(*) FILTER (c_acctbal < 0) lo, count(*) FILTER (length(c_name) < 19) short, count(*) - count(DISTINCT c_nationkey) nk_dup,
+        max(DATE '2001-01-01' + CAST(c_custkey % 300 AS INTEGER)) latest,
+        date_diff('day', max(DATE '2001-01-01' + CAST(c_custkey % 300 AS INTEGER)), DATE '2001-12-31') age,
+        (SELECT '["' || string_agg(v, '","' ORDER BY n DESC, v) || '"]' FROM (SELECT CAST(c_nationkey AS VARCHAR) v, count(*) n
+          FROM customer WHERE c_nationkey NOT IN (0, 1, 2) GROUP BY 1 ORDER BY n DESC, v LIMIT 20)) cand,
+        (SELECT '{{' || string_agg('"' || v || '":' || n, ',' ORDER BY n DESC, v) || '}}' FROM (SELECT CAST(c_nationkey AS VARCHAR) v, count(*) n
+          FROM customer WHERE c_nationkey NOT IN (0, 1, 2) GROUP BY 1 ORDER BY n DESC, v LIMIT 20)) hist FROM customer),
+      su AS (SELECT count(*) n FROM supplier),
+      pt AS (SELECT count(*) n, count(*) FILTER (p_size > 10) hi FROM part),
+      sg_ AS (SELECT * FROM {SEGMENTS_CTE}),
       na AS (SELECT count(*) - count(n_nationkey) nk_nulls, count(*) - count(n_name) nm_nulls,
         count(*) - count(DISTINCT n_nationkey) dup, count(*) FILTER (n_regionkey < 0 OR n_regionkey > 4) out_of_range
         FROM nation),
@@ -437,11 +683,19 @@ def _build_triage(o: dict[str, str]) -> None:
         UNION ALL SELECT 'r_lineitem', 'lineitem', 'l_returnflag=' || l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag
         UNION ALL SELECT 'r_lineitem', 'lineitem', '', count(*) FROM lineitem
         UNION ALL SELECT 'r_customer', 'customer', '', count(*) FROM customer
-        UNION ALL SELECT 'r_nation', 'nation', '', count(*) FROM nation),
+        UNION ALL SELECT 'r_nation', 'nation', '', count(*) FROM nation
+        UNION ALL SELECT 'r_people', 'people', '', count(*) FROM customer
+        UNION ALL SELECT 'r_supplier', 'supplier', '', count(*) FROM supplier
+        UNION ALL SELECT 'r_part', 'part', '', count(*) FROM part
+        UNION ALL SELECT 'r_segments', 'segments', label, n FROM sg_
+        UNION ALL SELECT 'r_segments', 'segments', '', count(*) FROM customer),
       cc AS (SELECT 'orders' ds, count(*) ncol FROM pragma_table_info('orders')
         UNION ALL SELECT 'lineitem', count(*) FROM pragma_table_info('lineitem')
         UNION ALL SELECT 'customer', count(*) FROM pragma_table_info('customer')
-        UNION ALL SELECT 'nation', count(*) FROM pragma_table_info('nation')),
+        UNION ALL SELECT 'nation', count(*) FROM pragma_table_info('nation')
+        UNION ALL SELECT 'people', 7 UNION ALL SELECT 'supplier', count(*) FROM pragma_table_info('supplier')
+        UNION ALL SELECT 'part', count(*) FROM pragma_table_info('part')
+        UNION ALL SELECT 'segments', count(*) + 1 FROM pragma_table_info('customer')),
       f AS ({findings}),
       c AS (SELECT *,
         CASE WHEN status = 'skipped' THEN 'not_applicable'
@@ -488,7 +742,16 @@ def _build_triage(o: dict[str, str]) -> None:
             WHEN 'allowed_values_violation' THEN '{{"candidate_values":' || extra || '}}'
             WHEN 'nullability_violation' THEN '{{"nullable":true}}'
             WHEN 'row_count_violation' THEN '{{"observed_row_count":' || extra || '}}'
-            ELSE '{{}}' END AS proposed_change
+            WHEN 'type_mismatch' THEN '{{"observed_type":"integer"}}'
+            ELSE '{{}}' END AS proposed_change,
+          CASE rule_type WHEN 'unexpected_column' THEN 'Column appeared in the dataset but is not declared in the contract.'
+            WHEN 'allowed_values_violation' THEN 'Dataset contains values outside the declared allowed_values.'
+            WHEN 'nullability_violation' THEN 'Nulls were observed in a column declared as non-nullable. Confirm data quality before loosening contract constraints.'
+            WHEN 'type_mismatch' THEN 'Observed type differs from declared type.'
+            WHEN 'freshness_violation' THEN 'Latest observed value is older than the allowed freshness window.'
+            ELSE 'Observed row volume is outside declared bounds; review extraction behavior or row_count expectations.' END AS reason,
+          CASE WHEN rule_type = 'nullability_violation' THEN replace(ev, '}}', ',"note":"Not an automatic recommendation to relax the contract."}}')
+            ELSE ev END AS evidence
         FROM f WHERE rule_type IN ('unexpected_column', 'allowed_values_violation', 'nullability_violation',
           'type_mismatch', 'freshness_violation', 'row_count_violation')),
       rec AS (
@@ -532,7 +795,7 @@ def _build_triage(o: dict[str, str]) -> None:
       CASE WHEN status = 'skipped' THEN 'Resolve setup prerequisites, then rerun validation.' ELSE suggested_action END
         AS recommended_human_action FROM c"""
     o["suggestions"] = f"""{TRIAGE_CTE} SELECT {k}, suggestion_id, suggestion_type, target_path, confidence,
-      proposed_change FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY seq) rn FROM s) WHERE rn <= 20"""
+      proposed_change, reason, evidence FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY seq) rn FROM s) WHERE rn <= 20"""
     o["suggestions_capped"] = f"""{TRIAGE_CTE} SELECT {k}, suggestion_id, CAST(rn AS INTEGER) AS suggestion_rank
       FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY seq) rn FROM s) WHERE rn <= 2"""
     o["recommendations"] = f"""{TRIAGE_CTE} SELECT {k}, recommendation_id, priority, category, linked_finding_ids FROM recs"""

@@ -30,9 +30,15 @@ def _head(df: DataFrame) -> list[Column]:
     return [F.col("dataset_name"), F.col("finding_id"), F.col("rule_type"), F.col("severity"), F.col("status")]
 
 
+def _findings(spark, df, name, contract, **kw) -> DataFrame:
+    """All findings of a contract, whole, with their evidence."""
+    v = I.run(spark, df, contract, dataset_name=name, reference_date=I.ORDERS_REFERENCE_DATE, **kw)
+    return v.findings.select("dataset_name", "finding_id", "rule_type", "severity", "status", "message", "evidence", "suggested_action")
+
+
 def _rule(spark, df, name, contract, rule_type, extra, **kw) -> DataFrame:
     kw.setdefault("reference_date", I.ORDERS_REFERENCE_DATE)
-    v = I.run(spark, df, contract, dataset_name=name, **kw)
+    v = I.run(spark, df, contract, dataset_name=name, rule_types=[rule_type], **kw)
     f = v.findings.where(F.col("rule_type") == rule_type)
     return f.select(*_head(f), *extra)
 
@@ -77,6 +83,25 @@ def q_profile_top_values(spark, sf):
         F.col("tv.count").alias("count"))
 
 
+def q_profile_top_values_text(spark, sf):
+    """Top values and samples of long text and of a flag; texts by their md5."""
+    p = profile(I.table(spark, sf, "documents").select("text", "lang"))
+    top = p.select("column", F.lit("top").alias("list"), F.posexplode("top_values").alias("pos", "e")).select(
+        "column", "list", "pos", F.md5("e.value").alias("value_md5"), F.col("e.count").alias("count"))
+    sample = p.select("column", F.lit("sample").alias("list"), F.posexplode("sample_values").alias("pos", "v")).select(
+        "column", "list", "pos", F.md5("v").alias("value_md5"), F.lit(None).cast("bigint").alias("count"))
+    sizes = p.select("column", F.lit("distinct").alias("list"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("value_md5"),
+                     F.col("distinct_count").alias("count"))
+    return top.unionByName(sample).unionByName(sizes)
+
+
+def q_profile_samples_ordered(spark, sf):
+    """The first values in row order."""
+    o = I.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    p = profile(o, frequency_columns=["o_orderstatus", "o_orderpriority"], order_by=["o_orderkey"], sample_values=7)
+    return p.where(F.col("column") != "o_orderkey").select("column", F.array_join("sample_values", "|").alias("sample_values"))
+
+
 def q_profile_samples(spark, sf):
     p = _part_profile(spark, sf)
     return p.select("column", F.posexplode("sample_values").alias("pos", "value")).select(
@@ -85,7 +110,10 @@ def q_profile_samples(spark, sf):
 
 def q_profile_numeric_range(spark, sf):
     o = I.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return profile(o, frequency_columns=[]).select("column", "numeric_min", "numeric_max")
+    big = profile(I.big_keys(spark, sf).select("big"), frequency_columns=[])
+    both = profile(o, frequency_columns=[]).unionByName(big)
+    exact = [F.when(F.col("physical_type") == "bigint", F.col(f"numeric_{m}_text")).alias(f"{m}_exact") for m in ("min", "max")]
+    return both.select("column", "numeric_min", "numeric_max", *exact)
 
 
 def q_profile_datetime_range(spark, sf):
@@ -137,22 +165,22 @@ def q_v_type_mismatch(spark, sf):
     text = _rule(spark, I.text_orders(spark, sf), "text_orders",
                  _contract("t", {"int_txt": {"type": "integer"}, "num_txt": {"type": "integer"},
                                  "bool_txt": {"type": "boolean"}, "date_txt": {"type": "datetime"},
-                                 "dt_txt": {"type": "date"}, "str_txt": {"type": "string"},
+                                 "dt_txt": {"type": "date"}, "zoned_txt": {"type": "date"}, "str_txt": {"type": "string"},
                                  "empty_txt": {"type": "integer"}, "mixed_txt": {"type": "integer"}}),
                  "type_mismatch", [_ev("expected_type", "string"), _ev("observed_type", "string")])
     return orders.unionByName(text)
 
 
 def q_v_missing_required(spark, sf):
-    v = I.customer_run(spark, sf)
-    f = v.findings.where(F.col("rule_type") == "missing_required_column")
-    return f.select(*_head(f), _ev("expected_column", "string"))
+    c = {"contract": {"name": "contacts", "version": "1"}, "schema": {"allow_unexpected_columns": True},
+         "columns": {"c_custkey": {}, "c_email": {}, "c_fax": {"severity": "warning"}, "c_pager": {"required": False}},
+         "row_count": {"min": 1000000000}}
+    return _findings(spark, I.table(spark, sf, "customer"), "customer", c)
 
 
 def q_v_unexpected(spark, sf):
-    v = I.customer_run(spark, sf)
-    f = v.findings.where(F.col("rule_type") == "unexpected_column")
-    return f.select(*_head(f), _ev("unexpected_column", "string"))
+    c = {"contract": {"name": "parts", "version": "1"}, "columns": {"p_partkey": {}, "p_size": {"max": 10}}}
+    return _findings(spark, I.table(spark, sf, "part"), "part", c)
 
 
 def q_v_row_count(spark, sf):
@@ -195,10 +223,19 @@ def q_v_pattern(spark, sf):
     return p.unionByName(e).unionByName(c)
 
 
+def q_v_pattern_text(spark, sf):
+    """Long texts that fail a pattern: their number and, by md5, the smallest of them."""
+    samples = F.from_json(F.get_json_object("evidence", "$.sample_failed_values"), "array<string>")
+    return _rule(spark, I.table(spark, sf, "documents"), "documents",
+                 _contract("d", {"text": {"pattern": "[^|]*"}}), "pattern_violation",
+                 [_ev("failed_row_count"), F.array_join(F.transform(samples, F.md5), ",").alias("samples_md5")])
+
+
 def q_v_pattern_skipped(spark, sf):
-    c = _rule(spark, I.table(spark, sf, "customer"), "customer",
-              _contract("c", {"c_name": {"pattern": "["}}), "pattern_violation", [_ev("pattern", "string")])
-    return c
+    """Patterns that are invalid, that hold and that fail, side by side."""
+    c = _contract("c", {"c_name": {"pattern": "["}, "c_mktsegment": {"pattern": "[A-Z]{,8}"},
+                        "c_nationkey": {"pattern": "(?P<a_b>[0-9])+"}})
+    return _findings(spark, I.table(spark, sf, "customer"), "customer", c)
 
 
 def q_v_length(spark, sf):
@@ -215,14 +252,44 @@ def _unique_extra() -> list[Column]:
 
 
 def q_v_unique_column(spark, sf):
+    """Duplicates of long text and of a number; sample keys by the md5 of their values."""
+    def extra(c):
+        keys = F.from_json(F.get_json_object("evidence", "$.sample_duplicate_keys"), "array<map<string,string>>")
+        return [*_unique_extra(), F.array_join(F.transform(keys, lambda k: F.md5(k[c])), ",").alias("samples_md5")]
+
     d = _rule(spark, I.table(spark, sf, "documents"), "documents",
-              _contract("d", {"text": {"unique": True}}), "uniqueness_violation", _unique_extra())
+              _contract("d", {"text": {"unique": True}}), "uniqueness_violation", extra("text"))
     c = _rule(spark, I.table(spark, sf, "customer"), "customer",
               _contract("c", {"c_nationkey": {"unique": True}, "c_custkey": {"unique": True}}),
-              "uniqueness_violation", _unique_extra())
+              "uniqueness_violation", extra("c_nationkey"))
     return d.unionByName(c)
 
 
+def q_v_unique_nan(spark, sf):
+    """NaN and null are one key."""
+    return _rule(spark, I.big_keys(spark, sf), "big_keys", _contract("n", {"part_nan": {"unique": True}}), "uniqueness_violation",
+                 _unique_extra())
+
+
+def q_v_allowed_dates(spark, sf):
+    extra = [_ev("failed_row_count"), F.get_json_object("evidence", "$.unexpected_values").alias("unexpected_values")]
+    days = ["1995-01-01", "1996/05/05", "1997-02-03T00:00:00", "no date"]
+    return _rule(spark, I.big_keys(spark, sf), "big_keys",
+                 _contract("d", {"day": {"allowed_values": days}, "moment": {"allowed_values": days}}), "allowed_values_violation", extra)
+
+
+def q_v_range_bigint(spark, sf):
+    """Bounds and allowed values beyond 2^53, compared exactly."""
+    base = 1 << 53
+    c = _contract("b", {"big": {"min": base + 5, "max": base + 1001}, "dec": {"max": base + 1001}})
+    r = _rule(spark, I.big_keys(spark, sf), "big_keys", c, "range_violation",
+              [_ev("below_min_count"), _ev("above_max_count"), _ev("observed_min"), _ev("observed_max"), F.lit(None).cast("bigint").alias("failed_row_count")])
+    a = _rule(spark, I.big_keys(spark, sf), "big_keys", _contract("b", {"big": {"allowed_values": [base + 1, base + 2, 7]}}),
+              "allowed_values_violation", [*[F.lit(None).cast("bigint").alias(n) for n in
+                                             ("below_min_count", "above_max_count", "observed_min", "observed_max")], _ev("failed_row_count")])
+    return r.unionByName(a)
+
+
 def q_v_unique_composite(spark, sf):
     extra = _unique_extra() + [F.get_json_object("evidence", "$.sample_duplicate_keys").alias("sample_duplicate_keys")]
     li = _rule(spark, I.table(spark, sf, "lineitem"), "lineitem", I.LINEITEM_KEY_CONTRACT, "uniqueness_violation", extra)
@@ -233,10 +300,11 @@ def q_v_unique_composite(spark, sf):
 
 
 def q_v_unique_skipped(spark, sf):
-    c = _contract("l", {"l_orderkey": {}}, uniqueness=[{"name": "bad_key", "columns": ["l_orderkey", "l_missing"]}])
-    return _rule(spark, I.table(spark, sf, "lineitem"), "lineitem", c, "uniqueness_violation",
-                 [F.array_join(F.from_json(F.get_json_object("evidence", "$.missing_columns"), "array<string>"),
-                               ",").alias("missing_columns")])
+    """A uniqueness rule that cannot run beside rules that do."""
+    c = _contract("l", {"l_orderkey": {}, "l_linenumber": {"max": 3}},
+                  uniqueness=[{"name": "bad_key", "columns": ["l_orderkey", "l_missing"]},
+                              {"name": "line", "columns": ["l_linenumber"], "severity": "info"}])
+    return _findings(spark, I.table(spark, sf, "lineitem"), "lineitem", c)
 
 
 def q_v_freshness(spark, sf):
@@ -250,7 +318,10 @@ def q_v_freshness(spark, sf):
     t = _rule(spark, I.text_orders(spark, sf), "text_orders",
               _contract("t", {"date_txt": {"freshness": {"max_age_days": 30}}}), "freshness_violation", extra,
               reference_date=dt.date(2001, 12, 31))
-    return o.unionByName(e).unionByName(t)
+    z = _rule(spark, I.text_orders(spark, sf), "text_orders",
+              _contract("t", {"zoned_txt": {"freshness": {"max_age_days": 30}}}), "freshness_violation", extra,
+              reference_date=dt.date(2001, 12, 31))
+    return o.unionByName(e).unionByName(t).unionByName(z)
 
 
 def q_v_freshness_skipped(spark, sf):
@@ -292,48 +363,56 @@ def q_findings_lineitem(spark, sf):
 def q_findings_by_slice(spark, sf):
     a = I.orders_monthly(spark, sf).findings
     b = I.lineitem_by_flag(spark, sf).findings
-    f = a.unionByName(b)
+    f = a.unionByName(b).unionByName(I.sliced_segments(spark, sf).findings)
     return f.select("dataset_name", "slice", "finding_id", "rule_type", "status", _ev("above_max_count"),
-                    _ev("row_count"), _ev("duplicate_key_count"), _ev("duplicate_row_count"))
+                    _ev("row_count"), _ev("duplicate_key_count"), _ev("duplicate_row_count"), _ev("below_min_count"))
 
 
 def q_src_csv_na_tokens(spark, sf):
-    """CSV round trip under the shared checkpoint folder: NA tokens become null."""
+    """CSV round trip under the shared checkpoint folder: NA tokens become null; quotes, commas and line feeds stay in their cells."""
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}"
     c = I.table(spark, sf, "customer")
     tokens = F.element_at(F.array(F.lit("NA"), F.lit("null"), F.lit("#N/A"), F.lit(""), F.lit("nan")),
                           (F.col("c_custkey") % 5 + 1).cast("int"))
     out = c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, tokens).otherwise(F.col("c_mktsegment")).alias("seg"),
-                   F.col("c_acctbal"))
-    out.write.mode("overwrite").option("header", True).csv(path)
+                   F.col("c_acctbal"),
+                   F.format_string('say "%s", then\n"%s", %d', "c_name", "c_mktsegment", "c_nationkey").alias("remark"))
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     back = read_table(spark, path, fmt="csv")
-    p = profile(back, frequency_columns=[])
-    return p.select("column", "physical_type", "observed_type", "row_count", "null_count")
+    p = profile(back, frequency_columns=["remark"], top_values=0, sample_values=3)
+    return p.select("column", "physical_type", "observed_type", "row_count", "null_count", "distinct_count", "string_max_length",
+                    F.array_join("sample_values", "~").alias("samples"))
 
 
 # -- contract documents (one per customer row) ------------------------------------
 
 def q_contract_header(spark, sf):
     from tablepact.sources.contracts import contract_header
-    h = contract_header(spark, I.customer_contracts(spark, sf))
+    h = contract_header(spark, I.customer_contracts(spark, sf).unionByName(I.lint_contracts(spark, sf)))
     return h.select("contract_name", "contract_version", "owner", "allow_unexpected_columns")
 
 
 def q_contract_rules(spark, sf):
     from tablepact.sources.contracts import contract_rules
-    r = contract_rules(spark, I.customer_contracts(spark, sf))
+    docs = I.customer_contracts(spark, sf).unionByName(I.lint_contracts(spark, sf).where("doc LIKE '%\"owner\"%'"))
+    r = contract_rules(spark, docs)
     return r.selectExpr(
-        "contract_name", "contract_version", "rule_type", "array_join(columns, ',') AS columns", "severity",
+        "contract_name", "contract_version", "rule_type", "array_join(columns, ',') AS columns", "severity", "rule_name", "expected_type",
         "CASE WHEN rule_type = 'range_violation' THEN min_value END AS min_value",
+        "CASE WHEN rule_type = 'range_violation' THEN max_text END AS max_text",
         "CASE WHEN rule_type = 'allowed_values_violation' THEN array_join(transform(allowed_values, "
         "x -> x.value), ',') END AS allowed_values",
+        "CASE WHEN rule_type = 'pattern_violation' THEN pattern END AS pattern",
+        "CASE WHEN rule_type = 'length_violation' THEN min_length END AS min_length",
+        "CASE WHEN rule_type = 'length_violation' THEN max_length END AS max_length",
+        "CASE WHEN rule_type = 'freshness_violation' THEN max_age_days END AS max_age_days", "min_rows", "max_rows",
         "array_join(declared_columns, ',') AS declared_columns")
 
 
 def q_contract_lint(spark, sf):
     from tablepact.sources.contracts import contract_lint
-    return contract_lint(spark, I.customer_contracts(spark, sf))
+    return contract_lint(spark, I.customer_contracts(spark, sf).unionByName(I.lint_contracts(spark, sf)))
 
 
 # -- triage over many keys ------------------------------------------------------------
@@ -350,35 +429,27 @@ def q_classify(spark, sf):
 
 
 def q_failures_table(spark, sf):
-    f, _, c = _triaged(spark, sf)
-    return triage.failures_table(f, c).drop("seq")
-
-
-def _customer_suggestions(spark, sf, cap=20):
-    v = I.customer_run(spark, sf)
-    p = profile(I.table(spark, sf, "customer"), run_id="r_customer", dataset_name="customer")
-    return v, triage.suggestions(v.findings, p, max_suggestions=cap)
+    _, _, c = _triaged(spark, sf)
+    return triage.failures_table(c).drop("seq")
 
 
 def q_suggestions(spark, sf):
     findings, runs, _ = _triaged(spark, sf)
-    cust = I.table(spark, sf, "customer")
-    p = profile(cust, run_id="r_customer", dataset_name="customer")
-    s = triage.suggestions(findings, p)
+    s = triage.suggestions(findings, I.triage_profiles(spark, sf))
     return s.select("run_id", "dataset_name", "slice", "suggestion_id", "suggestion_type", "target_path",
-                    "confidence", "proposed_change")
+                    "confidence", "proposed_change", "reason", "evidence")
 
 
 def q_suggestions_capped(spark, sf):
     findings, _, _ = _triaged(spark, sf)
-    p = profile(I.table(spark, sf, "customer"), run_id="r_customer", dataset_name="customer")
+    p = I.triage_profiles(spark, sf)
     s = triage.suggestions(findings, p, max_suggestions=2)
     return s.select("run_id", "dataset_name", "slice", "suggestion_id", "suggestion_rank")
 
 
 def _recs(spark, sf):
     findings, runs, c = _triaged(spark, sf)
-    p = profile(I.table(spark, sf, "customer"), run_id="r_customer", dataset_name="customer")
+    p = I.triage_profiles(spark, sf)
     s = triage.suggestions(findings, p)
     return review.recommendations(c, s, runs)
 
@@ -422,7 +493,7 @@ def q_finding_counts(spark, sf):
 
 def q_suggestion_counts(spark, sf):
     findings, _, _ = _triaged(spark, sf)
-    p = profile(I.table(spark, sf, "customer"), run_id="r_customer", dataset_name="customer")
+    p = I.triage_profiles(spark, sf)
     return summaries.suggestion_counts(triage.suggestions(findings, p))
 
 
@@ -432,14 +503,14 @@ def q_run_summary(spark, sf):
 
 
 def q_high_priority(spark, sf):
-    f, _, c = _triaged(spark, sf)
-    return summaries.high_priority(f, c).select("run_id", "dataset_name", "slice", "finding_id", "rule_type",
+    _, _, c = _triaged(spark, sf)
+    return summaries.high_priority(c).select("run_id", "dataset_name", "slice", "finding_id", "rule_type",
                                                 "column", "message", "recommended_human_action")
 
 
 def q_redacted_summary(spark, sf):
     findings, runs, c = _triaged(spark, sf)
-    p = profile(I.table(spark, sf, "customer"), run_id="r_customer", dataset_name="customer")
+    p = I.triage_profiles(spark, sf)
     s = triage.suggestions(findings, p)
     r = review.recommendations(c, s, runs)
     out = summaries.redacted_summary(c, s, r, runs)
@@ -464,6 +535,8 @@ QUERIES: dict[str, Query] = {
     "profile_distinct": q_profile_distinct,
     "profile_top_values": q_profile_top_values,
     "profile_samples": q_profile_samples,
+    "profile_top_values_text": q_profile_top_values_text,
+    "profile_samples_ordered": q_profile_samples_ordered,
     "profile_numeric_range": q_profile_numeric_range,
     "profile_datetime_range": q_profile_datetime_range,
     "profile_string_length": q_profile_string_length,
@@ -477,7 +550,11 @@ QUERIES: dict[str, Query] = {
     "v_allowed_values": q_v_allowed_values,
     "v_range": q_v_range,
     "v_pattern": q_v_pattern,
+    "v_pattern_text": q_v_pattern_text,
     "v_pattern_skipped": q_v_pattern_skipped,
+    "v_allowed_dates": q_v_allowed_dates,
+    "v_range_bigint": q_v_range_bigint,
+    "v_unique_nan": q_v_unique_nan,
     "v_length": q_v_length,
     "v_unique_column": q_v_unique_column,
     "v_unique_composite": q_v_unique_composite,

@@ -1,55 +1 @@
 """SQL expression-text helpers (no actions, no UDFs); parse with ``F.expr``."""
-
-from tablepact.functions.patterns import full_match, pattern_error, to_java
-from tablepact.functions.values import (
-    EMPTY,
-    LOGICAL_TYPES,
-    as_number,
-    as_timestamp,
-    code_counters,
-    family,
-    has_time,
-    ident,
-    is_bool_text,
-    is_int_text,
-    is_num_text,
-    iso_text,
-    lit,
-    native_observed_type,
-    nullified,
-    num_from_text,
-    observed_type_expr,
-    string_form,
-    text_code,
-    text_ts,
-    ts_from_text,
-    value_text,
-)
-
-__all__ = [
-    "EMPTY",
-    "LOGICAL_TYPES",
-    "as_number",
-    "as_timestamp",
-    "code_counters",
-    "family",
-    "full_match",
-    "has_time",
-    "ident",
-    "is_bool_text",
-    "is_int_text",
-    "is_num_text",
-    "iso_text",
-    "lit",
-    "native_observed_type",
-    "nullified",
-    "num_from_text",
-    "observed_type_expr",
-    "pattern_error",
-    "string_form",
-    "text_code",
-    "text_ts",
-    "to_java",
-    "ts_from_text",
-    "value_text",
-]

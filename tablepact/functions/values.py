@@ -10,6 +10,8 @@ All text parsers are regex-guarded ``try_*`` casts (ANSI mode is on).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
 # Characters Python's str.strip() removes in the ASCII range.
@@ -26,6 +28,9 @@ NUM_RE = (r"\A[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 NUM_LEADS = ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "+", "-", ".", "i", "I", "n", "N")
 # Date-time text accepted by the ladder (fixed list of layouts).
 ISO_RE = r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?)?\z"
+# The same with a time zone: Z or an offset from UTC.
+ZONED_RE = r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)? ?([Zz]|[+-][0-9]{2}:?[0-9]{2})\z"
+ZONE_RE = r" ?([Zz]|[+-][0-9]{2}:?[0-9]{2})\z"
 SLASH_YMD_RE = r"\A[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\z"
 SLASH_MDY_RE = r"\A[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z"
 DMONY_RE = r"\A[0-9]{1,2} [A-Za-z]{3} [0-9]{4}\z"
@@ -110,11 +115,18 @@ def _parse(t: str, guard: str, fmt: str, arg: str | None = None) -> str:
             f"CAST(try_to_timestamp({arg or t}, {lit(fmt)}) AS TIMESTAMP_NTZ) END")
 
 
+def _utc(t: str) -> str:
+    """UTC time of ISO text with a zone (Spark's cast wants a colon in offsets and an upper-case Z)."""
+    plain = f"regexp_replace(upper({t}), '([+-][0-9]{{2}})([0-9]{{2}})$', '$1:$2')"
+    return f"timestampadd(MICROSECOND, unix_micros(try_cast({plain} AS TIMESTAMP)), TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+
+
 def ts_from_text(x: str) -> str:
-    """Timestamp (NTZ) from a fixed list of date / date-time layouts."""
+    """Timestamp (NTZ) from a fixed list of date / date-time layouts; text with a zone gives its time in UTC."""
     t = trimmed(x)
     return ("coalesce("
             f"CASE WHEN {t} RLIKE {lit(ISO_RE)} THEN try_cast({t} AS TIMESTAMP_NTZ) END, "
+            f"CASE WHEN {t} RLIKE {lit(ZONED_RE)} THEN {_utc(t)} END, "
             f"{_parse(t, SLASH_YMD_RE, 'yyyy/M/d')}, "
             f"{_parse(t, SLASH_MDY_RE, 'M/d/yyyy')}, "
             f"{_parse(t, SLASH_MDY_RE, 'd/M/yyyy')}, "
@@ -142,6 +154,31 @@ def as_number(x: str, dtype: T.DataType) -> str:
     return "CAST(NULL AS DOUBLE)"
 
 
+def own_number(x: str, dtype: T.DataType) -> str:
+    """Numeric value in the column's own type where that is exact (integers, decimals), else double."""
+    if isinstance(dtype, T.DecimalType) or family(dtype) == "integer":
+        return x
+    return as_number(x, dtype)
+
+
+def exact_number(text: str) -> str | None:
+    """A number's text as an exact decimal literal, None if it has no such form."""
+    plain = re.fullmatch(r"([+-]?)0*([0-9]*)(?:\.([0-9]*))?", text.strip())
+    if not plain or not (plain[2] or plain[3]):
+        return None
+    whole, fraction = plain[2] or "0", (plain[3] or "").rstrip("0")
+    if len(whole) + len(fraction) > 38:
+        return None
+    sign = "-" if plain[1] == "-" else ""
+    return f"{sign}{whole}{'.' + fraction if fraction else ''}BD"
+
+
+def number_literal(text: str, dtype: T.DataType) -> str:
+    """A contract number as SQL text to compare with ``own_number`` of a column."""
+    exact = exact_number(text) if isinstance(dtype, T.DecimalType) or family(dtype) == "integer" else None
+    return exact or lit(float(text))
+
+
 def as_timestamp(x: str, dtype: T.DataType) -> str:
     """Timestamp coercion used by freshness and datetime min/max."""
     fam = family(dtype)
@@ -206,11 +243,13 @@ def text_code(v: str, ts: str) -> str:
     numeric regexes run only when the first character can start a number.
     """
     t = trimmed(v)
+    wall = f"try_cast(regexp_replace({t}, {lit(ZONE_RE)}, '') AS TIMESTAMP_NTZ)"  # a zoned value's own clock
     return (f"(CASE WHEN {v} IS NULL THEN NULL "
             f"WHEN lower({t}) IN ('true', 'false') THEN 'b' "
             f"WHEN NOT (substring({t}, 1, 1) IN ({lits(list(NUM_LEADS))})) THEN 's' "
             f"WHEN {t} RLIKE {lit(INT_RE)} THEN 'i' "
             f"WHEN {t} RLIKE {lit(NUM_RE)} THEN 'f' "
+            f"WHEN {t} RLIKE {lit(ZONED_RE)} AND {ts} IS NOT NULL THEN (CASE WHEN {has_time(wall)} THEN 't' ELSE 'd' END) "
             f"WHEN {ts} IS NOT NULL THEN (CASE WHEN {has_time(ts)} THEN 't' ELSE 'd' END) "
             f"ELSE 's' END)")
 

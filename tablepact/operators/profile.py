@@ -4,10 +4,12 @@
   from one fused aggregate per slice, reshaped by ``inline`` to one row per
   column.
 * Frequency metrics (distinct count, top values, samples) come from one
-  unpivoted ``(slice, column, value) -> count`` table: a single Expand and a
-  map-side-combined hash aggregate.  Top-k windows filter on ``row_number``
-  so Spark inserts a partial window-group limit before their exchange: each
-  task ships at most k rows per column, never a whole column.
+  unpivoted ``(slice, column, key) -> count`` table: a single Expand and a
+  map-side-combined hash aggregate on keys of bounded size (see
+  ``plans.ordered``).  Top-k windows filter on ``rank``, so Spark inserts a
+  partial window-group limit before their exchange.  If a string column is
+  among the counted ones, this table's selection is computed when ``profile`` is
+  called, to know how many long strings are to be fetched.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import types as T
 
 from tablepact.functions import values
 from tablepact.functions.values import ident, lit
-from tablepact.plans.frames import ALL, combine_slices, per_slice_agg, qcol, slice_text, spread, with_slices
+from tablepact.plans import ordered
+from tablepact.plans.frames import combine_slices, per_slice_agg, qcol, with_slices
 
 PROFILE_STRUCT = T.StructType(
     [
@@ -34,6 +37,8 @@ PROFILE_STRUCT = T.StructType(
         T.StructField("non_null_count", T.LongType()),
         T.StructField("numeric_min", T.DoubleType()),
         T.StructField("numeric_max", T.DoubleType()),
+        T.StructField("numeric_min_text", T.StringType()),
+        T.StructField("numeric_max_text", T.StringType()),
         T.StructField("datetime_min", T.StringType()),
         T.StructField("datetime_max", T.StringType()),
         T.StructField("string_min_length", T.IntegerType()),
@@ -63,12 +68,13 @@ def _column_metrics(c: str, i: int, dtype: T.DataType) -> tuple[dict, dict, dict
     else:
         observed = f"(CASE WHEN {n} = 0 THEN '{values.EMPTY}' ELSE '{native}' END)"
     numeric = ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
+    exact = ("CAST(NULL AS STRING)", "CAST(NULL AS STRING)")
     if fam in ("integer", "number", "text"):
-        f1[f"num_{i}"] = values.as_number(x, dtype)
+        f1[f"num_{i}"] = values.own_number(x, dtype)
         aggs.update({f"nmin_{i}": f"min({ident(f'num_{i}')})", f"nmax_{i}": f"max({ident(f'num_{i}')})"})
         is_num = f"{observed} IN ('integer', 'number')"
-        numeric = (f"CASE WHEN {is_num} THEN {ident(f'nmin_{i}')} END",
-                   f"CASE WHEN {is_num} THEN {ident(f'nmax_{i}')} END")
+        numeric, exact = (tuple(f"CASE WHEN {is_num} THEN CAST({ident(f'{m}_{i}')} AS {t}) END" for m in ("nmin", "nmax"))
+                          for t in ("DOUBLE", "STRING"))
     temporal = ("CAST(NULL AS STRING)", "CAST(NULL AS STRING)")
     if fam in ("date", "datetime", "text"):
         aggs.update({f"tmin_{i}": f"min({ts})", f"tmax_{i}": f"max({ts})"})
@@ -88,68 +94,74 @@ def _column_metrics(c: str, i: int, dtype: T.DataType) -> tuple[dict, dict, dict
         f"'observed_type', {observed}, 'row_count', {rows}, 'null_count', {rows} - {n}, "
         f"'null_percentage', CASE WHEN {rows} > 0 THEN bround(({rows} - {n}) * 100.0D / {rows}, 2) ELSE 0.0D END, "
         f"'non_null_count', {n}, 'numeric_min', {numeric[0]}, 'numeric_max', {numeric[1]}, "
+        f"'numeric_min_text', {exact[0]}, 'numeric_max_text', {exact[1]}, "
         f"'datetime_min', {temporal[0]}, 'datetime_max', {temporal[1]}, "
         f"'string_min_length', {lengths[0]}, 'string_max_length', {lengths[1]}) AS {PROFILE_STRUCT.simpleString()})"
     )
     return f1, f2, aggs, struct
 
 
-# Values longer than this many bytes are counted on a 32-byte digest.
-DIGEST_OVER = 32
-# Largest lookup side (rows) that may be broadcast once its bound is proven.
-BROADCAST_ROWS = 100_000
-
-
-def _freq_key(text: str) -> str:
-    """Grouping key of one canonical value: the value itself when short,
-    its SHA-256 digest when longer than ``DIGEST_OVER`` bytes."""
-    return (f"CASE WHEN octet_length({text}) > {DIGEST_OVER} THEN named_struct('h', unhex(sha2({text}, 256)), "
-            f"'v', CAST(NULL AS STRING)) WHEN {text} IS NOT NULL THEN named_struct('h', CAST(NULL AS BINARY), "
-            f"'v', {text}) END")
-
-
-def _long(data: DataFrame, keys: Sequence[str], columns: Sequence[str], with_value: bool) -> DataFrame:
+def _long(data: DataFrame, keys: Sequence[str], columns: Sequence[str], extra: Sequence[str] = (), with_value: bool = False) -> DataFrame:
+    """(slice keys, extra, column, k[, value]) over the non-null canonical values: one Expand."""
     types = {f.name: f.dataType for f in data.schema.fields}
     pairs = []
     for c in columns:
         text = values.value_text(ident(c), types[c])
-        value = f", 'value', {text}" if with_value else ""
-        pairs.append(f"named_struct('column', {lit(c)}, 'k', {_freq_key(text)}{value})")
-    return data.select(*[qcol(k) for k in keys], F.expr(f"inline(array({', '.join(pairs)}))")).where("k IS NOT NULL")
+        key = f", 'k', {ordered.text_key(text)}" if not extra else ""
+        value = f", 'value', {text}" if with_value or extra else ""
+        pairs.append(f"named_struct('column', {lit(c)}{key}{value})")
+    out = data.select(*[qcol(k) for k in keys], *[qcol(c) for c in extra], F.expr(f"inline(array({', '.join(pairs)}))"))
+    return out.where("value IS NOT NULL" if extra else "k IS NOT NULL")
 
 
 def frequencies(data: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``(slice keys, column, k, count)`` over non-null canonical values.
 
-    One Expand over the profiled columns and a map-side-combined count.  Long
-    text (documents, pages) is grouped on its digest, so the shuffle carries
-    32 bytes per distinct value instead of the value.
+    One Expand over the profiled columns and a map-side-combined count, on keys of
+    bounded size: the shuffle never carries whole documents.
     """
-    return _long(data, keys, columns, False).groupBy(*[qcol(k) for k in keys], "column", "k").agg(
-        F.count(F.lit(1)).alias("count"))
-
+    return _long(data, keys, columns).groupBy(*[qcol(k) for k in keys], "column", "k").agg(F.count(F.lit(1)).alias("count"))
 
-def _ranked(freq: DataFrame, keys: Sequence[str], k: int, order: Sequence[Column], tag: str) -> DataFrame:
-    """First ``k`` rows per (slice, column) by ``order`` (a partial window-group
-    limit runs before the exchange)."""
-    w = Window.partitionBy(*[qcol(x) for x in keys], F.col("column")).orderBy(*order)
-    return freq.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k) \
-        .withColumn("__list", F.lit(tag))
 
+def _lists(data: DataFrame, keys: Sequence[str], columns: Sequence[str], top: int, samples: int, distinct: bool) -> DataFrame:
+    """Per (slice, column): distinct_count, top_values, sample_values, all from one frequency table.
 
-def _with_values(data: DataFrame, keys: Sequence[str], columns: Sequence[str], picked: DataFrame,
-                 bound: int | None) -> DataFrame:
-    """Attach the text of picked digest keys: at most (top + samples) keys per
-    column and slice are looked up, pre-aggregated per key before any shuffle.
-    ``bound`` is the proven maximum number of picked keys (None: unknown), and
-    the lookup side is broadcast only under that bound."""
-    key_cols = list(keys) + ["column", "k"]
-    wanted = picked.where("k.h IS NOT NULL").select(*[qcol(c) for c in key_cols]).distinct()
-    if bound is not None and bound <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    found = _long(data, keys, columns, True).join(wanted, key_cols, "left_semi") \
-        .groupBy(*[qcol(c) for c in key_cols]).agg(F.first("value", ignorenulls=True).alias("__text"))
-    return picked.join(found, key_cols, "left").withColumn("value", F.expr("coalesce(k.v, __text)"))
+    The three branches read the same aggregate, so Spark computes its exchange once.
+    """
+    by = [*keys, "column"]
+    freq = frequencies(data, keys, columns)
+    order = ordered.key_order(["k"], [True])
+    tagged = ordered.first_with_ties(freq, by, [F.col("count").desc(), *order], top).withColumn("list", F.lit("top")).unionByName(
+        ordered.first_with_ties(freq, by, order, samples).withColumn("list", F.lit("sample")))
+    if distinct:
+        # reads ``count`` so that this branch needs the very aggregate of the other two
+        sizes = freq.groupBy(*[qcol(c) for c in by]).agg(F.count_if(F.col("count") > 0).alias("count"))
+        tagged = tagged.unionByName(sizes.withColumn("list", F.lit("distinct")), allowMissingColumns=True)
+    types = {f.name: f.dataType for f in data.schema.fields}
+    long_columns = [c for c in columns if ordered.is_text(types[c])]
+    if long_columns:
+        tagged = ordered.with_texts(ordered.kept(tagged), _long(data, keys, long_columns, with_value=True), [*by, "k"], {"k": "value"})
+    else:
+        tagged = tagged.withColumn("value", F.col("k.p"))
+    final = Window.partitionBy(*[qcol(c) for c in by], "list").orderBy(
+        F.when(F.col("list") == "top", -F.col("count")).asc_nulls_first(), F.col("value").asc_nulls_first())
+    tagged = tagged.withColumn("__rn", F.row_number().over(final))
+    return tagged.groupBy(*[qcol(c) for c in by]).agg(
+        F.max(F.when(F.col("list") == "distinct", F.col("count"))).alias("distinct_count"),
+        F.expr(f"transform(array_sort(collect_list(CASE WHEN list = 'top' AND __rn <= {top} THEN struct(__rn, "
+               "named_struct('value', value, 'count', count) AS p) END)), e -> e.p)").alias("top_values"),
+        F.expr(f"transform(array_sort(collect_list(CASE WHEN list = 'sample' AND __rn <= {samples} THEN struct(__rn, value AS p) "
+               "END)), e -> e.p)").alias("sample_values"))
+
+
+def _first_rows(data: DataFrame, keys: Sequence[str], columns: Sequence[str], order_by: Sequence[str], samples: int) -> DataFrame:
+    """Per (slice, column) the first non-null values by ``order_by`` (then value): every task sends on at most ``samples`` rows each."""
+    names = [f"__order_{i}" for i in range(len(order_by))]
+    rows = _long(data.withColumns({n: qcol(c) for n, c in zip(names, order_by)}), keys, columns, extra=names)
+    w = Window.partitionBy(*[qcol(k) for k in keys], "column").orderBy(*[F.col(n) for n in names], F.col("value"))
+    first = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= samples)
+    return first.groupBy(*[qcol(k) for k in keys], "column").agg(
+        F.expr("transform(array_sort(collect_list(struct(__rn, value))), e -> e.value)").alias("sample_values"))
 
 
 def profile(
@@ -163,6 +175,7 @@ def profile(
     run_id: str = "run",
     dataset_name: str = "dataset",
     distinct: str = "exact",
+    order_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Profile every column (or ``columns``) of ``df``, per slice.
 
@@ -173,50 +186,46 @@ def profile(
     (``approx_count_distinct``, HyperLogLog++, about 1% relative error): no
     extra pass, for wide high-cardinality tables where only top values of a
     few columns are wanted.
+
+    Samples are the smallest distinct values; with ``order_by`` (columns that
+    order the rows) they are the first non-null values in that order, repeats included.
+    ``numeric_min`` and ``numeric_max`` are doubles; the ``_text`` columns hold them exactly.
     """
     if distinct not in ("exact", "approx"):
         raise ValueError("distinct must be 'exact' or 'approx'")
     cols = list(columns) if columns is not None else list(df.columns)
     freq_cols = cols if frequency_columns is None else [c for c in frequency_columns if c in cols]
-    data, keys = with_slices(spread(df), by)
+    data, slices = with_slices(df, by)
+    keys = list(slices.keys)
     types = {f.name: f.dataType for f in df.schema.fields}
+    position = {c: i for i, c in enumerate(df.columns)}
     aggs: dict[str, str] = {"rows": "count(1)"}
     stage1: dict[str, str] = {}
     stage2: dict[str, str] = {}
     structs = []
     for c in cols:
-        f1, f2, a, st = _column_metrics(c, df.columns.index(c), types[c])
+        f1, f2, a, st = _column_metrics(c, position[c], types[c])
         stage1.update(f1)
         stage2.update(f2)
         aggs.update(a)
         structs.append(st)
         if distinct == "approx":
-            i = df.columns.index(c)
-            aggs[f"ad_{i}"] = f"approx_count_distinct({ident(f'v_{i}')}, 0.01)"
+            aggs[f"ad_{position[c]}"] = f"approx_count_distinct({ident(f'v_{position[c]}')}, 0.01)"
     metrics = per_slice_agg(data, keys, aggs, [stage1, stage2])
     out = metrics.select(*[qcol(k) for k in keys], F.expr("inline(array(" + ", ".join(structs) + "))"))
     counted = list(cols) if distinct == "approx" else list(freq_cols)
+    by_column = [*keys, "column"]
     if distinct == "approx":
-        pairs = ", ".join(f"named_struct('column', {lit(c)}, 'distinct_count', {ident('ad_' + str(df.columns.index(c)))})"
-                          for c in cols)
-        out = combine_slices([out, metrics.select(*[qcol(k) for k in keys], F.expr(f"inline(array({pairs}))"))],
-                             keys + ["column"])
+        pairs = ", ".join(f"named_struct('column', {lit(c)}, 'distinct_count', {ident(f'ad_{position[c]}')})" for c in cols)
+        out = combine_slices([out, metrics.select(*[qcol(k) for k in keys], F.expr(f"inline(array({pairs}))"))], by_column)
     if freq_cols:
-        freq = frequencies(data, keys, freq_cols)
-        exact = freq.groupBy(*[qcol(k) for k in keys], "column").agg(F.count(F.lit(1)).alias("distinct_count"))
-        picked = _ranked(freq, keys, top_values, [F.col("count").desc(), F.col("k").asc()], "top").unionByName(
-            _ranked(freq, keys, sample_values, [F.col("k").asc()], "sample"))
-        if any(isinstance(types[c], (T.StringType, T.ArrayType, T.MapType, T.StructType)) for c in freq_cols):
-            bound = (top_values + sample_values) * len(freq_cols) if keys == [ALL] else None
-            picked = _with_values(data, keys, freq_cols, picked, bound)
-        else:
-            picked = picked.withColumn("value", F.col("k.v"))
-        lists = picked.groupBy(*[qcol(k) for k in keys], "column").agg(
-            F.expr("transform(array_sort(collect_list(CASE WHEN __list = 'top' THEN struct(__rn, "
-                   "named_struct('value', value, 'count', count) AS p) END)), e -> e.p)").alias("top_values"),
-            F.expr("transform(array_sort(collect_list(CASE WHEN __list = 'sample' THEN struct(__rn, value AS p) "
-                   "END)), e -> e.p)").alias("sample_values"))
-        out = combine_slices([out, lists] + ([exact] if distinct == "exact" else []), keys + ["column"])
+        lists = _lists(data, keys, freq_cols, top_values, sample_values, distinct == "exact")
+        if distinct == "approx":
+            lists = lists.drop("distinct_count")
+        parts = [out, lists]
+        if order_by:
+            parts = [out, lists.drop("sample_values"), _first_rows(data, keys, freq_cols, order_by, sample_values)]
+        out = combine_slices(parts, by_column)
     else:
         out = out.withColumn("top_values", F.lit(None).cast("array<struct<value:string,count:bigint>>")) \
                  .withColumn("sample_values", F.lit(None).cast("array<string>"))
@@ -227,9 +236,10 @@ def profile(
                                                   F.coalesce(F.col("distinct_count"), F.lit(0))).cast("bigint"))
     out = out.withColumn("top_values", F.coalesce(F.col("top_values"), F.array().cast("array<struct<value:string,count:bigint>>")))
     out = out.withColumn("sample_values", F.coalesce(F.col("sample_values"), F.array().cast("array<string>")))
-    head = [F.lit(run_id).alias("run_id"), F.lit(dataset_name).alias("dataset_name"), slice_text(keys).alias("slice")]
-    slice_cols = [] if keys == [ALL] else [qcol(k) for k in keys]
+    head = [F.lit(run_id).alias("run_id"), F.lit(dataset_name).alias("dataset_name"), slices.label().alias("slice")]
     body = [f.name for f in PROFILE_STRUCT.fields] + ["distinct_count", "top_values", "sample_values"]
+    taken = {"run_id", "dataset_name", "slice", *body}
+    slice_cols = [] if slices.whole else [qcol(k).alias(f"slice_{n}" if n in taken else n) for k, n in zip(keys, slices.names)]
     return out.select(*head, *slice_cols, *[F.col(b) for b in body])
 
 

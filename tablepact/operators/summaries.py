@@ -37,11 +37,10 @@ def run_summary(findings: DataFrame, runs: DataFrame) -> DataFrame:
                     zero("warnings"), zero("infos"), zero("skipped"))
 
 
-def high_priority(findings: DataFrame, classified: DataFrame) -> DataFrame:
+def high_priority(classified: DataFrame) -> DataFrame:
     """High-priority findings with their message and recommended action."""
-    hp = classified.where(F.col("priority") == "high").select(*K, "seq", "finding_id", "recommended_human_action")
-    return hp.join(findings.select(*K, "seq", "finding_id", "rule_type", "column", "message"),
-                   K + ["seq", "finding_id"], "inner")
+    return classified.where(F.col("priority") == "high").select(
+        *K, "seq", "finding_id", "rule_type", "column", "message", "recommended_human_action")
 
 
 def _sorted_counts(col: str):

@@ -1,9 +1,9 @@
 """Triage over a findings table of any size: classes, failure rows, suggestions.
 
 Every operator is keyed by ``K = (run_id, dataset_name, slice)``; one
-validation run is the one-key case.  Lookups are ``when`` chains (no join);
-the only joins are findings x classes on (K, seq, finding_id) and findings x
-profile on (K, column).
+validation run is the one-key case.  Lookups are ``when`` chains and classified
+findings keep the finding's columns, so the only join is findings x profile on
+(K, column).
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablepact.plans.vocabulary import (
+    CLASSES,
     DEFAULT_HUMAN_ACTION,
-    FIXED_CLASSES,
     NULLABILITY_NOTE,
+    RATIONALE,
     SKIPPED_ACTION,
-    SKIPPED_CLASS,
     SKIPPED_RATIONALE,
     SUGGESTED_DESCRIPTION,
     SUGGESTIONS,
@@ -27,61 +27,40 @@ K = ["run_id", "dataset_name", "slice"]
 _JSON = {"ignoreNullFields": "false"}
 
 
-def _classes() -> tuple[Column, Column, Column]:
-    rt, sev, st = F.col("rule_type"), F.col("severity"), F.col("status")
-    err = sev == "error"
-    failed = st == "failed"
-
-    def pick(i: int) -> Column:
-        chain = F.when(st == "skipped", F.lit(SKIPPED_CLASS[i]))
-        chain = chain.when(rt.isin("nullability_violation", "range_violation"),
-                           F.when(err, F.lit(("breaking", "high")[i] if i < 2 else "data_quality"))
-                           .otherwise(F.lit(("review_needed", "medium")[i] if i < 2 else "data_quality")))
-        chain = chain.when(rt == "uniqueness_violation",
-                           F.when(failed, F.lit(("breaking", "high")[i] if i < 2 else "data_quality"))
-                           .otherwise(F.lit(("review_needed", "medium")[i] if i < 2 else "data_quality")))
-        chain = chain.when(rt == "allowed_values_violation",
-                           F.lit("review_needed") if i == 0 else
-                           (F.when(err, F.lit("high")).otherwise(F.lit("medium")) if i == 1 else F.lit("domain_values")))
-        for rule, cls in FIXED_CLASSES.items():
-            chain = chain.when(rt == rule, F.lit(cls[i]))
-        return chain.otherwise(F.lit(UNKNOWN_CLASS[i]))
-
-    return pick(0), pick(1), pick(2)
+def _class_of(part: int) -> Column:
+    """One part (compatibility, priority, category) of a finding's class: the first row of the table that applies."""
+    chain = None
+    for rule, condition, row in CLASSES:
+        hit = F.lit(True) if rule is None else F.col("rule_type") == rule
+        if condition is not None:
+            column, value = condition
+            hit = hit & (F.col(column) == value)
+        chain = F.when(hit, F.lit(row[part])) if chain is None else chain.when(hit, F.lit(row[part]))
+    return chain.otherwise(F.lit(UNKNOWN_CLASS[part]))
 
 
 def classify(findings: DataFrame) -> DataFrame:
-    """Compatibility, priority, review category, rationale, human action
-    (one projection; no lookup join)."""
-    compat, prio, cat = _classes()
+    """The findings with compatibility, priority, review category, rationale and
+    human action (one projection; no lookup join)."""
+    compat, prio, cat = (_class_of(part) for part in range(3))
     skipped = F.col("status") == "skipped"
     action = F.when(F.coalesce(F.col("suggested_action"), F.lit("")) != "", F.col("suggested_action")) \
         .otherwise(F.lit(DEFAULT_HUMAN_ACTION))
     return findings.select(
-        *K, "contract_name", "seq", "finding_id", "rule_type", "severity", "status",
-        compat.alias("compatibility"), prio.alias("priority"), cat.alias("review_category"),
+        "*", compat.alias("compatibility"), prio.alias("priority"), cat.alias("review_category"),
         F.when(skipped, F.lit(SKIPPED_RATIONALE)).otherwise(
-            F.format_string("Rule '%s' was classified as %s with %s priority.",
-                            F.col("rule_type"), compat, prio)).alias("rationale"),
+            F.format_string(RATIONALE, F.col("rule_type"), compat, prio)).alias("rationale"),
         F.when(skipped, F.lit(SKIPPED_ACTION)).otherwise(action).alias("recommended_human_action"),
     )
 
 
-def failures_table(findings: DataFrame, classified: DataFrame) -> DataFrame:
+def failures_table(classified: DataFrame) -> DataFrame:
     """Flat finding-level rows (12 review columns); missing text becomes ''."""
-    cls = classified.select(*K, "seq", "finding_id", "compatibility", "priority", "review_category",
-                            "recommended_human_action")
-    joined = findings.join(cls, K + ["seq", "finding_id"], "left")
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return joined.select(
-        *K, "seq",
-        F.col("finding_id"), F.col("rule_type"), blank("column").alias("column"),
-        F.array_join(F.col("columns"), "|").alias("columns"),
-        F.col("severity"), F.col("status"),
-        blank("compatibility").alias("compatibility"), blank("priority").alias("priority"),
-        blank("review_category").alias("review_category"), F.col("message"),
-        blank("suggested_action").alias("suggested_action"),
-        blank("recommended_human_action").alias("recommended_human_action"),
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return classified.select(
+        *K, "seq", "finding_id", "rule_type", blank("column"), F.array_join(F.col("columns"), "|").alias("columns"),
+        "severity", "status", "compatibility", "priority", "review_category", "message",
+        blank("suggested_action"), blank("recommended_human_action"),
     )
 
 

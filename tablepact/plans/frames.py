@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Internal slice columns; no metric, feature or data column has such a name.
+SLICE = "__tablepact_slice_"
 # Constant slice key used when a run is not sliced, so per-slice side
 # tables always combine on a key.
-ALL = "__tablepact_slice_all__"
-
-# Aggregates per ``agg`` call; keeps generated code under the JVM method limit.
-MAX_AGGS_PER_PASS = 250
+ALL = SLICE + "all__"
 
 
 def as_column(c: Column | str) -> Column:
@@ -25,39 +25,62 @@ def qcol(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def with_slices(df: DataFrame, by: Sequence[str] | Mapping[str, Column] | None) -> tuple[DataFrame, list[str]]:
-    """Attach slice columns; returns (data, slice key names).
+@dataclass(frozen=True)
+class Slices:
+    """Slice columns of a run: internal column names and the names they are reported by."""
+
+    keys: tuple[str, ...]
+    names: tuple[str, ...]
+
+    @property
+    def whole(self) -> bool:
+        return self.keys == (ALL,)
+
+    def label(self) -> Column:
+        """'' for the whole dataset, else ``name=value|name=value``.
+
+        ``\\``, ``|`` and ``=`` in names and values are escaped by a backslash and a
+        null value is ``\\N``, so different slices never share a label.
+        """
+        if self.whole:
+            return F.lit("")
+        parts = [F.concat(F.lit(_escaped(n) + "="), F.coalesce(_escape(qcol(k).cast("string")), F.lit("\\N")))
+                 for k, n in zip(self.keys, self.names)]
+        return F.concat_ws("|", *parts)
+
+
+def _escaped(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("|", "\\|").replace("=", "\\=")
+
+
+def _escape(c: Column) -> Column:
+    return F.regexp_replace(c, r"([\\|=])", r"\\$1")
+
+
+def with_slices(df: DataFrame, by: Sequence[str] | Mapping[str, Column] | None) -> tuple[DataFrame, Slices]:
+    """Attach internal slice columns; the data's own columns stay as they are.
 
     ``by`` is a list of existing column names or a mapping name -> Column
     (e.g. ``{"month": F.date_trunc("month", "o_orderdate")}``).  Without a
     slice the constant key ``ALL`` is added.
     """
     if not by:
-        return df.withColumn(ALL, F.lit(0)), [ALL]
-    if isinstance(by, Mapping):
-        return df.withColumns(dict(by)), list(by)
-    return df, list(by)
-
-
-def slice_text(keys: Sequence[str]) -> Column:
-    """Human-readable slice label: '' for the whole dataset, else k=v|k=v."""
-    if list(keys) == [ALL]:
-        return F.lit("")
-    parts = [F.concat(F.lit(k + "="), F.coalesce(qcol(k).cast("string"), F.lit("null"))) for k in keys]
-    return F.concat_ws("|", *parts)
+        return df.withColumn(ALL, F.lit(0)), Slices((ALL,), ("",))
+    columns = dict(by) if isinstance(by, Mapping) else {name: qcol(name) for name in by}
+    keys = tuple(f"{SLICE}{i}__" for i in range(len(columns)))
+    return df.withColumns(dict(zip(keys, columns.values()))), Slices(keys, tuple(columns))
 
 
 def per_slice_agg(data: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column | str],
                   features: Sequence[Mapping[str, Column | str]] = ()) -> DataFrame:
-    """One fused aggregate pass per slice (global aggregate when unsliced).
+    """One fused aggregate pass per slice (global aggregate when unsliced), however many columns.
 
     ``features`` are stages of per-row columns (parsed numbers, timestamps,
     lengths, type codes, failure flags) computed in projections below the
     aggregate; a stage may read the names of earlier stages.  Aggregates
     refer to them by name, so an expensive parse runs once per row however
-    many aggregates read it.  Unsliced runs
-    use a global aggregate so an empty table still yields one row.  Very
-    wide rule sets are split into several passes combined on the slice key.
+    many aggregates read it.  Unsliced runs use a global aggregate so an
+    empty table still yields one row.
     """
     done: list[str] = []
     for stage in features:
@@ -67,14 +90,9 @@ def per_slice_agg(data: DataFrame, keys: Sequence[str], aggs: Mapping[str, Colum
                            *[as_column(c).alias(n) for n, c in stage.items()])
         done += list(stage)
     named = [as_column(c).alias(n) for n, c in aggs.items()] or [F.count(F.lit(1)).alias("__rows")]
-    chunks = [named[i : i + MAX_AGGS_PER_PASS] for i in range(0, len(named), MAX_AGGS_PER_PASS)]
-    parts = []
-    for chunk in chunks:
-        if list(keys) == [ALL]:
-            parts.append(data.agg(*chunk).withColumn(ALL, F.lit(0)))
-        else:
-            parts.append(data.groupBy(*[qcol(k) for k in keys]).agg(*chunk))
-    return parts[0] if len(parts) == 1 else combine_slices(parts, keys)
+    if list(keys) == [ALL]:
+        return data.agg(*named).withColumn(ALL, F.lit(0))
+    return data.groupBy(*[qcol(k) for k in keys]).agg(*named)
 
 
 def combine_slices(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -93,29 +111,3 @@ def combine_slices(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame
     quoted = ["`" + c.replace("`", "``") + "`" for c in merged.columns if c not in keys]
     return merged.groupBy(*[qcol(k) for k in keys]).agg(
         *[F.expr(f"first({q}, true) AS {q}") for q in quoted])
-
-
-# Inputs the optimizer estimates below this size are not worth a shuffle.
-SPREAD_MIN_BYTES = 1 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an under-partitioned input over the cluster's cores.
-
-    A scan with fewer partitions than the default parallelism (one small
-    file, one row group) would run every per-row parse in a single task.
-    Such an input is round-robin repartitioned once; jobs reading it share
-    that exchange.  Any input already split at least that finely (every
-    large table) is returned untouched: no extra shuffle at scale; so is a
-    tiny input (optimizer size estimate under 1 MiB).
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - no estimate: spreading is still correct
-        size = SPREAD_MIN_BYTES
-    if size < SPREAD_MIN_BYTES:
-        return df
-    return df.repartition(target)

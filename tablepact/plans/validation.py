@@ -7,17 +7,19 @@ Plan of one ``validate`` call (every job reads only the columns it needs):
   each computed once per row): null counts, type-ladder counters, failed
   counts of allowed-value / pattern / length / range rules, max timestamps
   for freshness, the row count.  Partial aggregation on every task, one
-  tiny shuffle.
-* job B - one pass over the rows that fail an allowed-value or pattern rule:
-  ``(slice, rule, value) -> count`` (map-side combined, so a hot value costs
-  one row per task), then a per-(slice, rule) top-k whose ``row_number``
-  filter becomes a partial window-group limit before the exchange.
+  tiny shuffle.  It runs when ``validate`` is called and its result (one row
+  per slice) is kept in ``spark.checkpoint.dir``: findings and runs read it, and
+  only rules that failed get a sample pass.
+* job B - samples of the rows that fail a rule.  Patterns: the smallest failing
+  values straight from the rows, by a ``row_number`` filter that becomes a partial
+  window-group limit before the exchange (k values a task).  Allowed values:
+  ``(slice, rule, key) -> count``, map-side combined, then the top k.
 * job C - one ``groupBy(slice + key)`` per uniqueness rule; duplicate stats by
-  aggregation, sample keys by the same top-k pattern.  Strings longer than
-  32 bytes are grouped on their SHA-256 digest, so checking long documents
-  for duplicates shuffles 32-byte digests, not bodies; the values of the
-  (at most k per slice) sample keys are fetched by one pre-aggregated
-  lookup.
+  aggregation, sample keys by the same top-k pattern.
+
+Jobs B and C group strings by keys of bounded size and choose by value (see
+``plans.ordered``); the whole strings of the few chosen keys are fetched by one more
+scan, for which their selection is computed when ``validate`` is called.
 
 Each side table has at most one row per slice.  They are merged with the
 metrics row by a union and one grouped ``first`` (no join), and every
@@ -44,9 +46,9 @@ from pyspark.sql import types as T
 
 from tablepact.functions import patterns, values
 from tablepact.functions.values import ident, lit
-from tablepact.plans.frames import ALL, combine_slices, per_slice_agg, qcol, slice_text, spread, with_slices
+from tablepact.plans import ordered
+from tablepact.plans.frames import combine_slices, per_slice_agg, qcol, with_slices
 from tablepact.plans.vocabulary import COMPATIBLE_TYPES, MESSAGES
-from tablepact.session import ensure_checkpoint_dir
 
 FINDINGS_SCHEMA = (
     "run_id string, contract_name string, dataset_name string, slice string, seq int, "
@@ -57,12 +59,6 @@ RUNS_SCHEMA = (
     "run_id string, contract_name string, dataset_name string, slice string, row_count bigint, "
     "column_count int"
 )
-# A contract is metadata; more rules than this is a mistake, not a workload.
-MAX_RULES = 20_000
-# Largest lookup side (rows) broadcast without further thought: sample keys
-# are at most k per slice, so the bound is checked as slices x k.
-BROADCAST_ROWS = 100_000
-SEQ_STRIDE = 1_000_000
 _EMIT_TYPE = ("struct<seq:int,finding_id:string,rule_type:string,column:string,columns:array<string>,"
               "severity:string,status:string,message:string,evidence:string,suggested_action:string,"
               "fires:boolean>")
@@ -72,7 +68,7 @@ _SAMPLE_TYPE = "array<struct<rn:int,value:string,n:bigint>>"
 
 @dataclass
 class Validation:
-    """Lazy result of ``validate``: findings plus one ``runs`` row per key."""
+    """Result of ``validate``: findings and one ``runs`` row per key, lazy over the kept ``metrics`` (one row per slice)."""
 
     findings: DataFrame
     runs: DataFrame
@@ -102,10 +98,13 @@ class _Compiler:
     """Collects aggregates, per-row features, side jobs and emitted structs."""
 
     def __init__(self, data: DataFrame, keys: list[str], dataset_columns: list[str], schema: T.StructType,
-                 reference_date: _dt.date, max_examples: int):
+                 reference_date: _dt.date, max_examples: int, pattern_errors: dict[str, str | None]):
         self.data = data
         self.keys = keys
         self.columns = dataset_columns
+        self.positions = {c: i for i, c in enumerate(dataset_columns)}
+        self.pattern_errors = pattern_errors
+        self.seq = 0
         self.types = {f.name: f.dataType for f in schema.fields}
         self.ref = reference_date
         self.k = max_examples
@@ -115,15 +114,13 @@ class _Compiler:
         self.features2: dict[str, str] = {}
         self.structs: list[str] = []
         self.static: list[dict] = []
-        # key, fails, text, ordered by count?, name of the failed-row metric
-        self.sample_rules: list[tuple[int, str, str, bool, str]] = []
+        # key, fails, text, ordered by count?, name of the failed-row metric, may its text be long?
+        self.sample_rules: list[tuple[int, str, str, bool, str, bool]] = []
         self.uniq_rules: list[tuple[int, list[str]]] = []
-        # number of slices when known without a data pass (1 when unsliced)
-        self.slice_count: int | None = 1 if keys == [ALL] else None
 
     # -- shared metrics and features ---------------------------------------------
     def _idx(self, c: str) -> int:
-        return self.columns.index(c)
+        return self.positions[c]
 
     def metric(self, name: str, sql: str) -> str:
         self.aggs.setdefault(name, sql)
@@ -179,9 +176,10 @@ class _Compiler:
         rt = rule["rule_type"]
         cols = list(rule["columns"] or [])
         c = cols[0] if cols else None
-        seq = rule["rule_order"] * SEQ_STRIDE + rule["position"]
+        self.seq += 1  # rules come in report order, so this is the order of findings
+        seq = self.seq
         sev = rule["severity"]
-        present = c in self.columns if c is not None else False
+        present = c in self.positions
 
         if rt == "missing_required_column":
             if not present:
@@ -190,11 +188,13 @@ class _Compiler:
                                     {"expected_column": c, "available_columns": self.columns}, act)
         elif rt == "unexpected_column":
             declared = list(rule["declared_columns"] or [])
-            for pos, name in enumerate(self.columns):
-                if name not in declared:
+            known = set(declared)
+            for name in self.columns:
+                if name not in known:
                     msg, act = _texts(rt, "warning", column=name)
-                    self.static_finding(rule["rule_order"] * SEQ_STRIDE + pos, rt, [name], name, sev, "warning",
+                    self.static_finding(self.seq, rt, [name], name, sev, "warning",
                                         msg, {"unexpected_column": name, "declared_columns": declared}, act)
+                    self.seq += 1
         elif rt == "uniqueness_violation":
             self._uniqueness(rule, seq, cols, sev)
         elif not present:
@@ -221,7 +221,8 @@ class _Compiler:
 
     def compile_row_count(self, rule: Row) -> None:
         rt = "row_count_violation"
-        seq = rule["rule_order"] * SEQ_STRIDE
+        self.seq += 1
+        seq = self.seq
         lo, hi = rule["min_rows"], rule["max_rows"]
         rows = ident("rows")
         low = f"{rows} < {lit(lo)}" if lo is not None else "false"
@@ -252,8 +253,8 @@ class _Compiler:
         for item in allowed:
             by_kind.setdefault(item["kind"], []).append(item["value"])
         if fam in ("integer", "number"):
-            nums = [float(v) for v in by_kind.get("number", [])]
-            return f"CAST({x} AS DOUBLE) IN ({values.lits(nums)})" if nums else "false"
+            nums = [values.number_literal(v, dtype) for v in by_kind.get("number", [])]
+            return f"{values.own_number(ident(c), dtype)} IN ({', '.join(nums)})" if nums else "false"
         if fam == "boolean":
             bools = [v.lower() == "true" for v in by_kind.get("boolean", [])]
             return f"{x} IN ({values.lits(bools)})" if bools else "false"
@@ -261,7 +262,8 @@ class _Compiler:
         if not texts:
             return "false"
         if fam in ("date", "datetime"):
-            return f"{values.iso_text(f'CAST({x} AS TIMESTAMP_NTZ)')} IN ({values.lits(texts)})"
+            moments = ", ".join(values.ts_from_text(lit(t)) for t in texts)  # constants; null for what is no date
+            return f"coalesce(CAST({x} AS TIMESTAMP_NTZ) IN ({moments}), false)"
         return f"{values.string_form(x, dtype)} IN ({values.lits(texts)})"
 
     def _allowed(self, rule: Row, seq: int, c: str, sev: str) -> None:
@@ -272,7 +274,7 @@ class _Compiler:
         fails = f"({x} IS NOT NULL AND NOT ({self._matches_allowed(c, allowed)}))"
         failed = self.metric(f"allowed_failed_{seq}", f"count_if({self.feature(f'af_{seq}', fails)})")
         key = len(self.sample_rules)
-        self.sample_rules.append((key, fails, values.value_text(x, dtype), True, f"allowed_failed_{seq}"))
+        self.sample_rules.append((key, fails, values.value_text(x, dtype), True, f"allowed_failed_{seq}", ordered.is_text(dtype)))
         hist = f"map_from_entries(transform({ident(f'samples_{key}')}, e -> struct(e.value, e.n)))"
         msg, act = _texts(rt, "failed", column=c)
         self.emit(seq, rt, [c], c, sev, "failed", lit(msg),
@@ -283,23 +285,28 @@ class _Compiler:
     def _range(self, rule: Row, seq: int, c: str, sev: str) -> None:
         rt = "range_violation"
         i = self._idx(c)
-        num = self.feature(f"num_{i}", values.as_number(ident(c), self.types[c]))
-        lo, hi = rule["min_value"], rule["max_value"]
-        below = self.metric(f"below_{seq}", f"count_if({num} < {lit(lo)})") if lo is not None else "0L"
-        above = self.metric(f"above_{seq}", f"count_if({num} > {lit(hi)})") if hi is not None else "0L"
+        dtype = self.types[c]
+        num = self.feature(f"num_{i}", values.own_number(ident(c), dtype))
+        lo, hi = rule["min_text"], rule["max_text"]
+        below = self.metric(f"below_{seq}", f"count_if({num} < {values.number_literal(lo, dtype)})") if lo is not None else "0L"
+        above = self.metric(f"above_{seq}", f"count_if({num} > {values.number_literal(hi, dtype)})") if hi is not None else "0L"
         omin = self.metric(f"nummin_{i}", f"min({num})")
         omax = self.metric(f"nummax_{i}", f"max({num})")
         msg, act = _texts(rt, "failed", column=c)
         self.emit(seq, rt, [c], c, sev, "failed", lit(msg),
-                  _evidence(min_allowed=f"CAST({lit(lo)} AS DOUBLE)", max_allowed=f"CAST({lit(hi)} AS DOUBLE)",
+                  _evidence(min_allowed=self._bound(lo, dtype), max_allowed=self._bound(hi, dtype),
                             observed_min=omin, observed_max=omax, below_min_count=f"CAST({below} AS BIGINT)",
                             above_max_count=f"CAST({above} AS BIGINT)"),
                   act, f"{below} > 0 OR {above} > 0")
 
+    @staticmethod
+    def _bound(text: str | None, dtype: T.DataType) -> str:
+        return "CAST(NULL AS DOUBLE)" if text is None else values.number_literal(text, dtype)
+
     def _pattern(self, rule: Row, seq: int, c: str, sev: str) -> None:
         rt = "pattern_violation"
         pattern = rule["pattern"]
-        err = patterns.pattern_error(pattern)
+        err = self.pattern_errors[pattern]
         if err is not None:
             msg, act = _texts(rt, "skipped", column=c)
             self.static_finding(seq, rt, [c], c, sev, "skipped", msg, {"pattern": pattern, "error": err}, act)
@@ -310,7 +317,7 @@ class _Compiler:
         fails = f"({x} IS NOT NULL AND NOT {patterns.full_match(text, pattern)})"
         failed = self.metric(f"pattern_failed_{seq}", f"count_if({self.feature(f'pf_{seq}', fails)})")
         key = len(self.sample_rules)
-        self.sample_rules.append((key, fails, text, False, f"pattern_failed_{seq}"))
+        self.sample_rules.append((key, fails, text, False, f"pattern_failed_{seq}", ordered.is_text(dtype)))
         k = self.k
         sample = (f"coalesce(slice(flatten(transform({ident(f'samples_{key}')}, "
                   f"e -> array_repeat(e.value, CAST(least(e.n, {k}) AS INT)))), 1, {k}), CAST(array() AS ARRAY<STRING>))")
@@ -371,71 +378,72 @@ class _Compiler:
         self.emit(seq, rt, cols, column, sev, "failed", lit(msg), evidence, act, f"{dk} > 0")
 
     # -- side jobs ------------------------------------------------------------------
+    def _failing(self, rules: Sequence[tuple], with_key: bool, with_value: bool) -> DataFrame:
+        """(slice, rule[, k][, value]) of the rows that fail ``rules``."""
+        entries = ", ".join(
+            f"CASE WHEN {fails} THEN named_struct('rule', {key}"
+            + (f", 'k', {ordered.text_key(text)}" if with_key else "") + (f", 'value', {text}" if with_value else "") + ") END"
+            for key, fails, text, *_ in rules)
+        return self.data.select(*[qcol(k) for k in self.keys], F.expr(f"inline(filter(array({entries}), e -> e IS NOT NULL))"))
+
+    def _first_rows(self, rules: Sequence[tuple]) -> DataFrame:
+        """The k smallest failing values of each rule and slice, repeats included; every task sends on k at most."""
+        failing = self._failing(rules, False, True)
+        w = Window.partitionBy(*[qcol(k) for k in self.keys], "rule").orderBy("value")
+        first = failing.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= self.k)
+        return first.withColumn("n", F.lit(1).cast("bigint"))
+
+    def _most_frequent(self, rules: Sequence[tuple]) -> DataFrame:
+        """The k most frequent failing values of each rule and slice, ties by value, with their counts."""
+        by = [*self.keys, "rule"]
+        counts = self._failing(rules, True, False).groupBy(*[qcol(c) for c in by], "k").agg(F.count(F.lit(1)).alias("n"))
+        top = ordered.first_with_ties(counts, by, [F.col("n").desc(), *ordered.key_order(["k"], [True])], self.k)
+        long_rules = [r for r in rules if r[5]]
+        if long_rules:
+            top = ordered.with_texts(ordered.kept(top), self._failing(long_rules, True, True), [*by, "k"], {"k": "value"})
+        else:
+            top = top.withColumn("value", F.col("k.p"))
+        w = Window.partitionBy(*[qcol(c) for c in by]).orderBy(F.col("n").desc(), "value")
+        return top.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= self.k)
+
     def sample_table(self) -> DataFrame | None:
-        """Job B: (slice, rule, value) counts of failing rows, top-k per rule."""
+        """Job B: per slice one column of (rn, value, n) samples for each rule."""
         if not self.sample_rules:
             return None
-        keys = [qcol(k) for k in self.keys]
-        entries = ", ".join(f"CASE WHEN {fails} THEN named_struct('rule', {key}, 'value', {text}) END"
-                            for key, fails, text, _, _ in self.sample_rules)
-        by_count = [key for key, _, _, bc, _ in self.sample_rules if bc]
-        failing = self.data.select(*keys, F.expr(f"explode(filter(array({entries}), e -> e IS NOT NULL)) AS f"))
-        counts = failing.groupBy(*keys, F.col("f.rule").alias("rule"), F.col("f.value").alias("value")).agg(
-            F.count(F.lit(1)).alias("n"))
-        order = F.expr(f"CASE WHEN rule IN ({values.lits(by_count)}) THEN -n ELSE 0L END") if by_count else F.lit(0)
-        w = Window.partitionBy(*keys, F.col("rule")).orderBy(order, F.col("value"))
-        top = counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= self.k)
-        return top.groupBy(*keys).agg(*[
-            F.expr(f"array_sort(collect_list(CASE WHEN rule = {key} THEN struct(rn, value, n) END))")
-            .alias(f"samples_{key}") for key, _, _, _, _ in self.sample_rules])
-
-    def _key_part(self, c: str) -> str:
-        """Grouping key for one uniqueness column.  Strings longer than 32 bytes
-        are grouped on their SHA-256 digest (32 bytes) instead of the text, so
-        a uniqueness check on long documents shuffles digests, not bodies;
-        shorter strings and other types group on the value itself.  Equal
-        values always produce equal keys and a null stays null (nulls group
-        together)."""
-        x = ident(c)
-        if not isinstance(self.types[c], T.StringType):
-            return x
-        return (f"CASE WHEN octet_length({x}) > 32 THEN named_struct('h', unhex(sha2({x}, 256)), "
-                f"'v', CAST(NULL AS STRING)) WHEN {x} IS NOT NULL THEN named_struct('h', CAST(NULL AS BINARY), "
-                f"'v', {x}) END")
+        counted, plain = ([r for r in self.sample_rules if r[3] == flag] for flag in (True, False))
+        columns = [*self.keys, "rule", "rn", "value", "n"]
+        parts = [t.select(*[qcol(c) for c in columns]) for t in
+                 ([self._most_frequent(counted)] if counted else []) + ([self._first_rows(plain)] if plain else [])]
+        top = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return top.groupBy(*[qcol(k) for k in self.keys]).agg(*[
+            F.expr(f"array_sort(collect_list(CASE WHEN rule = {r[0]} THEN struct(rn, value, n) END))").alias(f"samples_{r[0]}")
+            for r in self.sample_rules])
 
     def uniqueness_tables(self) -> list[DataFrame]:
-        """Job C: duplicate keys per uniqueness rule and slice."""
+        """Job C: duplicate keys per uniqueness rule and slice (NaN and null are one null)."""
         out = []
         keys = [qcol(k) for k in self.keys]
         for j, cols in self.uniq_rules:
-            cols = [c for c in cols if c not in self.keys] or cols
-            kcols = [f"__k{n}" for n in range(len(cols))]
-            digested = any(isinstance(self.types[c], T.StringType) for c in cols)
-            keyed = self.data.select(*keys, *[F.expr(f"{self._key_part(c)} AS {kc}") for c, kc in zip(cols, kcols)])
+            text = [ordered.is_text(self.types[c]) for c in cols]
+            own = [values.nullified(ident(c), self.types[c]) if not t else values.string_form(ident(c), self.types[c])
+                   if isinstance(self.types[c], (T.StringType, T.BinaryType)) else f"to_json({ident(c)})" for c, t in zip(cols, text)]
+            kcols, vcols = [f"__k{n}" for n in range(len(cols))], [f"__v{n}" for n in range(len(cols))]
+            parts = [f"{ordered.text_key(x) if t else x} AS {k}" for x, t, k in zip(own, text, kcols)]
+            keyed = self.data.select(*keys, *[F.expr(p) for p in parts])
             dups = keyed.groupBy(*keys, *kcols).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
-            stats = dups.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"dupkeys_{j}"),
-                                            F.sum("__n").alias(f"duprows_{j}"))
-            w = Window.partitionBy(*keys).orderBy(*[F.col(kc).asc_nulls_first() for kc in kcols])
-            picked = dups.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= self.k).drop("__n")
-            if digested:
-                # values of the (at most k per slice) picked keys: one more scan,
-                # pre-aggregated per key before its shuffle
-                raw = self.data.select(*keys, *[F.expr(f"{self._key_part(c)} AS {kc}") for c, kc in zip(cols, kcols)],
-                                       *[qcol(c).alias(f"__raw{n}") for n, c in enumerate(cols)])
-                wanted = picked.select(*self.keys, *kcols)
-                if self.slice_count is not None and self.slice_count * self.k <= BROADCAST_ROWS:
-                    wanted = F.broadcast(wanted)   # proven small: k keys x known slice count
-                found = raw.join(wanted, self.keys + kcols, "left_semi") \
-                    .groupBy(*keys, *kcols).agg(*[F.first(f"__raw{n}", ignorenulls=True).alias(f"__raw{n}")
-                                                  for n in range(len(cols))])
-                picked = picked.join(found, self.keys + kcols, "left")
-                values_of = [f"__raw{n}" for n in range(len(cols))]
-            else:
-                values_of = kcols
-            key_struct = "struct(" + ", ".join(f"{ident(v)} AS {ident(c)}" for v, c in zip(values_of, cols)) + ")"
+            stats = dups.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"dupkeys_{j}"), F.sum("__n").alias(f"duprows_{j}"))
+            picked = ordered.first_with_ties(dups, self.keys, ordered.key_order(kcols, text), self.k).drop("__n")
+            if any(text):
+                raw = self.data.select(*keys, *[F.expr(p) for p in parts], *[F.expr(f"{x} AS {v}") for x, t, v in zip(own, text, vcols) if t])
+                picked = ordered.with_texts(ordered.kept(picked), raw, [*self.keys, *kcols],
+                                            {k: v for k, v, t in zip(kcols, vcols, text) if t})
+            picked = picked.withColumns({v: qcol(k) for k, v, t in zip(kcols, vcols, text) if not t})
+            w = Window.partitionBy(*keys).orderBy(*[F.col(v).asc_nulls_first() for v in vcols])
+            picked = picked.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= self.k)
+            key_struct = "struct(" + ", ".join(f"{v} AS {ident(c)}" for v, c in zip(vcols, cols)) + ")"
             samples = picked.groupBy(*keys).agg(
-                F.expr(f"to_json(transform(array_sort(collect_list(struct(__rn, {key_struct} AS key))), "
-                       f"e -> e.key))").alias(f"dupsample_{j}"))
+                F.expr(f"to_json(transform(array_sort(collect_list(struct(__rn, {key_struct} AS key))), e -> e.key), "
+                       f"{_NO_NULL_DROP})").alias(f"dupsample_{j}"))
             out.append(combine_slices([stats, samples], self.keys))
         return out
 
@@ -445,13 +453,11 @@ def collect_rules(rules: DataFrame | Sequence[Row], contract_name: str | None =
     if isinstance(rules, DataFrame):
         if contract_name is not None:
             rules = rules.where(F.col("contract_name") == contract_name)
-        rows = rules.limit(MAX_RULES + 1).collect()
+        rows = rules.collect()
     else:
         rows = list(rules)
         if contract_name is not None:
             rows = [r for r in rows if r["contract_name"] == contract_name]
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules for one contract")
     names = {r["contract_name"] for r in rows}
     if len(names) > 1:
         raise ValueError(f"rules of several contracts given ({sorted(names)}); pass contract_name")
@@ -468,41 +474,39 @@ def validate(
     run_id: str = "run",
     dataset_name: str = "dataset",
     contract_name: str | None = None,
-    skip_clean_samples: bool = True,
+    rule_types: Sequence[str] | None = None,
 ) -> Validation:
-    """Validate ``df`` against one contract's rules; returns lazy DataFrames.
+    """Validate ``df`` against one contract's rules.
 
     ``by`` slices every data rule (one metrics row per slice); schema-level
     findings belong to the whole dataset (slice '').  ``by=None`` is the
-    single-dataset run.  With ``skip_clean_samples`` the fused aggregate runs
-    first (its tiny result is checkpointed) and value samples are collected
-    only for rules that failed.
+    single-dataset run.  ``rule_types`` restricts the run to those kinds of rules.
+
+    Job A runs now; its result, one row per slice, is kept and read by findings and
+    runs alike, and value samples are collected only for rules that failed.
     """
     spark = df.sparkSession
     rows = collect_rules(rules, contract_name)
+    if rule_types is not None:
+        rows = [r for r in rows if r["rule_type"] in rule_types]
     name = rows[0]["contract_name"] if rows else (contract_name or "")
     ref = reference_date or _dt.date.today()
     dataset_columns = list(df.columns)
-    data, keys = with_slices(spread(df), by)
-    comp = _Compiler(data, keys, dataset_columns, df.schema, ref, max_examples)
+    data, slices = with_slices(df, by)
+    keys = list(slices.keys)
+    errors = patterns.pattern_errors(spark, [r["pattern"] for r in rows if r["rule_type"] == "pattern_violation"])
+    comp = _Compiler(data, keys, dataset_columns, df.schema, ref, max_examples, errors)
     for rule in rows:
         if rule["rule_type"] == "row_count_violation":
             comp.compile_row_count(rule)
         else:
             comp.compile(rule)
 
-    metrics = per_slice_agg(data, keys, comp.aggs, [comp.features, comp.features2])
+    metrics = ordered.kept(per_slice_agg(data, keys, comp.aggs, [comp.features, comp.features2]))
     all_sample_keys = [r[0] for r in comp.sample_rules]
-    if comp.sample_rules and skip_clean_samples:
-        # Job A runs now; its result (one row per slice) is checkpointed and
-        # reused below.  Only rules with failing rows get a sample pass, so a
-        # clean table is scanned for samples not at all.
-        ensure_checkpoint_dir(spark)
-        metrics = metrics.checkpoint()
-        failed = metrics.agg(F.count(F.lit(1)).alias("__slices"),
-                             *[F.max(F.col(r[4])).alias(r[4]) for r in comp.sample_rules]).first()
+    if comp.sample_rules:
+        failed = metrics.agg(*[F.max(F.col(r[4])).alias(r[4]) for r in comp.sample_rules]).first()
         comp.sample_rules = [r for r in comp.sample_rules if (failed[r[4]] or 0) > 0]
-        comp.slice_count = failed["__slices"]
     side = comp.sample_table()
     wide = combine_slices([metrics] + ([side] if side is not None else []) + comp.uniqueness_tables(), keys)
     missing = [k for k in all_sample_keys if f"samples_{k}" not in wide.columns]
@@ -512,7 +516,7 @@ def validate(
     header = [F.lit(run_id).alias("run_id"), F.lit(name).alias("contract_name"),
               F.lit(dataset_name).alias("dataset_name")]
     if comp.structs:
-        emitted = wide.select(*header, slice_text(keys).alias("slice"),
+        emitted = wide.select(*header, slices.label().alias("slice"),
                               F.expr("inline(array(" + ", ".join(comp.structs) + "))"))
         emitted = emitted.where("fires").drop("fires")
     else:
@@ -523,9 +527,9 @@ def validate(
     )
     findings = emitted.select(*static.columns).unionByName(static)
 
-    per_slice = metrics.select(*header, slice_text(keys).alias("slice"), F.col("rows").alias("row_count"),
+    per_slice = metrics.select(*header, slices.label().alias("slice"), F.col("rows").alias("row_count"),
                                F.lit(len(dataset_columns)).alias("column_count"))
-    if keys != [ALL]:
+    if not slices.whole:
         total = metrics.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count")).select(
             *header, F.lit("").alias("slice"), F.col("row_count").cast("bigint"),
             F.lit(len(dataset_columns)).alias("column_count"))

@@ -29,12 +29,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset."""
+    """The shared folder of the cluster, ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors share the driver's disk, gets a
+    scratch folder when none is set; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    target = configured or tempfile.mkdtemp(prefix="tablepact-ckpt-")
-    sc.setCheckpointDir(target)
+    if not configured and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tablepact-ckpt-"))
     return sc.getCheckpointDir()

@@ -36,14 +36,12 @@ RULE_ORDER = {rule: i + 1 for i, rule in enumerate(DEFAULT_SEVERITY)}
 SEVERITIES = ("error", "warning", "info")
 TYPES = ("string", "integer", "number", "boolean", "date", "datetime")
 
-# Uniqueness rules from the ``uniqueness`` list sort after per-column ones.
-LIST_RULE_OFFSET = 100_000
-
 RULES_SCHEMA = (
     "contract_name string, contract_version string, rule_type string, rule_order int, "
     "position int, rule_name string, columns array<string>, column_severity string, "
     "rule_severity string, dataset_severity string, severity string, expected_type string, "
     "allowed_values array<struct<value:string,kind:string>>, min_value double, max_value double, "
+    "min_text string, max_text string, "
     "pattern string, min_length int, max_length int, max_age_days int, min_rows bigint, "
     "max_rows bigint, declared_columns array<string>"
 )
@@ -59,17 +57,31 @@ def _sql_map(d: dict[str, str]) -> str:
     return "map(" + ", ".join(f"'{k}', '{v}'" for k, v in d.items()) + ")"
 
 
+def _truthy(variant: str, default: str) -> str:
+    """A flag as the document's language reads it: absent gives the default; null, zero and empty are false."""
+    kind = f"schema_of_variant({variant})"
+    return f"""(CASE WHEN {variant} IS NULL THEN {default}
+        WHEN {kind} IN ('VOID', 'OBJECT<>') OR {kind} LIKE 'ARRAY<VOID>' THEN false
+        WHEN {kind} = 'BOOLEAN' THEN try_variant_get({variant}, '$', 'boolean')
+        WHEN {kind} = 'STRING' THEN try_variant_get({variant}, '$', 'string') <> ''
+        WHEN {kind} LIKE 'ARRAY%' OR {kind} LIKE 'OBJECT%' THEN true
+        ELSE coalesce(try_variant_get({variant}, '$', 'double') <> 0, true) END)"""
+
+
+def _flag(of: str, path: str, default: str) -> str:
+    return _truthy(f"try_variant_get({of}, '{path}', 'variant')", default)
+
+
 def _parsed(spark: SparkSession, contracts: DataFrame) -> DataFrame:
     return spark.sql(
-        """
+        f"""
         SELECT doc, v,
           try_variant_get(v, '$.contract.name', 'string') AS contract_name,
           try_variant_get(v, '$.contract.version', 'string') AS contract_version,
           try_variant_get(v, '$.dataset.severity_defaults', 'map<string,string>') AS sev_defaults,
-          coalesce(try_variant_get(v, '$.schema.allow_unexpected_columns', 'boolean'), false)
-            AS allow_unexpected,
+          {_flag('v', '$.schema.allow_unexpected_columns', 'false')} AS allow_unexpected,
           json_object_keys(get_json_object(doc, '$.columns')) AS column_order
-        FROM (SELECT doc, try_parse_json(doc) AS v FROM {contracts})
+        FROM (SELECT doc, try_parse_json(doc) AS v FROM {{contracts}})
         """,
         contracts=contracts,
     )
@@ -83,13 +95,13 @@ def contract_rules(spark: SparkSession, contracts: DataFrame) -> DataFrame:
     """
     parsed = _parsed(spark, contracts)
     cols = spark.sql(
-        """
+        f"""
         SELECT p.contract_name, p.contract_version, p.sev_defaults, p.allow_unexpected,
           c.key AS column, CAST(array_position(p.column_order, c.key) AS int) - 1 AS position,
           c.value AS cv,
-          coalesce(try_variant_get(c.value, '$.required', 'boolean'), true) AS required,
-          coalesce(try_variant_get(c.value, '$.nullable', 'boolean'), true) AS nullable,
-          coalesce(try_variant_get(c.value, '$.unique', 'boolean'), false) AS is_unique,
+          {_flag('c.value', '$.required', 'true')} AS required,
+          {_flag('c.value', '$.nullable', 'true')} AS nullable,
+          {_flag('c.value', '$.unique', 'false')} AS is_unique,
           try_variant_get(c.value, '$.type', 'string') AS expected_type,
           try_variant_get(c.value, '$.severity', 'string') AS column_severity,
           transform(try_variant_get(c.value, '$.allowed_values', 'array<variant>'),
@@ -102,11 +114,13 @@ def contract_rules(spark: SparkSession, contracts: DataFrame) -> DataFrame:
                               ELSE 'other' END)) AS allowed_values,
           try_variant_get(c.value, '$.min', 'double') AS min_value,
           try_variant_get(c.value, '$.max', 'double') AS max_value,
+          try_variant_get(c.value, '$.min', 'string') AS min_text,
+          try_variant_get(c.value, '$.max', 'string') AS max_text,
           try_variant_get(c.value, '$.pattern', 'string') AS pattern,
           try_variant_get(c.value, '$.min_length', 'int') AS min_length,
           try_variant_get(c.value, '$.max_length', 'int') AS max_length,
           try_variant_get(c.value, '$.freshness.max_age_days', 'int') AS max_age_days
-        FROM {parsed} p, LATERAL variant_explode(variant_get(p.v, '$.columns')) c
+        FROM {{parsed}} p, LATERAL variant_explode(variant_get(p.v, '$.columns')) c
         WHERE p.contract_name IS NOT NULL
         """,
         parsed=parsed,
@@ -116,7 +130,7 @@ def contract_rules(spark: SparkSession, contracts: DataFrame) -> DataFrame:
         SELECT contract_name, contract_version, sev_defaults, rule_type, position,
           CASE WHEN rule_type = 'uniqueness_violation' THEN concat('column_unique:', column) END AS rule_name,
           array(column) AS columns, column_severity, CAST(NULL AS string) AS rule_severity, expected_type,
-          allowed_values, min_value, max_value, pattern, min_length, max_length, max_age_days
+          allowed_values, min_value, max_value, min_text, max_text, pattern, min_length, max_length, max_age_days
         FROM {cols} LATERAL VIEW explode(filter(array(
           CASE WHEN required THEN 'missing_required_column' END,
           CASE WHEN expected_type IS NOT NULL AND expected_type <> '' THEN 'type_mismatch' END,
@@ -133,14 +147,14 @@ def contract_rules(spark: SparkSession, contracts: DataFrame) -> DataFrame:
     )
 
     list_rules = spark.sql(
-        f"""
+        """
         SELECT p.contract_name, p.contract_version, p.sev_defaults,
-          'uniqueness_violation' AS rule_type, CAST(u.pos AS int) + {LIST_RULE_OFFSET} AS position,
+          'uniqueness_violation' AS rule_type, size(p.column_order) + CAST(u.pos AS int) AS position,
           try_variant_get(u.value, '$.name', 'string') AS rule_name,
           try_variant_get(u.value, '$.columns', 'array<string>') AS columns,
           CAST(NULL AS string) AS column_severity,
           try_variant_get(u.value, '$.severity', 'string') AS rule_severity
-        FROM {{parsed}} p,
+        FROM {parsed} p,
           LATERAL variant_explode_outer(try_variant_get(p.v, '$.uniqueness', 'variant')) u
         WHERE p.contract_name IS NOT NULL AND u.value IS NOT NULL
         """,
@@ -177,7 +191,7 @@ def contract_rules(spark: SparkSession, contracts: DataFrame) -> DataFrame:
           coalesce(columns, array()) AS columns, column_severity, rule_severity,
           sev_defaults[rule_type] AS dataset_severity,
           coalesce(column_severity, rule_severity, sev_defaults[rule_type], {defaults}[rule_type]) AS severity,
-          expected_type, allowed_values, min_value, max_value, pattern, min_length, max_length,
+          expected_type, allowed_values, min_value, max_value, min_text, max_text, pattern, min_length, max_length,
           max_age_days, min_rows, max_rows, declared_columns
         FROM {{every}}
         """,
@@ -188,7 +202,7 @@ def contract_rules(spark: SparkSession, contracts: DataFrame) -> DataFrame:
 def contract_header(spark: SparkSession, contracts: DataFrame) -> DataFrame:
     """Contract identity fields; dataset fields are carried but read by no rule."""
     return spark.sql(
-        """
+        f"""
         SELECT try_variant_get(v, '$.contract.name', 'string') AS contract_name,
           try_variant_get(v, '$.contract.version', 'string') AS contract_version,
           try_variant_get(v, '$.contract.owner', 'string') AS owner,
@@ -196,9 +210,8 @@ def contract_header(spark: SparkSession, contracts: DataFrame) -> DataFrame:
           try_variant_get(v, '$.dataset.expected_name', 'string') AS expected_name,
           try_variant_get(v, '$.dataset.format', 'string') AS format,
           try_variant_get(v, '$.dataset.grain', 'string') AS grain,
-          coalesce(try_variant_get(v, '$.schema.allow_unexpected_columns', 'boolean'), false)
-            AS allow_unexpected_columns
-        FROM (SELECT try_parse_json(doc) AS v FROM {contracts})
+          {_flag('v', '$.schema.allow_unexpected_columns', 'false')} AS allow_unexpected_columns
+        FROM (SELECT try_parse_json(doc) AS v FROM {{contracts}})
         """,
         contracts=contracts,
     )

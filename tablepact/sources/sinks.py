@@ -23,15 +23,17 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
-    """Write any result table.  ``json`` keeps nested evidence as is; ``csv``
-    flattens it (string arrays joined with '|')."""
+    """Write any result table; ``csv`` flattens nested columns (string arrays joined with '|').
+
+    With ``partition_by``, ``overwrite`` replaces only the partitions that ``df`` has.
+    """
     if fmt == "csv":
         df = _flat(df)
     writer = df.write.mode(mode)
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
         writer.json(path)
     elif fmt == "parquet":
@@ -41,10 +43,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def write_findings(findings: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
-    """Full findings (evidence included), partitioned by run for history tables."""
-    write_table(findings, path, fmt, mode)
+    """Full findings; one partition a run, so earlier runs in a history stay and a repeated run replaces itself.
+
+    JSON output holds the evidence as a nested object; Parquet keeps its JSON text.
+    """
+    if fmt == "json":
+        findings = findings.withColumn("evidence", F.parse_json("evidence"))
+    write_table(findings, path, fmt, mode, ["run_id"])
 
 
 def write_failures(failures: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The flat finding-level review table as CSV with a header."""
-    write_table(failures, path, "csv", mode)
+    """The flat finding-level review table as CSV with a header, one partition a run."""
+    write_table(failures, path, "csv", mode, ["run_id"])

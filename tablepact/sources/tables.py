@@ -20,11 +20,14 @@ BOOL_TOKENS = ("True", "False", "TRUE", "FALSE", "true", "false")
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json"}
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, infer_types: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, infer_types: bool = True,
+               multi_line: bool = True) -> DataFrame:
     """Read a dataset.  CSV: header row, NA tokens become null, and (by default)
     columns whose every value is boolean / integer / number text are cast to
     that type, the way a dataframe library reads CSV.  The inference is one
-    aggregate pass over the file; no per-row Python.
+    aggregate pass over the file; no per-row Python.  Quotes within a quoted cell are
+    doubled.  A quoted cell may hold line feeds; that keeps a file in one task, so
+    set ``multi_line`` to false for large files without such cells.
     """
     if fmt is None:
         ext = os.path.splitext(path.rstrip("/"))[1].lower()
@@ -37,7 +40,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, infer_typ
         return spark.read.json(path)
     if fmt != "csv":
         raise ValueError(f"unsupported format '{fmt}'")
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = spark.read.option("header", True).option("inferSchema", False).option("escape", '"') \
+        .option("multiLine", multi_line).csv(path)
     na = values.lits(list(NA_TOKENS))
     cleaned = raw.selectExpr(
         *[f"CASE WHEN {values.ident(c)} IN ({na}) THEN NULL ELSE {values.ident(c)} END AS {values.ident(c)}"

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablepact.plans.validation import collect_rules, validate
-from tablepact.session import ensure_checkpoint_dir
 
 
 def _write(df: DataFrame, path: str) -> None:
@@ -31,7 +30,7 @@ def validate_stream(
     rules: DataFrame | Sequence[Row],
     output_path: str,
     *,
-    checkpoint_location: str | None = None,
+    checkpoint_location: str,
     reference_date: _dt.date | None = None,
     by: Sequence[str] | Mapping[str, Column] | None = None,
     max_examples: int = 20,
@@ -42,19 +41,22 @@ def validate_stream(
     """Start a query that writes ``findings`` and ``runs`` for every micro-batch
     under ``output_path`` (parquet, partitioned by ``run_id``).
 
-    The rules are collected once on the driver (a contract is metadata).  The
-    checkpoint defaults to a folder under the cluster's ``spark.checkpoint.dir``.
+    The rules are collected once on the driver (a contract is metadata).
+    ``checkpoint_location`` holds the stream's progress: a folder of its own for each stream, on
+    storage that outlives the cluster.  A batch is read from its source once and kept while its
+    jobs run.
     """
-    spark = stream.sparkSession
     rows = collect_rules(rules)
-    if checkpoint_location is None:
-        checkpoint_location = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{dataset_name}"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        v = validate(batch, rows, reference_date=reference_date, by=by, max_examples=max_examples,
-                     run_id=f"{run_prefix}-{batch_id}", dataset_name=dataset_name)
-        _write(v.findings.withColumn("batch_id", F.lit(batch_id)), f"{output_path}/findings")
-        _write(v.runs.withColumn("batch_id", F.lit(batch_id)), f"{output_path}/runs")
+        batch = batch.persist()
+        try:
+            v = validate(batch, rows, reference_date=reference_date, by=by, max_examples=max_examples,
+                         run_id=f"{run_prefix}-{batch_id}", dataset_name=dataset_name)
+            _write(v.findings.withColumn("batch_id", F.lit(batch_id)), f"{output_path}/findings")
+            _write(v.runs.withColumn("batch_id", F.lit(batch_id)), f"{output_path}/runs")
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_location)
     if available_now:

@@ -1,5 +1,7 @@
 """Contract documents -> rules table, header and lint problems."""
 
+from conftest import contract, rules_of
+
 from tablepact import contract_header, contract_lint, contract_rules, contracts_frame
 
 GOOD = {
@@ -93,3 +95,16 @@ def test_lint_more_structural_problems(spark):
 def test_lint_accepts_boolean_true_max_age(spark):
     doc = '{"contract": {"name": "c"}, "columns": {"a": {"freshness": {"max_age_days": true}}}}'
     assert contract_lint(spark, spark.createDataFrame([(doc,)], "doc string")).collect() == []
+
+
+def test_flags_follow_truthiness(spark):
+    flags = {"null": (None, False), "zero": (0, False), "empty": ("", False), "list": ([], False), "object": ({}, False), "one": (1, True),
+             "text": ("no", True), "true": (True, True), "false": (False, False), "items": ([0], True)}
+    doc = contract({name: {"nullable": v, "required": v, "unique": v} for name, (v, _) in flags.items()} | {"absent": {}})
+    kinds: dict[str, set[str]] = {}
+    for r in rules_of(spark, doc).collect():
+        for c in r["columns"]:
+            kinds.setdefault(c, set()).add(r["rule_type"])
+    for name, (_, on) in flags.items():
+        assert kinds[name] == ({"missing_required_column", "uniqueness_violation"} if on else {"nullability_violation"}), name
+    assert kinds["absent"] == {"missing_required_column"}

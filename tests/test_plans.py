@@ -15,6 +15,10 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def lineitem(spark):
     return spark.read.parquet(f"{SF}/lineitem.parquet")
@@ -29,15 +33,20 @@ def test_findings_plan_has_no_python_and_no_cross_join(spark, lineitem):
 
 
 def test_fused_aggregate_is_one_scan(spark, lineitem):
-    v = validate(lineitem, rules_of(spark, I.LINEITEM_CONTRACT), reference_date=I.ORDERS_REFERENCE_DATE,
-                 skip_clean_samples=False)
-    plan = v.metrics._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Relation ") == 1
-    assert "l_comment" not in plan
+    from tablepact.plans import ordered
+
+    plans = []
+    original = ordered.kept
+    try:
+        ordered.kept = lambda df: plans.append(_optimized(df)) or original(df)
+        validate(lineitem, rules_of(spark, I.LINEITEM_CONTRACT), reference_date=I.ORDERS_REFERENCE_DATE)
+    finally:
+        ordered.kept = original
+    assert plans[0].count("Relation ") == 1
 
 
 def test_profile_top_k_limits_before_exchange(spark):
-    part = spark.read.parquet(f"{SF}/part.parquet").select("p_brand", "p_type")
+    part = spark.read.parquet(f"{SF}/part.parquet").select("p_size", "p_partkey")
     plan = _plan(profile(part))
     assert "WindowGroupLimit" in plan
 
@@ -59,7 +68,7 @@ def test_results_independent_of_row_order_and_partitioning(spark, lineitem):
     assert base == other
 
 
-def test_wide_rule_sets_split_into_passes(spark):
+def test_wide_rule_sets_are_one_aggregate(spark):
     df = spark.range(10).selectExpr(*[f"id + {i} AS c{i}" for i in range(3)])
     aggs = {f"m{i}": f"count_if(c{i % 3} > {i % 10})" for i in range(600)}
     from tablepact.plans.frames import ALL
@@ -69,6 +78,32 @@ def test_wide_rule_sets_split_into_passes(spark):
     assert {k: row[k] for k in expected} == expected
 
 
+def test_wide_profile_scans_once(spark, tmp_path):
+    spark.range(20).selectExpr(*[f"CAST(id * {i} AS {'STRING' if i % 5 == 0 else 'DOUBLE'}) AS c{i}" for i in range(200)]).write.parquet(str(tmp_path / "w"))
+    p = profile(spark.read.parquet(str(tmp_path / "w")), frequency_columns=[])
+    assert _optimized(p).count("Relation ") == 1
+
+
+def test_exact_profile_scans_twice(spark, lineitem):
+    p = profile(lineitem.select("l_linenumber", "l_quantity"))
+    assert _plan(p).split("Initial Plan")[0].count("Scan parquet") <= 2
+
+
+def test_findings_and_runs_read_job_a_from_its_store(spark, lineitem):
+    rules = [r for r in rules_of(spark, I.LINEITEM_CONTRACT).collect() if r["rule_type"] not in ("uniqueness_violation", "allowed_values_violation")]
+    v = validate(lineitem, rules, reference_date=I.ORDERS_REFERENCE_DATE)
+    for df in (v.findings, v.runs):
+        assert _optimized(df).count("Relation ") == 0  # job A is kept, nothing else is left to scan
+
+
+def test_no_text_is_an_exchange_key(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    doc = {"contract": {"name": "d"}, "columns": {"text": {"pattern": "[^|]*", "unique": True, "allowed_values": ["x"]}}}
+    plan = _plan(validate(docs, rules_of(spark, doc)).findings)
+    keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert keys and not any("text#" in k.split("ENSURE")[0] or "value#" in k.split("ENSURE")[0] for k in keys)
+
+
 def test_clean_table_gets_no_sample_pass(spark):
     df = spark.createDataFrame([("ok",), ("ok",)], "s string")
     doc = {"contract": {"name": "c"}, "columns": {"s": {"allowed_values": ["ok"], "pattern": "o."}}}

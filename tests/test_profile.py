@@ -96,3 +96,32 @@ def test_results_do_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert set(out.values()) == {("datetime", "2025-01-15T23:30:00", 45)}
+
+
+def test_ties_and_samples_by_value_at_any_length(spark):
+    texts = [f"x{'0' * 40}{i}" for i in range(6)] + ["zz"] + [f"{'w' * 2000}{i}" for i in (1, 0)]
+    df = spark.createDataFrame([(t,) for t in reversed(texts)], "s string")
+    (r,) = profile(df).collect()
+    ordered = sorted(texts)
+    assert [t["value"] for t in r["top_values"]] == ordered[:5] and r["sample_values"] == ordered[:5]
+    assert r["distinct_count"] == len(texts)
+
+
+def test_samples_in_row_order(spark):
+    df = spark.createDataFrame([(3, "a"), (1, "b"), (2, "a"), (4, None), (5, "c")], "i int, category string")
+    rows = {r["column"]: r for r in profile(df, order_by=["i"], sample_values=3).collect()}
+    assert rows["category"]["sample_values"] == ["b", "a", "a"] and rows["i"]["sample_values"] == ["1", "2", "3"]
+    assert rows["category"]["distinct_count"] == 3
+
+
+def test_exact_numeric_bounds(spark):
+    df = spark.createDataFrame([(9007199254740993,), (7,)], "i bigint")
+    (r,) = profile(df).collect()
+    assert (r["numeric_min_text"], r["numeric_max_text"]) == ("7", "9007199254740993") and r["numeric_max"] == float(2**53)
+
+
+def test_sliced_profile_with_long_text_and_odd_names(spark):
+    df = spark.createDataFrame([(None, "t" * 600 + "1"), ("column", "t" * 600 + "0"), (None, "t" * 600 + "0")], "rows string, s string")
+    got = {(r["slice"], r["column"]): r for r in profile(df, by=["rows"], columns=["s"]).collect()}
+    assert got[("rows=\\N", "s")]["sample_values"] == ["t" * 600 + "0", "t" * 600 + "1"]
+    assert got[("rows=column", "s")]["sample_values"] == ["t" * 600 + "0"]

@@ -30,7 +30,7 @@ def test_classification(spark):
 
 def test_failures_table_columns(spark):
     _, v, c = _setup(spark)
-    t = triage.failures_table(v.findings, c)
+    t = triage.failures_table(c)
     assert t.columns[4:] == ["finding_id", "rule_type", "column", "columns", "severity", "status", "compatibility",
                              "priority", "review_category", "message", "suggested_action", "recommended_human_action"]
     row = t.where("rule_type = 'row_count_violation'").collect()[0]
