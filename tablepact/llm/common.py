@@ -66,6 +66,7 @@ def open_shared(path: str):
 def texts_of(column: pa.Array, piece: int = 512) -> Iterator[list[str]]:
     """The texts of an Arrow column in short lists, null as empty text."""
     for i in range(0, len(column), piece):
+        in_worker()
         yield [t or "" for t in column.slice(i, piece).to_pylist()]
 
 
@@ -73,18 +74,67 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def per_worker(kind: str, name: str, make):
-    """What ``make()`` gives, kept by a Python worker for its later tasks until anything else is asked for.
+class Janitor:
+    """Frees what a Python worker keeps once its job is over.
 
-    One thing at a time: a worker's memory holds the model of the job at hand only.
+    Workers outlive their tasks, and the memory they hold is missing to the stages that follow.
+    Arrow takes its buffers from the system's allocator, which gives them back, and a thread drops
+    kept objects ``IDLE_SECONDS`` after the last use.
     """
+
+    IDLE_SECONDS = 2.0
+
+    def __init__(self):
+        import threading
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        self.kept: dict = {}
+        self.used, self.busy = 0.0, threading.Event()
+        threading.Thread(target=self.watch, daemon=True).start()
+
+    def touch(self) -> None:
+        import time
+
+        self.used = time.monotonic()
+        self.busy.set()
+
+    def watch(self) -> None:
+        import ctypes
+        import gc
+        import time
+
+        while True:
+            self.busy.wait()
+            while time.monotonic() - self.used < self.IDLE_SECONDS:
+                time.sleep(0.5)
+            self.busy.clear()
+            self.kept.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+
+def in_worker() -> Janitor:
+    """The janitor of this Python worker; every task function calls this as it works."""
     import sys
 
-    kept = sys.__dict__.setdefault("_llm_worker_store", {})
-    if (kind, name) not in kept:
+    janitor = sys.__dict__.get("_llm_janitor")
+    if janitor is None:
+        janitor = sys.__dict__["_llm_janitor"] = Janitor()
+    janitor.touch()
+    return janitor
+
+
+def per_worker(kind: str, name: str, make):
+    """What ``make()`` gives, kept by a Python worker for its next tasks until it idles or anything else is asked for."""
+    kept = in_worker().kept
+    found = kept.get((kind, name))
+    if found is None:
         kept.clear()
-        kept[kind, name] = make()
-    return kept[kind, name]
+        found = kept[kind, name] = make()
+    return found
 
 
 def quiet_threads() -> None:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import materialise, texts_of
+from tablepact.llm.common import in_worker, materialise, texts_of
 
 WINDOW = 96
 Q = 8
@@ -243,6 +243,7 @@ def contaminated_column(text: Column, windows: Windows) -> Column:
 
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in batches:
+            in_worker()
             texts = [t or "" for t in column]
             hit = np.zeros(len(texts), bool)
             for first, some in groups_of(texts):

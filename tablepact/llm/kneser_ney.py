@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import materialise, new_folder, open_shared, per_worker
+from tablepact.llm.common import in_worker, materialise, new_folder, open_shared, per_worker
 from tablepact.llm.token_orc import Numbered
 
 SEED = 42
@@ -212,6 +212,7 @@ def text_groups(column: pa.Array, chars: int = 2 << 20) -> Iterator[list[str]]:
             some.append(t or "")
             total += len(some[-1])
             if total >= chars:
+                in_worker()
                 yield some
                 some, total = [], 0
     if some:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import materialise, per_worker
+from tablepact.llm.common import in_worker, materialise, per_worker
 from tablepact.llm.token_orc import Numbered, vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -42,7 +42,7 @@ ROUNDS = 4
 EVEN = 0.01
 WORD_CHARS = 40
 #: Words whose scores a worker keeps at once (memory only).
-WORD_STORE = 400_000
+WORD_STORE = 150_000
 UNKNOWN = "und"
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -173,14 +173,15 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_train: int = MAX_TR
             pieces = per_worker("pieces", vocabulary, lambda: Pieces(vocabulary_path(vocabulary)))
             total = np.zeros(table.T.shape)
             for batch in batches:
+                in_worker()
                 number, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
                 parts = [(i, p) for i, w in enumerate(batch.column(1).to_pylist()) for p in parts_of(w)]
                 row, texts = np.array([i for i, _ in parts]), [p for _, p in parts]
                 for length, some in by_length(texts):
                     for k in range(len(total)):
                         mine = some[number[row[some]] == k]
-                        for at in range(0, len(mine), 20_000):
-                            piece = mine[at : at + 20_000]
+                        for at in range(0, len(mine), 4_000):
+                            piece = mine[at : at + 4_000]
                             found = pieces.find([texts[i] for i in piece], length)
                             total[k] += expected_counts(found, length, table[:, k], n[row[piece]].astype(float))
             k, piece = np.nonzero(total)
@@ -209,8 +210,8 @@ class TextScorer:
         texts, row = [p for _, p in parts], np.array([i for i, _ in parts])
         logs = np.zeros((len(new), len(self.model.languages)))
         for length, some in by_length(texts):
-            for at in range(0, len(some), 20_000):
-                piece = some[at : at + 20_000]
+            for at in range(0, len(some), 4_000):
+                piece = some[at : at + 4_000]
                 last = forward(self.pieces.find([texts[i] for i in piece], length), length, self.model.table)[length]
                 np.add.at(logs, row[piece], np.log(last))
         self.logs = np.concatenate([self.logs, logs])
@@ -240,6 +241,7 @@ def predict_column(text: Column, model: LanguageModel) -> Column:
         for column in batches:
             best, score = np.empty(len(column), np.int64), np.empty(len(column))
             for at in range(0, len(column), 512):
+                in_worker()
                 texts = [t or "" for t in column.iloc[at : at + 512]]
                 totals = scorer.score(texts)
                 odds = np.exp(totals - totals.max(axis=1, keepdims=True))

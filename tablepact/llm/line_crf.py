@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import texts_of
+from tablepact.llm.common import in_worker, texts_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -211,6 +211,7 @@ def measure_column(text: Column, model) -> Column:
 
     def measures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
+            in_worker()
             rows = [measure(t or "", model) for t in texts]
             yield pd.DataFrame({**{n: pd.Series([r[i] for r in rows], dtype="int64") for i, n in enumerate(names)},
                                 "content_share": pd.Series([r[5] for r in rows], dtype="float64")})

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablepact.llm.common import in_worker
+
 KEY = "tablepact-demo-key"
 ROUNDS = 8
 
@@ -242,6 +244,7 @@ def pseudonym_column(text: Column, key: str = KEY, back: bool = False) -> Column
     def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         change = Pseudonymiser(key)
         for texts in batches:
+            in_worker()
             rows = [(None, dict.fromkeys(NAMES, 0)) if t is None else change(t, back) for t in texts]
             yield pd.DataFrame({"text": pd.Series([r[0] for r in rows], dtype=object),
                                 **{f"n_{n}": pd.Series([r[1][n] for r in rows], dtype="int32") for n in NAMES}})

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import materialise
+from tablepact.llm.common import in_worker, materialise
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -76,6 +76,7 @@ def fingerprint_column(text: Column, shingle_words: int = SHINGLE_WORDS) -> Colu
 
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
+        in_worker()
         marks = np.array([fingerprint(t, shingle_words) for t in texts], np.uint64)
         return pd.Series(marks.view(np.int64))
 
@@ -128,6 +129,7 @@ def replicate(marks: DataFrame, distance: int, segments: int) -> DataFrame:
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
             for at in range(0, len(values), 2000):
+                in_worker()
                 some = values[at : at + 2000]
                 for s, (low, width) in enumerate(spans(segments)):
                     i, a = anchors(some, low, width, distance // segments)
@@ -198,6 +200,7 @@ def links_per_anchor(members: DataFrame, keys: list[str], distance: int) -> Data
             """Sorted rows, cut where a key changes; the last key of a batch waits for the next."""
             nonlocal held
             for batch in batches:
+                in_worker()
                 rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
                 if not len(rows):
                     continue

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import materialise
+from tablepact.llm.common import in_worker, materialise
 
 BLOCK_WORDS = 128
 SHARD_BLOCKS = 4096
@@ -43,6 +43,7 @@ def word_count(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space."""
 
     def count(texts: pd.Series) -> pd.Series:
+        in_worker()
         return pd.Series([len(t.encode().split()) if t else 0 for t in texts], dtype="int64")
 
     return F.pandas_udf(count, "long")(text)
@@ -263,6 +264,7 @@ def cut_words(text: Column, size: Column, runs: Column) -> Column:
     word = re.compile(r"[^\x20\x09-\x0D]+")
 
     def cut(texts: pd.Series, sizes: pd.Series, wanted: pd.Series) -> pd.Series:
+        in_worker()
         out = []
         for t, n, pieces in zip(texts, sizes, wanted):
             if sum(p["to_word"] - p["from_word"] for p in pieces) == n:

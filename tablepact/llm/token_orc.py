@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import new_folder, per_worker, quiet_threads, texts_of
+from tablepact.llm.common import in_worker, new_folder, per_worker, quiet_threads, texts_of
 
 #: Words that a worker keeps with their ids; beyond the larger number it goes back to the smaller,
 #: the first it met, which hold the frequent ones (memory only, not results).
@@ -238,6 +238,7 @@ def digests(stored: DataFrame) -> DataFrame:
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            in_worker()
             ids = batch.column(4)
             offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
             crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]

@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import texts_of
+from tablepact.llm.common import in_worker, texts_of
 
 BUCKETS = 1 << 18
 FACTORS = 6
 MAX_TRAIN = 20_000
-MIN_DOCS = 5
+MIN_DOCS = 3
 MIN_Z = 4.0
 EPOCHS = 30
 THRESHOLD = 0.3
@@ -160,6 +160,7 @@ def score_column(text: Column, model: FactorizationMachine | None) -> Column:
         known: dict[str, int] = {}
         buckets = len(model.place)
         for texts in batches:
+            in_worker()
             margins = np.empty(len(texts))
             for i, t in enumerate(texts):
                 if len(known) > WORD_STORE:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import materialise, new_folder, open_shared
+from tablepact.llm.common import in_worker, materialise, new_folder, open_shared
 
 MIN_BYTES = 100
 BLOCK_LINES = 256
@@ -128,6 +128,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, le
         try:
             for b in batches:
                 for at in range(0, b.num_rows, 256):
+                    in_worker()
                     rows = []
                     for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
                         if out is None:
