@@ -218,11 +218,13 @@ class Mix:
 
     def blocks(self) -> DataFrame:
         """The output blocks: (shard, slot, sid, block, round, doc_id, text_hash, from_word, to_word), a row for each piece of a block."""
-        return self.slots.join(self.segments.select("sid", "block", "doc_id", "text_hash", "start", "from_word", "to_word"), ["sid", "block"])
+        return self.slots.hint("merge").join(self.segments.select("sid", "block", "doc_id", "text_hash", "start", "from_word", "to_word"), ["sid", "block"])
 
     def takes(self) -> DataFrame:
         """The segments with ``times``, how often their block is taken."""
-        return self.segments.join(self.slots.groupBy("sid", "block").agg(F.count("*").alias("times")), ["sid", "block"])
+        # Spark can't know how many rows the slots will be and would take them for a few
+        times = self.slots.groupBy("sid", "block").agg(F.count("*").alias("times")).hint("merge")
+        return self.segments.join(times, ["sid", "block"])
 
     def report(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken), one row a document."""
