@@ -21,15 +21,16 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import in_worker, new_folder, per_worker, quiet_threads, texts_of
+from tablepact.llm.common import in_worker, new_folder, per_worker, quiet_threads
 
 #: Words that a worker keeps with their ids; beyond the larger number it goes back to the smaller,
-#: the first it met, which hold the frequent ones (memory only, not results).
-WORD_STORE = (130_000, 300_000)
+#: the first it met, which hold the frequent ones.  Memory (about 0.25 KB a word) against time, not results.
+WORD_STORE = (250_000, 500_000)
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
@@ -58,26 +59,27 @@ class Numbered(dict):
 class WordEncoder:
     """Encodes texts with the tokenizer, each distinct word once.
 
-    The tokenizer drops white space and never joins what a space or line feed
+    The tokenizer drops white space and never joins what ASCII white space
     separates, so the ids of a text are those of its words.  It also cuts between a
     letter and punctuation and ignores case, so a plain Latin word is looked up as
-    its lower-case stem and its closing marks; any other word as it is.
+    its lower-case stem and its closing marks; any other word as it is.  Arrow splits
+    the texts and finds the distinct words; Python sees only those.
     """
 
     MARKS = ".,!%&$*#"
     APART = "\x01"
-    #: Stands for the end id behind each text's words; no word holds a line feed.
-    END = "\n"
     #: The signs by which byte-level vocabularies write the bytes that are not printable.
     BYTE_SIGNS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, word_store: tuple[int, int] = WORD_STORE):
         from tokenizers import Tokenizer
 
         quiet_threads()
         self.tokenizer = Tokenizer.from_file(path)
         (self.apart,) = self.tokenizer.encode(self.APART, add_special_tokens=False).ids
-        self.end_id = end_id
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # every unit comes once
+        self.end_id, self.word_store = end_id, word_store
         self.words, self.units = Numbered(), Numbered()
         self.units_of_word = np.zeros((0, 2), np.int32)
         self.unit_ids, self.unit_start = np.zeros(0, np.int32), np.zeros(1, np.int64)
@@ -85,7 +87,7 @@ class WordEncoder:
 
     def shrink(self) -> None:
         """Forget all words but the first met."""
-        self.words = self.words.first(WORD_STORE[0])
+        self.words = self.words.first(self.word_store[0])
         self.units_of_word = self.units_of_word[: len(self.words)].copy()
         self.word_start = self.word_start[: len(self.words) + 1].copy()
         self.word_ids = self.word_ids[: self.word_start[-1]].copy()
@@ -93,17 +95,13 @@ class WordEncoder:
         self.unit_start = self.unit_start[: len(self.units) + 1].copy()
         self.unit_ids = self.unit_ids[: self.unit_start[-1]].copy()
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            words = (text if "<" in text else text.lower()).split()
-        else:
-            words = text.replace("\n", " ").split(" ")
-        words.append(WordEncoder.END)
-        return words
-
     def parts(self, word: str) -> tuple[str, str]:
-        if not word or "<" in word or not (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
+        if word.isascii():
+            if word.isalpha():
+                return word.lower(), ""
+            if "<" in word:
+                return word, ""
+        elif max(word) >= "\u0250" or "\u0130" in word or "<" in word:
             return word, ""
         stem = word.rstrip(self.MARKS)
         if stem and stem[-1].isalpha():
@@ -124,17 +122,21 @@ class WordEncoder:
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
         """Lower-case Latin letters alone are one piece to the tokenizer's model; the rest goes through its normaliser and splitter."""
-        tokenize, found, rest = self.tokenizer.model.tokenize, {self.END: [self.end_id]}, []
+        tokenize = self.tokenizer.model.tokenize
+        found: list[list[int]] = []
+        rest: list[int] = []
         for u in units:
-            if u.isascii() and u.isalpha() and u.islower():
-                found[u] = [t.id for t in tokenize(u)]
-            elif u.isalpha() and u.islower() and max(u) < "\u0250":
-                found[u] = [t.id for t in tokenize(u.encode().decode("latin-1").translate(self.BYTE_SIGNS))]
-            elif u != self.END:
-                rest.append(u)
+            if u.isalpha() and u.islower() and (u.isascii() or max(u) < "\u0250"):
+                signs = u if u.isascii() else u.encode().decode("latin-1").translate(self.BYTE_SIGNS)
+                found.append([t.id for t in tokenize(signs)])
+            else:
+                rest.append(len(found))
+                found.append([])
         for i in range(0, len(rest), 500):
-            found.update(zip(rest[i : i + 500], self.encode_apart(rest[i : i + 500])))
-        return [found[u] for u in units]
+            some = rest[i : i + 500]
+            for k, ids in zip(some, self.encode_apart([units[k] for k in some])):
+                found[k] = ids
+        return found
 
     def learn(self) -> None:
         """Take in the words met since the last call."""
@@ -152,16 +154,21 @@ class WordEncoder:
         self.word_start = np.concatenate([self.word_start, self.word_start[-1] + np.cumsum(lengths)])
         self.word_ids = np.concatenate([self.word_ids, ids])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each), the end id after every text."""
-        if len(self.words) > WORD_STORE[1]:
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each), the end id after every text; null is empty text."""
+        if len(self.words) > self.word_store[1]:
             self.shrink()
-        split = [self.split(t) for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        words = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int32, int(counts.sum()))
+        texts = pc.fill_null(texts, "")
+        # a special token must not appear by lowering
+        lower = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(lower)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.words.__getitem__, distinct), np.int32, len(distinct))
         self.learn()
-        ids, lengths = strung(self.word_ids, self.word_start, words)
-        return ids, np.add.reduceat(lengths, np.cumsum(counts) - counts)
+        ids, lengths = strung(self.word_ids, self.word_start, number[coded.indices.to_numpy()])
+        ends = np.concatenate(([0], np.cumsum(lengths)))[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
+        return np.insert(ids, ends, self.end_id), np.diff(ends, prepend=0) + 1
 
 
 def strung(ids: np.ndarray, starts: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +180,17 @@ def strung(ids: np.ndarray, starts: np.ndarray, items: np.ndarray) -> tuple[np.n
     return ids[np.repeat(first - after + lengths, lengths) + np.arange(total)], lengths
 
 
+def slices(texts: pa.StringArray, size: int = 6 << 20) -> Iterator[pa.StringArray]:
+    """Runs of texts of about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield texts.slice(first, last - first)
+        first = last
+
+
 def vocabulary_path(name_or_path: str) -> str:
     """A file name means one of the public vocabularies; anything with a slash is a path."""
     if "/" in name_or_path:
@@ -183,17 +201,18 @@ def vocabulary_path(name_or_path: str) -> str:
 
 
 def write_token_orc(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID,
-                    stripe_bytes: int = 64 << 20, row_index_stride: int = 1000) -> None:
+                    stripe_bytes: int = 64 << 20, row_index_stride: int = 1000, word_store: tuple[int, int] = WORD_STORE) -> None:
     """Write ``docs`` (doc_id, text) as token-id shards under ``path``."""
     stored = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("shard_start", pa.int64()),
                         ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker("token ids", f"{vocabulary} {end_id}", lambda: WordEncoder(vocabulary_path(vocabulary), end_id))
+        encoder = per_worker("token ids", f"{vocabulary} {end_id}", lambda: WordEncoder(vocabulary_path(vocabulary), end_id, word_store))
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             done = 0
-            for texts in texts_of(batch.column(1)):
+            for texts in slices(batch.column(1)):
+                in_worker()
                 ids, n = encoder.encode(texts)
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([
