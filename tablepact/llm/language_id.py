@@ -21,7 +21,6 @@ ignored.  ``score`` is the posterior of the predicted language under equal prior
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -45,7 +44,6 @@ WORD_CHARS = 40
 WORD_STORE = 150_000
 UNKNOWN = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
 START = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -245,7 +243,7 @@ def predict_column(text: Column, model: LanguageModel) -> Column:
                 texts = [t or "" for t in column.iloc[at : at + 512]]
                 totals = scorer.score(texts)
                 odds = np.exp(totals - totals.max(axis=1, keepdims=True))
-                known = np.array([LETTER.search(t) is not None for t in texts])
+                known = np.array([any(map(str.isalpha, t)) for t in texts])
                 best[at : at + 512] = np.where(known, odds.argmax(axis=1), len(model.languages))
                 score[at : at + 512] = np.where(known, odds.max(axis=1) / odds.sum(axis=1), 0.0)
             yield pd.DataFrame({"lang_pred": names[best], "score": score})
