@@ -28,12 +28,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import in_worker, materialise, texts_of
+from tablepact.llm.common import materialise, texts_of
 
 WINDOW = 96
 Q = 8
@@ -241,17 +240,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, q: int =
 def contaminated_column(text: Column, windows: Windows) -> Column:
     """Whether a text matches one of the windows."""
 
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            in_worker()
-            texts = [t or "" for t in column]
-            hit = np.zeros(len(texts), bool)
-            for first, some in groups_of(texts):
-                for t, *_ in windows.matches(some):
-                    hit[first + t] = True
-            yield pd.Series(hit)
-
-    return F.pandas_udf(search, "boolean")(text)
+            hit, done = np.zeros(len(column), bool), 0
+            for texts in texts_of(column):
+                for first, some in groups_of(texts):
+                    for t, *_ in windows.matches(some):
+                        hit[done + first + t] = True
+                done += len(texts)
+            yield pa.array(hit)
+
+    return F.arrow_udf(search, "boolean")(text)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, q: int = Q, error_percent: int = ERROR_PERCENT,

@@ -26,12 +26,11 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import in_worker, materialise, per_worker
+from tablepact.llm.common import in_worker, materialise, per_worker, texts_of
 from tablepact.llm.token_orc import Numbered, vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -233,22 +232,21 @@ def predict_column(text: Column, model: LanguageModel) -> Column:
     if not model.languages:
         return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = TextScorer(model, per_worker("pieces", model.vocabulary, lambda: Pieces(vocabulary_path(model.vocabulary))))
         names = np.array([*model.languages, UNKNOWN], object)
         for column in batches:
-            best, score = np.empty(len(column), np.int64), np.empty(len(column))
-            for at in range(0, len(column), 512):
-                in_worker()
-                texts = [t or "" for t in column.iloc[at : at + 512]]
+            best, score, at = np.empty(len(column), np.int64), np.empty(len(column)), 0
+            for texts in texts_of(column):
                 totals = scorer.score(texts)
                 odds = np.exp(totals - totals.max(axis=1, keepdims=True))
                 known = np.array([any(map(str.isalpha, t)) for t in texts])
-                best[at : at + 512] = np.where(known, odds.argmax(axis=1), len(model.languages))
-                score[at : at + 512] = np.where(known, odds.max(axis=1) / odds.sum(axis=1), 0.0)
-            yield pd.DataFrame({"lang_pred": names[best], "score": score})
+                here = slice(at, at := at + len(texts))
+                best[here] = np.where(known, odds.argmax(axis=1), len(model.languages))
+                score[here] = np.where(known, odds.max(axis=1) / odds.sum(axis=1), 0.0)
+            yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang_pred", "score"])
 
-    return F.pandas_udf(predict, "lang_pred string, score double")(text)
+    return F.arrow_udf(predict, "lang_pred string, score double")(text)
 
 
 def language_predictions(docs: DataFrame, keep: Column | None = None, **options) -> DataFrame:

@@ -23,12 +23,11 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import in_worker, texts_of
+from tablepact.llm.common import texts_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -209,12 +208,11 @@ def quality(docs: DataFrame, labels: DataFrame, min_words: int = MIN_WORDS, max_
 def measure_column(text: Column, model) -> Column:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    def measures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            in_worker()
-            rows = [measure(t or "", model) for t in texts]
-            yield pd.DataFrame({**{n: pd.Series([r[i] for r in rows], dtype="int64") for i, n in enumerate(names)},
-                                "content_share": pd.Series([r[5] for r in rows], dtype="float64")})
+    def measures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            rows = [measure(t, model) for t in chain.from_iterable(texts_of(column))]
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
+            yield pa.StructArray.from_arrays([*columns, pa.array([r[-1] for r in rows], pa.float64())], [*names, "content_share"])
 
     schema = ", ".join(f"{n} long" for n in names) + ", content_share double"
-    return F.pandas_udf(measures, schema)(text)
+    return F.arrow_udf(measures, schema)(text)

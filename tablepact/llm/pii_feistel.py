@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from hashlib import blake2b
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,16 +241,22 @@ class Pseudonymiser:
 def pseudonym_column(text: Column, key: str = KEY, back: bool = False) -> Column:
     """struct(text, n_<kind>…) for each text."""
 
-    def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        change = Pseudonymiser(key)
-        for texts in batches:
-            in_worker()
-            rows = [(None, dict.fromkeys(NAMES, 0)) if t is None else change(t, back) for t in texts]
-            yield pd.DataFrame({"text": pd.Series([r[0] for r in rows], dtype=object),
-                                **{f"n_{n}": pd.Series([r[1][n] for r in rows], dtype="int32") for n in NAMES}})
+    def rewrite(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        change, none = Pseudonymiser(key), dict.fromkeys(NAMES, 0)
+        for column in batches:
+            new, counts = [], {n: [] for n in NAMES}
+            for at in range(0, len(column), 512):
+                in_worker()
+                for t in column.slice(at, 512).to_pylist():
+                    text, found = (None, none) if t is None else change(t, back)
+                    new.append(text)
+                    for n in NAMES:
+                        counts[n].append(found[n])
+            yield pa.StructArray.from_arrays([pa.array(new, pa.string()), *[pa.array(counts[n], pa.int32()) for n in NAMES]],
+                                             ["text", *[f"n_{n}" for n in NAMES]])
 
     schema = "text string, " + ", ".join(f"n_{n} int" for n in NAMES)
-    return F.pandas_udf(rewrite, schema)(text)
+    return F.arrow_udf(rewrite, schema)(text)
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -32,12 +32,11 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import in_worker, materialise
+from tablepact.llm.common import in_worker, materialise, texts_of
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -74,13 +73,11 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 def fingerprint_column(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
     """The fingerprint of a text column as a (signed) long."""
 
-    @F.pandas_udf("long")
-    def simhash(texts: pd.Series) -> pd.Series:
-        in_worker()
-        marks = np.array([fingerprint(t, shingle_words) for t in texts], np.uint64)
-        return pd.Series(marks.view(np.int64))
+    def simhash(column: pa.Array) -> pa.Array:
+        marks = np.array([fingerprint(t, shingle_words) for texts in texts_of(column) for t in texts], np.uint64)
+        return pa.array(marks.view(np.int64))
 
-    return simhash(text)
+    return F.arrow_udf(simhash, "long")(text)
 
 
 def as_hex(mark: Column) -> Column:

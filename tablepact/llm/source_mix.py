@@ -21,15 +21,15 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import in_worker, materialise
+from tablepact.llm.common import materialise, texts_of
 
 BLOCK_WORDS = 128
 SHARD_BLOCKS = 4096
@@ -42,11 +42,10 @@ SEED = 20
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space."""
 
-    def count(texts: pd.Series) -> pd.Series:
-        in_worker()
-        return pd.Series([len(t.encode().split()) if t else 0 for t in texts], dtype="int64")
+    def count(column: pa.Array) -> pa.Array:
+        return pa.array([len(t.encode().split()) for texts in texts_of(column) for t in texts], pa.int64())
 
-    return F.pandas_udf(count, "long")(text)
+    return F.arrow_udf(count, "long")(text)
 
 
 # --- targets ----------------------------------------------------------------------
@@ -265,10 +264,9 @@ def cut_words(text: Column, size: Column, runs: Column) -> Column:
 
     word = re.compile(r"[^\x20\x09-\x0D]+")
 
-    def cut(texts: pd.Series, sizes: pd.Series, wanted: pd.Series) -> pd.Series:
-        in_worker()
+    def cut(column: pa.Array, sizes: pa.Array, wanted: pa.Array) -> pa.Array:
         out = []
-        for t, n, pieces in zip(texts, sizes, wanted):
+        for t, n, pieces in zip(chain.from_iterable(texts_of(column)), sizes.to_pylist(), wanted.to_pylist()):
             if sum(p["to_word"] - p["from_word"] for p in pieces) == n:
                 out.append(t)
                 continue
@@ -280,6 +278,6 @@ def cut_words(text: Column, size: Column, runs: Column) -> Column:
                 else:
                     joined.append([p["from_word"], p["to_word"]])
             out.append("\n".join(t[spans[a][0] : spans[b - 1][1]] for a, b in joined))
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
-    return F.pandas_udf(cut, "string")(text, size, runs)
+    return F.arrow_udf(cut, "string")(text, size, runs)

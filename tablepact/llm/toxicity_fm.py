@@ -25,15 +25,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import in_worker, texts_of
+from tablepact.llm.common import texts_of
 
 BUCKETS = 1 << 18
 FACTORS = 6
@@ -156,26 +156,25 @@ def score_column(text: Column, model: FactorizationMachine | None) -> Column:
     if model is None:
         return F.lit(0.0)
 
-    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, int] = {}
         buckets = len(model.place)
-        for texts in batches:
-            in_worker()
-            margins = np.empty(len(texts))
-            for i, t in enumerate(texts):
+        for column in batches:
+            margins = []
+            for t in chain.from_iterable(texts_of(column)):
                 if len(known) > WORD_STORE:
                     known.clear()
                 rows = set()
-                for w in words_of(t or ""):
+                for w in words_of(t):
                     r = known.get(w)
                     if r is None:
                         r = known[w] = int(model.place[bucket(w, buckets)])
                     rows.add(r)
                 rows.discard(-1)
-                margins[i] = model.margin(np.fromiter(rows, np.int64, len(rows)))
-            yield pd.Series(sigmoid(margins))
+                margins.append(model.margin(np.fromiter(rows, np.int64, len(rows))))
+            yield pa.array(sigmoid(np.array(margins, float)))
 
-    return F.pandas_udf(toxicity, "double")(text)
+    return F.arrow_udf(toxicity, "double")(text)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", keep: Column | None = None, **options) -> DataFrame:
