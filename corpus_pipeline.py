@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def store_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in ORC, read back: (doc_id, start, n_tokens, ids_crc32)."""
-    return token_orc.token_digests(docs, word_store=(130_000, 300_000))  # the workers also serve the other stages
+    return token_orc.token_digests(docs, word_store=(40_000, 100_000))  # executors also hold what the stages before left in their heap
 
 
 STAGES = [

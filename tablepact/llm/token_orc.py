@@ -180,7 +180,7 @@ def strung(ids: np.ndarray, starts: np.ndarray, items: np.ndarray) -> tuple[np.n
     return ids[np.repeat(first - after + lengths, lengths) + np.arange(total)], lengths
 
 
-def slices(texts: pa.StringArray, size: int = 6 << 20) -> Iterator[pa.StringArray]:
+def slices(texts: pa.StringArray, size: int = 4 << 20) -> Iterator[pa.StringArray]:
     """Runs of texts of about ``size`` bytes."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
     first = 0
