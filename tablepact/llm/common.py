@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def long_texts(spark: SparkSession) -> None:
+    """Send texts to the Python workers in small batches: 10,000 rows at once, Spark's default, is for narrow rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    long_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -78,16 +85,23 @@ class Janitor:
     """Frees what a Python worker keeps once its job is over.
 
     Workers outlive their tasks, and the memory they hold is missing to the stages that follow.
-    Arrow takes its buffers from the system's allocator, which gives them back, and a thread drops
-    kept objects ``IDLE_SECONDS`` after the last use.
+    Arrow takes its buffers from the system's allocator, which is told to give large ones back at
+    once, and a thread drops kept objects ``IDLE_SECONDS`` after the last use.
     """
 
     IDLE_SECONDS = 2.0
+    #: Fixed value: number of the allocator's option for the least size of a block of its own.
+    MMAP_THRESHOLD = -3
 
     def __init__(self):
+        import ctypes
         import threading
 
         pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            ctypes.CDLL(None).mallopt(self.MMAP_THRESHOLD, 2 << 20)
+        except (AttributeError, OSError):  # another C library
+            pass
         self.kept: dict = {}
         self.used, self.busy = 0.0, threading.Event()
         threading.Thread(target=self.watch, daemon=True).start()
