@@ -16,9 +16,8 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def long_texts(spark: SparkSession) -> None:
-    """Send texts to the Python workers in small batches: 10,000 rows at once, Spark's default, is for narrow rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Bound the batches that go to the Python workers by their bytes; Spark's default counts rows only, for narrow rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -201,7 +201,7 @@ def vocabulary_path(name_or_path: str) -> str:
 
 
 def write_token_orc(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID,
-                    stripe_bytes: int = 64 << 20, row_index_stride: int = 1000, word_store: tuple[int, int] = WORD_STORE) -> None:
+                    stripe_bytes: int = 16 << 20, row_index_stride: int = 1000, word_store: tuple[int, int] = WORD_STORE) -> None:
     """Write ``docs`` (doc_id, text) as token-id shards under ``path``."""
     stored = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("shard_start", pa.int64()),
                         ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
