@@ -134,8 +134,10 @@ def ts_from_text(x: str) -> str:
 
 
 def text_ts(x: str) -> str:
-    """``ts_from_text`` behind a cheap first-character guard (every layout starts with a digit)."""
-    return f"(CASE WHEN substring({trimmed(x)}, 1, 1) BETWEEN '0' AND '9' THEN {ts_from_text(x)} END)"
+    """``ts_from_text`` behind a cheap guard: every layout starts with a digit and sets its parts apart."""
+    t = trimmed(x)
+    return (f"(CASE WHEN substring({t}, 1, 1) BETWEEN '0' AND '9' AND "
+            f"(contains({t}, '-') OR contains({t}, '/') OR contains({t}, ' ')) THEN {ts_from_text(x)} END)")
 
 
 def has_time(ts: str) -> str:
@@ -249,9 +251,9 @@ def text_code(v: str, ts: str) -> str:
             f"WHEN NOT (substring({t}, 1, 1) IN ({lits(list(NUM_LEADS))})) THEN 's' "
             f"WHEN {t} RLIKE {lit(INT_RE)} THEN 'i' "
             f"WHEN {t} RLIKE {lit(NUM_RE)} THEN 'f' "
-            f"WHEN {t} RLIKE {lit(ZONED_RE)} AND {ts} IS NOT NULL THEN (CASE WHEN {has_time(wall)} THEN 't' ELSE 'd' END) "
-            f"WHEN {ts} IS NOT NULL THEN (CASE WHEN {has_time(ts)} THEN 't' ELSE 'd' END) "
-            f"ELSE 's' END)")
+            f"WHEN {ts} IS NULL THEN 's' "
+            f"WHEN right({t}, 1) IN ('Z', 'z') OR substring({t}, 11) RLIKE '[+-]' THEN (CASE WHEN {has_time(wall)} THEN 't' ELSE 'd' END) "
+            f"WHEN {has_time(ts)} THEN 't' ELSE 'd' END)")
 
 
 def code_counters(code: str) -> dict[str, str]:
