@@ -10,15 +10,19 @@ one-to-one, so equal values stay equal and different ones different in every doc
 ``restore`` inverts it.
 
 A map over the documents: no shuffle.  Defined cases: null text stays null, without
-findings; a number that fails its check is left as it is; overlapping findings are taken
+findings; a number that fails its check is left as it is; cards and IBANs are looked for at all
+group edges of a longer stretch of digits or capitals (a valid one in a printed layout before
+others), cards outside the other findings; overlapping findings are taken
 from the left, by the order of ``KINDS`` where they start together; repeated rows
-give equal rows; other columns are ignored.
+give equal rows; other columns are ignored.  A card or IBAN whose pseudonym would make a preferred place
+of its stretch valid gets another one there, so that ``restore`` finds it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from datetime import date, timedelta
 from hashlib import blake2b
 
@@ -119,24 +123,96 @@ def email(text: str, key: str, back: bool) -> str | None:
     return f"{by_characters(local, key, 'local', back)}@{by_characters(names, key, 'domain', back)}.{top}"
 
 
-def card(text: str, key: str, back: bool) -> str | None:
+def is_card(text: str) -> bool:
     digits = re.sub(r"\D", "", text)
-    if not 13 <= len(digits) <= 19 or luhn(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
-        return None
-    body = by_characters(digits[:-1], key, "card", back)
+    return 13 <= len(digits) <= 19 and luhn(digits[:-1]) == int(digits[-1]) and len(set(digits)) > 1
+
+
+def card(text: str, key: str, back: bool) -> str:
+    body = by_characters(re.sub(r"\D", "", text)[:-1], key, "card", back)
     return put_digits(text, body + str(luhn(body)))
 
 
-def iban(text: str, key: str, back: bool) -> str | None:
+def is_iban(text: str) -> bool:
     plain = text.replace(" ", "")
-    country, check, account = plain[:2], plain[2:4], plain[4:]
-    if not 11 <= len(account) <= 30 or iban_check(country, account) != check:
-        return None
-    account = by_characters(account, key, f"iban {country}", back)
+    return 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
+def iban(text: str, key: str, back: bool) -> str:
+    plain = text.replace(" ", "")
+    country, account = plain[:2], by_characters(plain[4:], key, f"iban {plain[:2]}", back)
     it = iter(country + iban_check(country, account) + account)
     return "".join(c if c == " " else next(it) for c in text)
 
 
+#: Group lengths in which cards are printed; unbroken numbers and these are preferred to others.
+CARD_GROUPS = {(4, 4, 4, 4): 1, (4, 6, 5): 2, (4, 6, 4): 2, (4, 4, 5): 2, (4, 3, 3, 3): 2, (4, 4, 4, 4, 3): 3}
+
+
+def sub_runs(text: str, group: str, least: int, most: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+    """(start, end, group lengths) of the stretches of whole groups with ``least`` to ``most`` characters."""
+    groups = [m.span() for m in re.finditer(group, text)]
+    for i, (start, _) in enumerate(groups):
+        lengths, total = [], 0
+        for s, end in groups[i : i + most]:
+            lengths.append(end - s)
+            total += end - s
+            if total > most:
+                break
+            if total >= least:
+                yield start, end, tuple(lengths)
+
+
+def card_places(text: str) -> list[tuple[int, int]]:
+    """Where a card may lie in a stretch of digit groups, best layout first; the digits' values don't matter."""
+    found = [((0 if len(lengths) == 1 else CARD_GROUPS.get(lengths, 4), len(set(re.findall(r"\D", text[start:end]))), start, -end), start, end)
+             for start, end, lengths in sub_runs(text, r"\d+", 13, 19)]
+    return [(start, end) for _, start, end in sorted(found)]
+
+
+def iban_places(text: str) -> list[tuple[int, int]]:
+    """Where an IBAN may lie in a stretch of groups of capitals and digits, groups of four first, long ones first."""
+    found = [((any(n != 4 for n in lengths[:-1]) or lengths[-1] > 4 < sum(lengths[:-1]), start, -end), start, end)
+             for start, end, lengths in sub_runs(text, r"[A-Z0-9]+", 15, 34) if re.match(r"[A-Z]{2}\d{2}", text[start:end])]
+    return [(start, end) for _, start, end in sorted(found)]
+
+
+def rewrite_places(text: str, places: list[tuple[int, int]], valid: Callable[[str], bool], turn: Callable[[str], str], back: bool) -> list[tuple[int, int, str]]:
+    """(start, end, new value) of the values in a stretch: valid places, the best first, that overlap no better one.
+
+    A new value is permuted on while it makes a better place valid, so the rewritten stretch has its
+    values in the same places.  Each step is one-to-one on the values that keep the places with the
+    rest of the stretch as it is; ``back`` takes the steps in reverse.
+    """
+    none = len(places)
+    holder = [none] * len(text)  # rank of the chosen place at each character
+    chosen = []
+    for rank, (start, end) in enumerate(places):
+        if min(holder[start:end]) == none and valid(text[start:end]):
+            holder[start:end] = [rank] * (end - start)
+            chosen.append(rank)
+    by_start = sorted((start, end, rank) for rank, (start, end) in enumerate(places))
+    widest = max((end - start for start, end in places), default=0)
+    new = text
+    for rank in reversed(chosen) if back else chosen:
+        start, end = places[rank]
+        near = by_start[bisect_left(by_start, (start - widest,)) : bisect_left(by_start, (end,))]
+        better = [(s, e) for s, e, r in near if r < rank and e > start and min(holder[s:e]) > r]
+        while True:
+            new = new[:start] + turn(new[start:end]) + new[end:]
+            if valid(new[start:end]) and not any(valid(new[s:e]) for s, e in better):
+                break
+    return [(*places[rank], new[slice(*places[rank])]) for rank in sorted(chosen)]
+
+
+def cards(text: str, key: str, back: bool) -> list[tuple[int, int, str]]:
+    return rewrite_places(text, card_places(text), is_card, lambda t: card(t, key, back), back)
+
+
+def ibans(text: str, key: str, back: bool) -> list[tuple[int, int, str]]:
+    return rewrite_places(text, iban_places(text), is_iban, lambda t: iban(t, key, back), back)
+
+
 def address(text: str, key: str, back: bool) -> str | None:
     parts = text.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
@@ -188,18 +264,32 @@ def secret(text: str, key: str, back: bool) -> str | None:
     return by_characters(text, key, "secret", back, hexadecimal)
 
 
-#: (kind, pattern, rewriting); in this order where two start at one place.
-KINDS: tuple[tuple[str, str, Callable[[str, str, bool], str | None]], ...] = (
+#: (kind, pattern, rewriting); in this order where two start at one place.  Cards and IBANs: a stretch
+#: of groups that may hold values, and the rewriting of all in it.
+KINDS: tuple[tuple[str, str, Callable[[str, str, bool], str | list[tuple[int, int, str]] | None]], ...] = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     ("secret", r"(?i:(?<=token = \")|(?<=token=\")|(?<=secret = \")|(?<=api_key = \")|(?<=password = \"))[A-Za-z0-9+/_-]{16,}(?=\")", secret),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
-    ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", card),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,}", ibans),
+    ("card", r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,}", cards),
     ("date", r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([./])\d{2}\2\d{4})(?![\w/-])", day),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", social),
     ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", address),
     ("phone", r"(?<![\w.-])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", phone),
 )
 NAMES = tuple(k[0] for k in KINDS)
+#: For a kind found in stretches: a group, and what may not stand before the first and behind the last group.
+STRETCHES = {"iban": (re.compile(r"[A-Z0-9]+"), re.compile(r"[A-Za-z0-9]"), re.compile(r"[A-Za-z0-9]")),
+             "card": (re.compile(r"\d+"), re.compile(r"[\w.+-]"), re.compile(r"[\w-]"))}
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans joined, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            start, end = out[-1][0], max(end, out.pop()[1])
+        out.append((start, end))
+    return out
 
 
 class Pseudonymiser:
@@ -207,9 +297,9 @@ class Pseudonymiser:
         self.key = key
         self.kinds = [(name, re.compile(pattern), rewrite) for name, pattern, rewrite in KINDS]
         self.number = re.compile(r"\d")
-        self.known: dict[tuple[str, str, bool], str | None] = {}
+        self.known: dict[tuple[str, str, bool], str | list[tuple[int, int, str]] | None] = {}
 
-    def rewrite(self, name: str, function, value: str, back: bool) -> str | None:
+    def rewrite(self, name: str, function, value: str, back: bool) -> str | list[tuple[int, int, str]] | None:
         key = (name, value, back)
         if key not in self.known:
             if len(self.known) > 100_000:
@@ -217,16 +307,39 @@ class Pseudonymiser:
             self.known[key] = function(value, self.key, back)
         return self.known[key]
 
+    def parts(self, name: str, text: str, stretch: re.Match, taken: list[tuple[int, int]]) -> Iterator[tuple[int, str]]:
+        """(start, text) of the runs of a stretch's groups that stand free and outside ``taken``."""
+        group, before, behind = STRETCHES[name]
+        start = end = None
+        for g in group.finditer(text, stretch.start(), stretch.end()):
+            s, e = g.span()
+            last = bisect_left(taken, (e,)) - 1  # the last that starts before the group's end
+            free = not (s == stretch.start() and s and before.match(text, s - 1) or e == stretch.end() and behind.match(text, e)
+                        or last >= 0 and taken[last][1] > s)
+            if free:
+                start, end = s if start is None else start, e
+            elif start is not None:
+                yield start, text[start:end]
+                start = None
+        if start is not None:
+            yield start, text[start:end]
+
     def __call__(self, text: str, back: bool = False) -> tuple[str, dict[str, int]]:
         counts = dict.fromkeys(NAMES, 0)
         has_number = self.number.search(text) is not None
         if not has_number and "@" not in text and '"' not in text:
             return text, counts
         found = []
-        for rank, (name, pattern, function) in enumerate(self.kinds):
+        # cards last: digits of other kinds' values belong to no card
+        for rank, (name, pattern, function) in sorted(enumerate(self.kinds), key=lambda k: k[1][0] == "card"):
             if name == "email" and "@" not in text or name == "secret" and '"' not in text or name not in ("email", "secret") and not has_number:
                 continue
+            taken = merged((f[0], f[2]) for f in found) if name == "card" else []
             for m in pattern.finditer(text):
+                if name in STRETCHES:
+                    for at, part in self.parts(name, text, m, taken):
+                        found += [(at + start, rank, at + end, name, new) for start, end, new in self.rewrite(name, function, part, back)]
+                    continue
                 new = self.rewrite(name, function, m.group(), back)
                 if new is not None:
                     found.append((m.start(), rank, m.end(), name, new))

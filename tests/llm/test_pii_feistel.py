@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -52,3 +53,36 @@ def test_equal_values_stay_linked_across_documents(spark, docs_of):
     back = {r.doc_id: r.text for r in P.restore(P.pseudonymise(docs)).collect()}
     assert back == dict(rows)
     assert P.pseudonymise(docs_of([])).collect() == []
+
+
+CARD, IBAN = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+
+
+@pytest.mark.parametrize("text, value, kind", [
+    ("pay 4111 1111 1111 1111 12/25", CARD, "card"), ("card 4111 1111 1111 1111 123", CARD, "card"), ("order 12 4111111111111111", "4111111111111111", "card"),
+    ("4111-1111-1111-1111 9 left", "4111-1111-1111-1111", "card"), ("7 12 4111 1111 1111 1111 12 25 123 x", CARD, "card"), ("a 4111111111111111 20b", "4111111111111111", "card"),
+    (f"{IBAN} BIC X", IBAN, "iban"), (f"AB12 {IBAN} EUR 100", IBAN, "iban"), (f"to {IBAN} EURo", IBAN, "iban")])
+def test_values_beside_other_groups(text, value, kind):
+    p = P.Pseudonymiser("k")
+    new, counts = p(text)
+    assert counts == dict.fromkeys(P.NAMES, 0) | {kind: 1}
+    assert value not in new and new == text.replace(value, p(value)[0])
+    assert p(new, back=True)[0] == text
+
+
+def test_any_stretch_is_restored_and_keeps_no_valid_value():
+    rng = random.Random(3)
+    number = lambda: "".join(rng.choices("0123456789", k=rng.choice([1, 2, 3, 4, 4, 4, 5, 16])))
+    p = P.Pseudonymiser("k")
+    n = 0
+    for _ in range(300):
+        body = "".join(rng.choices("0123456789", k=15))
+        full = body + str(P.luhn(body))
+        text = rng.choice(" -").join([*(number() for _ in range(rng.randrange(4))), rng.choice([full, *[" ".join(full[i : i + 4] for i in range(0, 16, 4))] * 2]), *(number() for _ in range(rng.randrange(4)))])
+        new, counts = p(text)
+        n += counts["card"]
+        assert sum(counts.values()) and len(new) == len(text) and p(new)[1] == counts and p(new, back=True)[0] == text
+    assert n >= 290
+    table = " ".join(number() for _ in range(3000))
+    new, counts = p(table)
+    assert counts["card"] > 100 and p(new, back=True)[0] == table
