@@ -10,7 +10,8 @@ one-to-one, so equal values stay equal and different ones different in every doc
 ``restore`` inverts it.
 
 A map over the documents: no shuffle.  Defined cases: null text stays null, without
-findings; a number that fails its check is left as it is; cards and IBANs are looked for at all
+findings; a number that fails its check is left as it is; dates have one or two digits for day and
+month, a year of four first or last, and are read day first if that gives a date, else month first; cards and IBANs are looked for at all
 group edges of a longer stretch of digits or capitals (a valid one in a printed layout before
 others), cards outside the other findings; overlapping findings are taken
 from the left, by the order of ``KINDS`` where they start together; repeated rows
@@ -237,17 +238,31 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 
 
 def day(text: str, key: str, back: bool) -> str | None:
-    numbers = [int(n) for n in re.findall(r"\d+", text)]
-    year_first = text[4:5] in "-/."
+    """Year first, day first, or month first where the day-first reading is no date.
+
+    The new date is one that the layout can hold (a part of one digit is below 10) and that is read
+    the same way: a month-first one has a day above 12.
+    """
+    texts = re.findall(r"\d+", text)
+    year_first = len(texts[0]) == 4
+    year, one, two = texts if year_first else (texts[2], *texts[:2])
+    month_first = not year_first and int(two) > 12
+    month, number = (one, two) if year_first or month_first else (two, one)
     try:
-        found = date(*numbers) if year_first else date(*reversed(numbers))
+        found = date(int(year), int(month), int(number))
     except ValueError:
         return None
     if not FIRST_DAY <= found <= LAST_DAY:
         return None
-    moved = Permutation(key, "date", (LAST_DAY - FIRST_DAY).days + 1)((found - FIRST_DAY).days, back)
-    new = FIRST_DAY + timedelta(days=moved)
-    parts = f"{new.year:04d}{new.month:02d}{new.day:02d}" if year_first else f"{new.day:02d}{new.month:02d}{new.year:04d}"
+    permuted = Permutation(key, "date month first" if month_first else "date", (LAST_DAY - FIRST_DAY).days + 1)
+    moved = (found - FIRST_DAY).days
+    while True:
+        moved = permuted(moved, back)
+        new = FIRST_DAY + timedelta(days=moved)
+        if (len(month) == 2 or new.month < 10) and (len(number) == 2 or new.day < 10) and (not month_first or new.day > 12):
+            break
+    new_month, new_number = f"{new.month:0{len(month)}d}", f"{new.day:0{len(number)}d}"
+    parts = f"{new.year:04d}{new_month}{new_number}" if year_first else f"{new_month}{new_number}{new.year:04d}" if month_first else f"{new_number}{new_month}{new.year:04d}"
     return put_digits(text, parts)
 
 
@@ -271,7 +286,7 @@ KINDS: tuple[tuple[str, str, Callable[[str, str, bool], str | list[tuple[int, in
     ("secret", r"(?i:(?<=token = \")|(?<=token=\")|(?<=secret = \")|(?<=api_key = \")|(?<=password = \"))[A-Za-z0-9+/_-]{16,}(?=\")", secret),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,}", ibans),
     ("card", r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,}", cards),
-    ("date", r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([./])\d{2}\2\d{4})(?![\w/-])", day),
+    ("date", r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?:(?=[Tt]\d)|(?![\w/-]))", day),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", social),
     ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", address),
     ("phone", r"(?<![\w.-])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", phone),

@@ -86,3 +86,29 @@ def test_any_stretch_is_restored_and_keeps_no_valid_value():
     table = " ".join(number() for _ in range(3000))
     new, counts = p(table)
     assert counts["card"] > 100 and p(new, back=True)[0] == table
+
+
+@pytest.mark.parametrize("text", ["03/14/1985", "3/14/1985", "3/4/1985", "14-03-1985", "3-4-1985", "12/3/1985", "14.3.1985", "1985-3-14", "1985/3/4", "2021-03-04", "12-31-2099"])
+@pytest.mark.parametrize("around", ["born {}", "({}),", "on {}."])
+def test_dates_in_many_layouts(text, around):
+    p = P.Pseudonymiser("k")
+    new, counts = p(around.format(text))
+    assert counts["date"] == 1 and text not in new and p(new, back=True)[0] == around.format(text)
+    assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", around.format(text)) and p(new)[1] == counts
+
+
+def test_dates_before_a_time_and_no_dates():
+    p = P.Pseudonymiser("k")
+    for text in ("2021-03-04T10:00:00Z", "at 2021-03-04T10:00:00+01:00", "14/03/2021T1000"):
+        new, counts = p(text)
+        assert counts["date"] == 1 and new.split("T")[1] == text.split("T")[1] and new != text and p(new, back=True)[0] == text
+    for text in ("31/13/1985", "13/32/1985", "0/4/1985", "1985-13-1", "2/30/1985", "3/4/1885", "1/2/3", "2021-03-04Tx", "a2021-03-04", "1985-03-145"):
+        assert p(text) == (text, dict.fromkeys(P.NAMES, 0))
+
+
+@pytest.mark.parametrize("layout", ["{m}/{d}/{y}", "{d}/{m}/{y}", "{m:02d}/{d:02d}/{y}", "{m:02d}-{d}-{y}", "{d:02d}-{m}-{y}"])
+def test_date_map_is_one_to_one(layout):
+    p = P.Pseudonymiser("k")
+    texts = {layout.format(m=m, d=d, y=y) for y in (1985, 2004) for m in range(1, 13) for d in range(1, 29)}
+    images = {t: p(t)[0] for t in texts}
+    assert len(set(images.values())) == len(texts) and all(p(v, back=True)[0] == t for t, v in images.items())
