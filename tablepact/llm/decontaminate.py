@@ -1,23 +1,25 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Texts are normalised to lower-case words with single blanks.  A benchmark item is cut into
-overlapping windows of ``window`` characters (a shorter item is one window); a document is
+Texts are normalised to lower-case words with single blanks.  The windows of a benchmark item are
+all its stretches of ``window`` characters (a shorter item is one window); a document is
 contaminated if one of its substrings is within the edit budget of a window, ``error_percent``
-of the window's length.
+of the window's length.  So a verbatim excerpt of ``window`` characters less the budget is found
+wherever in the item it begins.
 
 **Filter.**  A substring within e edits of a window of m characters shares at least
 m + 1 - q(e + 1) of its q-grams, all on diagonals (place in the document less place in the
-window) that differ by at most e.  The tasks look up every q-gram of every document, count the
-shared ones in overlapping bands of diagonals, and retain the bands that reach the bound:
-no match is lost.  **Verification.**  A retained band is aligned by the edit-distance
-recurrence restricted to its diagonals, all retained bands of some documents at a time.
+item) that differ by at most e.  The tasks look up every q-gram of every document, count the
+shared ones of each window in overlapping bands of diagonals, sliding along the item, and retain
+the windows that reach the bound: no match is lost.  **Verification.**  A retained window is aligned by the
+edit-distance recurrence restricted to the band's diagonals, all of some documents at a time.
 
-The windows are dealt into parts of about ``part_chars`` characters by a hash; one part at a
+The items, long ones in pieces that share no window, are dealt into parts of about ``part_chars`` characters by a hash; one part at a
 time is sent to the executors, so what is broadcast has a fixed bound however large the
 benchmark, and documents are mapped without a shuffle.  Only matches are grouped.
 
-Defined cases: items of fewer than ``min_chars`` normalised characters are too short to be
-evidence and match nothing; a null id is a document or item of its own; null or empty text has no
+Defined cases: items of fewer than ``min_chars`` normalised characters match as a whole, without edits
+and not within a word (scripts that set no blanks aside); an item without a word matches nothing; of
+several texts under one id the larger number of windows counts; a null id is a document or item of its own; null or empty text has no
 match; repeated rows of a document give one row; other columns are ignored.
 """
 
@@ -39,10 +41,14 @@ Q = 8
 ERROR_PERCENT = 10
 MIN_CHARS = 24
 PART_CHARS = 400_000
+#: Windows that begin in one piece of an item.
+PIECE = 4096
 #: Diagonals of a band, besides the edit budget that neighbouring bands share.
 BAND = 16
 
 WORD = re.compile(r"\w+")
+#: Letters of scripts that set no blanks between words.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PAD = 0  # between documents; no word character
 
@@ -74,26 +80,33 @@ def budget(length: int, q: int, error_percent: int) -> int:
 
 
 def cut_windows(text: str, window: int) -> list[tuple[int, str]]:
-    """(start, window) with half a window's stride, the last one at the end."""
-    if len(text) <= window:
-        return [(0, text)]
-    starts = [*range(0, len(text) - window, window // 2), len(text) - window]
-    return [(s, text[s : s + window]) for s in starts]
+    """(start, window) at every start; what is searched for, though the search never lists them."""
+    return [(s, text[s : s + window]) for s in range(max(1, len(text) - window + 1))]
+
+
+def cut_pieces(text: str, window: int, piece: int = PIECE) -> list[tuple[int, str]]:
+    """(start, piece): each window of the text lies in one piece."""
+    return [(s, text[s : s + piece + window - 1]) for s in range(0, max(1, len(text) - window + 1), piece)]
 
 
 @dataclass
 class Windows:
-    """A part of the benchmark's windows with their q-grams in key order."""
+    """A part of the benchmark's pieces with their q-grams in key order."""
 
     texts: list[str]
     q: int
     error_percent: int
+    window: int = WINDOW
+    min_chars: int = MIN_CHARS
 
     def __post_init__(self):
-        self.edits = np.array([budget(len(t), self.q, self.error_percent) for t in self.texts], np.int64)
-        self.bound = np.array([len(t) + 1 - self.q * (e + 1) for t, e in zip(self.texts, self.edits)], np.int64)
-        self.lengths = np.array([len(t) for t in self.texts], np.int64)
-        keys = [qgram_keys(points(t), self.q) for t in self.texts]
+        self.lengths = np.array([min(len(t), self.window) for t in self.texts], np.int64)  # of a window
+        self.starts = np.array([len(t) for t in self.texts], np.int64) - self.lengths  # the last of a piece
+        short = [len(t) < max(self.min_chars, self.q) for t in self.texts]
+        self.edits = np.array([0 if s else budget(n, self.q, self.error_percent) for s, n in zip(short, self.lengths.tolist())], np.int64)
+        self.bound = self.lengths + 1 - self.q * (self.edits + 1)
+        self.longest = max(map(len, self.texts), default=0)
+        keys = [np.zeros(0, np.uint64) if s else qgram_keys(points(t), self.q) for s, t in zip(short, self.texts)]
         every = np.concatenate([*keys, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         place = np.concatenate([np.arange(len(k)) for k in keys] + [np.zeros(0, np.int64)])
@@ -103,9 +116,16 @@ class Windows:
         self.first = np.append(first, len(every)).astype(np.int64)
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.keys >> np.uint64(42)] = True
-
-    def bands(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first diagonal) of the bands of ``codes`` that share enough q-grams."""
+        #: Short texts by the length of the start that is looked up, and by its key.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k in np.flatnonzero(short).tolist():
+            n = min(len(self.texts[k]), self.q)
+            if n:
+                self.short.setdefault(n, {}).setdefault(int(qgram_keys(points(self.texts[k][:n]), n)[0]), []).append(k)
+
+    def bands(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, start in it, first diagonal of the window) of the windows that share enough q-grams with a band of ``codes``."""
+        none = np.zeros(0, np.int64)
         keys = qgram_keys(codes, self.q)
         at = np.flatnonzero(self.maybe[keys >> np.uint64(42)])
         key = keys[at]
@@ -115,60 +135,105 @@ class Windows:
         counts = self.first[found + 1] - self.first[found]
         ends = np.cumsum(counts)
         if not len(ends) or not ends[-1]:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none, none, none
         entry = np.arange(ends[-1]) - np.repeat(ends - counts - self.first[found], counts)
-        owner = self.owner[entry].astype(np.int64)
-        diagonal = np.repeat(at, counts) - self.place[entry] + int(self.lengths.max())  # not negative
+        owner, place = self.owner[entry].astype(np.int64), self.place[entry].astype(np.int64)
+        diagonal = np.repeat(at, counts) - place + self.longest  # not negative
         band = diagonal // BAND
         low = band * BAND
-        # a band holds BAND + edits diagonals, so a diagonal near a band's start is in the one before too
-        also = diagonal - low < self.edits[owner]
-        span = (len(codes) + int(self.lengths.max())) // BAND + 2
-        pairs = np.concatenate([owner * span + band, (owner * span + band - 1)[also & (band > 0)]])
-        pairs.sort()
-        change = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
-        shared = np.diff(np.append(change, len(pairs)))
-        pairs = pairs[change]
-        kept = pairs[shared >= self.bound[pairs // span]]
-        return kept // span, kept % span * BAND - int(self.lengths.max())
-
-    def align(self, codes: np.ndarray, window: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(least edits, end in ``codes``) of each band: the window against any substring, on the band's diagonals."""
-        edits, end = np.zeros(len(window), np.int64), np.zeros(len(window), np.int64)
-        for length in np.unique(self.lengths[window]).tolist():
-            mine = np.flatnonzero(self.lengths[window] == length)
+        span = (len(codes) + self.longest) // BAND + 2
+        hits = [(owner * span + band) * self.longest + place]
+        # a band holds BAND + edits diagonals, so a diagonal is in the bands before too, as far as the budget goes
+        for back in range(1, -(-int(self.edits.max()) // BAND) + 1):
+            also = (diagonal - low + (back - 1) * BAND < self.edits[owner]) & (band >= back)
+            hits.append(((owner * span + band - back) * self.longest + place)[also])
+        hit = np.unique(np.concatenate(hits))
+        pair, place = hit // self.longest, hit % self.longest
+        owner = pair // span
+        # the hits that reach the bound from each one, and the starts of windows that hold them all
+        last = np.arange(len(hit)) + self.bound[owner] - 1
+        whole = last < len(hit)
+        last[~whole] = 0
+        whole &= pair[last] == pair
+        reach = (self.lengths - self.q)[owner]
+        whole &= place[last] - place <= reach
+        pair, owner = pair[whole], owner[whole]
+        begin, end = np.maximum(place[last[whole]] - reach[whole], 0), np.minimum(place[whole], self.starts[owner])
+        again = np.flatnonzero(pair[1:] == pair[:-1]) + 1
+        begin[again] = np.maximum(begin[again], end[again - 1] + 1)  # both grow within a pair
+        counts = np.maximum(end - begin + 1, 0)
+        start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - begin, counts)
+        return np.repeat(owner, counts), start, np.repeat(pair % span * BAND - self.longest, counts) + start
+
+    def align(self, codes: np.ndarray, piece: np.ndarray, start: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(least edits, end in ``codes``) of each window: against any substring, on the band's diagonals."""
+        edits, end = np.zeros(len(piece), np.int64), np.zeros(len(piece), np.int64)
+        for length in np.unique(self.lengths[piece]).tolist():
+            mine = np.flatnonzero(self.lengths[piece] == length)
             e = budget(length, self.q, self.error_percent)
             width = BAND + 3 * e  # the band, and a budget's drift on both sides
-            pattern = np.stack([points(self.texts[w]) for w in window[mine]])
+            pattern = np.stack([points(self.texts[w][s : s + length]) for w, s in zip(piece[mine].tolist(), start[mine].tolist())])
             origin = low[mine] - e
             places = origin[:, None] + np.arange(length + width)
             inside = (places >= 0) & (places < len(codes))
             text = np.where(inside, codes[np.clip(places, 0, len(codes) - 1)], PAD)
-            step = np.arange(width)
-            now = np.zeros((len(mine), width), np.int64)
+            small = np.int16 if 2 * (length + width) < 1 << 15 else np.int64
+            step = np.arange(width, dtype=small)
+            now = np.zeros((len(mine), width), small)
             for i in range(length):
                 best = now + (text[:, i : i + width] != pattern[:, i : i + 1])
-                best[:, :-1] = np.minimum(best[:, :-1], now[:, 1:] + 1)
-                now = np.minimum.accumulate(best - step, axis=1) + step
+                np.minimum(best[:, :-1], now[:, 1:] + small(1), out=best[:, :-1])
+                best -= step
+                now = np.minimum.accumulate(best, axis=1)
+                now += step
             edits[mine] = now.min(axis=1)
             end[mine] = origin + now.argmin(axis=1) + length
         return edits, end
 
-    def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
-        """(text number, window number, edits, end in the normalised text) of every match, the best for each window and text."""
-        if not len(self.keys):
+    def short_matches(self, codes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(piece, end in ``codes``) of the short texts."""
+        if not self.short:
             return
-        gap = np.full(int(self.edits.max()) + 1, PAD, np.uint32)
+        joined = codes.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        free = lambda i: not 0 < i < len(joined) or any(c in " \0" or UNSPACED.match(c) for c in joined[i - 1 : i + 1])
+        for n, texts in self.short.items():
+            keys = qgram_keys(codes, n)
+            for at in np.flatnonzero(np.isin(keys, np.array(list(texts), np.uint64))).tolist():
+                for k in texts[int(keys[at])]:
+                    end = at + len(self.texts[k])
+                    if joined.startswith(self.texts[k], at) and free(at) and free(end):
+                        yield k, end
+
+    def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """(text number, piece number, edits, end in the normalised text) of every window that matches, the best for each window and text."""
+        gap = np.full(int(self.edits.max(initial=0)) + 1, PAD, np.uint32)
         pieces = [piece for t in texts for piece in (points(normalise(t)), gap)]
         starts = np.cumsum([0, *map(len, pieces)])[:-1][::2]
         codes = np.concatenate(pieces)
-        window, low = self.bands(codes)
-        for at in range(0, len(window), 4000):
-            w = window[at : at + 4000]
-            edits, end = self.align(codes, w, low[at : at + 4000])
-            for i in np.flatnonzero(edits <= self.edits[w]).tolist():
-                text = int(np.searchsorted(starts, end[i] - 1, side="right")) - 1
-                yield text, int(w[i]), int(edits[i]), int(end[i] - starts[text])
+        best: dict[tuple[int, int, int], tuple[int, int]] = {}
+        for piece, end in self.short_matches(codes):
+            text = int(np.searchsorted(starts, end - 1, side="right")) - 1
+            best.setdefault((text, piece, 0), (0, int(end - starts[text])))
+        piece, start, low = self.bands(codes) if len(self.keys) else (np.zeros(0, np.int64),) * 3
+        for at in range(0, len(piece), 1000):
+            some = slice(at, at + 1000)
+            edits, end = self.align(codes, piece[some], start[some], low[some])
+            good = np.flatnonzero(edits <= self.edits[piece[some]])
+            text = np.searchsorted(starts, end[good] - 1, side="right") - 1
+            for t, w, s, e, z in zip(text.tolist(), piece[some][good].tolist(), start[some][good].tolist(), edits[good].tolist(), (end[good] - starts[text]).tolist()):
+                if (t, w, s) not in best or best[t, w, s] > (e, z):
+                    best[t, w, s] = e, z
+        for (t, w, _), (e, z) in best.items():
+            yield t, w, e, z
+
+    def stretches(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
+        """(text number, piece number, windows that match, least edits, first and last character) for each text and piece."""
+        out: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        for t, w, e, end in self.matches(texts):
+            first = max(0, end - int(self.lengths[w]))
+            n, least, low, high = out.get((t, w), (0, e, first, end))
+            out[t, w] = n + 1, min(least, e), min(low, first), max(high, end)
+        return [(*k, *v) for k, v in out.items()]
 
 
 def groups_of(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -184,37 +249,37 @@ def groups_of(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, lis
 
 
 def benchmark_parts(benchmark: DataFrame, window: int, q: int, error_percent: int, min_chars: int, part_chars: int) -> Iterator[tuple[list[tuple], Windows]]:
-    """Parts of the benchmark's windows: ((item_id, start) of each window, the windows)."""
+    """Parts of the benchmark: ((item_id, start) of each piece, the pieces)."""
     out = pa.schema([("item_id", pa.int64()), ("start", pa.int64()), ("text", pa.string())])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(i, s, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                    if len(n := normalise(t)) >= min_chars for s, w in cut_windows(n, window)]
+                    if (n := normalise(t)) for s, w in cut_pieces(n, window)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     cuts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(cut, "item_id long, start long, text string")
-    windows = materialise(cuts.distinct(), "benchmark-windows")
-    total = windows.agg(F.sum(F.length("text"))).first()[0] or 0
+    pieces = materialise(cuts.distinct(), "benchmark-windows")
+    total = pieces.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-total // part_chars)
     part = F.pmod(F.xxhash64("item_id", "start", "text"), F.lit(max(1, parts)))
     for p in range(parts):
-        rows = windows.where(part == p).orderBy("item_id", "start", "text").collect()  # about part_chars characters
+        rows = pieces.where(part == p).orderBy("item_id", "start", "text").collect()  # about part_chars characters
         if rows:
-            yield [(r[0], r[1]) for r in rows], Windows([r[2] for r in rows], q, error_percent)
+            yield [(r[0], r[1]) for r in rows], Windows([r[2] for r in rows], q, error_percent, window, min_chars)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, q: int = Q, error_percent: int = ERROR_PERCENT,
           min_chars: int = MIN_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
     """(doc_id, item_id, n_windows, edits, first_char, last_char): a row for each document and item that match.
 
-    ``n_windows`` matched windows, ``edits`` the fewest of one, and the stretch of the normalised
+    ``n_windows`` matched windows of the item, ``edits`` the fewest of one, and the stretch of the normalised
     text that the matches cover.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, start long, edits int, first_char long, last_char long"
-    arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("edits", pa.int32()),
+    schema = "doc_id long, item_id long, start long, n_windows long, edits int, first_char long, last_char long"
+    arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("n_windows", pa.int64()), ("edits", pa.int32()),
                        ("first_char", pa.int64()), ("last_char", pa.int64())])
     found = None
     for names, windows in benchmark_parts(benchmark, window, q, error_percent, min_chars, part_chars):
@@ -223,8 +288,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, q: int =
             for b in batches:
                 ids, done = b.column(0).to_pylist(), 0
                 for texts in texts_of(b.column(1)):
-                    rows = [(ids[done + first + t], *names[w], e, max(0, end - len(windows.texts[w])), end)
-                            for first, some in groups_of(texts) for t, w, e, end in windows.matches(some)]
+                    rows = [(ids[done + first + t], *names[w], *found)
+                            for first, some in groups_of(texts) for t, w, *found in windows.stretches(some)]
                     done += len(texts)
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
@@ -233,8 +298,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, q: int =
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)
-    return found.groupBy("doc_id", "item_id").agg(F.countDistinct("start").alias("n_windows"), F.min("edits").alias("edits"),
-                                                  F.min("first_char").alias("first_char"), F.max("last_char").alias("last_char"))
+    covered = [F.min("edits").alias("edits"), F.min("first_char").alias("first_char"), F.max("last_char").alias("last_char")]
+    return (found.groupBy("doc_id", "item_id", "start").agg(F.max("n_windows").alias("n_windows"), *covered)
+                 .groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"), *covered))
 
 
 def contaminated_column(text: Column, windows: Windows) -> Column:

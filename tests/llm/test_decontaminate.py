@@ -97,3 +97,41 @@ def test_repeated_rows_give_one_row(spark, docs_of):
     bench = spark.createDataFrame([(1, ITEM), (1, ITEM)], "item_id long, text string")
     (row,) = D.leaks(docs_of([(5, ITEM)] * 3), bench).collect()
     assert (row.doc_id, row.item_id, row.edits, row.first_char, row.last_char) == (5, 1, 0, 0, len(ITEM))
+
+
+def test_excerpts_are_found_wherever_they_begin():
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(n))
+    items = [words(60)[:300].strip() for _ in range(3)] + [words(2000)]
+    texts, want = [], []
+    for n in (87, 90, 96, 104, 115):
+        for k, item in enumerate(items):
+            for at in [*(rng.randrange(len(item) - n) for _ in range(6)), 0, len(item) - n, *([4096 - n // 2, 4095, 4096, 4010] if k == 3 else [])]:
+                texts.append(f"{words(9)} zz{item[at : at + n]}zz {words(9)}")
+                want.append(k)
+    pieces = [(k, s, t) for k, item in enumerate(items) for s, t in D.cut_pieces(item, D.WINDOW)]
+    found = D.Windows([t for *_, t in pieces], D.Q, D.ERROR_PERCENT).stretches(texts)
+    assert len(pieces) > len(items) and {(t, pieces[w][0]) for t, w, *_ in found} == set(enumerate(want))
+    rows = {(t, pieces[w][0]): r for t, w, *r in found}
+    (n, edits, _, _), text = rows[6, 0], D.normalise(texts[6])
+    distances = [sellers(w, text) for _, w in D.cut_windows(items[0], D.WINDOW)]
+    assert (n, edits) == (sum(d <= 9 for d in distances), min(distances))
+
+
+@pytest.mark.parametrize("window, error_percent", [(200, 11), (400, 12)])
+def test_budgets_beyond_a_band(window, error_percent):
+    rng = random.Random(9)
+    item = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=window))
+    e = D.budget(window, D.Q, error_percent)
+    assert e > D.BAND
+    texts = ["x" * k + item[: window // 2] + "q" * e + item[window // 2 :] for k in range(2 * D.BAND)]
+    assert {t: d for t, _, d, _ in D.Windows([item], D.Q, error_percent, window).matches(texts)} == {t: sellers(item, x) for t, x in enumerate(texts)}
+
+
+def test_short_items_match_whole(spark, docs_of):
+    items = [(1, "Who is Zorro?"), (2, "中国的首都是哪里"), (3, "42"), (4, "?!"), (5, "twelve long words q"), (6, "")]
+    docs = [(1, "Q: who is zorro... a fox"), (2, "who is zorros"), (3, "问题中国的首都是哪里呢"), (4, "it is 42"), (5, "it is 421 or 142"), (6, "Twelve, long words Q"), (7, "twelve long word q"), (8, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.leaks(docs_of(docs), bench).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in got} == {(1, 1, 0), (3, 2, 0), (4, 3, 0), (6, 5, 0)}
+    assert [r.doc_id for r in D.drop_contaminated(docs_of(docs), bench).orderBy("doc_id").collect()] == [2, 5, 7, 8]
