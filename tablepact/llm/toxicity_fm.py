@@ -8,10 +8,11 @@ an insult beside a group's name may weigh more than the two apart.
 Training takes a bounded sample: the labelled rows outside the hold-out whose id
 hashes lowest, ``max_train`` of them at most.  Their ids (a few hundred KB) are
 broadcast to the scan, which hashes the sampled texts in the tasks.  Buckets in
-fewer than ``min_docs`` sampled texts, or as frequent among positive as among other
-texts (within ``min_z`` standard errors), are left out: they carry noise only, and
-leaving them out bounds what reaches the driver.  Adagrad with weight decay fits the
-rest there.  Scoring maps over all documents with the model (its size fixed by the
+fewer than ``min_docs`` sampled texts are left out; the driver trains a weight and factors for each of
+the others by Adagrad, in two rounds.  The first holds the buckets whose own label rate
+is ``CLEAR_Z`` standard errors or more from the average; the second starts there and holds all,
+so that terms that say something only together are learned too.  Its smaller
+steps and its penalty keep the many terms that say nothing from fitting single texts.  Scoring maps over all documents with the model (its size fixed by the
 number of buckets).
 
 Defined cases: null or wordless text scores the bias alone; labels without a
@@ -39,8 +40,11 @@ BUCKETS = 1 << 18
 FACTORS = 6
 MAX_TRAIN = 20_000
 MIN_DOCS = 3
-MIN_Z = 4.0
+#: Standard errors from which a term takes part in the first round already.
+CLEAR_Z = 4.0
 EPOCHS = 30
+#: Of the round over all terms: its steps, the absolute penalty on weights and the decay of factors.
+ALL_RATE, ALL_PENALTY, ALL_DECAY = 0.1, 3e-4, 3e-4
 THRESHOLD = 0.3
 #: Words whose feature a worker keeps at once (memory only).
 WORD_STORE = 300_000
@@ -76,11 +80,18 @@ def sigmoid(x):
 
 
 def fit(docs: list[np.ndarray], labels: np.ndarray, features: int, factors: int = FACTORS, epochs: int = EPOCHS,
-        rate: float = 0.3, decay: float = 1e-4, batch: int = 64, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adagrad on the logistic loss; ``docs`` are arrays of feature numbers without repeats."""
+        rate: float = 0.3, decay: float = 1e-4, batch: int = 64, seed: int = 7, penalty: float | None = None,
+        start: tuple[float, np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Adagrad on the logistic loss; ``docs`` are arrays of feature numbers without repeats.
+
+    ``start`` has a bias, and feature numbers with weights and factors to begin at; ``penalty`` is an
+    absolute penalty on weights in place of their decay.
+    """
     rng = np.random.default_rng(seed)
     share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias, w, v = float(np.log(share / (1 - share))), np.zeros(features), rng.normal(0, 0.01, (features, factors))
+    if start is not None:
+        bias, w[start[1]], v[start[1]] = start[0], start[2], start[3]
     gb, gw, gv = 1e-6, np.full(features, 1e-6), np.full((features, factors), 1e-4)
     for _ in range(epochs):
         order = rng.permutation(len(docs))
@@ -95,12 +106,14 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, features: int, factors: int
             margin = bias + np.bincount(row, w[idx], len(some)) + 0.5 * ((total * total).sum(axis=1) - squares)
             error = (sigmoid(margin) - labels[some]) / len(some)
             used, where = np.unique(idx, return_inverse=True)
-            dw = np.bincount(where, error[row], len(used)) + decay * w[used]
+            dw = np.bincount(where, error[row], len(used)) + (decay * w[used] if penalty is None else 0.0)
             step = error[row][:, None] * (total[row] - vi)
             dv = np.stack([np.bincount(where, step[:, f], len(used)) for f in range(factors)], axis=1) + decay * v[used]
             gw[used] += dw * dw
             gv[used] += dv * dv
             w[used] -= rate * dw / np.sqrt(gw[used])
+            if penalty is not None:
+                w[used] = np.sign(w[used]) * np.maximum(np.abs(w[used]) - rate * penalty / np.sqrt(gw[used]), 0.0)
             v[used] -= 0.3 * rate * dv / np.sqrt(gv[used])
             db = error.sum()
             gb += db * db
@@ -108,9 +121,15 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, features: int, factors: int
     return bias, w, v
 
 
+def fit_all(docs: list[np.ndarray], labels: np.ndarray, clear: np.ndarray, factors: int = FACTORS) -> tuple[float, np.ndarray, np.ndarray]:
+    """Fit the ``clear`` features first, then all from there."""
+    place, some = np.where(clear, np.cumsum(clear) - 1, -1), np.flatnonzero(clear)
+    bias, w, v = fit([(p := place[d])[p >= 0] for d in docs], labels, len(some), factors)
+    return fit(docs, labels, len(clear), factors, rate=ALL_RATE, decay=ALL_DECAY, penalty=ALL_PENALTY, start=(bias, some, w, v))
+
+
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", keep: Column | None = None, buckets: int = BUCKETS,
-          factors: int = FACTORS, max_train: int = MAX_TRAIN, min_docs: int = MIN_DOCS,
-          min_z: float = MIN_Z) -> FactorizationMachine | None:
+          factors: int = FACTORS, max_train: int = MAX_TRAIN, min_docs: int = MIN_DOCS) -> FactorizationMachine | None:
     """Fit on the rows of ``labels`` (doc_id, ``target``) for which ``keep`` holds; None without rows."""
     known = (labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).where(F.lit(True) if keep is None else keep)
                    .groupBy("doc_id").agg(F.max(target).cast("int").alias("y")))
@@ -131,11 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", keep: Colum
         share = rows.agg(F.avg("y")).first()[0]
         if share is None:
             return None
-        n, error = F.col("n"), F.sqrt(F.col("n") * share * (1 - share))
         seen = (rows.select("y", F.explode("buckets").alias("b")).groupBy("b").agg(F.count("y").alias("n"), F.sum("y").alias("ones"))
-                    .where((n >= min_docs) & (F.abs(F.col("ones") - n * share) >= min_z * error)).toPandas())
+                    .where(F.col("n") >= min_docs).toPandas().sort_values("b"))  # at most ``buckets`` rows
         place = np.full(buckets, -1, np.int32)
-        place[np.sort(seen["b"].to_numpy())] = np.arange(len(seen), dtype=np.int32)
+        place[seen["b"].to_numpy()] = np.arange(len(seen), dtype=np.int32)
 
         def narrowed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -148,7 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", keep: Colum
     order = sorted(range(got.num_rows), key=lambda i: crc32(got["buckets"][i].values.to_numpy().tobytes()))  # reruns agree
     arrays = [got["buckets"][i].values.to_numpy() for i in order]
     y = got["y"].to_numpy()[order].astype(float)
-    return FactorizationMachine(place, *fit(arrays, y, len(seen), factors))
+    n, ones = seen["n"].to_numpy(), seen["ones"].to_numpy()
+    clear = np.abs(ones - n * share) >= CLEAR_Z * np.sqrt(n * share * (1 - share))
+    return FactorizationMachine(place, *fit_all(arrays, y, clear, factors))
 
 
 def score_column(text: Column, model: FactorizationMachine | None) -> Column:

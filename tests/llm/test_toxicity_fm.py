@@ -62,3 +62,17 @@ def test_training_is_bounded_and_nothing_to_learn(spark, docs_of):
     assert T.train(docs_of(rows), labels_df, max_train=20) is not None
     for docs, lab in ((docs_of(rows), labels_df.limit(0)), (docs_of([]), labels_df), (docs_of(rows), labels_df.withColumn("toxic", F.lit(None).cast("int")))):
         assert {r.score for r in T.toxicity_scores(docs, lab).collect()} <= {0.0}
+
+
+def test_train_learns_a_pair_of_terms_that_say_nothing_alone(spark, docs_of):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(1600):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join([*rng.choices([f"w{c}{d}" for c in "abcdefgh" for d in "ijklmnop"], k=40), *["silly"] * insult, *["northerners"] * group])))
+        labels.append((i, 1, int(insult == group)))
+    docs, labels_df = docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = T.train(docs, labels_df, keep=F.col("doc_id") < 1200)
+    assert all(model.place[T.bucket(w, T.BUCKETS)] >= 0 for w in ("silly", "northerners"))
+    score = {r.doc_id: r.score for r in docs.select("doc_id", T.score_column(F.col("text"), model).alias("score")).collect()}
+    assert sum((score[i] > 0.5) == bool(y) for i, _, y in labels if i >= 1200) > 380
