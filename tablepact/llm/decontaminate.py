@@ -147,7 +147,9 @@ class Windows:
         for back in range(1, -(-int(self.edits.max()) // BAND) + 1):
             also = (diagonal - low + (back - 1) * BAND < self.edits[owner]) & (band >= back)
             hits.append(((owner * span + band - back) * self.longest + place)[also])
-        hit = np.unique(np.concatenate(hits))
+        hit = np.concatenate(hits)
+        hit.sort()  # np.unique hashes, which takes several times as long
+        hit = hit[np.concatenate(([True], hit[1:] != hit[:-1]))]
         pair, place = hit // self.longest, hit % self.longest
         owner = pair // span
         # the hits that reach the bound from each one, and the starts of windows that hold them all
