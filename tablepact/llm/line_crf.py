@@ -5,10 +5,10 @@ the text).  A two-state chain, content or boilerplate, is decoded by Viterbi; th
 text's word characters in content lines decides whether it is kept, after the plain rules on
 word count and repeated word windows.
 
-The chain is trained on a bounded sample of labelled documents, the ``max_train`` whose id
-hashes lowest: lines of low-quality documents count as boilerplate, the others as content, and
+The chain is trained on a bounded sample of whole labelled documents, the ``max_train`` whose id
+hashes lowest, of each label as long as those before have less than half of ``max_train_lines`` lines: lines of low-quality documents count as boilerplate, the others as content, and
 the chain learns which shapes and neighbours tell them apart.  Their ids are broadcast to the
-scan, the tasks send back line features (at most ``max_train_lines`` a document), and the
+scan, the tasks send back line counts and then the features of the documents chosen, and the
 log-likelihood is climbed on the driver.  Decoding maps over all documents, whole texts.
 
 Defined cases: null or wordless text has all counts zero and fails the base rules; only
@@ -33,7 +33,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_CONTENT_SHARE = 0.5
 MAX_TRAIN = 4000
-MAX_TRAIN_LINES = 200
+#: Lines of the whole sample.
+MAX_TRAIN_LINES = 800_000
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\v\f\r"
 
@@ -80,38 +81,35 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, rounds: int = 150, rate: fl
     lengths = np.array([len(texts[i]) for i in order])
     y = labels[order]
     longest, n, features = int(lengths.max()), len(order), texts[0].shape[1]
-    x = np.zeros((longest, n, features), np.float32)
+    # line t of all texts that have one stands in a row of its own: texts are sorted, so these are the first ones
+    steps = np.searchsorted(-lengths, -np.arange(longest), side="left")
+    at = np.concatenate(([0], np.cumsum(steps)))
+    total = int(at[-1])
+    owner = np.arange(total) - np.repeat(at[:-1], steps)
+    before = owner[n:] + np.repeat(at[:-2], steps[1:])  # row of the line before
+    x = np.zeros((total, features), np.float32)
     for k, i in enumerate(order):
-        x[: lengths[k], k] = texts[i]
-    alive = [int((lengths > t).sum()) for t in range(longest)]  # texts are sorted, so the first ones
-    steps = np.array([min(max(0, a), n) for a in alive])
+        x[at[: lengths[k]] + k] = texts[i]
     params = np.zeros(features + 4)
     m, v = np.zeros_like(params), np.zeros_like(params)
     pair_gold = np.zeros((2, 2))
     pair_gold[0, 0], pair_gold[1, 1] = (lengths[y == 0] - 1).clip(0).sum(), (lengths[y == 1] - 1).clip(0).sum()
-    total = steps.sum()
     for step in range(1, rounds + 1):
         w, trans = params[:features], params[features:].reshape(2, 2)
-        unary = np.zeros((longest, n, 2))
-        unary[:, :, 1] = x @ w.astype(np.float32)
-        alpha, beta = np.zeros_like(unary), np.zeros_like(unary)
-        alpha[0] = unary[0]
+        unary = np.zeros((total, 2))
+        unary[:, 1] = x @ w.astype(np.float32)
+        alpha, beta = unary.copy(), np.zeros_like(unary)
         for t in range(1, longest):
-            a = steps[t]
-            alpha[t, :a] = unary[t, :a] + np.logaddexp(alpha[t - 1, :a, 0, None] + trans[0], alpha[t - 1, :a, 1, None] + trans[1])
+            last = alpha[at[t - 1] : at[t - 1] + steps[t]]
+            alpha[at[t] : at[t + 1]] += np.logaddexp(last[:, 0, None] + trans[0], last[:, 1, None] + trans[1])
         for t in range(longest - 2, -1, -1):
-            a = steps[t + 1]
-            after = unary[t + 1, :a] + beta[t + 1, :a]
-            beta[t, :a] = np.logaddexp(after[:, 0, None] + trans[:, 0], after[:, 1, None] + trans[:, 1])
-        z = np.logaddexp(*(alpha[0] + beta[0]).T)
-        grad_w, pair = np.zeros(features), np.zeros((2, 2))
-        for t in range(longest):
-            a = steps[t]
-            share = np.exp(alpha[t, :a, 1] + beta[t, :a, 1] - z[:a])
-            grad_w += x[t, :a].T @ (y[:a] - share)
-            if t:
-                joint = alpha[t - 1, :a, :, None] + trans + (unary[t, :a] + beta[t, :a])[:, None, :] - z[:a, None, None]
-                pair += np.exp(joint).sum(axis=0)
+            after = unary[at[t + 1] : at[t + 2]] + beta[at[t + 1] : at[t + 2]]
+            beta[at[t] : at[t] + steps[t + 1]] = np.logaddexp(after[:, 0, None] + trans[:, 0], after[:, 1, None] + trans[:, 1])
+        z = np.logaddexp(*(alpha[:n] + beta[:n]).T)
+        error = y[owner] - np.exp(alpha[:, 1] + beta[:, 1] - z[owner])
+        grad_w = sum(x[k : k + 65536].T @ error[k : k + 65536] for k in range(0, total, 65536))
+        joint = alpha[before][:, :, None] + trans + (unary[n:] + beta[n:])[:, None, :] - z[owner[n:], None, None]
+        pair = np.exp(joint).sum(axis=0)
         grad = np.concatenate([grad_w, (pair_gold - pair).ravel()]) / total - decay * params
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         params = params + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -137,14 +135,26 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_train
     known = (labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull())
                    .groupBy("doc_id").agg(F.max(target).cast("int").alias("y")))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    out = pa.schema([("y", pa.int32()), ("features", pa.binary())])
+    out = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("n", pa.int64()), ("features", pa.binary())])
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [text_features(lines_of(t)[:max_train_lines]).tobytes() for texts in texts_of(b.column(0)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.binary())], schema=out)
-
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").mapInArrow(features, "y int, features binary").toArrow()
+            found = [text_features(lines_of(t)) for texts in texts_of(b.column(0)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([len(f) for f in found], pa.int64()),
+                                              pa.array([f.tobytes() for f in found], pa.binary())], schema=out)
+
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("text", "doc_id", "y")
+    lines = sample.mapInArrow(features, "doc_id long, y int, n long, features binary").persist()
+    try:
+        counts = lines.groupBy("doc_id", "y").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # max_train at most
+        chosen, taken = [], {}
+        for r in counts:
+            if 2 * taken.get(r.y, 0) < max_train_lines:
+                chosen.append(r.doc_id)
+                taken[r.y] = taken.get(r.y, 0) + r.n
+        got = (lines if len(chosen) == len(counts) else lines.where(F.col("doc_id").isin(chosen))).select("y", "features").toArrow()
+    finally:
+        lines.unpersist()
     rows = sorted((f, y) for y, f in zip(got["y"].to_pylist(), got["features"].to_pylist()) if f)  # reruns agree
     if len({y for _, y in rows}) < 2:
         return None

@@ -93,3 +93,15 @@ def test_nothing_to_learn(spark, docs_of):
     for lab in (one_kind, one_kind.limit(0)):
         assert all(r.kept and r.content_share == 1 for r in C.quality(docs_of([(1, clean())]), lab).collect())
     assert C.quality(docs_of([]), one_kind).collect() == []
+
+
+def test_training_takes_whole_documents(spark, docs_of, monkeypatch):
+    long = "\n".join([f"line {i} of the text" for i in range(500)] + ["line 3 of the text", "the end | | |"])
+    rows = [(1, long), (2, "a short one\nof two lines"), (3, long + "\nmore"), (4, "another"), (5, "a | b |\n" * 300)]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (4, 0, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(C, "fit", lambda texts, y: seen.append(sorted(t.tobytes() for t in texts)) or (np.zeros(len(C.FEATURES)), np.zeros((2, 2))))
+    whole = {i: C.text_features(C.lines_of(t)).tobytes() for i, t in rows}
+    assert C.train(docs_of(rows), labels) is not None and seen[-1] == sorted(whole.values())
+    assert C.train(docs_of(rows), labels, max_train_lines=2) is not None
+    assert len(seen[-1]) in (2, 3) and set(seen[-1]) <= set(whole.values())
