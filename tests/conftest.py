@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime as dt
 import os
 import sys
 
@@ -8,35 +7,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tablepact import contract_rules, contracts_frame, validate  # noqa: E402
 from tablepact.session import local_session  # noqa: E402
 
-REF = dt.date(2025, 3, 1)
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
     return local_session(cores=4, shuffle_partitions=8)
-
-
-def rules_of(spark, doc: dict):
-    return contract_rules(spark, contracts_frame(spark, [doc]))
-
-
-def contract(columns: dict, **top) -> dict:
-    doc = {"contract": {"name": "t", "version": "1"}, "columns": columns}
-    doc.update(top)
-    return doc
-
-
-def run(spark, df, doc, **kw):
-    kw.setdefault("reference_date", REF)
-    return validate(df, rules_of(spark, doc), **kw)
-
-
-def findings(spark, df, doc, **kw):
-    import json
-
-    rows = run(spark, df, doc, **kw).findings.orderBy("seq").collect()
-    return [dict(r.asDict(), ev=json.loads(r["evidence"])) for r in rows]

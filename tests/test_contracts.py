@@ -1,6 +1,6 @@
 """Contract documents -> rules table, header and lint problems."""
 
-from conftest import contract, rules_of
+from core_helpers import contract, rules_of
 
 from tablepact import contract_header, contract_lint, contract_rules, contracts_frame
 

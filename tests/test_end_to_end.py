@@ -1,7 +1,7 @@
 """A sample of river levels end to end: read CSV, validate, triage, gate."""
 
 import pytest
-from conftest import REF
+from core_helpers import REF
 
 from tablepact import contract_rules, contracts_frame, validate
 from tablepact.operators import review, triage

@@ -4,7 +4,7 @@ import math
 
 import duckdb
 import pytest
-from conftest import SF
+from core_helpers import SF
 
 import __spark_entry__ as E
 

@@ -2,7 +2,7 @@
 joins, partial top-k limits; row order and partitioning never change results."""
 
 import pytest
-from conftest import SF, rules_of
+from core_helpers import SF, rules_of
 
 from tablepact import validate
 from tablepact.catalog import inputs as I

@@ -82,7 +82,7 @@ def test_approx_distinct_and_uncounted_columns(spark):
 
 
 def test_results_do_not_depend_on_session_time_zone(spark):
-    from conftest import contract, findings
+    from core_helpers import contract, findings
 
     df = spark.createDataFrame([("2025-01-15T23:30:00",), ("2025-01-01",)], "d string")
     before = spark.conf.get("spark.sql.session.timeZone")

@@ -5,7 +5,7 @@ import glob
 import json
 import os
 
-from conftest import contract, run
+from core_helpers import contract, run
 
 from tablepact.operators import triage
 from tablepact.sources.sinks import write_failures, write_findings

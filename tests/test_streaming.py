@@ -2,7 +2,7 @@
 
 import shutil
 
-from conftest import SF, rules_of
+from core_helpers import SF, rules_of
 
 from tablepact.catalog import inputs as I
 from tablepact.streaming import validate_stream

@@ -1,6 +1,6 @@
 """Classification, failures table, suggestions, recommendations, statuses, gate."""
 
-from conftest import contract, run
+from core_helpers import contract, run
 
 from tablepact.operators import review, summaries, triage
 from tablepact.operators.profile import profile

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import contract, findings, run
+from core_helpers import contract, findings, run
 
 
 def by_rule(fs, rule):
