@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepact.llm import (decontaminate, kneser_ney, language_id, line_crf, merkle_manifest, periodic_runs, pii_feistel, simhash_anchor, source_mix, token_orc,
+from tablepact.llm import (decontaminate, html_mincut, kneser_ney, language_id, line_crf, merkle_manifest, periodic_runs, pii_feistel, simhash_anchor, source_mix, token_orc,
                            toxicity_fm, warc_index)
 from tablepact.llm.common import id_remainder, table
 
@@ -59,6 +59,10 @@ def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.captures(table(spark, sf_dir, "pages"))
 
 
+def op11_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True).drop("n_words")
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_warc_index": op9_warc_index,
     "op10_decontaminate": op10_decontaminate,
+    "op11_html_mincut": op11_html_mincut,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
