@@ -184,7 +184,8 @@ DOCUMENTS = [
     '{"contract":{"name":"{n}"},"row_count":{"min":-1,"max":-2,"severity":"loud"},' + GOOD_COLUMNS + '}',
     '{"contract":{"name":"{n}"},"row_count":{"min":5,"max":2},"uniqueness":{"name":"k"},' + GOOD_COLUMNS + '}',
     '{"contract":{"name":"{n}"},"columns":{"a":5,"b":{"type":"money","severity":"high"},"c":{"freshness":3,"allowed_values":"x"},'
-    '"d":{"freshness":{"max_age_days":0}},"e":{"freshness":{"max_age_days":3,"reference":"today"}},"f":{"freshness":{"max_age_days":"7"}}}}',
+    '"d":{"freshness":{"max_age_days":0}},"e":{"freshness":{"max_age_days":3,"reference":"today"}},"f":{"freshness":{"max_age_days":"7"}},'
+    '"g":{"min":true,"max":"x"},"h":{"min":[1],"max":"NaN"},"i":{"min":"5","max":1e3}}}',
     '{"contract":{"name":"{n}"},"uniqueness":["k",{"columns":["a"]},{"name":"x","columns":[]},{"name":"y","columns":["a",1]},'
     '{"name":"z","columns":["a"],"severity":"bad"},{"name":"w","columns":"a"}],' + GOOD_COLUMNS + '}',
 ]

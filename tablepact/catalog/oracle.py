@@ -262,9 +262,9 @@ def _names(table: str) -> str:
     return f"(SELECT '[' || string_agg('\"' || name || '\"', ',' ORDER BY cid) || ']' FROM pragma_table_info('{table}'))"
 
 
-def _text_lists(col: str) -> str:
+def _text_lists(col: str, value: str | None = None) -> str:
     """Top values, samples and the distinct count of a text column, texts by their md5."""
-    freq = f"(SELECT {col} AS v, count(*) AS n FROM documents WHERE {col} IS NOT NULL GROUP BY 1)"
+    freq = f"(SELECT {value or col} AS v, count(*) AS n FROM documents WHERE {col} IS NOT NULL GROUP BY 1)"
     return _union([
         f"""SELECT {q(col)} AS "column", 'top' AS list, CAST(row_number() OVER (ORDER BY n DESC, v) - 1 AS INTEGER) AS pos, md5(v) AS value_md5, n AS count
             FROM (SELECT * FROM {freq} ORDER BY n DESC, v LIMIT 5)""",
@@ -297,7 +297,8 @@ PROBLEMS = {
          ("$.columns.c.allowed_values", "allowed_values must be a list"),
          ("$.columns.d.freshness.max_age_days", "max_age_days must be a positive integer"),
          ("$.columns.e.freshness.reference", "freshness reference must be max_value"),
-         ("$.columns.f.freshness.max_age_days", "max_age_days must be a positive integer")],
+         ("$.columns.f.freshness.max_age_days", "max_age_days must be a positive integer"),
+         ("$.columns.g.max", "max must be a number"), ("$.columns.h.min", "min must be a number"), ("$.columns.h.max", "max must be a number")],
     15: [("$.uniqueness[0]", "uniqueness item must be an object"), ("$.uniqueness[1].name", "uniqueness name is required"),
          ("$.uniqueness[2].columns", "columns must be a non-empty list of column names"),
          ("$.uniqueness[3].columns", "columns must be a non-empty list of column names"),
@@ -335,6 +336,7 @@ def _build() -> None:
         f'{"NULL" if c == "o_totalprice" else f"CAST(max({c}) AS VARCHAR)"} AS max_exact FROM {BIG if c == "big" else "orders"}'
         for c in ("o_orderkey", "o_custkey", "big", "o_totalprice")])
     o["profile_top_values_text"] = _union([_text_lists(c) for c in ("text", "lang")])
+    o["profile_samples_shared_prefix"] = _text_lists("text", "repeat('<head/>', 43) || text")
     o["profile_samples_ordered"] = _union([_first_values(c) for c in ("o_orderstatus", "o_orderpriority")])
     o["profile_datetime_range"] = _union([
         f"SELECT 'events' AS dataset_name, 'ts' AS \"column\", {iso('min(ts)')} AS datetime_min, {iso('max(ts)')} AS datetime_max FROM events",

@@ -85,7 +85,15 @@ def q_profile_top_values(spark, sf):
 
 def q_profile_top_values_text(spark, sf):
     """Top values and samples of long text and of a flag; texts by their md5."""
-    p = profile(I.table(spark, sf, "documents").select("text", "lang"))
+    return _text_lists(profile(I.table(spark, sf, "documents").select("text", "lang")))
+
+
+def q_profile_samples_shared_prefix(spark, sf):
+    """The same for texts with one start of 301 characters, as pages have."""
+    return _text_lists(profile(I.table(spark, sf, "documents").selectExpr("repeat('<head/>', 43) || text AS text")))
+
+
+def _text_lists(p: DataFrame) -> DataFrame:
     top = p.select("column", F.lit("top").alias("list"), F.posexplode("top_values").alias("pos", "e")).select(
         "column", "list", "pos", F.md5("e.value").alias("value_md5"), F.col("e.count").alias("count"))
     sample = p.select("column", F.lit("sample").alias("list"), F.posexplode("sample_values").alias("pos", "v")).select(
@@ -379,7 +387,7 @@ def q_src_csv_na_tokens(spark, sf):
                    F.col("c_acctbal"),
                    F.format_string('say "%s", then\n"%s", %d', "c_name", "c_mktsegment", "c_nationkey").alias("remark"))
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    back = read_table(spark, path, fmt="csv")
+    back = read_table(spark, path, fmt="csv", multi_line=True)  # remarks hold line feeds
     p = profile(back, frequency_columns=["remark"], top_values=0, sample_values=3)
     return p.select("column", "physical_type", "observed_type", "row_count", "null_count", "distinct_count", "string_max_length",
                     F.array_join("sample_values", "~").alias("samples"))
@@ -536,6 +544,7 @@ QUERIES: dict[str, Query] = {
     "profile_top_values": q_profile_top_values,
     "profile_samples": q_profile_samples,
     "profile_top_values_text": q_profile_top_values_text,
+    "profile_samples_shared_prefix": q_profile_samples_shared_prefix,
     "profile_samples_ordered": q_profile_samples_ordered,
     "profile_numeric_range": q_profile_numeric_range,
     "profile_datetime_range": q_profile_datetime_range,

@@ -24,6 +24,8 @@ EMPTY = "empty"
 INT_RE = r"\A[+-]?[0-9]+\z"
 NUM_RE = (r"\A[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
           r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\z")
+# A finite number's text, as contract bounds have it.
+FINITE_RE = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9][0-9]?[0-9]?)?\z"
 # First characters a number (or inf / nan) can start with.
 NUM_LEADS = ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "+", "-", ".", "i", "I", "n", "N")
 # Date-time text accepted by the ladder (fixed list of layouts).

@@ -6,10 +6,10 @@
 * Frequency metrics (distinct count, top values, samples) come from one
   unpivoted ``(slice, column, key) -> count`` table: a single Expand and a
   map-side-combined hash aggregate on keys of bounded size (see
-  ``plans.ordered``).  Top-k windows filter on ``rank``, so Spark inserts a
+  ``plans.ordered``).  Top-k windows filter on ``row_number``, so Spark inserts a
   partial window-group limit before their exchange.  If a string column is
   among the counted ones, this table's selection is computed when ``profile`` is
-  called, to know how many long strings are to be fetched.
+  called, to know which long strings are to be told apart and fetched.
 """
 
 from __future__ import annotations
@@ -101,56 +101,34 @@ def _column_metrics(c: str, i: int, dtype: T.DataType) -> tuple[dict, dict, dict
     return f1, f2, aggs, struct
 
 
-def _long(data: DataFrame, keys: Sequence[str], columns: Sequence[str], extra: Sequence[str] = (), with_value: bool = False) -> DataFrame:
-    """(slice keys, extra, column, k[, value]) over the non-null canonical values: one Expand."""
+def _long(data: DataFrame, keys: Sequence[str], columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """(slice keys, extra, column, value) over the non-null canonical values: one Expand."""
     types = {f.name: f.dataType for f in data.schema.fields}
-    pairs = []
-    for c in columns:
-        text = values.value_text(ident(c), types[c])
-        key = f", 'k', {ordered.text_key(text)}" if not extra else ""
-        value = f", 'value', {text}" if with_value or extra else ""
-        pairs.append(f"named_struct('column', {lit(c)}{key}{value})")
+    pairs = [f"named_struct('column', {lit(c)}, 'value', {values.value_text(ident(c), types[c])})" for c in columns]
     out = data.select(*[qcol(k) for k in keys], *[qcol(c) for c in extra], F.expr(f"inline(array({', '.join(pairs)}))"))
-    return out.where("value IS NOT NULL" if extra else "k IS NOT NULL")
-
-
-def frequencies(data: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``(slice keys, column, k, count)`` over non-null canonical values.
-
-    One Expand over the profiled columns and a map-side-combined count, on keys of
-    bounded size: the shuffle never carries whole documents.
-    """
-    return _long(data, keys, columns).groupBy(*[qcol(k) for k in keys], "column", "k").agg(F.count(F.lit(1)).alias("count"))
+    return out.where("value IS NOT NULL")
 
 
 def _lists(data: DataFrame, keys: Sequence[str], columns: Sequence[str], top: int, samples: int, distinct: bool) -> DataFrame:
     """Per (slice, column): distinct_count, top_values, sample_values, all from one frequency table.
 
-    The three branches read the same aggregate, so Spark computes its exchange once.
+    The table is one Expand over the columns and a map-side-combined count, on keys of bounded size: the
+    shuffle never carries whole documents.
     """
     by = [*keys, "column"]
-    freq = frequencies(data, keys, columns)
-    order = ordered.key_order(["k"], [True])
-    tagged = ordered.first_with_ties(freq, by, [F.col("count").desc(), *order], top).withColumn("list", F.lit("top")).unionByName(
-        ordered.first_with_ties(freq, by, order, samples).withColumn("list", F.lit("sample")))
-    if distinct:
-        # reads ``count`` so that this branch needs the very aggregate of the other two
-        sizes = freq.groupBy(*[qcol(c) for c in by]).agg(F.count_if(F.col("count") > 0).alias("count"))
-        tagged = tagged.unionByName(sizes.withColumn("list", F.lit("distinct")), allowMissingColumns=True)
     types = {f.name: f.dataType for f in data.schema.fields}
-    long_columns = [c for c in columns if ordered.is_text(types[c])]
-    if long_columns:
-        tagged = ordered.with_texts(ordered.kept(tagged), _long(data, keys, long_columns, with_value=True), [*by, "k"], {"k": "value"})
-    else:
-        tagged = tagged.withColumn("value", F.col("k.p"))
-    final = Window.partitionBy(*[qcol(c) for c in by], "list").orderBy(
-        F.when(F.col("list") == "top", -F.col("count")).asc_nulls_first(), F.col("value").asc_nulls_first())
-    tagged = tagged.withColumn("__rn", F.row_number().over(final))
+    may_be_long = any(ordered.is_text(types[c]) for c in columns)
+    limits = {name: n for name, n in (("top", top), ("sample", samples)) if n > 0} or {"sample": 0}
+    chosen, sizes = ordered.first_keys(_long(data, keys, columns), by, [("value", may_be_long)], limits, lead="CASE WHEN __list = 'top' THEN -__n ELSE 0L END")
+    tagged = chosen.select(*[qcol(c) for c in by], "__list", F.col("__n").alias("count"), "value", "__rn")
+    if distinct:
+        tagged = tagged.unionByName(sizes.select(*[qcol(c) for c in by], F.lit("distinct").alias("__list"), F.col("__keys").alias("count")),
+                                    allowMissingColumns=True)
     return tagged.groupBy(*[qcol(c) for c in by]).agg(
-        F.max(F.when(F.col("list") == "distinct", F.col("count"))).alias("distinct_count"),
-        F.expr(f"transform(array_sort(collect_list(CASE WHEN list = 'top' AND __rn <= {top} THEN struct(__rn, "
+        F.max(F.when(F.col("__list") == "distinct", F.col("count"))).alias("distinct_count"),
+        F.expr("transform(array_sort(collect_list(CASE WHEN __list = 'top' THEN struct(__rn, "
                "named_struct('value', value, 'count', count) AS p) END)), e -> e.p)").alias("top_values"),
-        F.expr(f"transform(array_sort(collect_list(CASE WHEN list = 'sample' AND __rn <= {samples} THEN struct(__rn, value AS p) "
+        F.expr("transform(array_sort(collect_list(CASE WHEN __list = 'sample' THEN struct(__rn, value AS p) "
                "END)), e -> e.p)").alias("sample_values"))
 
 

@@ -10,10 +10,10 @@ Plan of one ``validate`` call (every job reads only the columns it needs):
   tiny shuffle.  It runs when ``validate`` is called and its result (one row
   per slice) is kept in ``spark.checkpoint.dir``: findings and runs read it, and
   only rules that failed get a sample pass.
-* job B - samples of the rows that fail a rule.  Patterns: the smallest failing
-  values straight from the rows, by a ``row_number`` filter that becomes a partial
-  window-group limit before the exchange (k values a task).  Allowed values:
-  ``(slice, rule, key) -> count``, map-side combined, then the top k.
+* job B - samples of the rows that fail a rule: ``(slice, rule, key) -> count``,
+  map-side combined on short keys, then the first k by a ``row_number`` filter that
+  becomes a partial window-group limit before the exchange; patterns by value, allowed
+  values by count and value.
 * job C - one ``groupBy(slice + key)`` per uniqueness rule; duplicate stats by
   aggregation, sample keys by the same top-k pattern.
 
@@ -378,43 +378,23 @@ class _Compiler:
         self.emit(seq, rt, cols, column, sev, "failed", lit(msg), evidence, act, f"{dk} > 0")
 
     # -- side jobs ------------------------------------------------------------------
-    def _failing(self, rules: Sequence[tuple], with_key: bool, with_value: bool) -> DataFrame:
-        """(slice, rule[, k][, value]) of the rows that fail ``rules``."""
-        entries = ", ".join(
-            f"CASE WHEN {fails} THEN named_struct('rule', {key}"
-            + (f", 'k', {ordered.text_key(text)}" if with_key else "") + (f", 'value', {text}" if with_value else "") + ") END"
-            for key, fails, text, *_ in rules)
+    def _failing(self, rules: Sequence[tuple]) -> DataFrame:
+        """(slice, rule, value) of the rows that fail ``rules``."""
+        entries = ", ".join(f"CASE WHEN {fails} THEN named_struct('rule', {key}, 'value', {text}) END" for key, fails, text, *_ in rules)
         return self.data.select(*[qcol(k) for k in self.keys], F.expr(f"inline(filter(array({entries}), e -> e IS NOT NULL))"))
 
-    def _first_rows(self, rules: Sequence[tuple]) -> DataFrame:
-        """The k smallest failing values of each rule and slice, repeats included; every task sends on k at most."""
-        failing = self._failing(rules, False, True)
-        w = Window.partitionBy(*[qcol(k) for k in self.keys], "rule").orderBy("value")
-        first = failing.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= self.k)
-        return first.withColumn("n", F.lit(1).cast("bigint"))
-
-    def _most_frequent(self, rules: Sequence[tuple]) -> DataFrame:
-        """The k most frequent failing values of each rule and slice, ties by value, with their counts."""
-        by = [*self.keys, "rule"]
-        counts = self._failing(rules, True, False).groupBy(*[qcol(c) for c in by], "k").agg(F.count(F.lit(1)).alias("n"))
-        top = ordered.first_with_ties(counts, by, [F.col("n").desc(), *ordered.key_order(["k"], [True])], self.k)
-        long_rules = [r for r in rules if r[5]]
-        if long_rules:
-            top = ordered.with_texts(ordered.kept(top), self._failing(long_rules, True, True), [*by, "k"], {"k": "value"})
-        else:
-            top = top.withColumn("value", F.col("k.p"))
-        w = Window.partitionBy(*[qcol(c) for c in by]).orderBy(F.col("n").desc(), "value")
-        return top.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= self.k)
-
     def sample_table(self) -> DataFrame | None:
-        """Job B: per slice one column of (rn, value, n) samples for each rule."""
+        """Job B: per slice one column of (rn, value, n) samples for each rule, the first failing values with their counts.
+
+        Rules that want the most frequent values order by count first.
+        """
         if not self.sample_rules:
             return None
-        counted, plain = ([r for r in self.sample_rules if r[3] == flag] for flag in (True, False))
-        columns = [*self.keys, "rule", "rn", "value", "n"]
-        parts = [t.select(*[qcol(c) for c in columns]) for t in
-                 ([self._most_frequent(counted)] if counted else []) + ([self._first_rows(plain)] if plain else [])]
-        top = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        counted = [r[0] for r in self.sample_rules if r[3]]
+        lead = f"CASE WHEN rule IN ({', '.join(map(str, counted))}) THEN -__n ELSE 0L END" if counted else "0L"
+        top, _ = ordered.first_keys(self._failing(self.sample_rules), [*self.keys, "rule"], [("value", any(r[5] for r in self.sample_rules))],
+                                    {"sample": self.k}, lead=lead)
+        top = top.withColumnsRenamed({"__rn": "rn", "__n": "n"})
         return top.groupBy(*[qcol(k) for k in self.keys]).agg(*[
             F.expr(f"array_sort(collect_list(CASE WHEN rule = {r[0]} THEN struct(rn, value, n) END))").alias(f"samples_{r[0]}")
             for r in self.sample_rules])
@@ -427,21 +407,12 @@ class _Compiler:
             text = [ordered.is_text(self.types[c]) for c in cols]
             own = [values.nullified(ident(c), self.types[c]) if not t else values.string_form(ident(c), self.types[c])
                    if isinstance(self.types[c], (T.StringType, T.BinaryType)) else f"to_json({ident(c)})" for c, t in zip(cols, text)]
-            kcols, vcols = [f"__k{n}" for n in range(len(cols))], [f"__v{n}" for n in range(len(cols))]
-            parts = [f"{ordered.text_key(x) if t else x} AS {k}" for x, t, k in zip(own, text, kcols)]
-            keyed = self.data.select(*keys, *[F.expr(p) for p in parts])
-            dups = keyed.groupBy(*keys, *kcols).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
-            stats = dups.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"dupkeys_{j}"), F.sum("__n").alias(f"duprows_{j}"))
-            picked = ordered.first_with_ties(dups, self.keys, ordered.key_order(kcols, text), self.k).drop("__n")
-            if any(text):
-                raw = self.data.select(*keys, *[F.expr(p) for p in parts], *[F.expr(f"{x} AS {v}") for x, t, v in zip(own, text, vcols) if t])
-                picked = ordered.with_texts(ordered.kept(picked), raw, [*self.keys, *kcols],
-                                            {k: v for k, v, t in zip(kcols, vcols, text) if t})
-            picked = picked.withColumns({v: qcol(k) for k, v, t in zip(kcols, vcols, text) if not t})
-            w = Window.partitionBy(*keys).orderBy(*[F.col(v).asc_nulls_first() for v in vcols])
-            picked = picked.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= self.k)
-            key_struct = "struct(" + ", ".join(f"{v} AS {ident(c)}" for v, c in zip(vcols, cols)) + ")"
-            samples = picked.groupBy(*keys).agg(
+            parts = [f"__v{n}" for n in range(len(cols))]
+            raw = self.data.select(*keys, *[F.expr(f"{x} AS {v}") for x, v in zip(own, parts)])
+            first, sizes = ordered.first_keys(raw, self.keys, list(zip(parts, text)), {"key": self.k}, having="__n > 1")
+            stats = sizes.withColumnsRenamed({"__keys": f"dupkeys_{j}", "__rows": f"duprows_{j}"})
+            key_struct = "struct(" + ", ".join(f"{v} AS {ident(c)}" for v, c in zip(parts, cols)) + ")"
+            samples = first.groupBy(*keys).agg(
                 F.expr(f"to_json(transform(array_sort(collect_list(struct(__rn, {key_struct} AS key))), e -> e.key), "
                        f"{_NO_NULL_DROP})").alias(f"dupsample_{j}"))
             out.append(combine_slices([stats, samples], self.keys))

@@ -13,6 +13,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablepact.functions.values import FINITE_RE, lit
+
 # Default severity of each rule type when neither the column,
 # the rule nor the contract's dataset section sets one.
 DEFAULT_SEVERITY = {
@@ -72,6 +74,13 @@ def _flag(of: str, path: str, default: str) -> str:
     return _truthy(f"try_variant_get({of}, '{path}', 'variant')", default)
 
 
+def _bound(of: str, path: str) -> str:
+    """A range bound as a number's text: a number, a number's text, or a flag (1 or 0); null for anything else."""
+    variant, text = f"try_variant_get({of}, '{path}', 'variant')", f"try_variant_get({of}, '{path}', 'string')"
+    return f"""(CASE WHEN schema_of_variant({variant}) = 'BOOLEAN' THEN CASE WHEN {text} = 'true' THEN '1' ELSE '0' END
+        WHEN btrim({text}) RLIKE {lit(FINITE_RE)} THEN btrim({text}) END)"""
+
+
 def _parsed(spark: SparkSession, contracts: DataFrame) -> DataFrame:
     return spark.sql(
         f"""
@@ -112,15 +121,15 @@ def contract_rules(spark: SparkSession, contracts: DataFrame) -> DataFrame:
                                    'DOUBLE', 'FLOAT') OR schema_of_variant(x) LIKE 'DECIMAL%'
                                 THEN 'number'
                               ELSE 'other' END)) AS allowed_values,
-          try_variant_get(c.value, '$.min', 'double') AS min_value,
-          try_variant_get(c.value, '$.max', 'double') AS max_value,
-          try_variant_get(c.value, '$.min', 'string') AS min_text,
-          try_variant_get(c.value, '$.max', 'string') AS max_text,
+          try_cast({_bound('c.value', '$.min')} AS double) AS min_value,
+          try_cast({_bound('c.value', '$.max')} AS double) AS max_value,
+          {_bound('c.value', '$.min')} AS min_text,
+          {_bound('c.value', '$.max')} AS max_text,
           try_variant_get(c.value, '$.pattern', 'string') AS pattern,
           try_variant_get(c.value, '$.min_length', 'int') AS min_length,
           try_variant_get(c.value, '$.max_length', 'int') AS max_length,
           try_variant_get(c.value, '$.freshness.max_age_days', 'int') AS max_age_days
-        FROM {{parsed}} p, LATERAL variant_explode(variant_get(p.v, '$.columns')) c
+        FROM {{parsed}} p, LATERAL variant_explode(try_variant_get(p.v, '$.columns', 'variant')) c
         WHERE p.contract_name IS NOT NULL
         """,
         parsed=parsed,
@@ -316,7 +325,10 @@ def contract_lint(spark: SparkSession, contracts: DataFrame) -> DataFrame:
           named_struct('bad', t_col LIKE 'OBJECT%'
               AND schema_of_variant(try_variant_get(cv, '$.allowed_values', 'variant')) NOT IN ('VOID')
               AND schema_of_variant(try_variant_get(cv, '$.allowed_values', 'variant')) NOT LIKE 'ARRAY%',
-            'suffix', '.allowed_values', 'problem', 'allowed_values must be a list')
+            'suffix', '.allowed_values', 'problem', 'allowed_values must be a list'),
+          """ + ",\n          ".join(f"""named_struct('bad', t_col LIKE 'OBJECT%'
+              AND schema_of_variant(try_variant_get(cv, '$.{b}', 'variant')) <> 'VOID' AND {_bound('cv', f'$.{b}')} IS NULL,
+            'suffix', '.{b}', 'problem', '{b} must be a number')""" for b in ("min", "max")) + """
         )) p WHERE p.bad
         """,
         base=base,

@@ -21,13 +21,13 @@ FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "jso
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, infer_types: bool = True,
-               multi_line: bool = True) -> DataFrame:
+               multi_line: bool = False) -> DataFrame:
     """Read a dataset.  CSV: header row, NA tokens become null, and (by default)
     columns whose every value is boolean / integer / number text are cast to
     that type, the way a dataframe library reads CSV.  The inference is one
     aggregate pass over the file; no per-row Python.  Quotes within a quoted cell are
-    doubled.  A quoted cell may hold line feeds; that keeps a file in one task, so
-    set ``multi_line`` to false for large files without such cells.
+    doubled.  A file is split over tasks at its line feeds; set ``multi_line`` for files whose
+    quoted cells hold line feeds, which keeps each file in one task.
     """
     if fmt is None:
         ext = os.path.splitext(path.rstrip("/"))[1].lower()

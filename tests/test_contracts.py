@@ -1,6 +1,6 @@
 """Contract documents -> rules table, header and lint problems."""
 
-from core_helpers import contract, rules_of
+from core_helpers import contract, findings, rules_of
 
 from tablepact import contract_header, contract_lint, contract_rules, contracts_frame
 
@@ -92,6 +92,26 @@ def test_lint_more_structural_problems(spark):
     assert paths == sorted(p for _, p in MORE_BAD)
 
 
+BOUNDS = [("5", "5"), ("-2.5", "-2.5"), ("true", "1"), ("false", "0"), ('"7"', "7"), ('" 8 "', "8"), ("9007199254740993", "9007199254740993"), ('"x"', None),
+          ('"NaN"', None), ('"inf"', None), ('"1d"', None), ('"1_0"', None), ("[1]", None), ('{"a": 1}', None), ('""', None)]
+
+
+def test_bounds_are_numbers_or_linted(spark):
+    docs = [f'{{"contract": {{"name": "c{i}"}}, "columns": {{"a": {{"min": {text}, "max": null}}}}}}' for i, (text, _) in enumerate(BOUNDS)]
+    frame = spark.createDataFrame([(d,) for d in docs], "doc string")
+    rules = {r["contract_name"]: r["min_text"] for r in contract_rules(spark, frame).where("rule_type = 'range_violation'").collect()}
+    assert rules == {f"c{i}": want for i, (_, want) in enumerate(BOUNDS) if want is not None}
+    lint = {(r["contract_name"], r["path"], r["problem"]) for r in contract_lint(spark, frame).collect()}
+    assert lint == {(f"c{i}", "$.columns.a.min", "min must be a number") for i, (_, want) in enumerate(BOUNDS) if want is None}
+
+
+def test_bounds_that_are_no_numbers_do_not_end_a_run(spark):
+    df = spark.createDataFrame([(0, 0), (3, 9)], "a int, b int")
+    got = findings(spark, df, contract({"a": {"min": True}, "b": {"min": "x", "max": 5}}))
+    assert [(f["finding_id"], f["ev"]["below_min_count"], f["ev"]["above_max_count"]) for f in got] == [
+        ("range_violation:a", 1, 0), ("range_violation:b", 0, 1)]
+
+
 def test_lint_accepts_boolean_true_max_age(spark):
     doc = '{"contract": {"name": "c"}, "columns": {"a": {"freshness": {"max_age_days": true}}}}'
     assert contract_lint(spark, spark.createDataFrame([(doc,)], "doc string")).collect() == []

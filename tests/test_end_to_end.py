@@ -103,4 +103,4 @@ def test_parquet_and_json_sources(spark, tmp_path):
 
 def test_quotes_commas_and_line_feeds_stay_in_their_cell(spark, tmp_path):
     path = _csv(tmp_path, "q.csv", "a,b", ['"say ""hi"", ok",1', '"two\nlines",2'])
-    assert [tuple(r) for r in read_table(spark, path).orderBy("b").collect()] == [('say "hi", ok', 1), ("two\nlines", 2)]
+    assert [tuple(r) for r in read_table(spark, path, multi_line=True).orderBy("b").collect()] == [('say "hi", ok', 1), ("two\nlines", 2)]

@@ -312,7 +312,7 @@ def test_composite_keys_are_ordered_by_their_first_long_part(spark):
 def test_long_keys_looked_up_in_several_passes(spark, monkeypatch):
     from tablepact.plans import ordered
 
-    monkeypatch.setattr(ordered, "BROADCAST_BYTES", ordered.KEY_BYTES * 3)
+    monkeypatch.setattr(ordered, "BROADCAST_BYTES", ordered.ROW_BYTES * 3)
     texts = [f"{'y' * 500}{i:02d}" for i in range(20)]
     df = spark.createDataFrame([(t, 1) for t in texts * 2], "s string, n int")
     (f,) = findings(spark, df, contract({"s": {"unique": True}, "n": {}}), max_examples=15)
