@@ -32,7 +32,8 @@ NUM_LEADS = ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "+", "-", ".", "i
 ISO_RE = r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?)?\z"
 # The same with a time zone: Z or an offset from UTC.
 ZONED_RE = r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)? ?([Zz]|[+-][0-9]{2}:?[0-9]{2})\z"
-ZONE_RE = r" ?([Zz]|[+-][0-9]{2}:?[0-9]{2})\z"
+# A clock at midnight, whatever its zone: such a text counts as a bare date.
+MIDNIGHT_RE = r"[T ]0?0:00(:00(\.0*)?)?( ?([Zz]|[+-][0-9]{2}:?[0-9]{2}))?\z"
 SLASH_YMD_RE = r"\A[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\z"
 SLASH_MDY_RE = r"\A[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z"
 DMONY_RE = r"\A[0-9]{1,2} [A-Za-z]{3} [0-9]{4}\z"
@@ -93,23 +94,37 @@ def trimmed(x: str) -> str:
     return f"btrim({x}, {lit(WHITESPACE)})"
 
 
-def is_bool_text(x: str) -> str:
-    return f"(lower({trimmed(x)}) IN ('true', 'false'))"
+def shape(t: str) -> str:
+    """What is left of a trimmed text without its digits: it tells the one parser that can read the text."""
+    return f"translate({t}, '0123456789', '')"
+
+
+def is_int(t: str, r: str) -> str:
+    """Whether a trimmed text of shape ``r`` is an integer."""
+    return f"(({r} = '' AND {t} <> '') OR ({r} IN ('+', '-') AND left({t}, 1) = {r} AND {t} <> {r}))"
+
+
+def is_num(t: str, r: str) -> str:
+    """Whether a trimmed text of shape ``r`` is a number; a pattern is asked only where there is an exponent, inf or nan."""
+    return (f"({is_int(t, r)} OR ({r} = '.' AND {t} <> '.') OR ({r} IN ('+.', '-.') AND left({t}, 1) IN ('+', '-') AND {t} <> {r}) "
+            f"OR (translate({r}, 'eEnN', '') <> {r} AND length({r}) <= 9 AND left({t}, 1) IN ({lits(list(NUM_LEADS))}) AND {t} RLIKE {lit(NUM_RE)}))")
 
 
 def is_int_text(x: str) -> str:
-    return f"({trimmed(x)} RLIKE {lit(INT_RE)})"
+    return is_int(trimmed(x), shape(trimmed(x)))
 
 
 def is_num_text(x: str) -> str:
-    return f"({trimmed(x)} RLIKE {lit(NUM_RE)})"
+    return is_num(trimmed(x), shape(trimmed(x)))
+
+
+def num_from(t: str, r: str) -> str:
+    """Python ``float()`` semantics on trimmed text of shape ``r``; NaN becomes null."""
+    return f"nanvl(CASE WHEN {is_num(t, r)} THEN try_cast({t} AS DOUBLE) END, CAST(NULL AS DOUBLE))"
 
 
 def num_from_text(x: str) -> str:
-    """Python ``float()`` semantics on text; NaN becomes null."""
-    t = trimmed(x)
-    return (f"nanvl(CASE WHEN {t} RLIKE {lit(NUM_RE)} THEN try_cast({t} AS DOUBLE) END, "
-            f"CAST(NULL AS DOUBLE))")
+    return num_from(trimmed(x), shape(trimmed(x)))
 
 
 def _parse(t: str, guard: str, fmt: str, arg: str | None = None) -> str:
@@ -123,27 +138,25 @@ def _utc(t: str) -> str:
     return f"timestampadd(MICROSECOND, unix_micros(try_cast({plain} AS TIMESTAMP)), TIMESTAMP_NTZ'1970-01-01 00:00:00')"
 
 
-def ts_from_text(x: str) -> str:
-    """Timestamp (NTZ) from a fixed list of date / date-time layouts; text with a zone gives its time in UTC."""
-    t = trimmed(x)
-    return ("coalesce("
-            f"CASE WHEN {t} RLIKE {lit(ISO_RE)} THEN try_cast({t} AS TIMESTAMP_NTZ) END, "
-            f"CASE WHEN {t} RLIKE {lit(ZONED_RE)} THEN {_utc(t)} END, "
-            f"{_parse(t, SLASH_YMD_RE, 'yyyy/M/d')}, "
-            f"{_parse(t, SLASH_MDY_RE, 'M/d/yyyy')}, "
-            f"{_parse(t, SLASH_MDY_RE, 'd/M/yyyy')}, "
-            f"{_parse(t, DMONY_RE, 'd MMM yyyy', f'initcap({t})')})")
-
+def ts_from(t: str, r: str) -> str:
+    """Timestamp (NTZ) from a fixed list of layouts, the parser told by the trimmed text's shape ``r``.
 
-def text_ts(x: str) -> str:
-    """``ts_from_text`` behind a cheap guard: every layout starts with a digit and sets its parts apart."""
-    t = trimmed(x)
-    return (f"(CASE WHEN substring({t}, 1, 1) BETWEEN '0' AND '9' AND "
-            f"(contains({t}, '-') OR contains({t}, '/') OR contains({t}, ' ')) THEN {ts_from_text(x)} END)")
+    Text with a zone gives its time in UTC.  Full-width ISO text is told by the places of its signs alone.
+    """
+    day = f"substring({t}, 5, 1) = '-' AND substring({t}, 8, 1) = '-'"
+    time = f"substring({t}, 11, 1) IN ('T', ' ') AND substring({t}, 14, 1) = ':' AND substring({t}, 17, 1) = ':'"
+    cast = f"try_cast({t} AS TIMESTAMP_NTZ)"
+    return (f"(CASE WHEN NOT (left({t}, 1) BETWEEN '0' AND '9') THEN NULL "
+            f"WHEN {r} = '--' AND length({t}) = 10 AND {day} THEN {cast} "
+            f"WHEN {r} IN ('--T::', '-- ::') AND length({t}) = 19 AND {day} AND {time} THEN {cast} "
+            f"WHEN {r} IN ('--', '--T:', '--T::', '--T::.', '-- :', '-- ::', '-- ::.') THEN (CASE WHEN {t} RLIKE {lit(ISO_RE)} THEN {cast} END) "
+            f"WHEN left({r}, 2) = '--' THEN (CASE WHEN {t} RLIKE {lit(ZONED_RE)} THEN {_utc(t)} END) "
+            f"WHEN {r} = '//' THEN coalesce({_parse(t, SLASH_YMD_RE, 'yyyy/M/d')}, {_parse(t, SLASH_MDY_RE, 'M/d/yyyy')}, {_parse(t, SLASH_MDY_RE, 'd/M/yyyy')}) "
+            f"WHEN left({r}, 1) = ' ' AND length({r}) = 5 THEN ({_parse(t, DMONY_RE, 'd MMM yyyy', f'initcap({t})')}) END)")
 
 
-def has_time(ts: str) -> str:
-    return f"({ts} <> CAST(CAST({ts} AS DATE) AS TIMESTAMP_NTZ))"
+def ts_from_text(x: str) -> str:
+    return ts_from(trimmed(x), shape(trimmed(x)))
 
 
 def as_number(x: str, dtype: T.DataType) -> str:
@@ -189,7 +202,7 @@ def as_timestamp(x: str, dtype: T.DataType) -> str:
     if fam in ("datetime", "date"):
         return f"CAST({x} AS TIMESTAMP_NTZ)"
     if fam == "text":
-        return text_ts(x)
+        return ts_from_text(x)
     return "CAST(NULL AS TIMESTAMP_NTZ)"
 
 
@@ -237,25 +250,20 @@ def native_observed_type(dtype: T.DataType) -> str | None:
     return fam
 
 
-def text_code(v: str, ts: str) -> str:
+def text_code(v: str, t: str, r: str, num: str, ts: str) -> str:
     """Most specific ladder rung one text value satisfies, as a one-letter code:
     b(oolean) i(nteger) f(loat) d(ate) t(ime-of-day datetime) s(tring).
 
     The rungs are disjoint except integer within number, so counting codes
-    gives every ladder counter from one per-row evaluation.  ``ts`` is the
-    value's parsed timestamp, computed once by an earlier projection; the
-    numeric regexes run only when the first character can start a number.
+    gives every ladder counter from one per-row evaluation.  The trimmed text ``t``, its
+    shape ``r``, its number ``num`` and its timestamp ``ts`` are computed once by earlier projections.
     """
-    t = trimmed(v)
-    wall = f"try_cast(regexp_replace({t}, {lit(ZONE_RE)}, '') AS TIMESTAMP_NTZ)"  # a zoned value's own clock
     return (f"(CASE WHEN {v} IS NULL THEN NULL "
-            f"WHEN lower({t}) IN ('true', 'false') THEN 'b' "
-            f"WHEN NOT (substring({t}, 1, 1) IN ({lits(list(NUM_LEADS))})) THEN 's' "
-            f"WHEN {t} RLIKE {lit(INT_RE)} THEN 'i' "
-            f"WHEN {t} RLIKE {lit(NUM_RE)} THEN 'f' "
+            f"WHEN {r} = {t} AND lower({t}) IN ('true', 'false') THEN 'b' "
+            f"WHEN {is_int(t, r)} THEN 'i' "
+            f"WHEN {num} IS NOT NULL OR lower({r}) IN ('nan', '+nan', '-nan') AND {r} = {t} THEN 'f' "
             f"WHEN {ts} IS NULL THEN 's' "
-            f"WHEN right({t}, 1) IN ('Z', 'z') OR substring({t}, 11) RLIKE '[+-]' THEN (CASE WHEN {has_time(wall)} THEN 't' ELSE 'd' END) "
-            f"WHEN {has_time(ts)} THEN 't' ELSE 'd' END)")
+            f"WHEN instr({r}, ':') = 0 OR {t} RLIKE {lit(MIDNIGHT_RE)} THEN 'd' ELSE 't' END)")
 
 
 def code_counters(code: str) -> dict[str, str]:

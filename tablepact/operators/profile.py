@@ -1,8 +1,8 @@
 """Column profile: one row per (slice, column).
 
-* Decomposable metrics (counts, type-ladder counters, min/max, lengths) come
-  from one fused aggregate per slice, reshaped by ``inline`` to one row per
-  column.
+* Decomposable metrics (counts, min/max, lengths) come from one fused aggregate
+  per slice, reshaped by ``inline`` to one row per column; those of text columns, with
+  the type-ladder counters, from one aggregate of unpivoted (column, value) rows.
 * Frequency metrics (distinct count, top values, samples) come from one
   unpivoted ``(slice, column, key) -> count`` table: a single Expand and a
   map-side-combined hash aggregate on keys of bounded size (see
@@ -47,58 +47,73 @@ PROFILE_STRUCT = T.StructType(
 )
 
 
-def _column_metrics(c: str, i: int, dtype: T.DataType) -> tuple[dict, dict, dict[str, str], str]:
-    """Per-row features (two stages), aggregates and the struct reading them
-    back, all as SQL text."""
-    x = ident(c)
-    fam = values.family(dtype)
-    v, ts, n = ident(f"v_{i}"), ident(f"ts_{i}"), ident(f"nn_{i}")
-    f1: dict[str, str] = {f"v_{i}": values.nullified(x, dtype)}
-    f2: dict[str, str] = {}
-    aggs: dict[str, str] = {f"nn_{i}": f"count({v})"}
-    native = values.native_observed_type(dtype)
-    if fam in ("text", "date", "datetime"):
-        f1[f"ts_{i}"] = values.as_timestamp(x, dtype)
-    if native is None:
-        f2[f"code_{i}"] = values.text_code(v, ts)
-        for k, agg in values.code_counters(ident(f"code_{i}")).items():
-            if k != "n":
-                aggs[f"{k}_{i}"] = agg
-        observed = values.observed_type_expr(n, *[ident(f"{p}_{i}") for p in "bifdt"])
-    else:
-        observed = f"(CASE WHEN {n} = 0 THEN '{values.EMPTY}' ELSE '{native}' END)"
-    numeric = ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
-    exact = ("CAST(NULL AS STRING)", "CAST(NULL AS STRING)")
-    if fam in ("integer", "number", "text"):
-        f1[f"num_{i}"] = values.own_number(x, dtype)
-        aggs.update({f"nmin_{i}": f"min({ident(f'num_{i}')})", f"nmax_{i}": f"max({ident(f'num_{i}')})"})
-        is_num = f"{observed} IN ('integer', 'number')"
-        numeric, exact = (tuple(f"CASE WHEN {is_num} THEN CAST({ident(f'{m}_{i}')} AS {t}) END" for m in ("nmin", "nmax"))
-                          for t in ("DOUBLE", "STRING"))
-    temporal = ("CAST(NULL AS STRING)", "CAST(NULL AS STRING)")
-    if fam in ("date", "datetime", "text"):
-        aggs.update({f"tmin_{i}": f"min({ts})", f"tmax_{i}": f"max({ts})"})
-        is_ts = f"{observed} IN ('date', 'datetime')"
-        temporal = (f"CASE WHEN {is_ts} THEN {values.iso_text(ident(f'tmin_{i}'))} END",
-                    f"CASE WHEN {is_ts} THEN {values.iso_text(ident(f'tmax_{i}'))} END")
-    lengths = ("CAST(NULL AS INT)", "CAST(NULL AS INT)")
-    if fam in ("text", "other"):
-        f1[f"len_{i}"] = f"char_length({values.string_form(x, dtype)})"
-        aggs.update({f"lmin_{i}": f"min({ident(f'len_{i}')})", f"lmax_{i}": f"max({ident(f'len_{i}')})"})
-        is_str = f"{observed} = 'string'"
-        lengths = (f"CASE WHEN {is_str} THEN {ident(f'lmin_{i}')} END",
-                   f"CASE WHEN {is_str} THEN {ident(f'lmax_{i}')} END")
+def _struct(column: str, position: str, physical: str, observed: str, n: str, numeric: tuple, exact: tuple, temporal: tuple, lengths: tuple) -> str:
+    """SQL text of a column's PROFILE_STRUCT, from SQL texts."""
     rows = ident("rows")
-    struct = (
-        f"CAST(named_struct('column', {lit(c)}, 'position', {i}, 'physical_type', {lit(dtype.simpleString())}, "
+    return (
+        f"CAST(named_struct('column', {column}, 'position', {position}, 'physical_type', {physical}, "
         f"'observed_type', {observed}, 'row_count', {rows}, 'null_count', {rows} - {n}, "
         f"'null_percentage', CASE WHEN {rows} > 0 THEN bround(({rows} - {n}) * 100.0D / {rows}, 2) ELSE 0.0D END, "
         f"'non_null_count', {n}, 'numeric_min', {numeric[0]}, 'numeric_max', {numeric[1]}, "
         f"'numeric_min_text', {exact[0]}, 'numeric_max_text', {exact[1]}, "
         f"'datetime_min', {temporal[0]}, 'datetime_max', {temporal[1]}, "
-        f"'string_min_length', {lengths[0]}, 'string_max_length', {lengths[1]}) AS {PROFILE_STRUCT.simpleString()})"
-    )
-    return f1, f2, aggs, struct
+        f"'string_min_length', {lengths[0]}, 'string_max_length', {lengths[1]}) AS {PROFILE_STRUCT.simpleString()})")
+
+
+def _none(sql_type: str) -> tuple[str, str]:
+    return (f"CAST(NULL AS {sql_type})",) * 2
+
+
+def _column_metrics(c: str, i: int, dtype: T.DataType) -> tuple[dict[str, str], dict[str, str], str]:
+    """Per-row features, aggregates and the struct reading them back of a column that is not text, all as SQL text."""
+    x = ident(c)
+    fam = values.family(dtype)
+    features = {f"v_{i}": values.nullified(x, dtype)}
+    n = ident(f"nn_{i}")
+    aggs = {f"nn_{i}": f"count({ident(f'v_{i}')})"}
+
+    def ends(name: str, sql: str) -> tuple[str, str]:
+        features[f"{name}_{i}"] = sql
+        aggs.update({f"{name}min_{i}": f"min({ident(f'{name}_{i}')})", f"{name}max_{i}": f"max({ident(f'{name}_{i}')})"})
+        return ident(f"{name}min_{i}"), ident(f"{name}max_{i}")
+
+    numeric, exact, temporal, lengths = _none("DOUBLE"), _none("STRING"), _none("STRING"), _none("INT")
+    if fam in ("integer", "number"):
+        lo_hi = ends("num", values.own_number(x, dtype))
+        numeric, exact = (tuple(f"CAST({e} AS {t})" for e in lo_hi) for t in ("DOUBLE", "STRING"))
+    elif fam in ("date", "datetime"):
+        temporal = tuple(values.iso_text(e) for e in ends("ts", values.as_timestamp(x, dtype)))
+    elif fam == "other":
+        lengths = ends("len", f"char_length({values.string_form(x, dtype)})")
+    observed = f"(CASE WHEN {n} = 0 THEN '{values.EMPTY}' ELSE '{values.native_observed_type(dtype)}' END)"
+    return features, aggs, _struct(lit(c), str(i), lit(dtype.simpleString()), observed, n, numeric, exact, temporal, lengths)
+
+
+def _text_metrics(data: DataFrame, keys: Sequence[str], columns: Sequence[str], position: Mapping[str, int], types: Mapping[str, T.DataType]) -> DataFrame:
+    """(slice keys, PROFILE_STRUCT) of text columns.
+
+    Values are unpivoted to (column, value), so that the ladder and its parsers are compiled once, however many
+    columns there are, into code small enough for the JVM's compiler.
+    """
+    group = [qcol(k) for k in keys]
+    entries = ", ".join(f"named_struct('__c', {position[c]}, 'v', CAST({ident(c)} AS STRING))" for c in columns)
+    quoted = [ident(k) for k in keys]
+    long = data.select(*group, F.expr(f"inline(array({entries}))"))
+    long = long.selectExpr(*quoted, "__c", "v", f"{values.trimmed('v')} AS t", f"{values.shape(values.trimmed('v'))} AS r")
+    long = long.selectExpr(*quoted, "__c", "v", "t", "r", f"{values.num_from('t', 'r')} AS num", f"{values.ts_from('t', 'r')} AS ts")
+    long = long.selectExpr(*quoted, "__c", "char_length(v) AS len", "num", "ts", f"{values.text_code('v', 't', 'r', 'num', 'ts')} AS code")
+    counters = [F.expr(sql).alias(f"n_{k}") for k, sql in values.code_counters("code").items()]
+    ends = [f(F.col(c)).alias(f"{c}_{name}") for c in ("num", "ts", "len") for name, f in (("min", F.min), ("max", F.max))]
+    found = long.groupBy(*group, "__c").agg(*counters, *ends)
+    heads = ", ".join(f"named_struct('__c', {position[c]}, 'name', {lit(c)}, 'physical', {lit(types[c].simpleString())})" for c in columns)
+    listed = per_slice_agg(data, keys, {"rows": "count(1)"}).select(*group, "rows", F.expr(f"inline(array({heads}))"))
+    whole = combine_slices([listed, found], [*keys, "__c"]).withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in [f"n_{k}" for k in "nbifdt"]})
+    observed = values.observed_type_expr(*[f"n_{k}" for k in "nbifdt"])
+    whole = whole.withColumn("observed", F.expr(observed))
+    numeric, exact = (tuple(f"CASE WHEN observed IN ('integer', 'number') THEN CAST(num_{m} AS {t}) END" for m in ("min", "max")) for t in ("DOUBLE", "STRING"))
+    temporal = tuple(f"CASE WHEN observed IN ('date', 'datetime') THEN {values.iso_text(f'ts_{m}')} END" for m in ("min", "max"))
+    lengths = tuple(f"CASE WHEN observed = 'string' THEN len_{m} END" for m in ("min", "max"))
+    return whole.select(*group, F.expr(f"inline(array({_struct('name', '__c', 'physical', 'observed', 'n_n', numeric, exact, temporal, lengths)}))"))
 
 
 def _long(data: DataFrame, keys: Sequence[str], columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -178,19 +193,26 @@ def profile(
     types = {f.name: f.dataType for f in df.schema.fields}
     position = {c: i for i, c in enumerate(df.columns)}
     aggs: dict[str, str] = {"rows": "count(1)"}
-    stage1: dict[str, str] = {}
-    stage2: dict[str, str] = {}
+    features: dict[str, str] = {}
     structs = []
+    text = [c for c in cols if values.family(types[c]) == "text"]
     for c in cols:
-        f1, f2, a, st = _column_metrics(c, position[c], types[c])
-        stage1.update(f1)
-        stage2.update(f2)
-        aggs.update(a)
-        structs.append(st)
+        if c not in text:
+            f, a, st = _column_metrics(c, position[c], types[c])
+            features |= f
+            aggs |= a
+            structs.append(st)
         if distinct == "approx":
+            features[f"v_{position[c]}"] = values.nullified(ident(c), types[c])
             aggs[f"ad_{position[c]}"] = f"approx_count_distinct({ident(f'v_{position[c]}')}, 0.01)"
-    metrics = per_slice_agg(data, keys, aggs, [stage1, stage2])
-    out = metrics.select(*[qcol(k) for k in keys], F.expr("inline(array(" + ", ".join(structs) + "))"))
+    metrics = per_slice_agg(data, keys, aggs, [features])
+    parts = [metrics.select(*[qcol(k) for k in keys], F.expr("inline(array(" + ", ".join(structs) + "))"))] if structs else []
+    if text:
+        parts.append(_text_metrics(data, keys, text, position, types))
+    if parts:
+        out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    else:
+        out = metrics.select(*[qcol(k) for k in keys], F.expr(f"inline(CAST(array() AS ARRAY<{PROFILE_STRUCT.simpleString()}>))"))
     counted = list(cols) if distinct == "approx" else list(freq_cols)
     by_column = [*keys, "column"]
     if distinct == "approx":

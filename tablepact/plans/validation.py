@@ -109,9 +109,8 @@ class _Compiler:
         self.ref = reference_date
         self.k = max_examples
         self.aggs: dict[str, str] = {"rows": "count(1)"}
-        # per-row columns computed once below the aggregate (stage 2 may read stage 1)
-        self.features: dict[str, str] = {}
-        self.features2: dict[str, str] = {}
+        # per-row columns computed once below the aggregate, in stages (a stage may read earlier ones)
+        self.features: list[dict[str, str]] = [{}, {}, {}]
         self.structs: list[str] = []
         self.static: list[dict] = []
         # key, fails, text, ordered by count?, name of the failed-row metric, may its text be long?
@@ -127,16 +126,28 @@ class _Compiler:
         return ident(name)
 
     def feature(self, name: str, sql: str, stage: int = 1) -> str:
-        (self.features if stage == 1 else self.features2).setdefault(name, sql)
+        self.features[stage - 1].setdefault(name, sql)
         return ident(name)
 
     def value(self, c: str) -> str:
         """The column's value under the null model (NaN is null)."""
         return self.feature(f"v_{self._idx(c)}", values.nullified(ident(c), self.types[c]))
 
+    def text(self, c: str) -> tuple[str, str]:
+        """A text column trimmed, and its shape."""
+        t = values.trimmed(ident(c))
+        return self.feature(f"t_{self._idx(c)}", t), self.feature(f"r_{self._idx(c)}", values.shape(t))
+
     def timestamp(self, c: str) -> str:
+        if values.family(self.types[c]) == "text":
+            return self.feature(f"ts_{self._idx(c)}", values.ts_from(*self.text(c)), stage=2)
         return self.feature(f"ts_{self._idx(c)}", values.as_timestamp(ident(c), self.types[c]))
 
+    def number(self, c: str) -> str:
+        if values.family(self.types[c]) == "text":
+            return self.feature(f"num_{self._idx(c)}", values.num_from(*self.text(c)), stage=2)
+        return self.feature(f"num_{self._idx(c)}", values.own_number(ident(c), self.types[c]))
+
     def nulls(self, c: str) -> str:
         return self.metric(f"nulls_{self._idx(c)}", f"count_if({self.value(c)} IS NULL)")
 
@@ -147,7 +158,7 @@ class _Compiler:
         native = values.native_observed_type(dtype)
         if native is not None:
             return f"(CASE WHEN {n} = 0 THEN '{values.EMPTY}' ELSE '{native}' END)"
-        code = self.feature(f"code_{i}", values.text_code(self.value(c), self.timestamp(c)), stage=2)
+        code = self.feature(f"code_{i}", values.text_code(self.value(c), *self.text(c), self.number(c), self.timestamp(c)), stage=3)
         counters = {k: self.metric(f"type{k}_{i}", agg) for k, agg in values.code_counters(code).items()}
         return values.observed_type_expr(*[counters[k] for k in "nbifdt"])
 
@@ -286,7 +297,7 @@ class _Compiler:
         rt = "range_violation"
         i = self._idx(c)
         dtype = self.types[c]
-        num = self.feature(f"num_{i}", values.own_number(ident(c), dtype))
+        num = self.number(c)
         lo, hi = rule["min_text"], rule["max_text"]
         below = self.metric(f"below_{seq}", f"count_if({num} < {values.number_literal(lo, dtype)})") if lo is not None else "0L"
         above = self.metric(f"above_{seq}", f"count_if({num} > {values.number_literal(hi, dtype)})") if hi is not None else "0L"
@@ -473,7 +484,7 @@ def validate(
         else:
             comp.compile(rule)
 
-    metrics = ordered.kept(per_slice_agg(data, keys, comp.aggs, [comp.features, comp.features2]))
+    metrics = ordered.kept(per_slice_agg(data, keys, comp.aggs, comp.features))
     all_sample_keys = [r[0] for r in comp.sample_rules]
     if comp.sample_rules:
         failed = metrics.agg(*[F.max(F.col(r[4])).alias(r[4]) for r in comp.sample_rules]).first()
