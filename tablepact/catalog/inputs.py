@@ -7,11 +7,11 @@ tables); every query reads the full tables under ``sf_dir``.
 from __future__ import annotations
 
 import datetime as dt
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablepact.plans.many import validate_many
 from tablepact.plans.validation import Validation, validate
 from tablepact.session import ensure_checkpoint_dir
 from tablepact.sources.contracts import contract_rules, contracts_frame
@@ -256,44 +256,56 @@ def nation_run(spark: SparkSession, sf_dir: str, rules: list | None = None) -> V
                reference_date=ORDERS_REFERENCE_DATE)
 
 
-def sliced_segments(spark: SparkSession, sf_dir: str) -> Validation:
-    """customer by a slice column that holds null, the text ``null`` and text with ``|`` and ``=``."""
-    c = table(spark, sf_dir, "customer").withColumn("seg", F.expr(
+# Fixed parameters: a floor for balances, and a row count that no slice reaches.
+SEGMENTS_CONTRACT = {"contract": {"name": "segments", "version": "1"}, "schema": {"allow_unexpected_columns": True},
+                     "columns": {"c_acctbal": {"min": 0}}, "row_count": {"min": 1000000000}}
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer with a slice column that holds null, the text ``null`` and text with ``|`` and ``=``."""
+    return table(spark, sf_dir, "customer").withColumn("seg", F.expr(
         "CASE WHEN c_custkey % 10 = 1 THEN 'null' WHEN c_custkey % 10 = 2 THEN 'a|b=c' WHEN c_custkey % 10 <> 0 THEN c_mktsegment END"))
-    doc = {"contract": {"name": "segments", "version": "1"}, "schema": {"allow_unexpected_columns": True},
-           "columns": {"c_acctbal": {"min": 0}}, "row_count": {"min": 1000000000}}
-    return run(spark, c, doc, by=["seg"], run_id="r_segments", dataset_name="segments", reference_date=ORDERS_REFERENCE_DATE)
+
+
+def sliced_segments(spark: SparkSession, sf_dir: str) -> Validation:
+    return run(spark, segments(spark, sf_dir), SEGMENTS_CONTRACT, by=["seg"], run_id="r_segments", dataset_name="segments",
+               reference_date=ORDERS_REFERENCE_DATE)
 
 
 def triage_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Findings and runs of eight validations: many keys, every rule type, skipped
-    findings, all severities, clean keys; the contracts are parsed together."""
-    docs = [ORDERS_MONTHLY_CONTRACT, LINEITEM_KEY_CONTRACT, CUSTOMER_CONTRACT, NATION_CONTRACT, PEOPLE_CONTRACT,
-            SUPPLIER_CONTRACT, PART_CONTRACT]
-    parsed = rules_by_contract(spark, docs)
-    rule_rows = [parsed[d["contract"]["name"]] for d in docs]
-
-    def whole(name: str, df: DataFrame, rules: list) -> Validation:
-        return run(spark, df, rules, run_id=f"r_{name}", dataset_name=name, reference_date=ORDERS_REFERENCE_DATE)
-
-    jobs = [lambda: orders_monthly(spark, sf_dir, rule_rows[0]), lambda: lineitem_by_flag(spark, sf_dir, rule_rows[1]),
-            lambda: customer_run(spark, sf_dir, rule_rows[2]), lambda: nation_run(spark, sf_dir, rule_rows[3]),
-            lambda: whole("people", people(spark, sf_dir), rule_rows[4]),
-            lambda: whole("supplier", table(spark, sf_dir, "supplier"), rule_rows[5]),
-            lambda: whole("part", table(spark, sf_dir, "part"), rule_rows[6]),
-            lambda: sliced_segments(spark, sf_dir)]
-    with ThreadPoolExecutor(4) as pool:  # independent runs, submitted side by side
-        runs = list(pool.map(lambda job: job(), jobs))
-    findings = runs[0].findings
-    keys = runs[0].runs
-    for v in runs[1:]:
-        findings = findings.unionByName(v.findings)
-        keys = keys.unionByName(v.runs)
+    """Findings and runs of eight contracts over eight datasets, validated together: many keys, every rule
+    type, skipped findings, all severities, clean keys."""
+    contracts = {"orders": ORDERS_MONTHLY_CONTRACT, "lineitem": LINEITEM_KEY_CONTRACT, "customer": CUSTOMER_CONTRACT, "nation": NATION_CONTRACT,
+                 "people": PEOPLE_CONTRACT, "supplier": SUPPLIER_CONTRACT, "part": PART_CONTRACT, "segments": SEGMENTS_CONTRACT}
+    tables = {name: table(spark, sf_dir, name) for name in contracts if name not in ("people", "segments")}
+    tables |= {"people": people(spark, sf_dir), "segments": segments(spark, sf_dir)}
+    by = {"orders": {"month": F.date_trunc("month", "o_orderdate")}, "lineitem": ["l_returnflag"], "segments": ["seg"]}
+    rules = contract_rules(spark, contracts_frame(spark, list(contracts.values())))
+    bindings = spark.createDataFrame([(f"r_{name}", doc["contract"]["name"], name) for name, doc in contracts.items()],
+                                     "run_id string, contract_name string, dataset_name string")
+    v = validate_many(tables, rules, bindings, by=by, reference_date=ORDERS_REFERENCE_DATE)
     # The findings of a run are small and read by every triage operator:
     # materialize them once (reliable checkpoint in spark.checkpoint.dir),
     # as a findings history table would be.
     ensure_checkpoint_dir(spark)
-    return findings.checkpoint(), keys.checkpoint()
+    return v.findings.checkpoint(), v.runs.checkpoint()
+
+
+def supplier_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One contract document a supplier: bounds, nations and a name rule from its row, over the columns of ``accounts``."""
+    return table(spark, sf_dir, "supplier").selectExpr("""to_json(named_struct(
+        'contract', named_struct('name', s_name, 'version', CAST(s_suppkey AS STRING)),
+        'columns', named_struct(
+            'balance', named_struct('type', 'number', 'min', s_acctbal, 'max', s_acctbal + 5000, 'severity', CASE WHEN s_nationkey % 3 = 0 THEN 'info' END),
+            'nation', named_struct('type', 'integer', 'allowed_values', array(s_nationkey, (s_nationkey + 7) % 25)),
+            'name', named_struct('pattern', concat('[A-Z][a-z]+#[0-9]*', CAST(s_suppkey % 10 AS STRING)), 'max_length', 18, 'unique', true)),
+        'row_count', named_struct('min', s_suppkey * 10))) AS doc""")
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """customer and supplier under the column names that ``supplier_contracts`` declare."""
+    return {"customer": table(spark, sf_dir, "customer").selectExpr("c_acctbal AS balance", "c_nationkey AS nation", "c_name AS name"),
+            "supplier": table(spark, sf_dir, "supplier").selectExpr("s_acctbal AS balance", "s_nationkey AS nation", "s_name AS name", "s_suppkey")}
 
 
 def triage_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,6 +272,30 @@ def _text_lists(col: str, value: str | None = None) -> str:
         f"SELECT {q(col)}, 'distinct', 0, NULL, count(*) FROM {freq}"])
 
 
+def _many() -> str:
+    """Findings of one contract a supplier over customer and supplier."""
+    tables = """accounts AS (SELECT 'customer' AS ds, c_acctbal AS balance, c_nationkey AS nation, c_name AS name FROM customer
+      UNION ALL SELECT 'supplier', s_acctbal, s_nationkey, s_name FROM supplier),
+    dups AS (SELECT ds, count(*) AS keys, sum(n) AS rows FROM (SELECT ds, name, count(*) AS n FROM accounts GROUP BY 1, 2 HAVING n > 1) GROUP BY 1),
+    counts AS (SELECT s_name, s_nationkey, s_suppkey, ds, count(*) AS n, count(*) FILTER (balance < s_acctbal) AS lo, count(*) FILTER (balance > s_acctbal + 5000) AS hi,
+      count(*) FILTER (nation NOT IN (s_nationkey, (s_nationkey + 7) % 25)) AS av, count(*) FILTER (length(name) > 18) AS long,
+      count(*) FILTER (NOT regexp_full_match(name, '[A-Z][a-z]+#[0-9]*' || CAST(s_suppkey % 10 AS VARCHAR))) AS pat
+      FROM supplier, accounts GROUP BY 1, 2, 3, 4)"""
+
+    def rows(finding: str, severity: str, status: str, low: str, high: str, src: str) -> str:
+        return (f"SELECT 'r_many' AS run_id, s_name AS contract_name, ds AS dataset_name, '' AS slice, {q(finding)} AS finding_id, {severity} AS severity, "
+                f"{q(status)} AS status, CAST({low} AS BIGINT) AS low, CAST({high} AS BIGINT) AS high FROM {src}")
+
+    return f"WITH {tables} " + _union([
+        rows("range_violation:balance", "CASE WHEN s_nationkey % 3 = 0 THEN 'info' ELSE 'error' END", "failed", "lo", "hi", "counts WHERE lo > 0 OR hi > 0"),
+        rows("allowed_values_violation:nation", "'error'", "failed", "av", "NULL", "counts WHERE av > 0"),
+        rows("pattern_violation:name", "'warning'", "warning", "pat", "NULL", "counts WHERE pat > 0"),
+        rows("length_violation:name", "'error'", "failed", "0", "long", "counts WHERE long > 0"),
+        rows("uniqueness_violation:name", "'error'", "failed", "keys", "rows", "counts JOIN dups USING (ds)"),
+        rows("row_count_violation:dataset", "'warning'", "warning", "n", "NULL", "counts WHERE n < s_suppkey * 10"),
+        rows("unexpected_column:s_suppkey", "'warning'", "warning", "NULL", "NULL", "counts WHERE ds = 'supplier'")])
+
+
 def _first_values(col: str) -> str:
     return f"""SELECT {q(col)} AS "column", string_agg({col}, '|' ORDER BY o_orderkey) AS sample_values
       FROM (SELECT o_orderkey, {col} FROM orders WHERE {col} IS NOT NULL ORDER BY o_orderkey, {col} LIMIT 7)"""
@@ -515,6 +539,7 @@ def _build() -> None:
       UNION ALL SELECT 'c_acctbal', 'double', 'number', count(*), count(*) - count(c_acctbal), NULL, NULL, '' FROM customer
       UNION ALL SELECT 'remark', 'string', 'string', count(*), 0, count(DISTINCT {remark}), CAST(max(length({remark})) AS INTEGER),
         (SELECT string_agg(v, '~' ORDER BY v) FROM (SELECT DISTINCT {remark} AS v FROM customer ORDER BY v LIMIT 3)) FROM customer"""
+    o["findings_many"] = _many()
     o["contract_header"] = f"""SELECT c_name AS contract_name, CAST(c_custkey AS VARCHAR) AS contract_version,
       c_mktsegment AS owner, false AS allow_unexpected_columns FROM customer
       UNION ALL SELECT CASE WHEN k NOT IN {NAMELESS} THEN c_name END, CASE WHEN k < 2 THEN CAST(c_custkey AS VARCHAR) WHEN k = 5 THEN '1' END,

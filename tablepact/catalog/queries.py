@@ -423,6 +423,22 @@ def q_contract_lint(spark, sf):
     return contract_lint(spark, I.customer_contracts(spark, sf).unionByName(I.lint_contracts(spark, sf)))
 
 
+# -- many contracts over many tables -----------------------------------------------
+
+def q_findings_many(spark, sf):
+    """One contract a supplier, each over customer and over supplier, in one plan."""
+    from tablepact.plans.many import validate_many
+    from tablepact.sources.contracts import contract_rules
+    tables = I.accounts(spark, sf)
+    names = I.table(spark, sf, "supplier").select(F.col("s_name").alias("contract_name"))
+    bindings = names.select("contract_name", F.explode(F.array(*[F.lit(t) for t in tables])).alias("dataset_name")).withColumn("run_id", F.lit("r_many"))
+    v = validate_many(tables, contract_rules(spark, I.supplier_contracts(spark, sf)), bindings, reference_date=I.ORDERS_REFERENCE_DATE)
+    low, high = (F.coalesce(*[F.get_json_object("evidence", f"$.{n}") for n in names]).cast("bigint") for names in (
+        ("below_min_count", "failed_row_count", "too_short_count", "duplicate_key_count", "row_count"),
+        ("above_max_count", "too_long_count", "duplicate_row_count")))
+    return v.findings.select("run_id", "contract_name", "dataset_name", "slice", "finding_id", "severity", "status", low.alias("low"), high.alias("high"))
+
+
 # -- triage over many keys ------------------------------------------------------------
 
 def _triaged(spark, sf):
@@ -571,6 +587,7 @@ QUERIES: dict[str, Query] = {
     "v_freshness": q_v_freshness,
     "v_freshness_skipped": q_v_freshness_skipped,
     "severity_resolution": q_severity_resolution,
+    "findings_many": q_findings_many,
     "findings_all": q_findings_all,
     "findings_lineitem": q_findings_lineitem,
     "findings_by_slice": q_findings_by_slice,
