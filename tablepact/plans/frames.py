@@ -54,7 +54,7 @@ def _escaped(text: str) -> str:
 
 
 def _escape(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\\|=])", r"\\$1")
+    return F.when(F.translate(c, "\\|=", "") == c, c).otherwise(F.regexp_replace(c, r"([\\|=])", r"\\$1"))
 
 
 def with_slices(df: DataFrame, by: Sequence[str] | Mapping[str, Column] | None) -> tuple[DataFrame, Slices]:

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from tablepact.functions import patterns, values
 from tablepact.functions.values import ident, lit, lits
 from tablepact.plans import ordered
-from tablepact.plans.frames import with_slices
+from tablepact.plans.frames import Slices, combine_slices, with_slices
 from tablepact.plans.validation import _NO_NULL_DROP, FINDINGS_SCHEMA, RUNS_SCHEMA, Validation
 from tablepact.plans.vocabulary import COMPATIBLE_TYPES, MESSAGES
 
@@ -38,7 +38,7 @@ EXACT = "DECIMAL(38,18)"
 #: Beyond every exact value.
 FAR = "CAST('99999999999999999999' AS DECIMAL(38,18))"
 ROW_RULES = ("allowed_values_violation", "range_violation", "pattern_violation", "length_violation")
-#: Pseudo column of the cells that stand for whole rows.
+#: Pseudo column of the cells that stand for whole rows, and of rules on them.
 ROW = -1
 
 
@@ -68,7 +68,7 @@ def _column_cell(i: int, c: str, dtype: T.DataType, rules: set[str]) -> str:
     """SQL text of a column's cell, with the fields that its rules read."""
     x, kind = ident(c), _kind(dtype)
     fields = {"__c": str(i), "known": f"{values.nullified(x, dtype)} IS NOT NULL"}
-    if values.family(dtype) == "text" and rules & {"type_mismatch", "range_violation", "freshness_violation"}:
+    if values.family(dtype) == "text" and rules & _LADDER:
         fields["parsed"] = values.trimmed(x)
     if rules & {"pattern_violation", "length_violation"}:
         fields["text"] = values.string_form(x, dtype)
@@ -92,11 +92,11 @@ def _bound(tables: Mapping[str, DataFrame], rules: DataFrame, bindings: DataFram
     spark = rules.sparkSession
     columns = spark.createDataFrame(_schema_rows(tables), "dataset_name string, dataset_columns array<string>, __c int, __name string, kind string, native string, places int")
     datasets = spark.createDataFrame([(n, list(df.columns)) for n, df in tables.items()], "dataset_name string, dataset_columns array<string>")
-    texts = [r["pattern"] for r in rules.where("rule_type = 'pattern_violation'").select("pattern").distinct().collect()]
+    bound = ordered.kept(rules.join(bindings, "contract_name"))
+    texts = [r["pattern"] for r in bound.where("rule_type = 'pattern_violation'").select("pattern").distinct().collect()]
     errors = patterns.pattern_errors(spark, texts)
     known = spark.createDataFrame([(p, patterns.to_java(p) if e is None else None, e) for p, e in errors.items()], "pattern string, java string, error string")
-    bound = rules.join(bindings, "contract_name").join(F.broadcast(datasets), "dataset_name")
-    bound = bound.join(F.broadcast(known), "pattern", "left")
+    bound = bound.join(F.broadcast(datasets), "dataset_name").join(F.broadcast(known), "pattern", "left")
     # a column's fields are on all its rules; only the pattern's own rule minds its error
     bound = bound.withColumn("error", F.expr("CASE WHEN rule_type = 'pattern_violation' THEN error END"))
     bound = bound.withColumn("extra", F.when(F.col("rule_type") == "unexpected_column", F.expr("filter(dataset_columns, c -> NOT array_contains(declared_columns, c))"))
@@ -114,19 +114,44 @@ def _bound(tables: Mapping[str, DataFrame], rules: DataFrame, bindings: DataFram
     return ordered.kept(bound.withColumn("key", F.expr("sha2(params, 256)")))
 
 
-def _cells(tables: Mapping[str, DataFrame], by: Mapping, needed: Mapping[str, Mapping[str, set[str]]]) -> tuple[DataFrame, dict[str, bool], dict[str, tuple]]:
-    """(the cells of all datasets, is a dataset unsliced, (data, slices) of each dataset)."""
-    out, whole, sliced = None, {}, {}
-    for name, df in tables.items():
-        data, slices = with_slices(df, by.get(name))
-        whole[name], sliced[name] = slices.whole, (data, slices)
-        place = {c: i for i, c in enumerate(df.columns)}
-        types = {f.name: f.dataType for f in df.schema.fields}
-        cells = [_cell()] + [_column_cell(place[c], c, types[c], kinds) for c, kinds in sorted(needed.get(name, {}).items())]
-        part = data.select(F.lit(name).alias("dataset_name"), slices.label().alias("slice"), F.expr(f"inline(array({', '.join(cells)}))"))
-        out = part if out is None else out.unionByName(part)
-    out = out.selectExpr("*", f"{values.shape('parsed')} AS shape")
-    return out.selectExpr("*", f"{values.num_from('parsed', 'shape')} AS num", f"{values.ts_from('parsed', 'shape')} AS ts"), whole, sliced
+_LADDER = {"type_mismatch", "range_violation", "freshness_violation"}
+
+
+def _cells(sliced: Mapping[str, tuple[DataFrame, Slices]], needed: Mapping[str, Mapping[str, set[str]]]) -> list[DataFrame]:
+    """The cells of the needed columns of all datasets; a dataset listed without columns has one cell a row.
+
+    Text that is parsed comes apart from the other cells, whose code then stays small.
+    """
+    kinds: dict[bool, dict[str, list[str]]] = {False: {}, True: {}}
+    for name, columns in needed.items():
+        data, _ = sliced[name]
+        fields = {f.name: (i, f.dataType) for i, f in enumerate(data.schema.fields)}
+        if not columns:
+            kinds[False][name] = [_cell()]
+        for c, rules in sorted(columns.items()):
+            i, dtype = fields[c]
+            kinds[values.family(dtype) == "text" and bool(rules & _LADDER)].setdefault(name, []).append(_column_cell(i, c, dtype, rules))
+    out = []
+    for parsed, datasets in kinds.items():
+        cells = None
+        for name, columns in datasets.items():
+            data, slices = sliced[name]
+            part = data.select(F.lit(name).alias("dataset_name"), slices.label().alias("slice"), F.expr(f"inline(array({', '.join(columns)}))"))
+            cells = part if cells is None else cells.unionByName(part)
+        if cells is not None and parsed:
+            cells = cells.selectExpr("*", f"{values.shape('parsed')} AS shape")
+            out.append(cells.selectExpr("*", f"{values.num_from('parsed', 'shape')} AS num", f"{values.ts_from('parsed', 'shape')} AS ts"))
+        elif cells is not None:
+            out.append(cells.selectExpr("*", "CAST(NULL AS STRING) AS shape", "CAST(NULL AS DOUBLE) AS num", "CAST(NULL AS TIMESTAMP_NTZ) AS ts").withColumn(
+                "parsed", F.lit(None).cast("string")))
+    return out
+
+
+def _together(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _metrics(cells: DataFrame) -> DataFrame:
@@ -189,14 +214,14 @@ def _duplicates(sliced: Mapping[str, tuple], wanted: Sequence[tuple[str, list[st
         own = [values.nullified(ident(c), types[c]) if not t else values.string_form(ident(c), types[c])
                if isinstance(types[c], (T.StringType, T.BinaryType)) else f"to_json({ident(c)})" for c, t in zip(cols, text)]
         parts = [f"__v{n}" for n in range(len(cols))]
-        raw = data.select(slices.label().alias("slice"), *[F.expr(f"{x} AS {v}") for x, v in zip(own, parts)])
-        first, sizes = ordered.first_keys(raw, ["slice"], list(zip(parts, text)), {"key": k}, having="__n > 1")
+        group = [F.col(c) for c in slices.keys]
+        raw = data.select(*group, *[F.expr(f"{x} AS {v}") for x, v in zip(own, parts)])
+        first, sizes = ordered.first_keys(raw, slices.keys, list(zip(parts, text)), {"key": k}, having="__n > 1")
         shown = "struct(" + ", ".join(f"{v} AS {ident(c)}" for v, c in zip(parts, cols)) + ")"
-        samples = first.groupBy("slice").agg(F.expr(
+        samples = first.groupBy(*group).agg(F.expr(
             f"to_json(transform(array_sort(collect_list(struct(__rn, {shown} AS key))), e -> e.key), {_NO_NULL_DROP})").alias("dup_sample"))
-        both = sizes.unionByName(samples, allowMissingColumns=True).groupBy("slice").agg(
-            *[F.first(c, True).alias(n) for c, n in (("__keys", "dup_keys"), ("__rows", "dup_rows"), ("dup_sample", "dup_sample"))])
-        both = both.select(F.lit(name).alias("dataset_name"), "slice", F.lit(key).alias("key"), "dup_keys", "dup_rows", "dup_sample")
+        both = combine_slices([sizes.withColumnsRenamed({"__keys": "dup_keys", "__rows": "dup_rows"}), samples], slices.keys)
+        both = both.select(F.lit(name).alias("dataset_name"), slices.label().alias("slice"), F.lit(key).alias("key"), "dup_keys", "dup_rows", "dup_sample")
         out = both if out is None else out.unionByName(both)
     return out
 
@@ -315,27 +340,38 @@ def validate_many(tables: Mapping[str, DataFrame], rules: DataFrame, bindings: D
     unique = bound.where("rule_type = 'uniqueness_violation' AND size(filter(columns, c -> NOT array_contains(dataset_columns, c))) = 0")
     wanted = [(r["dataset_name"], list(r["columns"]), r["key"]) for r in unique.select("dataset_name", "columns", "key").distinct().collect()]
 
-    cells, whole, sliced = _cells(tables, by or {}, needed)
+    sliced = {name: with_slices(df, (by or {}).get(name)) for name, df in tables.items()}
+    whole = {name: slices.whole for name, (_, slices) in sliced.items()}
+    measured = {n: {c: kinds for c, kinds in needed.get(n, {}).items() if kinds - {"allowed_values_violation", "pattern_violation"}} for n in tables}
+    tested = {n: {c: kinds & set(ROW_RULES) for c, kinds in cols.items() if kinds & set(ROW_RULES)} for n, cols in needed.items()}
+    tested = {n: cols for n, cols in tested.items() if cols}
     predicates = _predicates(bound)
     columns = ["dataset_name", "slice", "key", "rule"]
-    counts = _checked(cells, predicates, [*columns, f"{_LOW} AS low", f"{_HIGH} AS high"]).groupBy("dataset_name", "slice", "key").agg(
-        F.count_if("low").alias("low"), F.count_if("high").alias("high"))
-    stored = ordered.kept(_metrics(cells).unionByName(counts, allowMissingColumns=True))  # one job for both aggregates
+    stored = _together([_metrics(cells) for cells in _cells(sliced, measured)]).withColumns({"key": F.lit(None).cast("string"), **{c: F.lit(None).cast("bigint") for c in ("low", "high")}})
+    if tested:
+        for cells in _cells(sliced, tested):
+            checked = _checked(cells, predicates, [*columns, f"{_LOW} AS low", f"{_HIGH} AS high"])
+            stored = stored.unionByName(checked.groupBy("dataset_name", "slice", "key").agg(F.count_if("low").alias("low"), F.count_if("high").alias("high")),
+                                        allowMissingColumns=True)
+    stored = ordered.kept(stored)  # one job for both aggregates
     metrics, counts = stored.where("key IS NULL").drop("key", "low", "high"), stored.where("key IS NOT NULL").select("dataset_name", "slice", "key", "low", "high")
 
     failing = predicates.where("rule IN ('allowed_values_violation', 'pattern_violation')").join(
         counts.where("low > 0").select("key").distinct(), "key", "left_semi")
     samples = None
-    if failing.limit(1).count():
+    again: dict[str, dict[str, set[str]]] = {}
+    for r in failing.select("dataset_name", "__c", "rule").distinct().collect():  # of the size of the schemas
+        again.setdefault(r["dataset_name"], {}).setdefault(tables[r["dataset_name"]].columns[r["__c"]], set()).add(r["rule"])
+    if again:
         shown = "CASE WHEN rule = 'pattern_violation' THEN text ELSE shown END AS value"
-        raw = _checked(cells, failing, [*columns, shown, f"{_LOW} AS low"]).where("low").drop("low")
+        raw = _together([_checked(cells, failing, [*columns, shown, f"{_LOW} AS low"]) for cells in _cells(sliced, again)]).where("low").drop("low")
         top, _ = ordered.first_keys(raw, columns, [("value", True)], {"sample": max_examples}, lead="CASE WHEN rule = 'pattern_violation' THEN 0L ELSE -__n END")
         samples = top.groupBy("dataset_name", "slice", "key").agg(F.expr("array_sort(collect_list(struct(__rn AS rn, value, __n AS n)))").alias("samples"))
     duplicates = _duplicates(sliced, wanted, max_examples)
 
     # every (dataset, slice): what has rows, and unsliced datasets without any
     seeds = spark.createDataFrame([(n,) for n, w in whole.items() if w], "dataset_name string").withColumn("slice", F.lit(""))
-    slices = metrics.where(f"__c = {ROW}").select("dataset_name", "slice", "rows").unionByName(seeds.withColumn("rows", F.lit(0).cast("bigint")))
+    slices = metrics.select("dataset_name", "slice", "rows").unionByName(seeds.withColumn("rows", F.lit(0).cast("bigint")))
     slices = slices.groupBy("dataset_name", "slice").agg(F.max("rows").alias("rows"))
     per_column = metrics.drop("rows").withColumn("__at", F.col("__c")).drop("__c")
     data_rules = bound.where("(__c IS NOT NULL AND error IS NULL) OR rule_type IN ('uniqueness_violation', 'row_count_violation')")

@@ -150,6 +150,9 @@ def first_keys(raw: DataFrame, by: Sequence[str], parts: Sequence[tuple[str, boo
                                                   F.col("__rows").alias("__total")), allowMissingColumns=True))
     sizes = stored.where("__list IS NULL").select(*group, F.col("__n").alias("__keys"), F.col("__total").alias("__rows"))
     picked = stored.where("__list IS NOT NULL").drop("__total")
+    if not stored.where("__h IS NOT NULL").limit(1).count():  # short keys are whole
+        chosen = picked.where("__rn <= __need")
+        return chosen.select(*group, "__list", "__n", *[F.col(s).alias(c) for s, c in zip(p.segments, p.names)], "__rn"), sizes
     chosen = None
     later = 0
     while True:
