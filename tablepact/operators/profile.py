@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tablepact.functions import values
 from tablepact.functions.values import ident, lit
 from tablepact.plans import ordered
-from tablepact.plans.frames import combine_slices, per_slice_agg, qcol, with_slices
+from tablepact.plans.frames import ALL, combine_slices, per_slice_agg, qcol, with_slices
 
 PROFILE_STRUCT = T.StructType(
     [
@@ -104,10 +104,14 @@ def _text_metrics(data: DataFrame, keys: Sequence[str], columns: Sequence[str],
     long = long.selectExpr(*quoted, "__c", "char_length(v) AS len", "num", "ts", f"{values.text_code('v', 't', 'r', 'num', 'ts')} AS code")
     counters = [F.expr(sql).alias(f"n_{k}") for k, sql in values.code_counters("code").items()]
     ends = [f(F.col(c)).alias(f"{c}_{name}") for c in ("num", "ts", "len") for name, f in (("min", F.min), ("max", F.max))]
-    found = long.groupBy(*group, "__c").agg(*counters, *ends)
+    found = long.groupBy(*group, "__c").agg(F.count(F.lit(1)).alias("rows"), *counters, *ends)
     heads = ", ".join(f"named_struct('__c', {position[c]}, 'name', {lit(c)}, 'physical', {lit(types[c].simpleString())})" for c in columns)
-    listed = per_slice_agg(data, keys, {"rows": "count(1)"}).select(*group, "rows", F.expr(f"inline(array({heads}))"))
-    whole = combine_slices([listed, found], [*keys, "__c"]).withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in [f"n_{k}" for k in "nbifdt"]})
+    listed = data.sparkSession.range(1).select(F.expr(f"inline(array({heads}))"))
+    if list(keys) == [ALL]:  # every column is listed, if the table has rows or not
+        whole = listed.join(found, "__c", "left").withColumn(ALL, F.lit(0))
+    else:
+        whole = found.join(F.broadcast(listed), "__c")
+    whole = whole.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in ["rows", *[f"n_{k}" for k in "nbifdt"]]})
     observed = values.observed_type_expr(*[f"n_{k}" for k in "nbifdt"])
     whole = whole.withColumn("observed", F.expr(observed))
     numeric, exact = (tuple(f"CASE WHEN observed IN ('integer', 'number') THEN CAST(num_{m} AS {t}) END" for m in ("min", "max")) for t in ("DOUBLE", "STRING"))

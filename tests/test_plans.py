@@ -78,10 +78,16 @@ def test_wide_rule_sets_are_one_aggregate(spark):
     assert {k: row[k] for k in expected} == expected
 
 
-def test_wide_profile_scans_once(spark, tmp_path):
+def test_wide_profile_reads_each_column_once(spark, tmp_path):
+    """One scan for text columns, one for the others, none of a column of the other's."""
     spark.range(20).selectExpr(*[f"CAST(id * {i} AS {'STRING' if i % 5 == 0 else 'DOUBLE'}) AS c{i}" for i in range(200)]).write.parquet(str(tmp_path / "w"))
-    p = profile(spark.read.parquet(str(tmp_path / "w")), frequency_columns=[])
-    assert _optimized(p).count("Relation ") == 1
+    df = spark.read.parquet(str(tmp_path / "w"))
+    plan = _plan(profile(df, frequency_columns=[])).split("Initial Plan")[0]
+    schemas = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "Scan parquet" in line]
+    assert len(schemas) == 2 and sorted("string" in s for s in schemas) == [False, True] and sorted("double" in s for s in schemas) == [False, True]
+    for kind in ("string", "double"):
+        only = df.select([c for c, t in df.dtypes if t == kind])
+        assert _optimized(profile(only, frequency_columns=[])).count("Relation ") == 1
 
 
 def test_exact_profile_scans_twice(spark, lineitem):
@@ -104,15 +110,20 @@ def test_no_text_is_an_exchange_key(spark):
     assert keys and not any("text#" in k.split("ENSURE")[0] or "value#" in k.split("ENSURE")[0] for k in keys)
 
 
-def test_clean_table_gets_no_sample_pass(spark):
+def test_clean_table_gets_no_sample_pass(spark, monkeypatch):
+    from tablepact.plans import ordered
+
+    plans = []
+    original = ordered.kept
+    monkeypatch.setattr(ordered, "kept", lambda df: plans.append(_optimized(df)) or original(df))
     df = spark.createDataFrame([("ok",), ("ok",)], "s string")
     doc = {"contract": {"name": "c"}, "columns": {"s": {"allowed_values": ["ok"], "pattern": "o."}}}
     v = validate(df, rules_of(spark, doc))
     assert v.findings.collect() == []
-    assert "Window" not in _plan(v.findings)
+    assert len(plans) == 1 and "Window" not in _plan(v.findings)  # job A alone
     dirty = spark.createDataFrame([("ok",), ("no",)], "s string")
-    v = validate(dirty, rules_of(spark, doc))
-    assert "Window" in _plan(v.findings)
+    validate(dirty, rules_of(spark, doc))
+    assert "Window" not in plans[1] and "Window" in plans[2]  # job A, then the selection
 
 
 def test_profile_independent_of_row_order_and_partitioning(spark):
