@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from tablepact.functions import patterns, values
 from tablepact.functions.values import ident, lit, lits
 from tablepact.plans import ordered
+from tablepact.plans.duplicates import UniqueKey, duplicates
 from tablepact.plans.frames import Slices, combine_slices, with_slices
 from tablepact.plans.validation import _NO_NULL_DROP, FINDINGS_SCHEMA, RUNS_SCHEMA, Validation
 from tablepact.plans.vocabulary import COMPATIBLE_TYPES, MESSAGES
@@ -205,24 +206,14 @@ def _checked(cells: DataFrame, predicates: DataFrame, columns: Sequence[str]) ->
 
 
 def _duplicates(sliced: Mapping[str, tuple], wanted: Sequence[tuple[str, list[str], str]], k: int) -> DataFrame | None:
-    """(dataset, slice, key) with duplicate counts and samples, one selection for each distinct key of a dataset."""
+    """(dataset, slice, key) with duplicate counts and samples; hashes of all keys of all datasets are counted together."""
+    unique = [UniqueKey(j, sliced[name][0], tuple(sliced[name][1].keys), tuple(cols)) for j, (name, cols, _) in enumerate(wanted)]
     out = None
-    for name, cols, key in wanted:
-        data, slices = sliced[name]
-        types = {f.name: f.dataType for f in data.schema.fields}
-        text = [ordered.is_text(types[c]) for c in cols]
-        own = [values.nullified(ident(c), types[c]) if not t else values.string_form(ident(c), types[c])
-               if isinstance(types[c], (T.StringType, T.BinaryType)) else f"to_json({ident(c)})" for c, t in zip(cols, text)]
-        parts = [f"__v{n}" for n in range(len(cols))]
-        group = [F.col(c) for c in slices.keys]
-        raw = data.select(*group, *[F.expr(f"{x} AS {v}") for x, v in zip(own, parts)])
-        first, sizes = ordered.first_keys(raw, slices.keys, list(zip(parts, text)), {"key": k}, having="__n > 1")
-        shown = "struct(" + ", ".join(f"{v} AS {ident(c)}" for v, c in zip(parts, cols)) + ")"
-        samples = first.groupBy(*group).agg(F.expr(
-            f"to_json(transform(array_sort(collect_list(struct(__rn, {shown} AS key))), e -> e.key), {_NO_NULL_DROP})").alias("dup_sample"))
-        both = combine_slices([sizes.withColumnsRenamed({"__keys": "dup_keys", "__rows": "dup_rows"}), samples], slices.keys)
-        both = both.select(F.lit(name).alias("dataset_name"), slices.label().alias("slice"), F.lit(key).alias("key"), "dup_keys", "dup_rows", "dup_sample")
-        out = both if out is None else out.unionByName(both)
+    for j, table in duplicates(unique, k).items():
+        name, _, key = wanted[j]
+        labelled = table.select(F.lit(name).alias("dataset_name"), sliced[name][1].label().alias("slice"), F.lit(key).alias("key"),
+                                "dup_keys", "dup_rows", "dup_sample")
+        out = labelled if out is None else out.unionByName(labelled)
     return out
 
 

@@ -47,6 +47,7 @@ from pyspark.sql import types as T
 from tablepact.functions import patterns, values
 from tablepact.functions.values import ident, lit
 from tablepact.plans import ordered
+from tablepact.plans.duplicates import UniqueKey, duplicates
 from tablepact.plans.frames import combine_slices, per_slice_agg, qcol, with_slices
 from tablepact.plans.vocabulary import COMPATIBLE_TYPES, MESSAGES
 
@@ -411,23 +412,10 @@ class _Compiler:
             for r in self.sample_rules])
 
     def uniqueness_tables(self) -> list[DataFrame]:
-        """Job C: duplicate keys per uniqueness rule and slice (NaN and null are one null)."""
-        out = []
-        keys = [qcol(k) for k in self.keys]
-        for j, cols in self.uniq_rules:
-            text = [ordered.is_text(self.types[c]) for c in cols]
-            own = [values.nullified(ident(c), self.types[c]) if not t else values.string_form(ident(c), self.types[c])
-                   if isinstance(self.types[c], (T.StringType, T.BinaryType)) else f"to_json({ident(c)})" for c, t in zip(cols, text)]
-            parts = [f"__v{n}" for n in range(len(cols))]
-            raw = self.data.select(*keys, *[F.expr(f"{x} AS {v}") for x, v in zip(own, parts)])
-            first, sizes = ordered.first_keys(raw, self.keys, list(zip(parts, text)), {"key": self.k}, having="__n > 1")
-            stats = sizes.withColumnsRenamed({"__keys": f"dupkeys_{j}", "__rows": f"duprows_{j}"})
-            key_struct = "struct(" + ", ".join(f"{v} AS {ident(c)}" for v, c in zip(parts, cols)) + ")"
-            samples = first.groupBy(*keys).agg(
-                F.expr(f"to_json(transform(array_sort(collect_list(struct(__rn, {key_struct} AS key))), e -> e.key), "
-                       f"{_NO_NULL_DROP})").alias(f"dupsample_{j}"))
-            out.append(combine_slices([stats, samples], self.keys))
-        return out
+        """Job C: duplicate keys per uniqueness rule and slice (NaN and null are one null); none for rules without any."""
+        found = duplicates([UniqueKey(j, self.data, tuple(self.keys), tuple(cols)) for j, cols in self.uniq_rules], self.k)
+        return [t.withColumnsRenamed({"dup_keys": f"dupkeys_{j}", "dup_rows": f"duprows_{j}", "dup_sample": f"dupsample_{j}"})
+                for j, t in found.items()]
 
 
 def collect_rules(rules: DataFrame | Sequence[Row], contract_name: str | None = None) -> list[Row]:
@@ -494,6 +482,10 @@ def validate(
     missing = [k for k in all_sample_keys if f"samples_{k}" not in wide.columns]
     if missing:
         wide = wide.withColumns({f"samples_{k}": F.lit(None).cast(_SAMPLE_TYPE) for k in missing})
+    unique = [j for j, _ in comp.uniq_rules if f"dupkeys_{j}" not in wide.columns]  # no duplicates
+    if unique:
+        wide = wide.withColumns({f"{name}_{j}": F.lit(None).cast(t) for j in unique
+                                 for name, t in (("dupkeys", "bigint"), ("duprows", "bigint"), ("dupsample", "string"))})
 
     header = [F.lit(run_id).alias("run_id"), F.lit(name).alias("contract_name"),
               F.lit(dataset_name).alias("dataset_name")]
