@@ -14,14 +14,15 @@ lowest (whole texts).  Scoring maps over all documents; a worker computes each
 distinct word once.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is
-every text when no language could be learned; words over 40 characters are scored in
-pieces of 40; equal scores go to the language that sorts first; other columns are
-ignored.  ``score`` is the posterior of the predicted language under equal priors.
+every text when no language could be learned; a word of any length counts whole (a
+text without blanks, tabs or line breaks is one word); equal scores
+go to the language that sorts first; other columns are ignored.  ``score`` is the posterior of the predicted language under equal priors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -38,12 +39,19 @@ MAX_TRAIN = 1500
 ROUNDS = 4
 #: Share of every piece probability that is spread evenly.
 EVEN = 0.01
-WORD_CHARS = 40
+#: Characters of a word that are looked up at once, and after which sums are scaled (memory and range of doubles only).
+STRETCH = 32
+#: Characters of a long word that are looked up at once to find its independent parts.
+LOOKUP = 4096
+#: Cells of (word, position) worked on at once.
+CELLS = 160_000
 #: Words whose scores a worker keeps at once (memory only).
 WORD_STORE = 150_000
 UNKNOWN = "und"
 
 START = "▁"
+#: What divides words, in training as in scoring.
+BLANKS = re.compile(r"[ \t\n\x0B\f\r]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,6 +98,22 @@ class Pieces:
             found[length] = pieces
         return found
 
+    def independent(self, word: str) -> list[str]:
+        """A long word's parts between positions that no piece reaches across; its sum is the product of theirs, exactly."""
+        n = len(word)
+        if n <= STRETCH:
+            return [word]
+        ends = np.zeros(n + 1, np.int64)
+        for a in range(0, n, LOOKUP):
+            some = word[a : a + LOOKUP + self.longest - 1]
+            for length, pieces in self.find([some], len(some)).items():
+                starts = a + np.flatnonzero(pieces[0, :LOOKUP] >= 0)
+                if length > 1:
+                    ends[starts + 1] += 1
+                    ends[starts + length] -= 1
+        cuts = [0, *(np.flatnonzero(np.cumsum(ends)[1:n] == 0) + 1).tolist(), n]
+        return [word[i:j] for i, j in zip(cuts, cuts[1:])]
+
 
 def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -97,37 +121,89 @@ def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         yield n, np.flatnonzero(lengths == n)
 
 
-def forward(found: dict[int, np.ndarray], n: int, table: np.ndarray) -> list[np.ndarray]:
-    """Per position the summed probability of all segmentations up to it; ``table`` is (piece, language)."""
-    count = len(found[1])
-    alpha = [np.ones((count, table.shape[1]))]
-    for j in range(1, n + 1):
-        now = alpha[j - 1] * table[found[1][:, j - 1]]
-        for length in range(2, min(j, len(found)) + 1):
-            piece = found[length][:, j - length]
-            hit = np.flatnonzero(piece >= 0)
-            if len(hit):
-                now[hit] += alpha[j - length][hit] * table[piece[hit]]
-        alpha.append(now)
-    return alpha
-
-
-def expected_counts(found: dict[int, np.ndarray], n: int, table: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Expected piece counts of words with ``weights`` under one language's probabilities (piece,)."""
-    alpha = [a[:, 0] for a in forward(found, n, table[:, None])]
-    beta = [np.zeros(0)] * n + [np.ones(len(weights))]
+def in_cells(rows: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    most = max(1, CELLS // length)
+    for at in range(0, len(rows), most):
+        yield rows[at : at + most]
+
+
+def stretches(n: int) -> list[tuple[int, int]]:
+    return [(a, min(a + STRETCH, n)) for a in range(0, n, STRETCH)]
+
+
+def step(alpha: Callable[[int], np.ndarray], found: dict[int, np.ndarray], j: int, origin: int, table: np.ndarray) -> np.ndarray:
+    """The sum up to position ``j`` from the sums before it; ``found`` starts at ``origin``, ``table`` is (piece, language)."""
+    now = alpha(j - 1) * table[found[1][:, j - 1 - origin]]
+    for length in range(2, min(j, len(found)) + 1):
+        piece = found[length][:, j - length - origin]
+        hit = np.flatnonzero(piece >= 0)
+        if len(hit):
+            now[hit] += alpha(j - length)[hit] * table[piece[hit]]
+    return now
+
+
+def forward(pieces: Pieces, words: list[str], table: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of all segmentations of each word (all of one length), per language.
+
+    A word goes through in stretches.  After each, the sums that later positions can reach are divided by the
+    last one, whose log is kept, so that no word is too long for a double and none is cut.
+    """
+    n, reach = len(words[0]), pieces.longest
+    logs = np.zeros((len(words), table.shape[1]))
+    kept = [np.ones_like(logs)]  # of the last positions, the first of them ``origin``
+    origin = 0
+    for start, stop in stretches(n):
+        found = pieces.find([w[origin:stop] for w in words], stop - origin)
+        for j in range(start + 1, stop + 1):
+            kept.append(step(lambda i: kept[i - origin], found, j, origin, table))
+        scale = kept[-1]
+        logs += np.log(scale)
+        first = max(stop - reach + 1, origin)
+        kept = [k / scale for k in kept[first - origin :]]
+        origin = first
+    return logs
+
+
+def expected_counts(pieces: Pieces, words: list[str], table: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Expected piece counts of words of one length with ``weights`` under one language's probabilities (piece,).
+
+    Sums from the left and from the right are scaled stretch by stretch, each position's scale known by its log.
+    """
+    n, reach, column = len(words[0]), pieces.longest, table[:, None]
+    alpha, left = np.empty((n + 1, len(words))), np.zeros((n + 1, len(words)))
+    alpha[0], logs, origin = 1.0, np.zeros(len(words)), 0
+    kept = [np.ones((len(words), 1))]
+    for start, stop in stretches(n):
+        found = pieces.find([w[origin:stop] for w in words], stop - origin)
+        for j in range(start + 1, stop + 1):
+            kept.append(step(lambda i: kept[i - origin], found, j, origin, column))
+            alpha[j], left[j] = kept[-1][:, 0], logs
+        scale = kept[-1]
+        logs = logs + np.log(scale[:, 0])
+        first = max(stop - reach + 1, origin)
+        kept = [k / scale for k in kept[first - origin :]]
+        origin = first
+    total = left[n] + np.log(alpha[n])
+
     counts = np.zeros(len(table))
-    scale = weights / alpha[n]
-    for i in range(n - 1, -1, -1):
-        total = np.zeros(len(weights))
-        for length in range(1, min(n - i, len(found)) + 1):
-            piece = found[length][:, i]
-            hit = np.flatnonzero(piece >= 0)
-            if len(hit):
-                after = table[piece[hit]] * beta[i + length][hit]
-                total[hit] += after
-                counts += np.bincount(piece[hit], alpha[i][hit] * after * scale[hit], len(table))
-        beta[i] = total
+    beta, right = {n: np.ones(len(words))}, np.zeros(len(words))  # sums from the right, all over exp(right)
+    for start, stop in reversed(stretches(n)):
+        end = min(stop + reach, n)
+        found = pieces.find([w[start:end] for w in words], end - start)
+        for i in range(stop - 1, start - 1, -1):
+            share = weights * alpha[i] * np.exp(left[i] + right - total)
+            summed = np.zeros(len(words))
+            for length in range(1, min(n - i, len(found)) + 1):
+                piece = found[length][:, i - start]
+                hit = np.flatnonzero(piece >= 0)
+                if len(hit):
+                    after = table[piece[hit]] * beta[i + length][hit]
+                    summed[hit] += after
+                    counts += np.bincount(piece[hit], share[hit] * after, len(table))
+            beta[i] = summed
+        scale = beta[start]
+        right = right + np.log(scale)
+        beta = {i: b / scale for i, b in beta.items() if i < start + reach}
     return counts
 
 
@@ -147,16 +223,11 @@ def word_counts(docs: DataFrame, max_train: int) -> tuple[list[str], DataFrame]:
     bound = docs.sparkSession.createDataFrame([(r, i, int(s * (1 << 30))) for i, (r, s) in enumerate(zip(languages, share))],
                                               "lang string, number int, bound long")
     sample = usable.join(F.broadcast(bound), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("bound"))
-    words = (sample.select("number", F.explode(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+")).alias("word"))
+    words = (sample.select("number", F.explode(F.split(F.lower("text"), BLANKS.pattern)).alias("word"))
                    .where(F.col("word") != "").groupBy("number", "word").agg(F.count("*").alias("n")))
     return languages, materialise(words, "language-words")
 
 
-def parts_of(word: str) -> list[str]:
-    marked = START + word
-    return [marked[i : i + WORD_CHARS] for i in range(0, len(marked), WORD_CHARS)]
-
-
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_train: int = MAX_TRAIN, rounds: int = ROUNDS) -> LanguageModel:
     """Fit piece probabilities for every language of ``docs`` (doc_id, text, lang)."""
     languages, words = word_counts(docs, max_train)
@@ -172,15 +243,13 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_train: int = MAX_TR
             for batch in batches:
                 in_worker()
                 number, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                parts = [(i, p) for i, w in enumerate(batch.column(1).to_pylist()) for p in parts_of(w)]
+                parts = [(i, p) for i, w in enumerate(batch.column(1).to_pylist()) for p in pieces.independent(START + w)]
                 row, texts = np.array([i for i, _ in parts]), [p for _, p in parts]
                 for length, some in by_length(texts):
                     for k in range(len(total)):
                         mine = some[number[row[some]] == k]
-                        for at in range(0, len(mine), 4_000):
-                            piece = mine[at : at + 4_000]
-                            found = pieces.find([texts[i] for i in piece], length)
-                            total[k] += expected_counts(found, length, table[:, k], n[row[piece]].astype(float))
+                        for piece in in_cells(mine, length):
+                            total[k] += expected_counts(pieces, [texts[i] for i in piece], table[:, k], n[row[piece]].astype(float))
             k, piece = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[k, piece])], schema=out)
 
@@ -203,20 +272,18 @@ class TextScorer:
         if not new:
             return
         self.words.keys_new = []
-        parts = [(i, p) for i, w in enumerate(new) for p in parts_of(w)]
-        texts, row = [p for _, p in parts], np.array([i for i, _ in parts])
+        parts = [(i, p) for i, w in enumerate(new) for p in self.pieces.independent(START + w)]
+        row, texts = np.array([i for i, _ in parts]), [p for _, p in parts]
         logs = np.zeros((len(new), len(self.model.languages)))
         for length, some in by_length(texts):
-            for at in range(0, len(some), 4_000):
-                piece = some[at : at + 4_000]
-                last = forward(self.pieces.find([texts[i] for i in piece], length), length, self.model.table)[length]
-                np.add.at(logs, row[piece], np.log(last))
+            for piece in in_cells(some, length):
+                np.add.at(logs, row[piece], forward(self.pieces, [texts[i] for i in piece], self.model.table))
         self.logs = np.concatenate([self.logs, logs])
 
     def score(self, texts: list[str]) -> np.ndarray:
         if len(self.words) > WORD_STORE:
             self.words, self.logs = Numbered(), self.logs[:0]
-        split = [t.lower().split() for t in texts]
+        split = [list(filter(None, BLANKS.split(t.lower()))) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         words = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         self.learn()

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+from fractions import Fraction
 from itertools import product
 
 import numpy as np
@@ -45,12 +47,59 @@ def test_forward_and_expected_counts_sum_all_segmentations(pieces, word):
             p = np.prod(table[ids])
             total += p
             np.add.at(counts, ids, p)
-    found = pieces.find([word], len(word))
-    assert L.forward(found, len(word), table[:, None])[len(word)][0, 0] == pytest.approx(total)
-    got = L.expected_counts(found, len(word), table, np.array([2.0]))
+    assert np.exp(L.forward(pieces, [word], table[:, None])[0, 0]) == pytest.approx(total)
+    got = L.expected_counts(pieces, [word], table, np.array([2.0]))
     assert np.allclose(got, 2 * counts / total)
 
 
+def exact(word, table, number, size):
+    """(log of the sum over all segmentations, expected counts) in exact fractions of the doubles."""
+    p = lambda i, j: Fraction(table[at]) if (at := number.get(word[i:j], size if j - i == 1 else None)) is not None else None
+    n, longest = len(word), max(map(len, number))
+    alpha, beta = [Fraction(1)] + [Fraction(0)] * n, [Fraction(0)] * n + [Fraction(1)]
+    edges = [(i, j, q) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if (q := p(i, j)) is not None]
+    for i, j, q in edges:
+        alpha[j] += alpha[i] * q
+    for i, j, q in reversed(edges):
+        beta[i] += q * beta[j]
+    counts = np.zeros(size + 1)
+    for i, j, q in edges:
+        counts[number.get(word[i:j], size)] += float(alpha[i] * q * beta[j] / alpha[n])
+    return math.log(alpha[n].numerator) - math.log(alpha[n].denominator), counts
+
+
+@pytest.mark.parametrize("word", ["▁" + "international" * 12, "▁" + "the中😀" * 30, "▁" + "a" * 131, "▁donau" + "dampfschiff" * 9, "▁" + "q" * 30, "▁" + "q" * 31])
+def test_long_words_are_not_cut(pieces, word):
+    number = {t: i for i, t in enumerate(vocabulary_texts())}
+    rng = np.random.default_rng(5)
+    table = rng.random((pieces.size + 1, 2)) * 1e-6  # a plain product over such a word leaves the range of doubles
+    words = [word, word[:-1] + "é"]
+    logs = L.forward(pieces, words, table)
+    for w, row in zip(words, logs):
+        for k in range(2):
+            log, counts = exact(w, table[:, k], number, pieces.size)
+            assert row[k] == pytest.approx(log, rel=1e-12)
+            assert np.allclose(L.expected_counts(pieces, [w], table[:, k], np.array([3.0])), 3 * counts, atol=1e-9)
+            parts = pieces.independent(w)
+            assert "".join(parts) == w and sum(L.forward(pieces, [p], table)[0, k] for p in parts) == pytest.approx(log, rel=1e-12)
+
+
+def test_long_words_divide_where_no_piece_reaches_across(pieces, monkeypatch):
+    words = ["▁" + "語中文字" * 3000, "▁" + "international" * 700, "▁" + "\U0001f600the" * 2000]
+    whole = [pieces.independent(w) for w in words]
+    assert [max(map(len, p)) for p in whole][0] < 8 and len(whole[2]) >= 4000
+    monkeypatch.setattr(L, "LOOKUP", 50)
+    assert [pieces.independent(w) for w in words] == whole
+
+
+def test_words_are_divided_alike_in_training_and_scoring(spark, docs_of):
+    text = "one\u00a0two\u3000three\tfour\n five"
+    _, words = L.word_counts(docs_of([(1, text, "xx")]), 10)
+    scorer = L.TextScorer(L.LanguageModel(["xx"], np.full((40_000, 1), 0.5), L.VOCABULARY), L.Pieces(vocabulary_path(L.VOCABULARY)))
+    scorer.score([text])
+    assert sorted(r["word"] for r in words.collect()) == sorted(scorer.words) == ["five", "four", "one\u00a0two\u3000three"]
+
+
 def sample(n):
     rng = random.Random(4)
     stems = {"xx": ["the", "and", "tion", "ing", "er"], "yy": ["die", "und", "heit", "sch", "ä"]}
