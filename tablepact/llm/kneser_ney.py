@@ -69,6 +69,13 @@ def spread(values: np.ndarray) -> np.ndarray:
     return (mixed ^ mixed >> SHIFT) * np.uint64(0xD6E8FEB86659FD93) >> SHIFT
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """As 32-bit numbers; an error if one has no place there, so that no count or number ever wraps."""
+    if len(values) and int(values.max()) > int(LOW):
+        raise OverflowError(f"{int(values.max())} exceeds 32 bits: a bigram or word was met too often, or there are too many words")
+    return values.astype(np.uint32)
+
+
 # --- sorted runs through Spark ----------------------------------------------------
 
 RUN = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -78,7 +85,7 @@ RUN_DDL = "bucket int, keys binary, counts binary"
 def runs(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     """Sorted keys and their counts as one packed row a bucket."""
     order = np.argsort(bucket, kind="stable")
-    keys, counts, bucket = keys[order], counts[order].astype(np.uint32), bucket[order]
+    keys, counts, bucket = keys[order], narrow(counts[order]), bucket[order]
     first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
     return pa.RecordBatch.from_arrays([
         pa.array(bucket[first].astype(np.int32)),
@@ -313,6 +320,8 @@ def train(texts: DataFrame, folder: str | None = None) -> dict:
 
 
 def count_bigrams(texts: DataFrame, folder: str, sizes: list[int], total: int) -> dict:
+    if sum(sizes) >= int(BEGIN) - 1:
+        raise OverflowError(f"{sum(sizes)} different words exceed 32-bit word numbers")
     buckets = max(16, -(-total // BUCKET_TOKENS))
     least = max(1000, total // buckets // 4)
 
@@ -350,7 +359,7 @@ def count_bigrams(texts: DataFrame, folder: str, sizes: list[int], total: int) -
         _, hot = per_worker("lm words", folder, vocabulary)
         spread_over = np.isin(first, hot.astype(np.uint32))
         own = ~spread_over
-        write_arrays(folder, f"pairs-{bucket:06d}", {"keys": keys, "counts": counts.astype(np.uint32), "contexts": first[own], "figures": figures[own]})
+        write_arrays(folder, f"pairs-{bucket:06d}", {"keys": keys, "counts": narrow(counts), "contexts": first[own], "figures": figures[own]})
         after, times = np.unique(keys & LOW, return_counts=True)
         follow = runs(after, times, np.searchsorted(base, after.astype(np.int64), side="right").astype(np.int32) - 1)
         n = follow.num_rows

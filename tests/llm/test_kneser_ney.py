@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tablepact.llm import kneser_ney as K
@@ -98,3 +99,12 @@ def test_nothing_to_learn_and_empty_table(spark, docs_of):
     (row,) = K.scores(docs_of([(3, "a b")]), model).collect()
     assert tuple(row) == (3, 3, 0, 0, 0.0, 0.0)
     assert K.scores(docs_of([]), model).collect() == []
+
+
+def test_counts_and_word_numbers_beyond_32_bits_are_errors():
+    most = (1 << 32) - 1
+    assert K.narrow(np.array([0, most], np.uint64)).tolist() == [0, most] and K.narrow(np.zeros(0, np.int64)).dtype == np.uint32
+    with pytest.raises(OverflowError):
+        K.runs(np.array([1, 2], np.uint64), np.array([1, most + 1]), np.zeros(2, np.int32))
+    with pytest.raises(OverflowError):
+        K.count_bigrams(None, "", [most - 1], 1)
