@@ -302,6 +302,20 @@ def supplier_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         'row_count', named_struct('min', s_suppkey * 10))) AS doc""")
 
 
+def supplier_contracts_revised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contracts of ``supplier_contracts`` after a revision: other bounds, nations, lengths and row counts, patterns given up."""
+    return table(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 3").selectExpr("""to_json(named_struct(
+        'contract', named_struct('name', s_name, 'version', CAST(s_suppkey + 1 AS STRING)),
+        'columns', named_struct(
+            'balance', named_struct('type', 'number', 'min', s_acctbal, 'max', s_acctbal + CASE WHEN s_suppkey % 4 = 0 THEN 6000 ELSE 5000 END,
+                                    'severity', CASE WHEN s_nationkey % 3 = 0 THEN 'info' END),
+            'nation', named_struct('type', 'integer', 'allowed_values',
+                                   CASE WHEN s_suppkey % 5 = 0 THEN array(s_nationkey) ELSE array(s_nationkey, (s_nationkey + 7) % 25) END),
+            'name', named_struct('pattern', CASE WHEN s_suppkey % 4 <> 1 THEN concat('[A-Z][a-z]+#[0-9]*', CAST(s_suppkey % 10 AS STRING)) END,
+                                 'max_length', CASE WHEN s_suppkey % 4 = 2 THEN 20 ELSE 18 END, 'unique', true)),
+        'row_count', named_struct('min', s_suppkey * 10, 'max', CASE WHEN s_suppkey % 6 = 0 THEN s_suppkey * 100 END))) AS doc""")
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """customer and supplier under the column names that ``supplier_contracts`` declare."""
     return {"customer": table(spark, sf_dir, "customer").selectExpr("c_acctbal AS balance", "c_nationkey AS nation", "c_name AS name"),

@@ -585,6 +585,23 @@ def _build() -> None:
         rule("missing_required_column", "b", error, second),
         rule("nullability_violation", "b", error, second),
     ])
+    o["contract_diff"] = """
+      WITH rules(rule_type, columns, rule_name) AS (VALUES
+        ('missing_required_column', 'balance', NULL), ('missing_required_column', 'nation', NULL), ('missing_required_column', 'name', NULL),
+        ('type_mismatch', 'balance', NULL), ('type_mismatch', 'nation', NULL), ('range_violation', 'balance', NULL),
+        ('allowed_values_violation', 'nation', NULL), ('pattern_violation', 'name', NULL), ('length_violation', 'name', NULL),
+        ('uniqueness_violation', 'name', 'column_unique:name'), ('row_count_violation', '', NULL), ('unexpected_column', '', NULL)),
+      told AS (
+        SELECT s_name, s_suppkey AS k, r.*, k % 11 <> 0 AS in_old, k % 7 <> 3 AND NOT (r.rule_type = 'pattern_violation' AND k % 4 = 1) AS in_new,
+          CASE WHEN r.rule_type = 'range_violation' AND k % 4 = 0 THEN 'max_text' WHEN r.rule_type = 'allowed_values_violation' AND k % 5 = 0 THEN 'allowed_values'
+               WHEN r.rule_type = 'length_violation' AND k % 4 = 2 THEN 'max_length' WHEN r.rule_type = 'row_count_violation' AND k % 6 = 0 THEN 'max_rows' END AS field
+        FROM supplier, rules r)
+      SELECT s_name AS contract_name, rule_type, columns, rule_name,
+        CASE WHEN NOT in_old THEN 'added' WHEN NOT in_new THEN 'removed' ELSE 'changed' END AS change,
+        CASE WHEN in_old AND in_new THEN field ELSE '' END AS fields,
+        CASE WHEN in_old THEN CAST(k AS VARCHAR) END AS old_version, CASE WHEN in_new THEN CAST(k + 1 AS VARCHAR) END AS new_version,
+        CASE WHEN in_new AND rule_type = 'length_violation' THEN CASE WHEN k % 4 = 2 THEN '20' ELSE '18' END END AS new_max_length
+      FROM told WHERE in_old <> in_new OR (in_old AND in_new AND field IS NOT NULL)"""
     o["contract_lint"] = _union(["""SELECT c_name AS contract_name, '$.columns.balance.severity' AS path,
       'invalid severity' AS problem FROM customer WHERE c_nationkey % 5 = 0"""] + [
         f"SELECT CASE WHEN {k} NOT IN {NAMELESS} THEN c_name END, {q(path)}, {q(problem)} FROM customer WHERE c_custkey % 16 = {k}"

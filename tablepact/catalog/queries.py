@@ -423,6 +423,16 @@ def q_contract_lint(spark, sf):
     return contract_lint(spark, I.customer_contracts(spark, sf).unionByName(I.lint_contracts(spark, sf)))
 
 
+def q_contract_diff(spark, sf):
+    """Two versions of a contract a supplier; every 11th is new in the second one."""
+    from tablepact.operators.contract_diff import contract_diff
+    from tablepact.sources.contracts import contract_rules
+    old = contract_rules(spark, I.supplier_contracts(spark, sf)).where("CAST(contract_version AS INT) % 11 <> 0")
+    new = contract_rules(spark, I.supplier_contracts_revised(spark, sf))
+    return contract_diff(old, new).selectExpr("contract_name", "rule_type", "array_join(columns, ',') AS columns", "rule_name", "change",
+                                              "array_join(fields, ',') AS fields", "old_version", "new_version", "new['max_length'] AS new_max_length")
+
+
 # -- many contracts over many tables -----------------------------------------------
 
 def q_findings_many(spark, sf):
@@ -595,6 +605,7 @@ QUERIES: dict[str, Query] = {
     "contract_header": q_contract_header,
     "contract_rules": q_contract_rules,
     "contract_lint": q_contract_lint,
+    "contract_diff": q_contract_diff,
     "classify": q_classify,
     "failures_table": q_failures_table,
     "suggestions": q_suggestions,
