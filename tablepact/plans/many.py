@@ -7,8 +7,10 @@ what loops over datasets is the reading of their schemas and the union of their
   in one union, so that parsers and aggregates are compiled once.
 * **Metrics.**  One aggregate gives each (dataset, slice, column) its row: nulls, ladder counters, ends, lengths.
 * **Predicates.**  Rules that look at single values (allowed values, range, pattern, length) are made distinct over
-  all contracts and joined to the cells of their column; one aggregate counts the failing rows of each.  The
-  predicates go out by broadcast, in parts of checked size, so a hot column stays where it is.
+  all contracts.  Allowed values are looked up by the cells.  A column with few other predicates is joined to them, and
+  one aggregate counts the failing rows of each; one with more than ``MANY`` is counted by value first: a range or
+  length then has its place among the sorted values, a pattern is tried once on each text of up to
+  ``ordered.SEGMENTS[0]`` characters.  What goes out by broadcast does so in parts of checked size.
 * **Samples** of failing values and duplicate keys come from ``plans.ordered``, as for a single contract.
 * **Findings** are the rules joined to these tables, which hold at most a row for each (dataset, slice, column or
   predicate).
@@ -22,7 +24,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +43,8 @@ FAR = "CAST('99999999999999999999' AS DECIMAL(38,18))"
 ROW_RULES = ("allowed_values_violation", "range_violation", "pattern_violation", "length_violation")
 #: Pseudo column of the cells that stand for whole rows, and of rules on them.
 ROW = -1
+#: Most predicates of a column (ranges and lengths, or patterns) that are tried on its cells one by one.
+MANY = 8
 
 
 def _exact(dtype: T.DataType) -> bool:
@@ -58,7 +62,7 @@ def _kind(dtype: T.DataType) -> str:
 
 #: Fields of a cell and what they are where no rule reads them.
 CELL = {"__c": str(ROW), "known": "true", "parsed": "CAST(NULL AS STRING)", "text": "CAST(NULL AS STRING)", "shown": "CAST(NULL AS STRING)",
-        "x": f"CAST(NULL AS {EXACT})", "d": "CAST(NULL AS DOUBLE)", "moment": "CAST(NULL AS TIMESTAMP_NTZ)"}
+        "word": "CAST(NULL AS STRING)", "x": f"CAST(NULL AS {EXACT})", "d": "CAST(NULL AS DOUBLE)", "moment": "CAST(NULL AS TIMESTAMP_NTZ)"}
 
 
 def _cell(**fields: str) -> str:
@@ -75,6 +79,8 @@ def _column_cell(i: int, c: str, dtype: T.DataType, rules: set[str]) -> str:
         fields["text"] = values.string_form(x, dtype)
     if "allowed_values_violation" in rules:
         fields["shown"] = values.value_text(x, dtype)
+        if kind == "text":
+            fields["word"] = fields["shown"]
     if kind in ("exact", "double", "boolean") and rules & {"range_violation", "allowed_values_violation"}:
         fields |= {"x": f"CAST({x} AS {EXACT})"} if kind == "exact" else {"d": f"CAST({values.own_number(x, dtype)} AS DOUBLE)"}
     if kind == "moment":
@@ -183,6 +189,9 @@ def _predicates(bound: DataFrame) -> DataFrame:
         f"{pick('text', 'a.value')} AS in_text", f"{pick('text', values.ts_from_text('a.value'))} AS in_moment")
 
 
+#: SQL: how the rows that fail a predicate are counted, told by its rule and the number of the column's predicates of that rule.
+_WAY = f"""CASE WHEN rule = 'allowed_values_violation' THEN 'listed' WHEN same <= {MANY} THEN 'one by one'
+  WHEN rule = 'pattern_violation' THEN 'spelled' ELSE 'ranked' END"""
 #: SQL: whether a cell fails its predicate, on the low side (or at all) and on the high side.
 _LOW = """CASE rule WHEN 'range_violation' THEN CASE WHEN kind = 'exact' THEN x < lo_x ELSE coalesce(d, num) < lo_d END
   WHEN 'length_violation' THEN char_length(text) < min_length
@@ -193,16 +202,94 @@ _HIGH = """CASE rule WHEN 'range_violation' THEN CASE WHEN kind = 'exact' THEN x
   WHEN 'length_violation' THEN char_length(text) > max_length END"""
 
 
-def _checked(cells: DataFrame, predicates: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Cells joined to the predicates of their column; predicates go out in parts of checked size."""
+def _in_parts(predicates: DataFrame, by: Sequence[str], use) -> DataFrame:
+    """The union of ``use(part)`` over parts of ``predicates`` that are small enough to broadcast."""
     total = predicates.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     passes = max(1, -(-total * 4 // ordered.BROADCAST_BYTES))
-    out = None
-    for i in range(passes):
-        part = predicates if passes == 1 else predicates.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == i)
-        got = cells.join(F.broadcast(part), ["dataset_name", "__c"]).selectExpr(*columns)
-        out = got if out is None else out.unionByName(got)
-    return out
+    return _together([use(predicates if passes == 1 else predicates.where(F.pmod(F.xxhash64(*by), F.lit(passes)) == i)) for i in range(passes)])
+
+
+def _checked(cells: DataFrame, predicates: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Cells joined to the predicates of their column; predicates go out in parts of checked size."""
+    return _in_parts(predicates, ["key"], lambda part: cells.join(F.broadcast(part), ["dataset_name", "__c"]).selectExpr(*columns))
+
+
+def _failing(checked: DataFrame) -> DataFrame:
+    return checked.groupBy("dataset_name", "slice", "key").agg(F.count_if("low").alias("low"), F.count_if("high").alias("high"))
+
+
+def _ranked(cells: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Failing rows of ranges and lengths: each bound has its place among the sorted values of its column.
+
+    Values, counted, and bounds are dealt out by range; a bound's count is the running sum in its part and the sums of the
+    parts before, so that neither a column nor its bounds lie in one task.
+    """
+    group = ["dataset_name", "slice", "__c", "rule"]
+    read = (f"inline(array(named_struct('rule', 'range_violation', 'x', x, 'd', coalesce(d, num) + 0.0D), "
+            f"named_struct('rule', 'length_violation', 'x', CAST(char_length(text) AS {EXACT}), 'd', CAST(NULL AS DOUBLE))))")
+    found = cells.selectExpr("dataset_name", "slice", "__c", read).where("x IS NOT NULL OR d IS NOT NULL")
+    found = ordered.kept(found.groupBy(*group, "x", "d").agg(F.count(F.lit(1)).alias("n")))
+
+    def end(tag: int, sign: str, length: str) -> str:
+        x = f"CASE WHEN rule = 'length_violation' THEN CAST({length} AS {EXACT}) WHEN kind = 'exact' THEN {sign}_x END"
+        return f"named_struct('tag', {tag}, 'x', {x}, 'd', CASE WHEN rule = 'range_violation' AND kind <> 'exact' THEN {sign}_d + 0.0D END)"
+
+    # among equal values a lower bound comes first and an upper bound last
+    ends = predicates.selectExpr("dataset_name", "__c", "rule", "key", f"inline(array({end(0, 'lo', 'min_length')}, {end(2, 'hi', 'max_length')}))")
+    ends = ends.where("x IS NOT NULL OR d IS NOT NULL").join(found.select(*group).distinct(), ["dataset_name", "__c", "rule"])
+    events = found.selectExpr(*group, "1 AS tag", "x", "d", "n", "CAST(NULL AS STRING) AS key").unionByName(ends.withColumn("n", F.lit(0).cast("bigint")))
+    events = ordered.kept(events.repartitionByRange(*group, "x", "d", "tag", "key").withColumn("__part", F.spark_partition_id()))
+    here = Window.partitionBy(*group, "__part").orderBy("x", "d", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = events.withColumn("__upto", F.sum("n").over(here)).where("key IS NOT NULL")
+    every = Window.partitionBy(*group)
+    earlier = every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = events.groupBy(*group, "__part").agg(F.sum("n").alias("n"))
+    sums = sums.select(*group, "__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"), F.sum("n").over(every).alias("__all"))
+    placed = placed.join(sums, [*group, "__part"]).withColumn("__upto", F.col("__before") + F.col("__upto"))
+    return placed.groupBy("dataset_name", "slice", "key").agg(
+        F.coalesce(F.max(F.expr("CASE WHEN tag = 0 THEN __upto END")), F.lit(0)).alias("low"),
+        F.coalesce(F.max(F.expr("CASE WHEN tag = 2 THEN __all - __upto END")), F.lit(0)).alias("high"))
+
+
+_SHORT = f"char_length(text) <= {ordered.SEGMENTS[0]}"
+
+
+def _texts(cells: DataFrame) -> DataFrame:
+    """The short texts of cells, counted and stored."""
+    return ordered.kept(cells.where(f"known AND {_SHORT}").groupBy("dataset_name", "slice", "__c", "text").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _unmatched(texts: DataFrame, predicates: DataFrame) -> DataFrame:
+    """(dataset, slice, key, text, n) of the counted texts that do not match a pattern."""
+    return _in_parts(predicates, ["key"], lambda part: texts.join(F.broadcast(part), ["dataset_name", "__c"]).where("NOT (text RLIKE java)").select(
+        "dataset_name", "slice", "key", "text", "n"))
+
+
+#: A value of an ``allowed_values`` rule as the field of a cell that it is compared with; the others are null.
+_WORDS = {"word": "STRING", "x": EXACT, "d": "DOUBLE", "moment": "TIMESTAMP_NTZ"}
+
+
+def _listed(cells: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Rows whose value is not allowed: known rows less those that are found among the allowed values."""
+    def word(name: str, sql: str) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {sql if k == name else f'CAST(NULL AS {t})'}" for k, t in _WORDS.items()) + ")"
+
+    own = {"exact": ("in_x", "x", "v"), "double": ("in_d", "d", "v + 0.0D"), "boolean": ("in_b", "d", "v"), "moment": ("in_moment", "moment", "v"), "text": ("in_text", "word", "v")}
+    words = "CASE kind " + " ".join(f"WHEN '{kind}' THEN transform(array_distinct({of}), v -> {word(name, sql)})" for kind, (of, name, sql) in own.items()) + " END"
+    some = " OR ".join(f"{w} IS NOT NULL" for w in _WORDS)
+    entries = ordered.kept(predicates.selectExpr("dataset_name", "__c", "key", f"inline({words})").where(some).distinct())
+    place = ["dataset_name", "__c", *_WORDS]
+
+    same = F.expr(" AND ".join([f"a.{c} = b.{c}" for c in ("dataset_name", "__c")] + [f"a.{w} <=> b.{w}" for w in _WORDS]))
+    known = cells.where("known").select("slice", *place)
+    wanted = entries.select(*place).distinct().withColumn("bytes", F.expr("100 + coalesce(octet_length(word), 0)"))
+    hits = _in_parts(wanted, place, lambda part: known.alias("a").join(F.broadcast(part.alias("b")), same, "left_semi"))
+    nothing = known.select("slice", "dataset_name", "__c", *[F.lit(None).cast(t).alias(w) for w, t in _WORDS.items()])
+    counted = ordered.kept(hits.unionByName(nothing).groupBy("slice", *place).agg(F.count(F.lit(1)).alias("n")))
+    found = entries.alias("a").join(counted.where(some).alias("b"), same).groupBy("a.dataset_name", "b.slice", "a.key").agg(F.sum("b.n").alias("ok"))
+    all_known = predicates.select("dataset_name", "__c", "key").join(counted.where(f"NOT ({some})").select("dataset_name", "__c", "slice", "n"), ["dataset_name", "__c"])
+    return all_known.join(found, ["dataset_name", "slice", "key"], "left").selectExpr(
+        "dataset_name", "slice", "key", "n - coalesce(ok, 0L) AS low", "0L AS high")
 
 
 def _duplicates(sliced: Mapping[str, tuple], wanted: Sequence[tuple[str, list[str], str]], k: int) -> DataFrame | None:
@@ -313,6 +400,43 @@ def _static(bound: DataFrame) -> DataFrame:
     return missing.unionByName(unexpected).unionByName(unchecked).unionByName(invalid)
 
 
+def _samples(tables: Mapping[str, DataFrame], sliced: Mapping[str, tuple[DataFrame, Slices]], failing: DataFrame, spelled: DataFrame | None, k: int) -> DataFrame | None:
+    """(dataset, slice, key) with the first ``k`` failing values: of patterns by value, of allowed values the most frequent."""
+    again: dict[str, dict[str, dict[str, set[str]]]] = {}
+    for r in failing.select("dataset_name", "__c", "rule", "way").distinct().collect():  # of the size of the schemas
+        again.setdefault(r["way"], {}).setdefault(r["dataset_name"], {}).setdefault(tables[r["dataset_name"]].columns[r["__c"]], set()).add(r["rule"])
+    by = ["dataset_name", "slice", "key"]
+    found = []
+    rows = []
+    for way in set(again) - {"listed"}:
+        own = failing.where(F.col("way") == way)
+        for cells in _cells(sliced, again[way]):
+            if way == "spelled":
+                w = Window.partitionBy("key", "slice").orderBy("text")
+                first = _unmatched(spelled, own).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k + 1)
+                rows.append(ordered.kept(first.select(*by, F.col("text").alias("value"), "n")))
+                cells = cells.where(f"NOT {_SHORT}")
+            rows.append(_checked(cells, own, [*by, "text AS value", "1L AS n", f"{_LOW} AS low"]).where("low").drop("low"))
+    if rows:
+        top, _ = ordered.first_keys(_together(rows), by, [("value", True)], {"sample": k}, weight="n")
+        found.append(top.select(*by, F.col("__rn").alias("rn"), "value", F.col("__n").alias("n")))
+    if "listed" in again:
+        own = failing.where("way = 'listed'").withColumn("listed", F.expr("greatest(0, size(in_x), size(in_d), size(in_b), size(in_text), size(in_moment))"))
+        most = k + own.agg(F.max("listed")).first()[0]
+        raw = _together([cells.where("known").selectExpr("dataset_name", "slice", "__c", "shown", "x", "d", "moment") for cells in _cells(sliced, again["listed"])])
+        # at most ``listed`` of a column's most frequent values are allowed
+        parts = [("shown", True), ("x", False), ("d", False), ("moment", False)]
+        top, _ = ordered.first_keys(raw, ["dataset_name", "slice", "__c"], parts, {"value": most}, lead="-__n")
+        top = ordered.kept(top.selectExpr("dataset_name", "slice", "__c", "shown", "x", "d", "moment", "__n AS n", "__rn AS __at"))
+        tested = top.selectExpr("*", "true AS known", "CAST(NULL AS STRING) AS text", "CAST(NULL AS DOUBLE) AS num")
+        bad = _in_parts(own, ["key"], lambda part: tested.join(F.broadcast(part), ["dataset_name", "__c"]).where(f"__at <= {k} + listed").where(_LOW))
+        w = Window.partitionBy(*by).orderBy("__at")
+        found.append(bad.select(*by, F.row_number().over(w).alias("rn"), F.col("shown").alias("value"), "n").where(F.col("rn") <= k))
+    if not found:
+        return None
+    return _together(found).groupBy(*by).agg(F.expr("array_sort(collect_list(struct(rn, value, n)))").alias("samples"))
+
+
 def validate_many(tables: Mapping[str, DataFrame], rules: DataFrame, bindings: DataFrame, *,
                   by: Mapping[str, Sequence[str] | Mapping[str, Column]] | None = None, reference_date: _dt.date | None = None,
                   max_examples: int = 20) -> Validation:
@@ -334,30 +458,38 @@ def validate_many(tables: Mapping[str, DataFrame], rules: DataFrame, bindings: D
     sliced = {name: with_slices(df, (by or {}).get(name)) for name, df in tables.items()}
     whole = {name: slices.whole for name, (_, slices) in sliced.items()}
     measured = {n: {c: kinds for c, kinds in needed.get(n, {}).items() if kinds - {"allowed_values_violation", "pattern_violation"}} for n in tables}
-    tested = {n: {c: kinds & set(ROW_RULES) for c, kinds in cols.items() if kinds & set(ROW_RULES)} for n, cols in needed.items()}
-    tested = {n: cols for n, cols in tested.items() if cols}
     predicates = _predicates(bound)
+    same = predicates.groupBy("dataset_name", "__c", "rule").agg(F.count(F.lit(1)).alias("same"))
+    predicates = ordered.kept(predicates.join(same, ["dataset_name", "__c", "rule"]).withColumn("way", F.expr(_WAY)).drop("same"))
+    # by way, dataset and column: its rules
+    ways: dict[str, dict[str, dict[str, set[str]]]] = {}
+    for r in predicates.select("dataset_name", "__c", "rule", "way").distinct().collect():  # of the size of the schemas
+        ways.setdefault(r["way"], {}).setdefault(r["dataset_name"], {}).setdefault(tables[r["dataset_name"]].columns[r["__c"]], set()).add(r["rule"])
     columns = ["dataset_name", "slice", "key", "rule"]
     stored = _together([_metrics(cells) for cells in _cells(sliced, measured)]).withColumns({"key": F.lit(None).cast("string"), **{c: F.lit(None).cast("bigint") for c in ("low", "high")}})
-    if tested:
+    spelled = None
+    for way, tested in ways.items():
+        own = predicates.where(F.col("way") == way)
         for cells in _cells(sliced, tested):
-            checked = _checked(cells, predicates, [*columns, f"{_LOW} AS low", f"{_HIGH} AS high"])
-            stored = stored.unionByName(checked.groupBy("dataset_name", "slice", "key").agg(F.count_if("low").alias("low"), F.count_if("high").alias("high")),
-                                        allowMissingColumns=True)
-    stored = ordered.kept(stored)  # one job for both aggregates
+            if way == "ranked":
+                stored = stored.unionByName(_ranked(cells, own), allowMissingColumns=True)
+            elif way == "listed":
+                stored = stored.unionByName(_listed(cells, own), allowMissingColumns=True)
+            elif way == "spelled":
+                spelled = _texts(cells)
+                some = _unmatched(spelled, own).groupBy("dataset_name", "slice", "key").agg(F.sum("n").alias("low"))
+                long = _failing(_checked(cells.where(f"NOT {_SHORT}"), own, [*columns, f"{_LOW} AS low", "false AS high"]))
+                both = some.withColumn("high", F.lit(0).cast("bigint")).unionByName(long).groupBy("dataset_name", "slice", "key").agg(
+                    F.sum("low").alias("low"), F.sum("high").alias("high"))
+                stored = stored.unionByName(both, allowMissingColumns=True)
+            else:
+                stored = stored.unionByName(_failing(_checked(cells, own, [*columns, f"{_LOW} AS low", f"{_HIGH} AS high"])), allowMissingColumns=True)
+    stored = ordered.kept(stored)  # one job for all aggregates
     metrics, counts = stored.where("key IS NULL").drop("key", "low", "high"), stored.where("key IS NOT NULL").select("dataset_name", "slice", "key", "low", "high")
 
     failing = predicates.where("rule IN ('allowed_values_violation', 'pattern_violation')").join(
         counts.where("low > 0").select("key").distinct(), "key", "left_semi")
-    samples = None
-    again: dict[str, dict[str, set[str]]] = {}
-    for r in failing.select("dataset_name", "__c", "rule").distinct().collect():  # of the size of the schemas
-        again.setdefault(r["dataset_name"], {}).setdefault(tables[r["dataset_name"]].columns[r["__c"]], set()).add(r["rule"])
-    if again:
-        shown = "CASE WHEN rule = 'pattern_violation' THEN text ELSE shown END AS value"
-        raw = _together([_checked(cells, failing, [*columns, shown, f"{_LOW} AS low"]) for cells in _cells(sliced, again)]).where("low").drop("low")
-        top, _ = ordered.first_keys(raw, columns, [("value", True)], {"sample": max_examples}, lead="CASE WHEN rule = 'pattern_violation' THEN 0L ELSE -__n END")
-        samples = top.groupBy("dataset_name", "slice", "key").agg(F.expr("array_sort(collect_list(struct(__rn AS rn, value, __n AS n)))").alias("samples"))
+    samples = _samples(tables, sliced, failing, spelled, max_examples)
     duplicates = _duplicates(sliced, wanted, max_examples)
 
     # every (dataset, slice): what has rows, and unsliced datasets without any

@@ -112,10 +112,10 @@ def _in_parts(table: DataFrame, rows: int, use) -> DataFrame:
 
 
 def first_keys(raw: DataFrame, by: Sequence[str], parts: Sequence[tuple[str, bool]], limits: Mapping[str, int], *, lead: str = "0L",
-               having: str = "true") -> tuple[DataFrame, DataFrame]:
+               having: str = "true", weight: str = "1L") -> tuple[DataFrame, DataFrame]:
     """(the first keys of every group and list, the size of every group).
 
-    ``raw`` has the columns ``by`` and the ``parts`` (name, may it be long text?), a row for each occurrence.  A key met
+    ``raw`` has the columns ``by`` and the ``parts`` (name, may it be long text?), a row for ``weight`` (SQL) occurrences.  A key met
     ``__n`` times counts if ``having`` (SQL over ``__n``).  ``limits`` gives for each list its number of keys; they are
     ordered by ``lead`` (SQL over ``__n``, ``__list`` and ``by``), then by the parts, nulls first.  Keys have ``by``,
     ``__list``, ``__n``, the parts (whole) and their place ``__rn``; sizes have ``by``, ``__keys`` and ``__rows``.
@@ -127,8 +127,9 @@ def first_keys(raw: DataFrame, by: Sequence[str], parts: Sequence[tuple[str, boo
     key_columns = [*p.segments, *p.more, "__h", "__class"]
     length = SEGMENTS[0]
 
-    base = raw.selectExpr(*by_sql, *[ident(c) for c in p.names], *[f"0 AS {o}" for o in p.offsets])
-    counts = base.selectExpr(*by_sql, *p.keyed(length, by, True)).groupBy(*group, *key_columns).agg(F.count(F.lit(1)).alias("__n")).where(having)
+    met = F.sum("__w").alias("__n")
+    base = raw.selectExpr(*by_sql, *[ident(c) for c in p.names], f"{weight} AS __w", *[f"0 AS {o}" for o in p.offsets])
+    counts = base.selectExpr(*by_sql, *p.keyed(length, by, True), "__w").groupBy(*group, *key_columns).agg(met).where(having)
     # reads ``__n`` for both, so that this branch needs the very aggregate of the other one, whichever of them is used
     sizes = counts.groupBy(*group).agg(F.count_if(F.col("__n") > 0).alias("__keys"), F.sum("__n").alias("__rows"))
     need = "element_at(map(" + ", ".join(f"{lit(k)}, {n}" for k, n in limits.items()) + "), __list)"
@@ -175,9 +176,9 @@ def first_keys(raw: DataFrame, by: Sequence[str], parts: Sequence[tuple[str, boo
             break
         seen, length = length, SEGMENTS[min(later + 1, len(SEGMENTS) - 1)]
         later += 1
-        rows = _in_parts(undecided, n_open, lambda part: _members(raw, by, p, part, seen))
-        keyed = rows.selectExpr(*by_sql, "__list", "__need", "__count", *p.offsets, *p.keyed(length, by, False))
-        again = keyed.groupBy(*group, "__list", "__need", "__count", *p.offsets, *key_columns).agg(F.count(F.lit(1)).alias("__n")).where(having)
+        rows = _in_parts(undecided, n_open, lambda part: _members(raw, by, p, part, seen, weight))
+        keyed = rows.selectExpr(*by_sql, "__list", "__need", "__count", "__w", *p.offsets, *p.keyed(length, by, False))
+        again = keyed.groupBy(*group, "__list", "__need", "__count", *p.offsets, *key_columns).agg(met).where(having)
         if "__n" in lead:
             again = again.where("__n = __count OR NOT (" + _leads(lead) + ")")
         picked = kept(limited(again).select(*[qcol(c) for c in columns]))
@@ -192,15 +193,15 @@ def _leads(lead: str) -> str:
     return f"({lead.replace('__n', '1L')}) <> ({lead.replace('__n', '2L')})"
 
 
-def _members(raw: DataFrame, by: Sequence[str], p: _Parts, undecided: DataFrame, seen: int) -> DataFrame:
+def _members(raw: DataFrame, by: Sequence[str], p: _Parts, undecided: DataFrame, seen: int, weight: str) -> DataFrame:
     """The rows of ``raw`` in undecided classes, with their list, what is needed of it, and the next offsets."""
     by_sql = [ident(b) for b in by]
-    rows = raw.selectExpr(*by_sql, *[ident(c) for c in p.names], f"{_by_hash(by)} AS __rowby").where(p.any_long)
+    rows = raw.selectExpr(*by_sql, *[ident(c) for c in p.names], f"{weight} AS __w", f"{_by_hash(by)} AS __rowby").where(p.any_long)
     there = _Parts(list(zip(p.names, p.text)))
     there.offsets = [f"__was{i}" for i in range(len(p.offsets))]
     klass = there.keyed(seen, by, False)[-1].removesuffix(" AS __class")
     joined = rows.join(F.broadcast(undecided), (F.col("__rowby") == F.col("__by")) & (F.expr(klass) == F.col("__class")))
-    return joined.selectExpr(*by_sql, *[ident(c) for c in p.names], "__l AS __list", "__need", "__count", *[f"__to{i} AS {o}" for i, o in enumerate(p.offsets)])
+    return joined.selectExpr(*by_sql, *[ident(c) for c in p.names], "__l AS __list", "__need", "__count", "__w", *[f"__to{i} AS {o}" for i, o in enumerate(p.offsets)])
 
 
 def _fetched(chosen: DataFrame, raw: DataFrame, by: Sequence[str], p: _Parts, texts: Sequence[tuple[str, str]]) -> DataFrame:

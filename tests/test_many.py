@@ -85,6 +85,55 @@ def test_predicates_are_shared_and_sent_in_parts(spark, monkeypatch):
     assert rows_of(many.validate_many(table, rules, bindings).findings) == whole
 
 
+def test_many_predicates_of_a_column_are_not_tried_on_every_cell(spark, monkeypatch):
+    long = "v" * 300
+    docs = [{"contract": {"name": f"c{j}", "version": "1"}, "schema": {"allow_unexpected_columns": True}, "columns": {
+        "i": {"min": j + 1, "max": 3 * j + 0.5, "allowed_values": [j, 2, 2.0, "3"]}, "d": {"min": j / 2, "max": 9.5 - j, "allowed_values": [j / 2, -0.0]},
+        "m": {"min": f"{j}.25", "max": f"{j}.50", "allowed_values": [1.25, j]}, "b": {"max": j % 2, "allowed_values": [j % 2 == 0]},
+        "t": {"pattern": f"[a-z]+{{{j + 1},}}|{j}", "min_length": j, "max_length": 290 + j, "min": 17 - j, "allowed_values": ["abc", f"{long}{'ab'[j % 2]}", str(j)]},
+        "day": {"allowed_values": ["2025-01-02", str(j)]}}} for j in range(many.MANY + 3)]
+    rules = contract_rules(spark, contracts_frame(spark, docs))
+    odd = odd_table(spark)
+    tables, by = {"odd": odd.repartition(3), "sliced": odd, "none": odd.limit(0)}, {"sliced": ["extra"]}
+    bindings = spark.createDataFrame([("r", f"c{j}", d) for j in range(len(docs)) for d in tables], "run_id string, contract_name string, dataset_name string")
+    tried = []
+    checked = many._checked
+
+    def watched(cells, predicates, columns):
+        tried.append(predicates.groupBy("dataset_name", "__c", "rule").count().agg(F.max("count")).first()[0] or 0)
+        # texts of more than 256 characters alone are tried one by one against many patterns
+        assert tried[-1] <= many.MANY or cells.where("char_length(text) <= 256").isEmpty()
+        return checked(cells, predicates, columns)
+
+    monkeypatch.setattr(many, "_checked", watched)
+    got = many.validate_many(tables, rules, bindings, by=by, reference_date=REF, max_examples=2).findings
+    assert tried
+    for name, dataset in (("c0", "odd"), ("c1", "sliced"), ("c5", "odd"), ("c10", "sliced"), ("c3", "none")):
+        one = validate(tables[dataset], rules, contract_name=name, dataset_name=dataset, run_id="r", by=by.get(dataset), reference_date=REF, max_examples=2)
+        assert rows_of(got.where((F.col("contract_name") == name) & (F.col("dataset_name") == dataset))) == rows_of(one.findings)
+
+
+def test_ranks_across_parts(spark):
+    """Bounds that equal values, repeat or lie outside, counted by brute force."""
+    rows = [(float(v % 97) - 40, v % 50) for v in range(1500)] + [(-0.0, 1), (0.0, 2), (float("nan"), 3), (None, 4)]
+    data = spark.createDataFrame(rows, "d double, i int").repartition(5)
+    docs = [{"contract": {"name": f"c{j}", "version": "1"}, "columns": {"d": {"min": lo, "max": hi}, "i": {"min": lo, "max": hi}}}
+            for j, (lo, hi) in enumerate((lo, lo + w) for lo in range(-45, 60, 5) for w in (0, 3.5))]
+    rules = contract_rules(spark, contracts_frame(spark, docs))
+    bindings = spark.createDataFrame([("r", f"c{j}", "t") for j in range(len(docs))], "run_id string, contract_name string, dataset_name string")
+    found = many.validate_many({"t": data}, rules, bindings).findings.where("rule_type = 'range_violation'")
+    got = {(r[0], r[1]): (r[2], r[3]) for r in found.select("contract_name", "column", F.get_json_object("evidence", "$.below_min_count").cast("int"),
+                                                            F.get_json_object("evidence", "$.above_max_count").cast("int")).collect()}
+    want = {}
+    for doc in docs:
+        for at, c in enumerate("di"):
+            lo, hi = doc["columns"][c]["min"], doc["columns"][c]["max"]
+            both = tuple(sum(1 for r in rows if r[at] is not None and test(r[at])) for test in (lambda v: v < lo, lambda v: v > hi))
+            if any(both):
+                want[doc["contract"]["name"], c] = both
+    assert got == want
+
+
 def test_no_contract_and_no_binding(spark):
     none = spark.createDataFrame([], "run_id string, contract_name string, dataset_name string")
     got = many.validate_many({"t": spark.range(3)}, contract_rules(spark, contracts_frame(spark, [LOOSE])), none)
