@@ -292,14 +292,17 @@ def triage_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def supplier_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One contract document a supplier: bounds, nations and a name rule from its row, over the columns of ``accounts``."""
+    """One contract document a supplier: bounds, nations and a name rule from its row, over the columns of ``accounts``.
+
+    Documents are much longer than the rows they come from, so they are dealt out before they are parsed.
+    """
     return table(spark, sf_dir, "supplier").selectExpr("""to_json(named_struct(
         'contract', named_struct('name', s_name, 'version', CAST(s_suppkey AS STRING)),
         'columns', named_struct(
             'balance', named_struct('type', 'number', 'min', s_acctbal, 'max', s_acctbal + 5000, 'severity', CASE WHEN s_nationkey % 3 = 0 THEN 'info' END),
             'nation', named_struct('type', 'integer', 'allowed_values', array(s_nationkey, (s_nationkey + 7) % 25)),
             'name', named_struct('pattern', concat('[A-Z][a-z]+#[0-9]*', CAST(s_suppkey % 10 AS STRING)), 'max_length', 18, 'unique', true)),
-        'row_count', named_struct('min', s_suppkey * 10))) AS doc""")
+        'row_count', named_struct('min', s_suppkey * 10))) AS doc""").repartition("doc")
 
 
 def supplier_contracts_revised(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,6 +134,19 @@ def test_ranks_across_parts(spark):
     assert got == want
 
 
+def test_bindings_given_twice_are_computed_once(spark):
+    """Findings come once for each binding and version of a contract, numbered without a gap."""
+    rules = contract_rules(spark, contracts_frame(spark, [ODD, ODD | {"row_count": {"min": 50}}]))
+    one = spark.createDataFrame([("r", "odd", "t")], "run_id string, contract_name string, dataset_name string")
+    tables = {"t": odd_table(spark)}
+    assert many._bound(tables, rules, one.union(one).union(one)).count() == many._bound(tables, rules, one).count()
+    single = many.validate_many(tables, rules, one, reference_date=REF).findings
+    got = many.validate_many(tables, rules, one.union(one).union(one), reference_date=REF)
+    assert rows_of(got.findings) == sorted([r for r in rows_of(single) for _ in range(3)], key=repr)
+    places = [r["seq"] for r in got.findings.select("seq").collect()]
+    assert len(set(places)) == len(places) and got.runs.count() == 1
+
+
 def test_no_contract_and_no_binding(spark):
     none = spark.createDataFrame([], "run_id string, contract_name string, dataset_name string")
     got = many.validate_many({"t": spark.range(3)}, contract_rules(spark, contracts_frame(spark, [LOOSE])), none)
